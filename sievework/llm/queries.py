@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, token_counts, toxicity
+from . import packing, quality_rules, resharding, token_counts, toxicity, warc
 from .shared import scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,29 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so that every distinct text is encoded."""
     return token_counts.counted(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"), vocabulary())
+
+
+@query
+def op8_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resharding.digests(table(spark, sf_dir, "documents"), scratch(spark, "shards"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), scratch(spark, "archives"))
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, upper(sha1(coalesce(html, ''))) AS hex FROM pages
+), d AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS first,
+    array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (k // 4) AS INTEGER), 5) AS INTEGER) >> CAST(5 * (3 - k % 4) AS INTEGER)) & 31), 1)), '') AS digest
+  FROM p
+)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d
+"""
