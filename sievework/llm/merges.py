@@ -49,6 +49,44 @@ class Table:
             return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
+class Memo:
+    """Ids by 64-bit keys, for a bounded number of keys and ids: when either is reached, all are forgotten."""
+
+    def __init__(self, most_keys: int = 1_000_000, most_ids: int = 10_000_000) -> None:
+        self.most_keys, self.most_ids = most_keys, most_ids
+        self._forget(most_keys)
+
+    def _forget(self, room: int) -> None:
+        self.table = Table(room)
+        self.begin, self.size = (np.zeros(len(self.table.keys), np.int32) for _ in "ab")
+        self.pool, self.n_ids, self.n_keys = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def get(self, keys: np.ndarray, work_out: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """All keys' ids, one after the other, and how many each key has.
+
+        work_out gets the places of some keys that are not known, and gives their ids and how many each has.
+        """
+        slot = self.table.find(keys)
+        new = np.flatnonzero(self.table.keys[slot] != keys)
+        if len(new):
+            new = new[np.unique(keys[new], return_index=True)[1]]
+            if self.n_keys + len(new) > self.most_keys or self.n_ids > self.most_ids:
+                new = np.unique(keys, return_index=True)[1]
+                self._forget(max(self.most_keys, len(new)))
+            flat, n = work_out(new)
+            while self.n_ids + len(flat) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[self.n_ids : self.n_ids + len(flat)] = flat
+            slot = self.table.put(keys[new])
+            self.begin[slot], self.size[slot] = self.n_ids + np.cumsum(n) - n, n
+            self.n_ids += len(flat)
+            self.n_keys += len(new)
+            slot = self.table.find(keys)
+        n = self.size[slot].astype(np.int64)
+        end = np.cumsum(n)
+        return self.pool[np.repeat(self.begin[slot] - (end - n), n) + np.arange(end[-1] if len(end) else 0)], n
+
+
 class Pairs:
     """(left, right) -> slot of rank and merged; the rank of a slot without a pair is NONE."""
 

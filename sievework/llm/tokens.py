@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .merges import Pairs, Table, merge
+from .merges import Memo, Pairs, merge
 from .text import LOWER, Texts, texts
 
 #: Characters that are in composed form, and whose lower case does not hang on their neighbours.
@@ -66,12 +66,11 @@ def byte_letters() -> list[str]:
 
 
 class Encoder:
-    """Ids of texts. Remembers at most so many words and ids."""
+    """Ids of texts."""
 
-    def __init__(self, path: str, most_words: int = 1_000_000, most_ids: int = 10_000_000) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.most_words, self.most_ids = most_words, most_ids
-        self._forget()
+        self.memo = Memo()
         self.spec = by_words(path)
         if path.endswith(".model"):
             import sentencepiece
@@ -128,32 +127,6 @@ class Encoder:
         ids.update([(w, b"".join([ids[p] for p in x])) for w, x in joint.items()])
         return list(map(ids.__getitem__, words))
 
-    def _forget(self) -> None:
-        self.words = Table(self.most_words)
-        self.begin = np.zeros(len(self.words.keys), np.int32)
-        self.size = np.zeros(len(self.words.keys), np.int32)
-        self.pool, self.n_ids, self.n_words = np.zeros(1 << 16, np.uint32), 0, 0
-
-    def _learn(self, t: Texts, hashes: np.ndarray, one: np.ndarray) -> None:
-        """Adds the words of these numbers."""
-        if self.n_words + len(one) > self.most_words or self.n_ids > self.most_ids:
-            self._forget()
-            one = np.unique(hashes, return_index=True)[1]
-        raw = t.data.tobytes()
-        ids = self._words([raw[a:b].decode() for a, b in zip(t.starts[one].tolist(), t.ends[one].tolist(), strict=True)])
-        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        while self.n_ids + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.n_ids : self.n_ids + len(flat)] = flat
-        if len(one) > self.most_words:
-            self.words = Table(len(one))
-            self.begin, self.size = (np.zeros(len(self.words.keys), np.int32) for _ in "ab")
-        slot = self.words.put(hashes[one])
-        self.begin[slot], self.size[slot] = self.n_ids + np.cumsum(n) - n, n
-        self.n_ids += len(flat)
-        self.n_words += len(one)
-
     def ids(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For one batch of texts after the other (null: empty): all ids, and where each text's begin, with the end."""
         if not self.spec:
@@ -164,16 +137,15 @@ class Encoder:
         for t in texts(column):
             if b"<|" not in t.data.tobytes():  # which may begin a special token, in lower case only
                 t.data = LOWER[t.data]
-            hashes = t.word_hashes()
-            slot = self.words.find(hashes)
-            new = np.flatnonzero(self.words.keys[slot] != hashes)
-            if len(new):
-                self._learn(t, hashes, new[np.unique(hashes[new], return_index=True)[1]])
-                slot = self.words.find(hashes)
-            n = self.size[slot].astype(np.int64)
-            end = np.cumsum(n)
-            flat = self.pool[np.repeat(self.begin[slot] - (end - n), n) + np.arange(end[-1] if len(end) else 0)]
-            yield flat, np.concatenate([[0], end])[t.first]
+            raw = t.data.tobytes()
+
+            def work_out(at: np.ndarray, t: Texts = t, raw: bytes = raw) -> tuple[np.ndarray, np.ndarray]:
+                spans = zip(t.starts[at].tolist(), t.ends[at].tolist(), strict=True)
+                ids = self._words([raw[a:b].decode() for a, b in spans])
+                return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+            flat, n = self.memo.get(t.word_hashes(), work_out)
+            yield flat, np.concatenate([[0], np.cumsum(n)])[t.first]
 
 
 @functools.cache
