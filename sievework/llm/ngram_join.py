@@ -82,13 +82,17 @@ def overlap(a, b, percent: int):
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """key (doc_id, or of a null one the hash of the text), doc_id and text."""
-    text = shared.whole_text()
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    """key (doc_id, or of a null one the hash of the text), doc_id, text and its hash."""
+    return docs.select(*[x.alias(name) for name, x in identity().items()], shared.whole_text().alias("text"))
+
+
+def identity() -> dict:
+    doc_id, hash_ = F.col("doc_id").cast("long"), F.xxhash64(shared.whole_text())
+    return {"key": F.coalesce(doc_id, hash_), "doc_id": doc_id, "hash": hash_}
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """A row for each document: key, doc_id, n and c (its class; null for the empty set). And rows token, often."""
+    """A row for each document: key, doc_id, hash, n and c (its class; null for the empty set). And rows token, often."""
 
     def run(batches):
         held, size, known = [], 0, set()
@@ -99,12 +103,12 @@ def described(docs: DataFrame, n: int) -> DataFrame:
             held.clear()
             known.clear()
             none = pa.nulls(len(found), pa.int64())
-            return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(found.view(np.int64)), pa.array(count, pa.int64())], names)
+            return pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(found.view(np.int64)), pa.array(count, pa.int64())], names)
 
-        names = ["key", "doc_id", "n", "c", "token", "often"]
+        names = ["key", "doc_id", "hash", "n", "c", "token", "often"]
         for batch in batches:
             sets = []
-            for t in texts(batch.column(2), lower=True):
+            for t in texts(batch.column(3), lower=True):
                 for s in shingles(t, n):
                     c = class_of(s) if len(s) else None
                     sets.append((len(s), c))
@@ -117,11 +121,11 @@ def described(docs: DataFrame, n: int) -> DataFrame:
                     size = 0
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x for x, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64()), none, none], names
+                [*batch.columns[:3], pa.array([x for x, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64()), none, none], names
             )
         yield tally()
 
-    return keyed(docs).mapInArrow(run, "key long, doc_id long, n long, c long, token long, often long")
+    return keyed(docs).mapInArrow(run, "key long, doc_id long, hash long, n long, c long, token long, often long")
 
 
 def postings(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -132,7 +136,7 @@ def postings(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
         tokens, often = sent.value
         known = set()
         for batch in batches:
-            for t in texts(batch.column(2), lower=True):
+            for t in texts(batch.column(3), lower=True):
                 found, classes, sizes = [], [], []
                 for s in shingles(t, n):
                     c = class_of(s) if len(s) else None
@@ -340,7 +344,8 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> Da
 
 
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """key, doc_id, n_shingles, c and component_id of each document; documents link at ``percent`` of 100 or more."""
+    """key, doc_id, hash, n_shingles, root (a number of the component; null for the empty set) and component_id of each
+    document; documents link at ``percent`` of 100 or more."""
     found = shared.written(described(docs, n), "described")
     top = found.where("token is not null").groupBy("token").agg(F.sum("often").alias("often")).orderBy(F.desc("often"), "token").limit(MOST_FREQUENT).toArrow()
     tokens, often = top["token"].to_numpy().view(np.uint64), top["often"].to_numpy()
@@ -365,7 +370,25 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     of_class = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = of_class.join(least, "root").select("c", "component_id")
-    full = rows.where("c is not null").join(named, "c", "left").select("key", "doc_id", F.col("n").alias("n_shingles"), "c", "component_id")
-    empty = rows.where("c is null").select("key", "doc_id", F.col("n").alias("n_shingles"), "c", F.col("doc_id").alias("component_id"))
+    named = of_class.join(least, "root").select("c", "root", "component_id")
+    same = ["key", "doc_id", "hash", F.col("n").alias("n_shingles")]
+    full = rows.where("c is not null").join(named, "c", "left").select(*same, "root", "component_id")
+    empty = rows.where("c is null").select(*same, F.col("c").alias("root"), F.col("doc_id").alias("component_id"))
     return full.unionAll(empty)
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The documents less all but one of each component: the one with the smallest doc_id stays, of equal rows one."""
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+    found = shared.written(joined(docs, n, percent), "joined").where("root is not null")
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "key", "hash")).alias("least"))
+    met = found.join(least, "root").withColumn("stays", (F.col("key") == F.col("least.key")) & (F.col("hash") == F.col("least.hash")))
+    gone = shared.written(met.where("not stays").select(F.col("key").alias("__key"), F.col("hash").alias("__hash")).distinct(), "gone")
+    gone = F.broadcast(gone) if gone.limit(MOST_SENT + 1).count() <= MOST_SENT else gone
+    ids = identity()
+    kept = docs.withColumns({"__key": ids["key"], "__hash": ids["hash"]}).join(gone, ["__key", "__hash"], "left_anti")
+    repeats = met.where("stays").groupBy("key", "hash").count().where("count > 1").limit(1).count()
+    if repeats:  # equal rows have nothing that tells them apart
+        words = F.regexp_like(shared.whole_text(), F.lit("[^\\x20\\x09-\\x0D]"))
+        kept = kept.where(words).dropDuplicates(["__key", "__hash"]).unionAll(kept.where(~words))
+    return kept.select(*columns)
