@@ -8,8 +8,8 @@ Reading: each archive is parsed record by record, by Content-Length; requests an
 their response or revisit through WARC-Concurrent-To, whichever of the two names the other, into one nested row for each
 capture. A revisit gets the page that it refers to by a further join.
 
-Cases: a null payload is the empty one; a null page_id is smaller than all others, and a group without any other
-has one response; of repeated rows with the largest page_id one is the response and the others revisit it; a null url is
+Cases: a null payload is the empty one; a null page_id is smaller than all others; repeated rows with the largest
+page_id of their group are all responses (so are null ones, if it has no other); a null url is
 an empty one, and line breaks and spaces in a url are escaped; payloads shorter than ``least`` bytes are all responses; a
 request or metadata record that nothing is concurrent to is left out, and a response without them has nulls there;
 an empty table gives an archive without records and an empty result; columns may have any other names.
@@ -62,17 +62,11 @@ def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 6000) ->
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(shared.whole_text("url"), "[\\x00-\\x20]", "%20").alias("url"),
         payload.alias("html"),
-        F.monotonically_increasing_id().alias("capture"),
     ).withColumn("key", F.sha2(F.col("html").cast("binary"), 256))
-    copies = (
-        found.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("page_id", "capture")).alias("first"))
-        .where("n > 1")
-        .select("key", "first")
-    )
+    copies = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first")).where("n > 1").select("key", "first", F.lit(True).alias("several"))
     size = F.octet_length("html")
-    is_revisit = F.col("first").isNotNull() & (F.col("capture") != F.col("first.capture")) & (size >= least)
-    all_rows = found.join(copies, "key", "left").withColumn("again", F.coalesce(is_revisit, F.lit(False)))
+    is_revisit = F.col("several") & ~F.col("page_id").eqNullSafe(F.col("first")) & (size >= least)
+    all_rows = found.withColumn("capture", F.monotonically_increasing_id()).join(copies, "key", "left").withColumn("again", F.coalesce(is_revisit, F.lit(False)))
     request, response, metadata = (urn(F.col("capture"), x) for x in ("request", "response", "metadata"))
     digest = F.concat(F.lit("sha1:"), base32(F.sha1(F.col("html").cast("binary"))))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
@@ -85,7 +79,6 @@ def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 6000) ->
             record_id=response,
             payload_digest=digest,
             profile=F.when(F.col("again"), PROFILE),
-            refers_to=F.when(F.col("again"), urn(F.col("first.capture"), "response")),
             **same,
         ),
         record(
@@ -192,11 +185,9 @@ def round_trip(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
         F.col("response.bytes").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.col("response.refers_to").alias("target"),
     )
-    rows = shared.written(rows, "captures")
-    pages_of = rows.where("record_type = 'response'").select(F.col("capture").alias("of"), F.col("page_id").alias("refers"))
-    # a response has no target: it looks for itself, so that no key stands for all of them
-    return rows.join(pages_of, F.coalesce("target", "capture") == F.col("of"), "left").select(
+    rows = shared.written(rows.drop("capture"), "captures")
+    held = rows.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("page_id").alias("refers"))
+    return rows.join(held, "payload_digest", "left").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers")).alias("refers_to")
     )
