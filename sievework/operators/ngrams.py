@@ -11,8 +11,8 @@ SMOOTHING = 0.01
 
 
 def char_ngrams(text: Column, n: int = 3) -> Column:
-    """All runs of n characters of the lower-cased text, overlapping, by a lookahead."""
-    return F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    """All runs of n characters of the lower-cased text, overlapping: a lookahead at each character, which is then passed over whole."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
 def occurrences(df: DataFrame, id_col: str, text: str, n: int = 3) -> DataFrame:
