@@ -204,7 +204,7 @@ VALID = f"""{MODEL}, va AS (SELECT vec_id FROM embeddings WHERE substr({order('4
 gr AS MATERIALIZED (SELECT step, ({NAMES})[p.label % 4 + 1] AS dim, cls, i, avg(r * v) AS g FROM p SEMI JOIN va USING (vec_id) JOIN x USING (vec_id) GROUP BY ALL)"""
 
 
-@query("val_mean_gradient", f"WITH {VALID} SELECT step, dim, count(*) AS size, round(sqrt(sum(g * g)), 6) AS norm FROM gr GROUP BY ALL")
+@query("val_mean_gradient", f"WITH {VALID} SELECT CAST(step AS BIGINT) AS step, dim, count(*) AS size, round(sqrt(sum(g * g)), 6) AS norm FROM gr GROUP BY ALL")
 def val_mean_gradient(spark, sf_dir):
     x = samples(spark, sf_dir)
     found = influence.mean_gradients(x.where(is_validation()).withColumn("dim", dim()), "dim", SoftmaxScorer(), checkpoints(x))

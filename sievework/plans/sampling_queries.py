@@ -90,7 +90,7 @@ def losses(spark, sf_dir):
 
 def tau(strategy: str) -> str:
     now = {"linear": "1.0 + (0.1 - 1.0) * (step / 500.0)", "cosine": "0.1 + 0.5 * (1.0 - 0.1) * (1 + cos(3.141592653589793 * (step / 500.0)))"}
-    return "1.0" if strategy == "constant" else f"CASE WHEN step >= 500 THEN 0.1 ELSE {now[strategy]} END"
+    return "CAST(1 AS DOUBLE)" if strategy == "constant" else f"CASE WHEN step >= 500 THEN 0.1 ELSE {now[strategy]} END"
 
 
 @query("tau_schedule", f"WITH {STEPS}, s AS (SELECT DISTINCT step FROM e) SELECT step, " + ", ".join(f"round({tau(s)}, 9) AS tau_{s}" for s in sampling.STRATEGIES) + " FROM s")
