@@ -6,12 +6,14 @@ have the partner. Distributed:
 
 1. Documents with equal sets are one class. Shingles are ordered by how many documents have them (from the shingles that
    are frequent somewhere), rare first, so that the short lists come first.
-2. Each class is dealt out to the lists of its first n - T + 1 shingles. Lists with one class only are dropped.
-3. In each list the smallest class is paired with the others (and so again for those too large for it). Pairs are
-   checked by DivideSkip, grouped by the class that asks: its short lists over the candidates are merged by a heap, and
-   candidates that occur often enough are looked up in its long lists by binary search. Links give components.
-4. What is left are the pairs of a list whose classes are still apart. All of them are checked in the same way. So copies by
-   the thousand cost a pair or two each, and no link between components is lost.
+2. Each class is dealt out to the lists of its first n - T + m shingles: two that link share m of these. Lists with one class
+   only are dropped, and classes that are left in fewer lists than m.
+3. In each list a few classes, the same ones for lists of the same documents, are paired with all others. Pairs are checked by
+   DivideSkip over an index of the candidates' sets: the short lists of the class that asks are merged by a heap, and candidates
+   that occur often enough are looked up in its long lists by binary search. Links give components.
+4. What is left are the classes of a list that are still apart. Each is held against the larger components that its lists
+   have, each of which is an index, in blocks of bounded size, that is asked in the same way until one link is found. So
+   copies by the thousand cost a few pairs each, and no link between components is lost.
 
 The order of shingles, which need not be exact, decides the cost only; all counts that decide a link are over whole sets.
 Shingles and classes are 64-bit hashes.
@@ -26,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 from math import log2
@@ -47,6 +48,8 @@ AT_ONCE, OFTEN, MOST_FREQUENT = 4_000_000, 3, 200_000
 MOST_SENT = 2_000_000
 #: Shingles of the candidates that one class is checked against at once.
 AT_A_TIME = 400_000
+#: How many classes of a list are held against the others, turn by turn, before the rest is settled.
+CENTERS = (2, 5)
 
 
 def shingles(t: Texts, n: int) -> list[np.ndarray]:
@@ -76,6 +79,17 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def shared_first(n, percent: int):
+    """m: how many of its first n - needed + m shingles a set of n shares with any that it links with. One would do; a few more
+    tell what is alike from what shares a passage, or a shingle by chance. A larger set has no smaller m."""
+    return np.minimum(4 + n // 64, -(-percent * n // 100))
+
+
+def shared_with_any(n, percent: int):
+    """The least m of a set of n and a set that it links with, which has needed(n) shingles or more."""
+    return shared_first(-(-percent * n // 100), percent)
+
+
 def overlap(a, b, percent: int):
     """The least overlap of sets of a and b that link."""
     return -(-percent * (a + b) // (100 + percent))
@@ -143,7 +157,7 @@ def postings(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
                     if c is None or c in known:
                         continue
                     known.add(c)
-                    first = len(s) - needed(len(s), percent) + 1
+                    first = len(s) - needed(len(s), percent) + int(shared_first(len(s), percent))
                     if len(tokens):
                         at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                         s = s[np.argsort(np.where(tokens[at] == s, often[at], 0), kind="stable")]
@@ -194,143 +208,202 @@ def shared_lists(found: DataFrame) -> DataFrame:
     return found.repartition("token").mapInArrow(run, found.schema)
 
 
+def in_enough_lists(live: DataFrame, percent: int) -> DataFrame:
+    """c of the classes that are in as many lists as a link needs."""
+    part = F.ceil(F.col("n") * percent / 100)  # shared_with_any, in SQL
+    least = F.least(4 + F.floor(part / 64), F.ceil(part * percent / 100))
+    return live.groupBy("c").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n")).where(F.col("times") >= least).select("c")
+
+
 def may_link(x: dict[str, np.ndarray], i: int, js: np.ndarray, percent: int) -> np.ndarray:
-    """Which classes js, not smaller than class i of the same list, can link with it: by size, and by what can follow in both."""
+    """Which classes js can link with class i, where this list's shingle is one of the first m that they share: by size, and by
+    what can follow in both."""
     a, b = int(x["n"][i]), x["n"][js].astype(np.int64)
     left = np.minimum(a - int(x["place"][i]), b - x["place"][js])
-    return (percent * b <= 100 * a) & (left >= overlap(a, b, percent))
-
-
-PAIR = "a long, b long, na int, nb int"
+    before = np.minimum(shared_first(a, percent), shared_first(b, percent)) - 1
+    return (percent * np.maximum(a, b) <= 100 * np.minimum(a, b)) & (left + before >= overlap(a, b, percent))
 
 
-def pair_rows(x: dict[str, np.ndarray], of: list[np.ndarray], to: list[np.ndarray]) -> pa.RecordBatch:
-    i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in (of, to))
-    both = pd.DataFrame({"a": x["c"][i], "b": x["c"][j], "na": x["n"][i], "nb": x["n"][j]}).drop_duplicates(["a", "b"])
-    return pa.RecordBatch.from_pandas(both, preserve_index=False)
+def stars(live: DataFrame, percent: int, centers: int, turn: int) -> DataFrame:
+    """Pairs a, b, nb: of each list, in runs of like size, some classes a that stand early in their sets, each with all others.
 
-
-def stars(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the smallest class of each list with the others, and again from the first that is too large for it."""
+    Hashes pick the classes, so that lists of the same documents have the same ones, and others in another turn. live has the
+    columns root and size of the component: the classes are of the largest component there, the others not, unless all are single.
+    """
 
     def run(batches):
-        for x, begin, end in lists(batches, ("token", "c", "n", "place")):
+        for x, begin, end in lists(batches, ("token", "c", "n", "place", "root", "size")):
             of, to = [], []
+            n = x["n"].astype(np.int64)
+            early = x["place"] < n - overlap(n, n, percent) + shared_first(n, percent)
+            with np.errstate(over="ignore"):
+                pick = mixed(x["c"].astype(np.uint64) + np.uint64(turn))
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
                 while lo < hi - 1:
-                    js = np.arange(lo + 1, hi)
-                    fits = js[may_link(x, lo, js, percent)]
-                    of.append(np.full(len(fits), lo))
-                    to.append(fits)
-                    beyond = np.flatnonzero(percent * x["n"][js].astype(np.int64) > 100 * int(x["n"][lo]))
-                    lo = int(js[beyond[0]]) if len(beyond) else hi
-            yield pair_rows(x, of, to)
-
-    return live.repartition("token").mapInArrow(run, PAIR).dropDuplicates(["a", "b"])
+                    stop = lo + int(np.searchsorted(x["n"][lo:hi], 100 * int(x["n"][lo]) // percent, "right"))
+                    members = np.arange(lo, min(hi, max(stop, lo + 1)))
+                    lo = max(stop, lo + 1)
+                    top = members[np.lexsort((x["root"][members], x["size"][members]))[-1]]
+                    some = members[early[members]]
+                    if turn and x["size"][top] == 1:
+                        continue  # all were held against some; the rest is settled at the end
+                    if x["size"][top] > 1:
+                        some, members = some[x["root"][some] == x["root"][top]], members[x["root"][members] != x["root"][top]]
+                    for i in some[np.argsort(pick[some])[:centers]].tolist():
+                        members = members[members != i]
+                        js = members[may_link(x, i, members, percent)]
+                        of.append(np.full(len(js), i))
+                        to.append(js)
+            i, j = (np.concatenate(v) if v else np.zeros(0, int) for v in (of, to))
+            both = pd.DataFrame({"a": x["c"][i], "b": x["c"][j], "nb": x["n"][j], "need": np.minimum(2, shared_with_any(x["n"][i].astype(np.int64), percent))})
+            both["times"] = 1
+            both = both.groupby(["a", "b"], as_index=False, sort=False).agg({"nb": "min", "need": "min", "times": "sum"})
+            yield pa.RecordBatch.from_pandas(both, preserve_index=False)
+
+    found = live.repartition("token").mapInArrow(run, "a long, b long, nb int, need long, times long")
+    found = found.groupBy("a", "b").agg(F.min("nb").alias("nb"), F.min("need").alias("need"), F.sum("times").alias("times")).where("times >= need")
+    return found.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).dropDuplicates(["lo", "hi"]).drop("need", "times")
+
+
+def rooted(live: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """live with the root and the size of each class's component; a class without a link is its own."""
+    if roots is None:
+        return live.withColumns({"root": F.col("c"), "size": F.lit(1).cast("long")})
+    sized = roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
+    return live.select("token", "c", "n", "place").join(sized, "c", "left").select(
+        "token", "c", "n", "place", F.coalesce("root", "c").alias("root"), F.coalesce("size", F.lit(1)).alias("size")
+    )
 
 
 def apart(live: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a list whose classes are of different components: live has the column root."""
+    """a and root: the classes of each list, each with the other components there that are larger (of equal ones, of larger root)
+    and have a class in this list that it can link with. live has the columns root and size of the component."""
 
     def run(batches):
-        for x, begin, end in lists(batches, ("token", "c", "n", "place", "root")):
-            of, to = [], []
+        for x, begin, end in lists(batches, ("token", "c", "n", "place", "root", "size")):
+            a, root, need = [], [], []
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
-                roots, which, count = np.unique(x["root"][lo:hi], return_inverse=True, return_counts=True)
-                if len(roots) == 1:
+                members = np.arange(lo, hi)
+                if (x["root"][lo:hi] == x["root"][lo]).all():
                     continue
-                # of the largest component's classes no two are held against each other; all others meet all
-                small = np.flatnonzero(which != count.argmax()) + lo
-                for i in small.tolist():
-                    after = np.arange(i + 1, hi)
-                    js = after[(x["root"][after] != x["root"][i])]
-                    js = js[may_link(x, i, js, percent)]
-                    of.append(np.full(len(js), i))
-                    to.append(js)
-                    before = np.arange(lo, i)
-                    before = before[which[before - lo] == count.argmax()]
-                    for k in before.tolist():
-                        if may_link(x, k, np.array([i]), percent)[0]:
-                            of.append(np.array([k]))
-                            to.append(np.array([i]))
-            yield pair_rows(x, of, to)
-
-    return live.repartition("token").mapInArrow(run, PAIR).dropDuplicates(["a", "b"])
-
-
-def divide_skip(query: np.ndarray, candidates: list[np.ndarray], percent: int, mu: float = 0.01) -> list[int]:
-    """The numbers of the candidates that link with the query; all are sorted sets.
-
-    The query's inverted lists over the candidates: the longest are set apart, the others merged by a heap; what occurs
-    there often enough is looked up in the long lists by binary search, as long as it can still reach its T.
-    """
-    n = len(query)
-    owner = np.repeat(np.arange(len(candidates)), [len(c) for c in candidates])
-    tokens = np.concatenate(candidates)
-    at = np.minimum(np.searchsorted(query, tokens), n - 1)
-    hit = query[at] == tokens
-    order = np.argsort(at[hit], kind="stable")  # candidates stay in order within a list
-    at, owner = at[hit][order], owner[hit][order]
-    edges = np.flatnonzero(np.diff(at, prepend=-1, append=n)).tolist()
-    found = sorted((owner[a:b].tolist() for a, b in zip(edges, edges[1:], strict=False)), key=len)
-    wanted = [int(overlap(n, len(c), percent)) for c in candidates]
-    least = min(wanted)
-    longest = len(found[-1]) if found else 1
-    n_long = min(least - 1, int(least / (mu * log2(max(longest, 2)) + 1)), len(found))
-    short, long = found[: len(found) - n_long], found[len(found) - n_long :]
-    linked = []
-    for c, times in groupby(heapq.merge(*short)):
-        count, left = sum(1 for _ in times), len(long)
-        if count < wanted[c] - left:
-            continue
-        for one in long:
-            left -= 1
-            k = bisect_left(one, c)
-            if k < len(one) and one[k] == c:
-                count += 1
-            elif count + left < wanted[c]:
-                break
-        if 100 * count >= percent * (n + len(candidates[c]) - count):
-            linked.append(c)
-    return linked
-
-
-def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs a, b, nb the links, as u and v. sets: c and s, the set as the bytes of 64-bit integers."""
-    chunks = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / F.lit(AT_A_TIME)).cast("int").alias("chunks"))
-    dealt = pairs.join(chunks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int").alias("chunk"))
-    asked = dealt.join(sets.withColumnRenamed("c", "b"), "b").select("a", "chunk", "b", "s")
-    asking = dealt.select("a", "chunk").distinct().join(sets.withColumnRenamed("c", "a"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "s")
+                top = members[np.lexsort((x["root"][lo:hi], x["size"][lo:hi]))[-1]]
+                for i in members[x["root"][lo:hi] != x["root"][top]].tolist():
+                    larger = (x["size"][lo:hi] > x["size"][i]) | ((x["size"][lo:hi] == x["size"][i]) & (x["root"][lo:hi] > x["root"][i]))
+                    js = members[larger]
+                    found = np.unique(x["root"][js[may_link(x, i, js, percent)]])
+                    a.append(np.full(len(found), x["c"][i]))
+                    root.append(found)
+                    need.append(np.full(len(found), shared_with_any(int(x["n"][i]), percent)))
+            none = [np.zeros(0, np.int64)]
+            both = pd.DataFrame({"a": np.concatenate(a or none), "root": np.concatenate(root or none), "need": np.concatenate(need or none)})
+            both["times"] = 1
+            both = both.groupby(["a", "root"], as_index=False, sort=False).agg({"need": "min", "times": "sum"})
+            yield pa.RecordBatch.from_pandas(both, preserve_index=False)
+
+    found = live.repartition("token").mapInArrow(run, "a long, root long, need long, times long")
+    # if a links with a class of the component, they share that many lists
+    found = found.groupBy("a", "root").agg(F.min("need").alias("need"), F.sum("times").alias("times"))
+    return found.where("times >= need").select("a", "root")
+
+
+class Index:
+    """The inverted lists of some sets: for each shingle the numbers of the sets that have it, in order."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
+        self.size, self.percent = np.array([len(s) for s in sets], np.int64), percent
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.tokens, self.begin = np.unique(tokens[order], return_index=True)
+        self.end = np.append(self.begin[1:], len(tokens))
+
+    def links(self, query: np.ndarray, mu: float = 0.01) -> Iterator[int]:
+        """DivideSkip: the numbers of the sets that link with the query.
+
+        The query's longest lists are set apart, and the others merged by a heap. What occurs there often enough to reach
+        its T with the long lists is looked up in these by binary search, as long as it still can.
+        """
+        n = len(query)
+        fits = (self.percent * np.maximum(n, self.size) <= 100 * np.minimum(n, self.size))
+        if not fits.any():
+            return
+        wanted = overlap(n, self.size, self.percent)
+        at = np.minimum(np.searchsorted(self.tokens, query), len(self.tokens) - 1)
+        at = at[self.tokens[at] == query]
+        at = at[np.argsort(self.end[at] - self.begin[at], kind="stable")]
+        least = int(wanted[fits].min())
+        if len(at) < least:
+            return
+        longest = int(self.end[at[-1]] - self.begin[at[-1]])
+        n_long = min(least - 1, int(least / (mu * log2(max(longest, 2)) + 1)), len(at))
+        short, long = ([self.owner[a:b] for a, b in zip(self.begin[x], self.end[x], strict=True)] for x in (at[: len(at) - n_long], at[len(at) - n_long :]))
+        found = [(c, sum(1 for _ in times)) for c, times in groupby(heapq.merge(*[x.tolist() for x in short]))]
+        if not found:
+            return
+        one, count = (np.array(v, np.int64) for v in zip(*found, strict=True))
+        alive = fits[one] & (count + len(long) >= wanted[one])
+        one, count = one[alive], count[alive]
+        for k, x in enumerate(long, 1):
+            if not len(one):
+                return
+            place = np.minimum(np.searchsorted(x, one), len(x) - 1)
+            count = count + (x[place] == one)
+            alive = count + len(long) - k >= wanted[one]
+            if not alive.all():
+                one, count = one[alive], count[alive]
+        yield from one[100 * count >= self.percent * (n + self.size[one] - count)].tolist()
+
+
+def asked(rows: DataFrame, percent: int, one_is_enough: bool) -> DataFrame:
+    """u, v: the links of the sets that ask with those of the index of their block. rows: block, part, asks, c and s, a set as the bytes of 64-bit integers."""
 
     def run(batches):
-        key, query, names, held = None, None, [], []
-
-        def done():
-            return [(key[0], names[k]) for k in divide_skip(query, held, percent)] if held else []
-
+        key, names, held, index = None, [], [], None
         for batch in batches:
             links = []
-            for a, chunk, b, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if (a, chunk) != key:
-                    links += done()
-                    key, query, names, held = (a, chunk), None, [], []
-                if b is None:
-                    query = np.frombuffer(s, np.uint64)
-                else:
-                    names.append(b)
+            for block, part, asks, c, s in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if (block, part) != key:
+                    key, names, held, index = (block, part), [], [], None
+                if not asks:
+                    names.append(c)
                     held.append(np.frombuffer(s, np.uint64))
+                    continue
+                if index is None and held:
+                    index, held = Index(held, percent), []
+                for k in index.links(np.frombuffer(s, np.uint64)) if index else ():
+                    links.append((c, names[k]))
+                    if one_is_enough:
+                        break
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["u", "v"])
-        last = done()
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in last], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    together = asking.unionAll(asked).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
+    together = rows.select("block", "part", "asks", "c", "s").repartition("block", "part").sortWithinPartitions("block", "part", "asks", "c")
     return together.mapInArrow(run, "u long, v long")
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
-    """c and s for each class of the pairs: the sets of one document of each, made again from its text."""
-    wanted = pairs.select(F.col("a").alias("c")).unionAll(pairs.select("b")).distinct()
-    ids = shared.written(wanted.join(classes, "c").select("c", "key"), "wanted")
+def checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of pairs a, b, nb the links. Each a asks indexes of its b's, of a bounded number of shingles each."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.sum("nb") / F.lit(AT_A_TIME)).cast("int").alias("parts"))
+    dealt = pairs.join(parts, "a").select(F.col("a").alias("block"), "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    held = dealt.withColumnRenamed("b", "c").join(sets, "c").withColumn("asks", F.lit(False))
+    asking = dealt.select("block", "part").distinct().withColumn("c", F.col("block")).join(sets, "c").withColumn("asks", F.lit(True))
+    return asked(held.unionByName(asking), percent, False)
+
+
+def checked_apart(found: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of a, root the links, one for each of them at least if there is any. members: c and root; each component is an index, in parts of a
+    bounded number of shingles, that each a asks."""
+    with_sets = members.join(found.select("root").distinct(), "root", "left_semi").join(sets, "c")
+    parts = with_sets.groupBy("root").agg(F.ceil(F.sum(F.octet_length("s") / F.lit(8)) / F.lit(AT_A_TIME)).cast("int").alias("parts"))
+    held = with_sets.join(parts, "root").select(
+        F.col("root").alias("block"), F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("asks"), "c", "s"
+    )
+    asking = found.join(parts, "root").select(F.col("root").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("c"))
+    return asked(held.unionByName(asking.join(sets, "c").select("block", "part", F.lit(True).alias("asks"), "c", "s")), percent, True)
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """c and s for each class c of wanted: the sets of one document of each, made again from its text."""
+    ids = shared.written(wanted.select("c").distinct().join(classes, "c").select("c", "key"), "wanted")
     few = ids.limit(MOST_SENT + 1).count() <= MOST_SENT
     some = keyed(docs).join(F.broadcast(ids.select("key")) if few else ids.select("key"), "key", "left_semi")
 
@@ -343,6 +416,13 @@ def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int) -> Da
     return some.select("key", "text").mapInArrow(run, "c long, s binary").dropDuplicates(["c"])
 
 
+def more_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, sets: DataFrame | None, n: int) -> DataFrame:
+    """sets, and those of the other classes wanted."""
+    if sets is None:
+        return shared.written(sets_of(docs, classes, wanted, n), "sets")
+    return sets.unionAll(shared.written(sets_of(docs, classes, wanted.join(sets.select("c"), "c", "left_anti"), n), "sets"))
+
+
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """key, doc_id, hash, n_shingles, root (a number of the component; null for the empty set) and component_id of each
     document; documents link at ``percent`` of 100 or more."""
@@ -355,17 +435,28 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
         rows.where("c is not null").groupBy("c").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id")), "classes"
     )
     live = shared.written(shared_lists(postings(docs, n, percent, (tokens[order], often[order]))), "postings")
-
-    first = shared.written(stars(live, percent), "pairs")
-    sets = shared.written(sets_of(docs, classes, first, n), "sets")
-    links = shared.written(checked(first, sets, percent), "links")
-    roots = shared.written(components(links).withColumnRenamed("node", "c"), "roots")
-
-    rooted = live.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    rest = shared.written(apart(rooted, percent).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = sets_of(docs, classes, rest.join(sets.select(F.col("c").alias("a")), "a", "left_anti").unionAll(rest.join(sets.select(F.col("c").alias("b")), "b", "left_anti").select("a", "b", "na", "nb")), n)
-    all_sets = sets.unionAll(shared.written(more, "sets").join(sets.select("c"), "c", "left_anti"))
-    late = shared.written(checked(rest, all_sets, percent), "links")
+    live = shared.written(live.join(in_enough_lists(live, percent), "c", "left_semi").select("token", "c", "n", "place"), "postings")
+
+    roots = links = sets = tried = None
+    for turn, centers in enumerate(CENTERS):
+        pairs = stars(rooted(live, roots), percent, centers, turn)
+        pairs = shared.written(pairs if tried is None else pairs.join(tried, ["lo", "hi"], "left_anti"), "pairs")
+        tried = pairs.select("lo", "hi") if tried is None else tried.unionAll(pairs.select("lo", "hi"))
+        sets = more_sets(docs, classes, pairs.select(F.col("a").alias("c")).unionAll(pairs.select("b")), sets, n)
+        found_links = shared.written(checked(pairs, sets, percent), "links")
+        links = found_links if links is None else links.unionAll(found_links)
+        roots = shared.written(components(links).withColumnRenamed("node", "c"), "roots")
+
+    rest = apart(rooted(live, roots), percent).withColumns({"lo": F.least("a", "root"), "hi": F.greatest("a", "root")})
+    # a class without a link is its own component, and may have been tried with a before
+    alone = rest.join(roots.select("root").distinct(), "root", "left_anti").join(tried, ["lo", "hi"], "left_anti")
+    whole = rest.join(roots.select("root").distinct(), "root", "left_semi")
+    rest = shared.written(alone.select("a", "root").unionAll(whole.select("a", "root")), "apart")
+    asked_for = rest.select("root").distinct()
+    single = asked_for.join(roots, "root", "left_anti").select(F.col("root").alias("c"), "root")
+    members = shared.written(roots.join(asked_for, "root", "left_semi").select("c", "root").unionAll(single), "members")
+    sets = more_sets(docs, classes, rest.select(F.col("a").alias("c")).unionAll(members.select("c")), sets, n)
+    late = shared.written(checked_apart(rest, members, sets, percent), "links")
     roots = components(links.unionAll(late)).withColumnRenamed("node", "c")
 
     of_class = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))

@@ -162,7 +162,7 @@ def fit(
     labels: DataFrame,
     measured: str,
     stratum: str = "lang",
-    risk: float = 0.03,
+    risk: float = 0.02,
     delta: float = 0.05,
     rules: tuple[Rule, ...] = RULES,
 ) -> DataFrame:
