@@ -49,7 +49,7 @@ MOST_SENT = 2_000_000
 #: Shingles of the candidates that one class is checked against at once.
 AT_A_TIME = 400_000
 #: How many classes of a list are held against the others, turn by turn, before the rest is settled.
-CENTERS = (2, 5)
+CENTERS = (2, 16)
 
 
 def shingles(t: Texts, n: int) -> list[np.ndarray]:
@@ -281,7 +281,7 @@ def apart(live: DataFrame, percent: int) -> DataFrame:
 
     def run(batches):
         for x, begin, end in lists(batches, ("token", "c", "n", "place", "root", "size")):
-            a, root, need = [], [], []
+            a, need, roots = [], [], []
             for lo, hi in zip(begin.tolist(), end.tolist(), strict=True):
                 members = np.arange(lo, hi)
                 if (x["root"][lo:hi] == x["root"][lo]).all():
@@ -290,20 +290,35 @@ def apart(live: DataFrame, percent: int) -> DataFrame:
                 for i in members[x["root"][lo:hi] != x["root"][top]].tolist():
                     larger = (x["size"][lo:hi] > x["size"][i]) | ((x["size"][lo:hi] == x["size"][i]) & (x["root"][lo:hi] > x["root"][i]))
                     js = members[larger]
-                    found = np.unique(x["root"][js[may_link(x, i, js, percent)]])
-                    a.append(np.full(len(found), x["c"][i]))
-                    root.append(found)
-                    need.append(np.full(len(found), shared_with_any(int(x["n"][i]), percent)))
-            none = [np.zeros(0, np.int64)]
-            both = pd.DataFrame({"a": np.concatenate(a or none), "root": np.concatenate(root or none), "need": np.concatenate(need or none)})
-            both["times"] = 1
-            both = both.groupby(["a", "root"], as_index=False, sort=False).agg({"need": "min", "times": "sum"})
-            yield pa.RecordBatch.from_pandas(both, preserve_index=False)
+                    js = js[may_link(x, i, js, percent)]
+                    if len(js):
+                        a.append(int(x["c"][i]))
+                        need.append(int(shared_with_any(int(x["n"][i]), percent)))
+                        roots.append(np.unique(x["root"][js]).astype(np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(need, pa.int64()), pa.array(roots, pa.binary())], ["a", "need", "roots"])
+
+    def often(batches):
+        """If a links with a class of a component, they share ``need`` lists."""
+        one, need, held = None, 0, []
+
+        def enough():
+            found, times = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, int))
+            found = found[times >= need]
+            return np.full(len(found), one if one is not None else 0, np.int64), found
 
-    found = live.repartition("token").mapInArrow(run, "a long, root long, need long, times long")
-    # if a links with a class of the component, they share that many lists
-    found = found.groupBy("a", "root").agg(F.min("need").alias("need"), F.sum("times").alias("times"))
-    return found.where("times >= need").select("a", "root")
+        for batch in batches:
+            out = []
+            for c, least, roots in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if c != one:
+                    out.append(enough())
+                    one, need, held = c, least, []
+                held.append(np.frombuffer(roots, np.int64))
+            both = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in both], ["a", "root"])
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in enough()], ["a", "root"])
+
+    found = live.repartition("token").mapInArrow(run, "a long, need long, roots binary")
+    return found.repartition("a").sortWithinPartitions("a").mapInArrow(often, "a long, root long")
 
 
 class Index:

@@ -55,6 +55,14 @@ def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(found)[order] % np.uint64(buckets)).astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
+def all_subwords(words: list[str], buckets: int, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """subwords, some words at a time."""
+    parts = [subwords(words[i : i + at_once], buckets) for i in range(0, len(words), at_once)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([g.astype(np.int32) for g, _ in parts]), np.concatenate([n for _, n in parts])
+
+
 def split(text: str) -> list[str]:
     return [w.strip(".,;:!?\"'()") for w in text.lower().split()]
 
@@ -78,7 +86,7 @@ class Model:
 
     score: np.ndarray
     bias: float
-    most_words: int = 400_000
+    most_words: int = 150_000
 
     def __post_init__(self) -> None:
         self._known: dict[str, float] = {}
@@ -93,7 +101,8 @@ class Model:
             known.clear()
         split_texts = [split(t) for t in texts]
         new = list({w for words in split_texts for w in words}.difference(known))
-        known.update(zip(new, self.word_scores(new).tolist(), strict=True))
+        for i in range(0, len(new), 20_000):
+            known.update(zip(new[i : i + 20_000], self.word_scores(new[i : i + 20_000]).tolist(), strict=True))
         out = np.full(len(texts), self.bias)
         for i, words in enumerate(split_texts):
             if words:
@@ -116,7 +125,7 @@ def train(
         return Model(np.zeros(buckets, np.float32), PRIOR)
     number: dict[str, int] = {}
     ids = [np.fromiter((number.setdefault(w, len(number)) for w in split(t)), np.int64) for t in texts]
-    grams, n = subwords(list(number), buckets)
+    grams, n = all_subwords(list(number), buckets)
     at = np.concatenate([[0], np.cumsum(n)])
     E = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     U = rng.normal(0, 0.1, (dim, 2)).astype(np.float32)
@@ -199,8 +208,8 @@ def scorer(model: Model):
     @F.arrow_udf(T.DoubleType())
     def score(column: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
-        for lo in range(0, len(column), 256):
-            z = model.log_odds([x or "" for x in column.slice(lo, 256).to_pylist()])
+        for lo in range(0, len(column), 128):
+            z = model.log_odds([x or "" for x in column.slice(lo, 128).to_pylist()])
             out.append(1 / (1 + np.exp(-np.clip(z, -700, 700))))
         return pa.array(np.concatenate(out))
 
