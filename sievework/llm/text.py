@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
