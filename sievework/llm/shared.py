@@ -50,7 +50,7 @@ def drop(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, most: int = 1000) -> None:
+def small_batches(spark: SparkSession, most: int = 256) -> None:
     """Arrow batches of at most so many rows from now on: whole texts are large, and a batch is held several times over."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= most:

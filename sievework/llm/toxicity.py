@@ -86,7 +86,7 @@ class Model:
 
     score: np.ndarray
     bias: float
-    most_words: int = 150_000
+    most_words: int = 60_000
 
     def __post_init__(self) -> None:
         self._known: dict[str, float] = {}
@@ -101,8 +101,8 @@ class Model:
             known.clear()
         split_texts = [split(t) for t in texts]
         new = list({w for words in split_texts for w in words}.difference(known))
-        for i in range(0, len(new), 20_000):
-            known.update(zip(new[i : i + 20_000], self.word_scores(new[i : i + 20_000]).tolist(), strict=True))
+        for i in range(0, len(new), 5_000):
+            known.update(zip(new[i : i + 5_000], self.word_scores(new[i : i + 5_000]).tolist(), strict=True))
         out = np.full(len(texts), self.bias)
         for i, words in enumerate(split_texts):
             if words:
@@ -208,8 +208,8 @@ def scorer(model: Model):
     @F.arrow_udf(T.DoubleType())
     def score(column: pa.Array) -> pa.Array:
         out = [np.zeros(0)]
-        for lo in range(0, len(column), 128):
-            z = model.log_odds([x or "" for x in column.slice(lo, 128).to_pylist()])
+        for lo in range(0, len(column), 32):
+            z = model.log_odds([x or "" for x in column.slice(lo, 32).to_pylist()])
             out.append(1 / (1 + np.exp(-np.clip(z, -700, 700))))
         return pa.array(np.concatenate(out))
 
