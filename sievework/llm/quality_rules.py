@@ -1,10 +1,12 @@
 """Quality rules whose thresholds are set under a bound on false rejections.
 
-A labelled holdout gives, for each stratum, the good documents above each cutoff of each rule. A cutoff is allowed
-where an exact binomial test at level ``delta / (strata * rules * cutoffs)`` (Bonferroni) shows that at most
-``risk / rules`` of the good documents of that stratum exceed it; the lowest allowed cutoff is taken. All rules of a
-stratum together then reject at most ``risk`` of its good documents, in all strata at once, with probability
-``1 - delta``. Where no cutoff can be shown safe (few labels), the rule rejects nothing there.
+Labelled documents are parted by a hash. An eighth of the good ones, and all bad ones, set the order in which cutoffs
+are tightened, one cutoff of one rule at a step: what catches most bad documents for each good one comes first. The
+other good documents then tell, for each stratum, how many of them the rules of each step reject together. Steps are
+tested in their order, up to the first failure, so no level is spent on the number of rules or cutoffs: a step is
+allowed where an exact binomial test at level ``delta / strata`` shows that all rules together reject at most ``risk``
+of the good documents of that stratum. So the bound holds in all strata at once with probability ``1 - delta``. Strata
+with too few labels for any outcome to pass are not tested, and the rules reject nothing there.
 
 Cases: a null text has no words; a null stratum is a stratum of its own; null, repeated or contradictory labels
 count once as good only if every label of that document is good; an empty holdout rejects by the base rules alone;
@@ -170,46 +172,95 @@ def fit(
 
     docs has doc_id, the stratum and the struct ``measured``; labels has doc_id and quality (1: good).
     """
-    good = (
+    is_good = F.col("quality") == 1
+    known = (
         labels.where("doc_id is not null")
         .groupBy("doc_id")
-        .agg(F.min(F.coalesce(F.col("quality") == 1, F.lit(False))).alias("good"))
-        .where("good")
-        .select(F.col("doc_id").alias("__id"))
+        .agg(F.min(F.coalesce(is_good, F.lit(False))).alias("good"), (~F.max(F.coalesce(is_good, F.lit(True)))).alias("bad"))
+        .where("good or bad")
+        .select(F.col("doc_id").alias("__id"), "good")
     )
     held = docs.select(
-        F.col("doc_id").alias("__id"), F.col(stratum).cast("string").alias("stratum"), *[r.value(measured).alias(r.name) for r in rules]
-    ).join(good, "__id")
-    tally = held.groupBy("stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(r.name) > c).alias(f"{r.name}_{k}") for r in rules for k, c in enumerate(r.cutoffs)],
+        F.col("doc_id").alias("__id"), F.col(stratum).cast("string").alias("stratum"), base_failed(measured).alias("base"), *[r.value(measured).alias(r.name) for r in rules]
+    ).join(known, "__id")
+    held = shared.written(held.withColumn("orders", ~F.col("good") | (F.pmod(F.xxhash64("__id", F.lit("order")), F.lit(ORDERING)) == 0)), "held")
+
+    above = [sum((F.col(r.name) > c).cast("int") for c in r.cutoffs).alias(r.name) for r in rules]
+    ordering = held.where("orders and (good or not base)").select("good", *above).groupBy("good", *[r.name for r in rules]).count().toPandas()
+    steps = order(ordering[[r.name for r in rules]].to_numpy(np.int64), ordering["good"].to_numpy(bool), ordering["count"].to_numpy(np.int64), rules, risk)
+    first = [first_step(r, [(c, j) for j, (i, c) in enumerate(steps) if rules[i] is r]) for r in rules]
+    tally = held.where("good and not orders").select("stratum", F.least(*first, F.lit(None).cast("int")).alias("first")).groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= j).alias(f"step_{j}") for j in range(len(steps))]
     )
     tally = shared.written(tally, "tally")
-    strata = tally.count()  # the level of each test falls with the number of strata
-    level = delta / (max(1, strata) * sum(len(r.cutoffs) for r in rules))
+    # the level of each test falls with the number of strata that are tested
+    tested = tally.where(F.col("n") >= math.log(delta) / math.log1p(-risk)).count()
+    level = delta / max(1, tested)
     kind = "stratum string, " + ", ".join(f"{r.name} double" for r in rules)
 
     def choose(batches):
         for x in batches:
             rows = []
             for row in x.to_dict("records"):
-                out = {"stratum": row["stratum"]}
-                for r in rules:
-                    above = [row[f"{r.name}_{k}"] for k in range(len(r.cutoffs))]
-                    out[r.name] = lowest_safe(above, row["n"], r.cutoffs, risk / len(rules), level)
+                last = range(len(steps) - 1, -1, -1)
+                safe = lowest_safe([row[f"step_{j}"] for j in last], row["n"], tuple(last), risk, level)
+                out = dict.fromkeys([r.name for r in rules]) | {"stratum": row["stratum"]}
+                out |= {rules[i].name: c for i, c in steps[: 0 if safe is None else safe + 1]}
                 rows.append(out)
-            yield pd.DataFrame(rows, columns=["stratum", *[r.name for r in rules]])
+            yield pd.DataFrame(rows, columns=["stratum", *[r.name for r in rules]]).astype({r.name: float for r in rules})
 
     return tally.mapInPandas(choose, kind)
 
 
+#: One of so many good documents sets the order of the steps, and is not in the tests.
+ORDERING = 8
+
+
+def order(above: np.ndarray, good: np.ndarray, count: np.ndarray, rules: tuple[Rule, ...], risk: float) -> list[tuple[int, float]]:
+    """(rule, cutoff) of each step. above: how many of each rule's cutoffs a document exceeds; count: how many documents are so.
+
+    Takes the cutoff that adds most bad documents for each good one, the loosest of equals, and comes to it by all looser
+    ones of its rule; leaves out what would reject more than ``risk`` of these good documents.
+    """
+    steps, at = [], [len(r.cutoffs) for r in rules]
+    room = risk * count[good].sum()
+    while True:
+        best = (0.0, -1, -1)
+        for i, r in enumerate(rules):
+            n = len(r.cutoffs)
+            # of cutoff k: the documents that are left and exceed it
+            bads, goods = (np.cumsum(np.bincount(above[x, i], count[x], n + 1)[::-1])[::-1][1:] for x in (~good, good))
+            score = np.where((goods <= room) & (np.arange(n) < at[i]), bads / (goods + 1.0), 0.0)
+            k = n - 1 - int(np.argmax(score[::-1]))
+            if score[k] > best[0]:
+                best = (score[k], i, k)
+        _, i, k = best
+        if i < 0:
+            return steps
+        steps += [(i, rules[i].cutoffs[j]) for j in range(at[i] - 1, k - 1, -1)]
+        at[i], gone = k, above[:, i] > k
+        room -= count[gone & good].sum()
+        above, good, count = above[~gone], good[~gone], count[~gone]
+
+
+def first_step(rule: Rule, taken: list[tuple[float, int]]) -> Column:
+    """The step from which on the rule rejects a document; null if it never does. taken: its cutoffs, the loosest first, and their steps."""
+    out = F.lit(None).cast("int")
+    for c, j in reversed(taken):
+        out = F.when(F.col(rule.name) > c, F.lit(j)).otherwise(out)
+    return out
+
+
+def base_failed(measured: str) -> Column:
+    m = F.col(measured)
+    return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+
+
 def judged(docs: DataFrame, cuts: DataFrame, measured: str, stratum: str = "lang", rules=RULES, most: int = 100_000) -> DataFrame:
     """docs with __base_failed and __kept. cuts: a row for each stratum; sent to every executor if ``most`` rows or fewer."""
     cuts = shared.written(cuts, "cutoffs").select(F.col("stratum").alias("__of"), F.struct(*[r.name for r in rules]).alias("__cut"))
     cuts = F.broadcast(cuts) if cuts.limit(most + 1).count() <= most else cuts
-    m = F.col(measured)
-    base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    over = F.lit(False)
+    base, over = base_failed(measured), F.lit(False)
     for r in rules:
         over = over | F.coalesce(r.value(measured) > F.col(f"__cut.{r.name}"), F.lit(False))
     return (

@@ -66,6 +66,24 @@ class TestQualityRules:
         # a stratum of 300 labels is too small for a bound this tight
         assert all(r["kept"] for r in quality_rules.rated(docs, labels.where("doc_id % 5 = 0"), risk=0.01).collect())
 
+    def test_few_labels_suffice(self, spark):
+        rng = random.Random(3)
+        rows, lang = [], ("en", "de", None)
+        for i in range(1500):
+            words = prose(rng, 70).split(" ")
+            rows.append((i, " ".join(w + "***" if i % 5 == 0 else w for w in words), lang[i % 3], "s", 0))
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(1500)], "doc_id long, quality int")
+        got = {r["doc_id"]: r["kept"] for r in quality_rules.rated(docs, labels).collect()}
+        assert not any(got[i] for i in range(0, 1500, 5)) and np.mean([got[i] for i in range(1500) if i % 5]) >= 0.98
+
+    def test_order_of_steps(self):
+        rules = (quality_rules.Rule("a", "", "", (1.0, 2.0)), quality_rules.Rule("b", "", "", (1.0, 2.0, 3.0)))
+        above, good = np.array([[2, 0], [1, 0], [0, 3], [0, 1], [0, 0]]), np.array([False, True, False, True, True])
+        # b's lowest cutoff and a's would reject too many good ones
+        assert quality_rules.order(above, good, np.array([9, 5, 7, 5, 90]), rules, 0.02) == [(0, 2.0), (1, 3.0)]
+        assert quality_rules.order(above[:0], good[:0], np.zeros(0, np.int64), rules, 0.02) == []
+
     def test_passing_keeps_the_columns(self, clashing, labels):
         out = quality_rules.passing(clashing, labels)
         assert out.columns == clashing.columns and {r["kept"] for r in out.collect()} == {"own kept"}
