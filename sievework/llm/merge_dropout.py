@@ -3,10 +3,10 @@
 Encoding starts from single characters and takes candidate merges from an agenda, best score first, the leftmost of
 equals; each candidate taken is skipped with a set probability, as a keyed hash says, and otherwise merged. Without
 dropout this gives the library's own pieces. With it a word gets varied pieces, all made by merges of the
-vocabulary, that decode to the same text. Pieces never join across the start of a word, so words are worked out one by one
-and remembered; the key of the hash is the seed, the word and one of ``variants`` numbers that the seed, the document and
-the word's place in it give. So a run repeats itself, wherever a document is worked on, and a word gets at most so many
-segmentations for a seed.
+vocabulary, that decode to the same text. Pieces never join across the start of a word, so words are worked out one by
+one. The key of the hash is the seed, the document, the word and its place, so dropout is drawn for each occurrence, and a
+run repeats itself, wherever a document is worked on. What is remembered of a word is its pieces without dropout and the
+candidates that lead to them: where none of these is skipped, an occurrence has those pieces; all others are worked out anew.
 
 Cases: a null or empty text has no pieces, and decodes to the empty text; characters that the vocabulary lacks, and the
 character that stands for a space, are bytes, so that all texts decode as they were; documents of one id and text get the same
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,20 @@ from .text import Texts, mixed, texts
 SPACE = "▁"
 
 
+def spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, n of each, one span after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def mixed_quietly(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(x)
+
+
 class Model:
     """The pieces of a .model file of kind BPE with byte fallback, a space before each text, and no normalisation."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, most_words: int = 1_000_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -62,23 +72,21 @@ class Model:
         self.length = np.array([len(x) for x in spelled], np.int64)
         self.begin = np.cumsum(self.length) - self.length
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
-        self.seed, self.variants = np.uint64(seed), variants
+        self.seed = np.uint64(seed)
         self.limit = np.uint64(min(max(dropout, 0.0), 1.0) * float((1 << 64) - 2048))
-        self.memo = Memo()
+        self.memo = Memo(most_words)
+
+    def _place(self, origin: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        """A hash of a candidate in its word."""
+        with np.errstate(over="ignore"):
+            return mixed(origin.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + merged.astype(np.uint64) + self.seed)
 
-    def _work_out(self, data: bytes, length: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _work_out(self, data: bytes, length: np.ndarray, skip: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, each of some bytes of data."""
         code = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
         lead = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
         end = np.cumsum(length)
-        chars = lead[end] - lead[end - length]
-
-        def skip(word: np.ndarray, origin: np.ndarray, merged: np.ndarray) -> np.ndarray:
-            with np.errstate(over="ignore"):
-                place = mixed(origin.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + merged.astype(np.uint64) + self.seed)
-                return mixed(keys[word] ^ place) < self.limit
-
-        sym, n = merge(self.symbol[code], chars, self.pairs, skip if self.limit else None)
+        sym, n = merge(self.symbol[code], lead[end] - lead[end - length], self.pairs, skip)
         rare = sym < 0
         if not rare.any():
             return sym, n
@@ -92,10 +100,32 @@ class Model:
         owner = np.repeat(np.arange(len(n)), n)
         return np.where(rare[of], self.byte[octet], sym[of]), np.bincount(owner[of], minlength=len(n))
 
+    def _undropped(self, data: bytes, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What is remembered of units: how many candidates were taken, the low and high halves of their hashes, and the ids."""
+        words, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+
+        def note(word: np.ndarray, origin: np.ndarray, merged: np.ndarray) -> np.ndarray:
+            words.append(word)
+            places.append(self._place(origin, merged))
+            return np.zeros(len(word), bool)
+
+        ids, n = self._work_out(data, length, note)
+        word, place = np.concatenate(words), np.concatenate(places)
+        place = place[np.argsort(word, kind="stable")]
+        taken = np.bincount(word, minlength=len(length))
+        size = 1 + 2 * taken + n
+        begin = np.cumsum(size) - size
+        out = np.zeros(size.sum(), np.uint32)
+        out[begin] = taken
+        out[spans(begin + 1, taken)] = place & np.uint64(0xFFFFFFFF)
+        out[spans(begin + 1 + taken, taken)] = place >> np.uint64(32)
+        out[spans(begin + 1 + 2 * taken, n)] = ids
+        return out, size
+
     def encode(self, column: pa.Array, salts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, Texts]]:
         """For some texts after the other: all ids, where each text's begin, with the end, and the texts with a space before each.
 
-        salts: a 64-bit number for each text; with the seed and a word's place it picks the word's variant.
+        salts: a 64-bit number for each text; the key of an occurrence has it, the seed, the word and its place.
         """
         done = 0
         for t in texts(column):
@@ -109,28 +139,41 @@ class Model:
             place = np.arange(len(starts)) - np.repeat(first[:-1], n_units)
             salt = np.repeat(salts[done : done + len(t)], n_units)
             done += len(t)
-            with np.errstate(over="ignore"):
-                variant = mixed(salt + mixed(place.astype(np.uint64) + self.seed)) % np.uint64(self.variants)
-                keys = mixed(t.hashes(starts, stops) + variant * np.uint64(0x9E3779B97F4A7C15) + self.seed)
+            words = t.hashes(starts, stops)
 
-            def work_out(at: np.ndarray, t=t, starts=starts, stops=stops, keys=keys):
+            def spelled(at: np.ndarray, t=t, starts=starts, stops=stops) -> tuple[bytes, np.ndarray]:
                 length = stops[at] - starts[at]
-                flat = np.repeat(starts[at] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-                return self._work_out(t.data[flat].tobytes(), length, keys[at])
-
-            flat, n = self.memo.get(keys, work_out)
+                return t.data[spans(starts[at], length)].tobytes(), length
+
+            flat, size = self.memo.get(words, lambda at, spelled=spelled: self._undropped(*spelled(at)))
+            begin = np.cumsum(size) - size
+            taken = flat[begin].astype(np.int64)
+            n = size - 1 - 2 * taken
+            if self.limit:
+                with np.errstate(over="ignore"):
+                    keys = mixed(words + mixed(salt + mixed(place.astype(np.uint64) + self.seed)))
+                low, high = (flat[spans(begin + 1 + k * taken, taken)].astype(np.uint64) for k in (0, 1))
+                of = np.repeat(np.arange(len(n)), taken)
+                again = np.zeros(len(n), bool)
+                again[of[mixed_quietly(keys[of] ^ (low | high << np.uint64(32))) < self.limit]] = True
+                at = np.flatnonzero(again)
+                own = keys[at]
+                ids, n_own = self._work_out(*spelled(at), lambda word, origin, merged, own=own: mixed_quietly(own[word] ^ self._place(origin, merged)) < self.limit)
+                begin[at], taken[at], n[at] = len(flat) - 1 + np.cumsum(n_own) - n_own, 0, n_own
+                flat = np.concatenate([flat, ids])
+            flat = flat[spans(begin + 1 + 2 * taken, n)].astype(np.int64)
             yield flat, np.concatenate([[0], np.cumsum(n)])[first], t
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The UTF-8 bytes of ids, with the space before a text."""
         n = self.length[ids]
-        return self.spelling[np.repeat(self.begin[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        return self.spelling[spans(self.begin[ids], n)]
 
 
 @functools.cache
-def model(path: str, dropout: float, seed: int, variants: int) -> Model:
+def model(path: str, dropout: float, seed: int) -> Model:
     """One for each Python worker, kept from task to task."""
-    return Model(path, dropout, seed, variants)
+    return Model(path, dropout, seed)
 
 
 def salts(doc_id: pa.Array) -> np.ndarray:
@@ -142,13 +185,13 @@ def keyed_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text"))
 
 
-def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def encode(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id and ids of each document."""
 
     def run(batches):
         for batch in batches:
             ids, done = batch.column(0), 0
-            for flat, at, t in model(path, dropout, seed, variants).encode(batch.column(1), salts(ids)):
+            for flat, at, t in model(path, dropout, seed).encode(batch.column(1), salts(ids)):
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([ids.slice(done, len(t)), lists], ["doc_id", "ids"])
                 done += len(t)
@@ -160,7 +203,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text, from doc_id and ids; null ids are a null text."""
 
     def run(batches):
-        m = model(path, 0.0, 0, 1)
+        m = model(path, 0.0, 0)
         for batch in batches:
             found = [None if x is None else m.decode(np.array(x, np.int64)).tobytes()[1:].decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["doc_id", "text"])
@@ -168,12 +211,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digests(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1, variants: int = 8) -> DataFrame:
+def digests(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """For each document: doc_id, n_bytes, n_pieces, ids_crc32 (little-endian unsigned 32-bit), decoded_crc32 and lossless."""
 
     def run(batches):
         names = ["doc_id", "n_bytes", "n_pieces", "ids_crc32", "decoded_crc32", "lossless"]
-        m = model(path, dropout, seed, variants)
+        m = model(path, dropout, seed)
         for batch in batches:
             ids, done = batch.column(0), 0
             for flat, at, t in m.encode(batch.column(1), salts(ids)):

@@ -1,5 +1,6 @@
 """Operators 1, 5 and 7: token ids against the libraries, exact round trips, packing and the cache of counts."""
 
+import random
 import zlib
 from array import array
 from collections import Counter
@@ -78,6 +79,45 @@ class TestMergeDropout:
         a = pieces(1, 2)
         assert a == pieces(1, 5) != pieces(2, 2) and len(set(a)) > 10
 
+    def test_each_occurrence_is_drawn(self):
+        m, n = merge_dropout.Model(PIECES, 0.1, 1), 4000
+
+        def pieces(texts, salts):
+            return [tuple(f[a:b]) for f, at, _ in m.encode(pa.array(texts), salts) for a, b in zip(at, at[1:], strict=False)]
+
+        got = Counter(pieces(["situation"] * n, merge_dropout.salts(pa.array(range(n)))))
+        whole = sentencepiece.SentencePieceProcessor(model_file=PIECES).encode("situation")
+        share = self.share_whole("situation", 0.1, n)
+        assert len(whole) == 1 and len(got) > 8 and abs(got[tuple(whole)] / n - share) < 0.04
+        # the same word at the places of one text
+        ids = pieces([" ".join(["situation"] * n)], np.zeros(1, np.uint64))[0]
+        assert abs(ids.count(whole[0]) / n - share) < 0.04
+
+    def share_whole(self, word, dropout, n):
+        """How often a word stays one piece, by random draws in plain Python."""
+        sp, rng, count = sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(8), 0
+        score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size())}
+        for _ in range(n):
+            sym, off = list("\u2581" + word), set()
+            while found := [(-score[a + b], i) for i, (a, b) in enumerate(zip(sym, sym[1:], strict=False)) if a + b in score and (i, a, b) not in off]:
+                i = min(found)[1]
+                if rng.random() < dropout:
+                    off.add((i, sym[i], sym[i + 1]))
+                else:
+                    sym[i : i + 2] = [sym[i] + sym[i + 1]]
+                    off = {(j - (j > i), x, y) for j, x, y in off}
+            count += len(sym) == 1
+        return count / n
+
+    def test_remembered_or_not_the_same(self, odd_rows):
+        texts = [t or "" for _, t, *_ in odd_rows]
+        salts = merge_dropout.salts(pa.array(range(len(texts))))
+        found = []
+        for most, parts in ((1, [slice(i, i + 1) for i in range(len(texts))]), (1000, [slice(0, None)])):
+            m = merge_dropout.Model(PIECES, 0.2, 3, most)
+            found.append([f[a:b].tolist() for x in parts for f, at, _ in m.encode(pa.array(texts[x]), salts[x]) for a, b in zip(at, at[1:], strict=False)])
+        assert found[0] == found[1]
+
     def test_full_dropout_has_no_merges(self, spark):
         d = spark.createDataFrame([(1, "the end")], "doc_id long, text string")
         assert len(merge_dropout.encode(d, PIECES, 1.0).first()["ids"]) == 8
