@@ -10,6 +10,7 @@ from ..sources.tables import scratch, table
 from ..streaming import averages
 from .influence_queries import MODEL, checkpoints, samples
 from .registry import query
+from .sampling_queries import EMA
 
 WORDS = "string_split(text, ' ')"
 
@@ -81,22 +82,35 @@ def evaluation_runner(spark, sf_dir):
 
 
 def event_stream(spark, sf_dir):
-    kind = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(kind).option("pathGlobFilter", "*events*.parquet").parquet(sf_dir).withColumns({"loss": F.ln(1 + F.col("value")), "ts": F.col("ts").cast("timestamp")})
-
-
-@query("streaming_ema")
+    """The rows of events.parquet, a file or a folder of files, and how many there are."""
+    path = f"{sf_dir}/events.parquet"
+    whole = spark.read.parquet(path)
+    reader = spark.readStream.schema(whole.schema)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)  # a stream reads folders only
+    else:
+        stream = reader.parquet(path)
+    return stream.withColumns({"loss": F.ln(1 + F.col("value")), "ts": F.col("ts").cast("timestamp")}), whole.count()
+
+
+@query("streaming_ema", EMA)
 def streaming_ema(spark, sf_dir):
     """The moving averages at the end of the stream of events."""
-    out = scratch(spark, "ema")
-    averages.run_to_table(averages.moving_averages(event_stream(spark, sf_dir), "event_type", "ts", "loss", "event_id", threshold=1.5), out, scratch(spark, "state"))
-    last = spark.read.parquet(out).groupBy("key").agg(F.max(F.struct("steps", "ema", "use_uniform")).alias("s"))
-    return last.select(F.col("key").alias("event_type"), F.round("s.ema", 6).alias("ema"), "s.steps", "s.use_uniform")
+    out, (stream, n) = scratch(spark, "ema"), event_stream(spark, sf_dir)
+    averages.run_to_table(averages.moving_averages(stream, "event_type", "ts", "loss", "event_id", threshold=1.5), out, scratch(spark, "state"), rows=n)
+    last = averages.last_states(spark, out, averages.OUT, ["key"])
+    return last.select(F.col("key").alias("event_type"), F.round("ema", 6).alias("ema"), "steps", "use_uniform")
 
 
-@query("streaming_windows")
+@query(
+    "streaming_windows",
+    """SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type AS key, count(*) AS n, round(avg(ln(1 + value)), 6) AS mean, round(var_samp(ln(1 + value)), 6) AS var
+FROM events GROUP BY ALL""",
+)
 def streaming_windows(spark, sf_dir):
-    """Hourly losses of each event type, as far as the watermark has passed."""
-    out = scratch(spark, "windows")
-    averages.run_to_table(averages.windowed(event_stream(spark, sf_dir), "ts", "event_type", "loss"), out, scratch(spark, "state"), "append")
-    return spark.read.schema("start timestamp, key string, n long, mean double, var double").parquet(f"{out}/*")
+    """Hourly losses of each event type, with the windows that are open when the stream ends."""
+    out, (stream, n) = scratch(spark, "windows"), event_stream(spark, sf_dir)
+    averages.run_to_table(averages.windowed(stream, "ts", "event_type", "loss"), out, scratch(spark, "state"), rows=n)
+    last = averages.last_states(spark, out, "start timestamp, key string, n long, mean double, var double", ["start", "key"])
+    return last.select("start", "key", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))

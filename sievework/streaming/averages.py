@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -36,7 +36,7 @@ def moving_averages(stream: DataFrame, key: str, at: str, value: str, order: str
 
 
 def windowed(stream: DataFrame, at: str, key: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Count, mean and sample variance of each key in windows of time, once the watermark has passed them."""
+    """Count, mean and sample variance of each key in windows of time: in append mode once the watermark has passed them, in update mode whenever they change."""
     return (
         stream.withWatermark(at, late)
         .groupBy(F.window(at, width).alias("w"), F.col(key).alias("key"))
@@ -45,10 +45,28 @@ def windowed(stream: DataFrame, at: str, key: str, value: str, width: str = "1 h
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update") -> None:
-    """Runs over all that is there now; each micro-batch overwrites its own folder, so that a repeated one counts once."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", rows: int | None = None) -> None:
+    """Runs over all that is there now; each micro-batch overwrites its own folder, so that a repeated one counts once.
+
+    With rows, it is an error if the stream has read more or fewer.
+    """
 
     def write(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    read = sum(x.numInputRows for x in query.recentProgress)
+    if rows is not None and read != rows:
+        raise ValueError(f"the stream has read {read} rows of {rows}")
+
+
+def last_states(spark: SparkSession, path: str, kind: str, keys: list[str]) -> DataFrame:
+    """Of the micro-batches in update mode that run_to_table wrote, the last row of each key. kind: the columns of a row."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):  # a stream without rows has no micro-batch
+        return spark.createDataFrame([], kind)
+    found = spark.read.schema(f"{kind}, epoch long").parquet(path)
+    rest = [c for c in found.columns if c not in (*keys, "epoch")]
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("s"))
+    return last.select(*keys, *[F.col(f"s.{c}").alias(c) for c in rest])

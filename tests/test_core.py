@@ -340,3 +340,19 @@ class TestStreams:
         got = {r["key"]: r for r in spark.read.parquet(f"{tmp_path}/out").collect()}
         want = {r["key"]: r for r in sampling.ema(rows, "key", "event_id", "x").collect()}
         assert all(math.isclose(got[k]["ema"], want[k]["ema"]) and got[k]["steps"] == want[k]["steps"] for k in want) and len(got) == 3
+
+    def test_events_in_a_folder_are_all_read(self, spark, tmp_path):
+        from sievework.plans import evaluation_queries as q
+
+        rows = spark.range(90).selectExpr("id as event_id", "timestamp_seconds(1704067200 + 97 * id) as ts", "concat('k', id % 2) as event_type", "cast(id as double) as value")
+        rows.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+        rows.write.parquet(f"{tmp_path}/other_events.parquet")
+        assert q.streaming_windows(spark, str(tmp_path)).agg({"n": "sum"}).first()[0] == 90
+        assert values(q.streaming_ema(spark, str(tmp_path)), "event_type", "steps") == [("k0", 45), ("k1", 45)]
+
+    def test_missed_rows_are_an_error(self, spark, tmp_path):
+        rows = spark.range(4).selectExpr("'k' as key", "timestamp_seconds(1704067200) as ts", "1.0D as x")
+        rows.write.parquet(f"{tmp_path}/in")
+        stream = averages.windowed(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "ts", "key", "x")
+        with pytest.raises(ValueError, match="4 rows of 5"):
+            averages.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/state", rows=5)
