@@ -20,9 +20,30 @@ def uniform(seed: int | str, *ids: str) -> Column:
     return (F.conv(F.substring(shuffle_key(seed, *ids), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def first_rows(df: DataFrame, k: int, *keys: Column | str, descending: bool = False) -> DataFrame:
+    """The first k rows (all, if fewer) in the order of keys that are the same each time they are worked out.
+
+    The k-th key is found by a sort of the keys alone, and the rows are filtered by it where they are: no task holds all k.
+    """
+    if k <= 0:
+        return df.limit(0)
+    key = F.struct(*[(F.col(x) if isinstance(x, str) else x).alias(f"k{i}") for i, x in enumerate(keys)])
+    alone = df.select(key.alias("__key"))
+    ranked = alone.sort(F.desc("__key") if descending else F.asc("__key")).rdd.zipWithIndex()
+    found = ranked.filter(lambda x: x[1] == k - 1).map(lambda x: x[0]).collect()
+    if not found:
+        return df
+    cut = df.sparkSession.createDataFrame(found, alone.schema).withColumnRenamed("__key", "__cut")
+    before = F.col("__key") > F.col("__cut") if descending else F.col("__key") < F.col("__cut")
+    n = beside(alone, cut).where(before).count()
+    keyed = beside(df.withColumn("__key", key), cut)
+    # rows of the same key as the k-th are repeated ones
+    return keyed.where(before).unionByName(keyed.where("__key = __cut").limit(k - n)).drop("__key", "__cut")
+
+
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly n rows (all, if fewer) without replacement."""
-    return df.orderBy(shuffle_key(seed, id_col), id_col).limit(n)
+    return first_rows(df, n, shuffle_key(seed, id_col), id_col)
 
 
 def share(n: int, fraction: float) -> int:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import pool_text
 from ..functions.vectors import unit
+from ..sources.tables import scratch
 from . import clusters, influence, ngrams, sampling
 from .scalars import beside
 
@@ -40,7 +41,10 @@ def list_selectors() -> list[str]:
 
 
 def top(scored: DataFrame, id_col: str, score: str, k: int) -> DataFrame:
-    return scored.orderBy(F.desc(score), F.desc(id_col)).limit(k)
+    """The k rows of the highest scores. They are written first, as sums of scores can differ in their last bits from run to run."""
+    path = scratch(scored.sparkSession, "scored")
+    scored.write.parquet(path)
+    return sampling.first_rows(scored.sparkSession.read.schema(scored.schema).parquet(path), k, score, id_col, descending=True)
 
 
 def chosen(pool: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -62,7 +66,7 @@ def dsir(pool: DataFrame, id_col: str, fraction: float = 0.2, target: DataFrame
     """By n-gram match with the target; without one, with the first tenth of the pool."""
     rows = pool.count()
     text = pool.select(id_col, pool_text(pool).alias("__text"))
-    aim = text.orderBy(id_col).limit(max(1, rows // 10)) if target is None else target.select(id_col, pool_text(target).alias("__text"))
+    aim = sampling.first_rows(text, max(1, rows // 10), id_col) if target is None else target.select(id_col, pool_text(target).alias("__text"))
     weights = ngrams.gram_weights(text, aim, id_col, "__text", n, features)
     return chosen(pool, top(weights.select(id_col, "weight"), id_col, "weight", sampling.share(rows, fraction)), id_col)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import records, tokens
-from ..operators import ngrams, selectors
+from ..operators import ngrams, sampling, selectors
 from ..sources.tables import ordered_turns, table
 from .registry import query
 
@@ -153,7 +153,7 @@ e AS (SELECT doc_id, CASE WHEN max(raw) OVER () > min(raw) OVER () THEN (raw - m
 @query("dsir_log_ratio", DSIR + "SELECT gram, round(log_ratio, 6) AS log_ratio FROM r")
 def dsir_log_ratio(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    first = docs.orderBy("doc_id").limit(max(1, docs.count() // 10))
+    first = sampling.first_rows(docs, max(1, docs.count() // 10), "doc_id")
     tops = [ngrams.top_grams(ngrams.occurrences(x, "doc_id", "text"), 10_000) for x in (docs, first)]
     return ngrams.log_ratios(*tops).select("gram", F.round("log_ratio", 6).alias("log_ratio"))
 
@@ -161,7 +161,7 @@ def dsir_log_ratio(spark, sf_dir):
 @query("dsir_weights", DSIR + "SELECT doc_id, round(weight, 6) AS weight FROM e")
 def dsir_weights(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    first = docs.orderBy("doc_id").limit(max(1, docs.count() // 10))
+    first = sampling.first_rows(docs, max(1, docs.count() // 10), "doc_id")
     return ngrams.gram_weights(docs, first, "doc_id", "text").select("doc_id", F.round("weight", 6).alias("weight"))
 
 

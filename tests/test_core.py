@@ -143,6 +143,15 @@ class TestSampling:
         assert abs(scaled) < 1e-6
         assert sampling.variance_reduction(b.limit(1), "step", "loss", "p").count() == 0
 
+    @pytest.mark.parametrize("descending", [False, True])
+    def test_first_rows_stay_in_their_partitions(self, spark, descending):
+        d = spark.createDataFrame([(None if i % 50 == 0 else float(i * 37 % 101), i % 160) for i in range(200)], "x double, id long").repartition(8).cache()
+        way = F.desc if descending else F.asc
+        for k in (0, 1, 43, 199, 200, 300):
+            got, want = sampling.first_rows(d, k, "x", "id", descending=descending), d.orderBy(way("x"), way("id")).limit(k)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        assert sampling.hash_sample(d, "id", 100).select(F.spark_partition_id()).distinct().count() > 1
+
     def test_ema(self, spark):
         e = spark.createDataFrame([("a", 2, 0.0), ("a", 1, 1.0), ("b", 1, 0.01)], "k string, step long, eta double")
         assert values(sampling.ema(e, "k", "step", alpha=0.5), "k", "ema", "use_uniform") == [("a", 0.5, False), ("b", 0.01, True)]
