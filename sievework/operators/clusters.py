@@ -20,7 +20,7 @@ def default_clusters(n: int) -> int:
     return max(1, min(math.isqrt(n), n // 2))
 
 
-def fit_clusters(df: DataFrame, vector: str, k: int, method: str = "kmeans", seed: int = 42, starts: int = 3) -> DataFrame:
+def fit_clusters(df: DataFrame, vector: str, k: int, method: str = "kmeans", seed: int = 42, starts: int = 10) -> DataFrame:
     """df with cluster and center. kmeans keeps the cheapest of several starts; agglomerative is the divisive kind
     with cosine distance, as a merge tree over all pairs does not scale."""
     features = df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))

@@ -270,6 +270,19 @@ class TestInfluence:
 
 
 class TestClusters:
+    def test_the_cheapest_of_ten_starts(self, spark, monkeypatch):
+        made = []
+
+        class Counted(clusters.KMeans):
+            def __init__(self, **how):
+                made.append(how["seed"])
+                super().__init__(**how)
+
+        monkeypatch.setattr(clusters, "KMeans", Counted)
+        d = spark.createDataFrame([(i, [float(i % 2), float(i)]) for i in range(6)], "id long, v array<double>")
+        clusters.fit_clusters(d, "v", 2)
+        assert made == list(range(42, 52))
+
     def test_similar_pairs_and_greedy(self, spark):
         rng = np.random.default_rng(3)
         base = rng.normal(size=(12, 5))
