@@ -28,6 +28,11 @@ def tokenize(df: DataFrame, max_length: int = 2048, response_only: bool = True)
     return out.withColumns({"attention_mask": F.transform("input_ids", lambda _: F.lit(1)), "labels": labels}).select(*others, "input_ids", "attention_mask", "labels")
 
 
+def distinct_in_order(*arrays: Column) -> Column:
+    """The values of some arrays, one array after the other, each value where it comes first."""
+    return F.array_distinct(F.concat(*arrays))
+
+
 def pad(df: DataFrame, batch: str, multiple: int = 1, pad_id: int = 0) -> DataFrame:
     """Arrays as long as the longest of their batch, rounded up to a multiple: ids by pad_id, mask by 0, labels ignored."""
     longest = F.max(F.size("input_ids")).over(Window.partitionBy(batch))

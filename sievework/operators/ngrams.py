@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
 from .scalars import beside
 
 SMOOTHING = 0.01
@@ -15,13 +19,64 @@ def char_ngrams(text: Column, n: int = 3) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
-def occurrences(df: DataFrame, id_col: str, text: str, n: int = 3) -> DataFrame:
-    return df.select(F.col(id_col), F.explode(char_ngrams(F.col(text), n)).alias("gram"))
+#: Grams that a task counts before it gives its counts away.
+AT_ONCE = 1_000_000
 
 
-def top_grams(grams: DataFrame, most: int) -> DataFrame:
+def coded(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of n characters (3 at most) of the texts as numbers, 21 bits for a character, and the text that each is in. Numbers are ordered as the grams."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    m = max(0, len(code) - n + 1)
+    grams = np.zeros(m, np.int64)
+    for k in range(n):
+        grams = (grams << 21) | code[k : k + m]
+    inside = of[:m] == of[n - 1 : n - 1 + m]
+    return grams[inside], of[:m][inside]
+
+
+def gram_counts(df: DataFrame, text: str, n: int = 3) -> DataFrame:
+    """gram and cnt. Runs of up to three characters are counted as numbers in each task, and the counts are summed; longer ones are strings."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    if n > 3:
+        return df.select(F.explode(char_ngrams(F.col(text), n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
+
+    def count(batches):
+        held, size = [], 0
+
+        def tally():
+            grams, cnt = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            return grams, np.bincount(cnt, np.concatenate([c for _, c in held]), len(grams)).astype(np.int64)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                grams, cnt = np.unique(coded(batch.column(0).slice(lo, 256).to_pylist(), n)[0], return_counts=True)
+                held.append((grams, cnt))
+                size += len(grams)
+                if size > 2 * AT_ONCE:
+                    grams, cnt = tally()
+                    if len(grams) > AT_ONCE:
+                        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(cnt)], ["code", "cnt"])
+                        grams, cnt = grams[:0], cnt[:0]
+                    held, size = [(grams, cnt)], len(grams)
+        if held:
+            grams, cnt = tally()
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(cnt)], ["code", "cnt"])
+
+    return df.select(lower.alias("t")).mapInArrow(count, "code long, cnt long").groupBy("code").agg(F.sum("cnt").alias("cnt"))
+
+
+def top_grams(counts: DataFrame, most: int, n: int = 3) -> DataFrame:
     """gram and cnt of the most frequent; ties by the gram."""
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("cnt")).orderBy(F.desc("cnt"), "gram").limit(most)
+    if "gram" in counts.columns:
+        return counts.orderBy(F.desc("cnt"), "gram").limit(most)
+
+    def spelled(batches):
+        for b in batches:
+            grams = ["".join(chr((x >> 21 * k) & 0x1FFFFF) for k in range(n - 1, -1, -1)) for x in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), b.column(1)], ["gram", "cnt"])
+
+    return counts.orderBy(F.desc("cnt"), "code").limit(most).mapInArrow(spelled, "gram string, cnt long")
 
 
 def log_ratios(source: DataFrame, target: DataFrame) -> DataFrame:
@@ -37,12 +92,37 @@ def log_ratios(source: DataFrame, target: DataFrame) -> DataFrame:
 def gram_weights(pool: DataFrame, target: DataFrame, id_col: str, text: str, n: int = 3, features: int = 10_000) -> DataFrame:
     """id and weight: the mean log-ratio of the text's grams that have one, 0 if none, scaled to 0..1 over the pool (all 0 if all are equal).
 
-    At most 2 * features ratios are sent to every executor.
+    The ratios, of which there are 2 * features at most, go to the tasks, and each text is read once for them; the means are written.
     """
-    grams = occurrences(pool, id_col, text, n)
-    ratios = log_ratios(top_grams(grams, features), top_grams(occurrences(target, id_col, text, n), features))
-    found = grams.join(F.broadcast(ratios), "gram").groupBy(id_col).agg(F.avg("log_ratio").alias("raw"))
-    raw = pool.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    ratios = log_ratios(top_grams(gram_counts(pool, text, n), features, n), top_grams(gram_counts(target, text, n), features, n))
+    if n > 3:
+        grams = pool.select(F.col(id_col), F.explode(char_ngrams(F.col(text), n)).alias("gram"))
+        found = grams.join(F.broadcast(ratios), "gram").groupBy(id_col).agg(F.avg("log_ratio").alias("raw"))
+        raw = pool.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("raw", F.lit(0.0)).alias("raw"))
+    else:
+        raw = _raw_weights(pool, id_col, text, n, ratios.toPandas())
+    raw = written(raw, "weights")
     ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
     return beside(raw, ends).select(id_col, "raw", scaled.alias("weight"))
+
+
+def _raw_weights(pool: DataFrame, id_col: str, text: str, n: int, ratios: pd.DataFrame) -> DataFrame:
+    known = coded(ratios["gram"].tolist(), n)[0]
+    order = np.argsort(known)
+    known, ratio = known[order], ratios["log_ratio"].to_numpy(float)[order]
+
+    def weigh(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                grams, of = coded(part.column(1).to_pylist(), n)
+                at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+                there = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+                sums = np.bincount(of[there], ratio[at[there]], part.num_rows)
+                raw = sums / np.maximum(np.bincount(of[there], minlength=part.num_rows), 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw)], [id_col, "raw"])
+
+    kind = pool.schema[id_col].dataType.simpleString()
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    return pool.select(id_col, lower.alias("__t")).mapInArrow(weigh, f"{id_col} {kind}, raw double")

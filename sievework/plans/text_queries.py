@@ -132,7 +132,7 @@ GRAMS = "SELECT doc_id, unnest(list_transform(range(1, length(lower(text)) - 1),
 
 @query("ngram_counts", f"WITH g AS ({GRAMS}) SELECT gram, count(*) AS cnt FROM g GROUP BY gram ORDER BY cnt DESC, gram LIMIT 10000")
 def ngram_counts(spark, sf_dir):
-    return ngrams.top_grams(ngrams.occurrences(table(spark, sf_dir, "documents"), "doc_id", "text"), 10_000)
+    return ngrams.top_grams(ngrams.gram_counts(table(spark, sf_dir, "documents"), "text"), 10_000)
 
 
 DSIR = f"""
@@ -154,7 +154,7 @@ e AS (SELECT doc_id, CASE WHEN max(raw) OVER () > min(raw) OVER () THEN (raw - m
 def dsir_log_ratio(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     first = sampling.first_rows(docs, max(1, docs.count() // 10), "doc_id")
-    tops = [ngrams.top_grams(ngrams.occurrences(x, "doc_id", "text"), 10_000) for x in (docs, first)]
+    tops = [ngrams.top_grams(ngrams.gram_counts(x, "text"), 10_000) for x in (docs, first)]
     return ngrams.log_ratios(*tops).select("gram", F.round("log_ratio", 6).alias("log_ratio"))
 
 
@@ -171,6 +171,16 @@ def dsir_select(spark, sf_dir):
     return selectors.get_selector("dsir")(pool, "doc_id").select("doc_id", F.round("weight", 6).alias("weight"))
 
 
+@query(
+    "ordered_dedupe",
+    """WITH r AS (SELECT conv_id, list(role ORDER BY turn, role, text) AS l FROM conversations GROUP BY conv_id)
+SELECT conv_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS roles FROM r""",
+)
+def ordered_dedupe(spark, sf_dir):
+    """The roles of each conversation, each where it comes first."""
+    return chats(spark, sf_dir).select("conv_id", tokens.distinct_in_order(F.col("messages.role")).alias("roles"))
+
+
 CURATED = DSIR.replace("first AS (SELECT doc_id FROM documents ORDER BY doc_id LIMIT (SELECT k FROM n))", "first AS (SELECT doc_id FROM labels WHERE quality = 1)")
 
 
