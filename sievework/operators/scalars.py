@@ -1,4 +1,4 @@
-"""One-row aggregates beside each row, by a broadcast join of that one row."""
+"""One-row aggregates beside each row: that one row is sent to all executors."""
 
 from __future__ import annotations
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.records import pool_text
 from ..functions.vectors import unit
-from ..sources.tables import scratch
+from ..sources.tables import written
 from . import clusters, influence, ngrams, sampling
 from .scalars import beside
 
@@ -42,9 +42,7 @@ def list_selectors() -> list[str]:
 
 def top(scored: DataFrame, id_col: str, score: str, k: int) -> DataFrame:
     """The k rows of the highest scores. They are written first, as sums of scores can differ in their last bits from run to run."""
-    path = scratch(scored.sparkSession, "scored")
-    scored.write.parquet(path)
-    return sampling.first_rows(scored.sparkSession.read.schema(scored.schema).parquet(path), k, score, id_col, descending=True)
+    return sampling.first_rows(written(scored, "scored"), k, score, id_col, descending=True)
 
 
 def chosen(pool: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
@@ -81,13 +79,27 @@ def proxy_scores(pool: DataFrame, id_col: str, vector: str, proxy: DataFrame) ->
     return both.select(id_col, F.coalesce(total / F.col("__n"), F.lit(0.0)).alias("score"))
 
 
+def pooled(tokens: DataFrame, id_col: str, vector: str, mask: str) -> DataFrame:
+    """id and vector, a representation of each sample: the mean of its tokens' hidden states where the mask is 1; zeros where it is nowhere.
+    tokens has a row for each token."""
+    parts = tokens.select(id_col, F.col(mask).cast("double").alias("__m"), F.posexplode(vector).alias("i", "x"))
+    means = parts.groupBy(id_col, "i").agg((F.sum(F.col("x") * F.col("__m")) / F.greatest(F.sum("__m"), F.lit(1.0))).alias("x"))
+    return means.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias(vector))
+
+
 def proxy_rows(pool: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """A proxy validation set from the pool itself: a tenth of it, 100 rows at most; of fewer than ten rows, none."""
     return sampling.hash_sample(pool, id_col, min(100, pool.count() // 10), seed)
 
 
 @register("less")
-def less(pool: DataFrame, id_col: str, vector: str = "embedding", fraction: float = 0.2, proxy: DataFrame | None = None, seed: int = 42) -> DataFrame:
+def less(
+    pool: DataFrame, id_col: str, vector: str = "embedding", fraction: float = 0.2, proxy: DataFrame | None = None, seed: int = 42, tokens: DataFrame | None = None, mask: str = "attention_mask"
+) -> DataFrame:
+    """By the mean cosine with the proxy. With tokens (id, mask, vector: a row for each token), the vectors are their means."""
+    if tokens is not None:
+        found = less(written(pooled(tokens, id_col, vector, mask), "pooled"), id_col, vector, fraction, proxy, seed)
+        return chosen(pool, found.select(id_col), id_col)
     proxy = proxy_rows(pool, id_col, seed) if proxy is None else proxy
     scores = proxy_scores(pool, id_col, vector, proxy)
     return chosen(pool, top(scores, id_col, "score", sampling.share(pool.count(), fraction)), id_col)
@@ -120,10 +132,11 @@ def kept_rows(labelled: DataFrame, id_col: str, least: int = 5000, most: int = 5
 
     The sentinel stands for max(100, n * fraction).
     """
+    labelled = written(labelled, "labelled")  # read more than once, and sums of scores can differ in their last bits
     n = labelled.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label").isin("clean", "representative")).alias("good")).first()
     cap = max(100, int(n["n"] * fraction)) if fraction > 0 and most == sentinel else most
     good = labelled.where(F.col("label").isin("clean", "representative") if n["good"] >= least else F.col("label") != "outlier")
-    return good.orderBy("score", id_col).limit(cap)
+    return sampling.first_rows(good, cap, "score", id_col)
 
 
 @register("tracin_cp")

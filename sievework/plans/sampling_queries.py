@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sampling, selectors
 from ..operators.sampling import importance_weight, temperature
+from ..sources import tables
 from ..sources.tables import table
 from .registry import query
 
@@ -167,6 +168,54 @@ def variance_eta(spark, sf_dir):
     return both.select("step", F.round(F.ln(1 - F.col("eta")), 6).alias("log_ratio"), F.round(F.ln(1 - F.col("scaled_eta")), 6).alias("scaled_log_ratio"))
 
 
+GUARD = f"""
+WITH RECURSIVE {ETA.strip()},
+o AS MATERIALIZED (SELECT step, eta, row_number() OVER (ORDER BY step) AS k FROM t),
+f AS (SELECT step, k, eta AS ema FROM o WHERE k = 1 UNION ALL SELECT o.step, o.k, 0.95 * f.ema + (1 - 0.95) * o.eta FROM f JOIN o ON o.k = f.k + 1),
+g AS (SELECT min(step) AS first FROM f WHERE ema < {{threshold}}),
+q AS (SELECT event_id, step, n, CASE WHEN step > (SELECT first FROM g) THEN 1.0 / n ELSE p END AS p, coalesce(step > (SELECT first FROM g), false) AS flat FROM p),
+s AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY -ln({u('draw42', 'event_id', 'step')}) / greatest(p, 1e-300), event_id) AS place FROM q)
+SELECT event_id, step, round(p, 9) AS p, round(CASE WHEN flat THEN 1.0 ELSE least(1 / (p * n), 10) END, 6) AS weight FROM s WHERE place <= 4"""
+
+
+@query("guarded_batches", GUARD.replace("{threshold}", "-1e6"))
+def guarded_batches(spark, sf_dir):
+    """Importance batches, and uniform ones once the moving average of the variance that they save is below the threshold."""
+    found = sampling.guarded_batches(losses(spark, sf_dir), "event_id", "step", "loss", threshold=-1e6, length=500)
+    return found.select("event_id", "step", F.round("p", 9).alias("p"), F.round("weight", 6).alias("weight"))
+
+
+@query("pool_reshuffle", f"SELECT doc_id, lang FROM documents ORDER BY {order('44', 'doc_id')}, doc_id LIMIT 100")
+def pool_reshuffle(spark, sf_dir):
+    """The first rows of the pool as it is shuffled for the second round."""
+    return sampling.hash_sample(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100, sampling.round_seed(42, 2))
+
+
+@query("pool_lookup", "SELECT doc_id, lang FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def pool_lookup(spark, sf_dir):
+    return sampling.rows_of(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", table(spark, sf_dir, "labels").where("toxic = 1"))
+
+
+@query("pool_split", f"SELECT doc_id, n_chars FROM documents WHERE lang = 'en' ORDER BY {order('42', 'doc_id')}, doc_id LIMIT 50")
+def pool_split(spark, sf_dir):
+    """A pool written with a split for each language; some rows of one split."""
+    path = tables.scratch(spark, "pool")
+    table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.col("lang").alias("split")).write.partitionBy("split").parquet(path)
+    return tables.read_pool(spark, path, "en", 50, id_col="doc_id").select("doc_id", "n_chars")
+
+
+@query(
+    "validation_sets",
+    f"""(SELECT 'benchmark' AS dim, item_id AS sample_id, text FROM benchmark ORDER BY {order('42', 'item_id')}, item_id LIMIT 30)
+UNION ALL (SELECT 'good', doc_id, text FROM documents SEMI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id) ORDER BY {order('42', 'doc_id')}, doc_id LIMIT 30)""",
+)
+def validation_sets(spark, sf_dir):
+    """The catalog of two validation sets and an empty one."""
+    good = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality = 1"), "doc_id", "left_semi").select(F.col("doc_id").alias("sample_id"), "text")
+    marks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sample_id"), "text")
+    return tables.validation_catalog({"benchmark": marks, "good": good, "none": good.limit(0)}, 30).select("dim", "sample_id", "text")
+
+
 EMA = """
 WITH RECURSIVE o AS (SELECT event_type, event_id, ln(1 + value) AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events),
 f AS (SELECT event_type, k, x AS ema FROM o WHERE k = 1

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder, read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_pool(spark: SparkSession, path: str, split: str | None = None, num_samples: int | None = None, seed: int = 42, id_col: str = "sample_id") -> DataFrame:
     """A pool of samples; split is a partition folder. A split that is not there is an error, never another split."""
     from ..operators.sampling import hash_sample
@@ -62,6 +70,36 @@ def retained(steps: DataFrame, most: int) -> DataFrame:
     return steps.orderBy(F.desc("step")).limit(most)
 
 
+def folders(spark: SparkSession, path: str, key: str) -> dict[int, object]:
+    """The partition folders key=NUMBER of a table by their number; others are passed over, and a table that is not there has none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in files.listStatus(at) if x.isDirectory()] if files.exists(at) else []
+    return {int(m[1]): x for x in found if (m := re.fullmatch(rf"{key}=(\d+)", x.getName()))}
+
+
+def prune_checkpoints(spark: SparkSession, path: str, most: int) -> list[int]:
+    """Deletes all but the newest ``most`` checkpoints of a folder; the steps that stay."""
+    found = folders(spark, path, "step")
+    kept = sorted(found)[-most:] if most > 0 else []
+    for step, x in found.items():
+        if step not in kept:
+            x.getFileSystem(spark._jsc.hadoopConfiguration()).delete(x, True)
+    return kept
+
+
+def resumed(spark: SparkSession, path: str, steps: Sequence[int], score: Callable[[int], DataFrame]) -> DataFrame:
+    """The scores of all steps, with the column step: those that ``path`` has from a run before are read, the others made and written, one
+    step at a time. A step that was broken off left no _SUCCESS, and is made again."""
+    for step in steps:
+        at = f"{path}/step={step}"
+        done = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            score(step).write.mode("overwrite").parquet(at)
+    found = spark.read.option("basePath", path).parquet(*[f"{path}/step={step}" for step in steps])
+    return found.withColumn("step", F.col("step").cast("long"))
+
+
 def load_checkpoint(checkpoints: DataFrame, names: DataFrame, step: int) -> DataFrame:
     """name and values for each name that the model asks for: matched by its normalised form, else as it is, else by its end.
 
@@ -122,7 +160,9 @@ def toy_pool(spark: SparkSession, n: int = 100) -> DataFrame:
 
 def first_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
     """The n rows of smallest id."""
-    return df.orderBy(id_col).limit(n)
+    from ..operators import sampling
+
+    return sampling.first_rows(df, n, id_col)
 
 
 def ordered_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
