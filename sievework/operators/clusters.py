@@ -6,13 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import BisectingKMeans, KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot
-from ..sources.tables import scratch
+from ..sources.tables import written
 from .influence import nearest_of_cluster
 
 
@@ -21,20 +21,88 @@ def default_clusters(n: int) -> int:
 
 
 def fit_clusters(df: DataFrame, vector: str, k: int, method: str = "kmeans", seed: int = 42, starts: int = 10) -> DataFrame:
-    """df with cluster and center. kmeans keeps the cheapest of several starts; agglomerative is the divisive kind
-    with cosine distance, as a merge tree over all pairs does not scale."""
-    features = df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
-    if method == "kmeans":
-        models = [KMeans(k=k, seed=seed + s, featuresCol="__v", predictionCol="cluster").fit(features) for s in range(starts)]
-        model = min(models, key=lambda m: m.summary.trainingCost)
-    elif method == "agglomerative":
-        model = BisectingKMeans(k=k, seed=seed, featuresCol="__v", predictionCol="cluster", distanceMeasure="cosine").fit(features)
-    else:
+    """df with cluster and center. kmeans keeps the cheapest of several starts; agglomerative is linkage()."""
+    if method == "agglomerative":
+        return linkage(df, vector, k=k, seed=seed)
+    if method != "kmeans":
         raise ValueError(f"no such clustering method: {method!r}")
+    features = df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
+    models = [KMeans(k=k, seed=seed + s, featuresCol="__v", predictionCol="cluster").fit(features) for s in range(starts)]
+    model = min(models, key=lambda m: m.summary.trainingCost)
     centers = df.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, center array<double>")
     return model.transform(features).drop("__v").join(F.broadcast(centers), "cluster")
 
 
+def average_linkage(x: np.ndarray, k: int | None, distance: float | None) -> np.ndarray:
+    """The cluster of each row: the two clusters of least mean cosine distance are joined until k are left, or the least is ``distance`` or more.
+
+    Neighbours are followed until two are each other's nearest, which average linkage may join at once; the joins are sorted afterwards.
+    """
+    n = len(x)
+    length = np.linalg.norm(x, axis=1)
+    unit = x / np.maximum(length, 1e-12)[:, None]
+    d = 1 - unit @ unit.T
+    np.fill_diagonal(d, np.inf)
+    size, joins, chain, alive = np.ones(n), [], [], np.ones(n, bool)
+    while alive.sum() > 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        a = chain[-1]
+        b = int(d[a].argmin())
+        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+            b = chain[-2]
+        if len(chain) < 2 or b != chain[-2]:
+            chain.append(b)
+            continue
+        del chain[-2:]
+        joins.append((d[a, b], a, b))
+        mean = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        size[a] += size[b]
+        d[a], d[:, a] = mean, mean
+        d[a, a], d[b], d[:, b], alive[b] = np.inf, np.inf, np.inf, False
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    joins.sort(key=lambda j: j[0])
+    for height, a, b in joins[: n - k] if k is not None else joins:
+        if distance is None or height < distance:
+            root[find(a)] = find(b)
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
+
+
+def linkage(df: DataFrame, vector: str, k: int | None = None, threshold: float = 0.95, cell: int = 1000, seed: int = 42) -> DataFrame:
+    """df with cluster and center: average linkage by the cosine distance, to about k clusters or up to a similarity of ``threshold``.
+
+    A merge tree over all pairs does not scale, so that of more rows than ``cell`` is made in cells: k-means deals out the rows, and a hash
+    the rows of a k-means cell that is still too large. With one cell this is average linkage as it stands; with several, each gets its share of the k.
+    """
+    n = df.count()
+    rows = df.withColumn("__x", F.transform(vector, lambda x: x.cast("double")))
+    if n > cell:
+        parts = KMeans(k=math.ceil(2 * n / cell), seed=seed, featuresCol="__v", predictionCol="__cell", maxIter=10)
+        rows = rows.withColumn("__v", array_to_vector("__x"))
+        rows = parts.fit(rows).transform(rows).drop("__v")
+        sizes = rows.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).alias("__parts"))
+        rows = rows.join(sizes, "__cell").withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts")).cast("int")).drop("__parts")
+    else:
+        rows = rows.withColumns({"__cell": F.lit(0), "__part": F.lit(0)})
+
+    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        m = np.stack(x["__x"]).astype(float)
+        found = average_linkage(m, None if k is None else max(1, round(k * len(x) / n)), None if k is not None else 1 - threshold)
+        centers = [m[found == c].mean(0) for c in range(found.max() + 1)]
+        number = (int(key[0]) << 40) + (int(key[1]) << 20)
+        return x.drop(columns=["__x", "__cell", "__part"]).assign(cluster=number + found, center=[centers[c] for c in found])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return rows.groupBy("__cell", "__part").applyInPandas(run, f"{kind}, cluster long, center array<double>")
+
+
 def representatives(clustered: DataFrame, id_col: str, vector: str) -> DataFrame:
     """The member of each cluster that is nearest to its center by the cosine; ties by id."""
     distance = F.round(1 - cosine(F.col(vector), F.col("center")), 9)
@@ -83,28 +151,20 @@ def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, piv
     return both.groupBy("cell", "a", "b").applyInPandas(meet, "i long, j long").distinct()
 
 
-def greedy_redundant(df: DataFrame, id_col: str, vector: str, threshold: float = 0.95, most_rounds: int = 200) -> DataFrame:
+def greedy_redundant(df: DataFrame, id_col: str, vector: str, threshold: float = 0.95) -> DataFrame:
     """The ids that a keep-first pass drops: a row goes where an earlier kept row is as similar as the threshold.
 
-    Each round settles the rows whose earlier neighbours are all settled; there are as many as the longest chain. The state is a
-    table in the shared folder.
+    Each round settles the rows whose earlier neighbours are all settled, one at least; there are as many as the longest chain. The state
+    is a table in the shared folder.
     """
-    spark = df.sparkSession
-
-    def written(x: DataFrame) -> DataFrame:
-        path = scratch(spark, "greedy")
-        x.write.parquet(path)
-        return spark.read.schema(x.schema).parquet(path)
-
-    pairs = written(similar_pairs(df, id_col, vector, threshold))
+    pairs = written(similar_pairs(df, id_col, vector, threshold), "pairs")
     open_, gone = pairs, pairs.select(F.col("j").alias("id")).limit(0)
-    for _ in range(most_rounds):
+    while True:
         if not open_.limit(1).count():
             return gone.withColumnRenamed("id", id_col)
         waiting = open_.select(F.col("j").alias("id")).distinct()
         kept = open_.select(F.col("i").alias("id")).distinct().join(waiting, "id", "left_anti")
         dropped = open_.join(kept.withColumnRenamed("id", "i"), "i", "left_semi").select(F.col("j").alias("id")).distinct()
-        gone = written(gone.unionByName(dropped))
+        gone = written(gone.unionByName(dropped), "gone")
         left = open_.join(dropped.withColumnRenamed("id", "i"), "i", "left_anti").join(dropped.withColumnRenamed("id", "j"), "j", "left_anti")
-        open_ = written(left.join(kept.withColumnRenamed("id", "i"), "i", "left_anti"))
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+        open_ = written(left.join(kept.withColumnRenamed("id", "i"), "i", "left_anti"), "open")

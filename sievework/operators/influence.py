@@ -7,6 +7,7 @@ regression on a vector column, whose gradient (p - y) x^T has the squared norm |
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -17,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import written
+from .scalars import beside
+
 
 @dataclass(frozen=True)
 class Checkpoint:
@@ -112,15 +116,21 @@ def mean_gradients(df: DataFrame, dim: str, scorer: Scorer, checkpoints: Sequenc
 
 
 def validation_influence(
-    df: DataFrame, id_col: str, scorer: Scorer, checkpoints: Sequence[Checkpoint], gradients: DataFrame, normalize: bool = True, given_rates: bool = False, most_dims: int = 64
+    df: DataFrame, id_col: str, scorer: Scorer, checkpoints: Sequence[Checkpoint], gradients: DataFrame, normalize: bool = True, given_rates: bool = False, at_once: int = 64
 ) -> DataFrame:
     """id, dim and score: the sum over checkpoints of rate times the (cosine of the) inner product with the dimension's mean gradient.
 
-    All dimensions are scored in one pass. gradients has a row for each checkpoint and dimension, ``most_dims`` dimensions at most.
+    gradients has a row for each checkpoint and dimension. ``at_once`` dimensions are scored in one pass over the samples, whose gradients
+    do not leave the batch.
     """
-    rows = gradients.limit(most_dims * len(checkpoints) + 1).collect()
-    if len(rows) > most_dims * len(checkpoints):
-        raise ValueError(f"more than {most_dims} dimensions")
+    gradients = written(gradients, "gradients")
+    names = sorted(r["dim"] for r in gradients.select("dim").distinct().collect())
+    passes = [names[k : k + at_once] for k in range(0, max(1, len(names)), at_once)]
+    each = [_influence_of(df, id_col, scorer, checkpoints, gradients.where(F.col("dim").isin(some)).collect(), normalize, given_rates) for some in passes]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def _influence_of(df, id_col, scorer, checkpoints, rows: list, normalize: bool, given_rates: bool) -> DataFrame:
     weight = rates(checkpoints, given_rates)
     at = {c.step: [(r["dim"], np.array(r["gradient"], float)) for r in rows if r["step"] == c.step] for c in checkpoints}
     dims = sorted({r["dim"] for r in rows})
@@ -166,8 +176,6 @@ def classify(score, threshold: float = 0.05):
 
 def initial_weights(labelled: DataFrame, id_col: str, score: str, label: str) -> DataFrame:
     """Weights of mean 1: 1 + score for proponents, that but 0.01 at least for opponents, 1 for others; over their mean."""
-    from .scalars import beside
-
     s = F.col(score)
     raw = F.when(F.col(label) == "proponent", 1 + s).when(F.col(label) == "opponent", F.greatest(F.lit(0.01), 1 + s)).otherwise(1.0)
     rows = labelled.select(id_col, label, raw.alias("w"))
@@ -179,8 +187,6 @@ def reweighted(weights: DataFrame, id_col: str, label: str, round_: int, max_rou
 
     As every round only scales, r rounds are one power of the label's factor.
     """
-    from .scalars import beside
-
     r = min(round_, max(max_rounds - 1, 0))
     if r < 1:
         return weights.select(id_col, label, "weight")
@@ -189,6 +195,16 @@ def reweighted(weights: DataFrame, id_col: str, label: str, round_: int, max_rou
     return beside(rows, rows.agg(F.sum("w").alias("total"))).select(id_col, label, (F.col("w") / F.col("total")).alias("weight"))
 
 
+def rounds(weights: DataFrame, id_col: str, label: str, last: int, boost: float = 2.0, decay: float = 0.5) -> DataFrame:
+    """id, round and weight for the rounds 0 to last, as reweighted() has them, in one pass."""
+    factor = F.when(F.col(label) == "proponent", F.lit(boost)).when(F.col(label) == "opponent", F.lit(decay)).otherwise(1.0)
+    each = weights.select(id_col, "weight", factor.alias("__f"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))).alias("round"))
+    each = each.withColumn("__w", F.col("weight") * F.pow("__f", "round"))
+    totals = each.groupBy("round").agg(F.sum("__w").alias("__total"))  # a row for each round
+    scaled = F.when(F.col("round") == 0, F.col("weight")).otherwise(F.col("__w") / F.col("__total"))
+    return each.join(F.broadcast(totals), "round").select(id_col, "round", scaled.alias("weight"))
+
+
 def report(weights: DataFrame, label: str = "label") -> DataFrame:
     """How many of each label, and the ends and mean of the weights."""
     return weights.agg(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records
 from ..operators import evaluation
+from ..sources import tables
 from ..sources.tables import scratch, table
 from ..streaming import averages
 from .influence_queries import MODEL, checkpoints, samples
@@ -17,12 +18,14 @@ WORDS = "string_split(text, ' ')"
 
 @query(
     "mmlu_prompt",
-    f"""WITH w AS (SELECT item_id, {WORDS} AS w FROM benchmark), c AS (SELECT item_id, w[1] AS q, w[2:6][1:4] AS c FROM w)
+    f"""WITH w AS (SELECT item_id, text, {WORDS} AS w FROM benchmark), c AS (SELECT item_id, text AS q, w[-5:][1:4] AS c FROM w)
 SELECT item_id, 'Question: ' || q || chr(10) || chr(10) || array_to_string(list_transform(c, lambda x, i: substr('ABCD', i, 1) || '. ' || x || chr(10)), '') || chr(10) || 'Answer:' AS prompt FROM c""",
 )
 def mmlu_prompt(spark, sf_dir):
+    """The whole text is the question, and its last words are the choices."""
     words = F.split("text", " ")
-    return table(spark, sf_dir, "benchmark").select("item_id", records.choice_prompt(F.get(words, F.lit(0)), F.slice(words, 2, 5)).alias("prompt"))
+    last = F.slice(words, F.greatest(F.size(words) - 4, F.lit(1)), 5)
+    return table(spark, sf_dir, "benchmark").select("item_id", records.choice_prompt(F.col("text"), last).alias("prompt"))
 
 
 @query(
@@ -114,3 +117,15 @@ def streaming_windows(spark, sf_dir):
     averages.run_to_table(averages.windowed(stream, "ts", "event_type", "loss"), out, scratch(spark, "state"), rows=n)
     last = averages.last_states(spark, out, "start timestamp, key string, n long, mean double, var double", ["start", "key"])
     return last.select("start", "key", "n", F.round("mean", 6).alias("mean"), F.round("var", 6).alias("var"))
+
+
+@query(
+    "result_sink",
+    f"""WITH a AS (SELECT n_chars, {SAID} AS said FROM documents), r AS (SELECT coalesce(abs({FINAL} - n_chars) < 1e-6, false) AS r FROM a)
+SELECT 'gsm8k' AS benchmark, count(*) FILTER (WHERE r) / count(*) AS accuracy FROM r UNION ALL SELECT 'humaneval', 0.0""",
+)
+def result_sink(spark, sf_dir):
+    """Results written as JSON lines and read again."""
+    path = scratch(spark, "results")
+    tables.write_results(evaluation.evaluate(spark, ["gsm8k", "humaneval"], {"gsm8k": lambda: gsm8k_accuracy(spark, sf_dir)}), path)
+    return spark.read.schema("benchmark string, accuracy double").json(path)

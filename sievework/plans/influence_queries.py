@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import clusters, influence, selectors
+from ..operators import clusters, influence, phases, selectors
 from ..operators.influence import Checkpoint, SoftmaxScorer
 from ..operators.sampling import shuffle_key
 from ..sources import tables
@@ -194,7 +194,16 @@ def similar_pairs(spark, sf_dir):
     return clusters.similar_pairs(samples(spark, sf_dir), "vec_id", "embedding", 0.45)
 
 
-@query("greedy_dedup")
+@query(
+    "greedy_dedup",
+    f"""WITH RECURSIVE e AS (SELECT vec_id, label, embedding, sqrt({vector_sql('embedding', 'embedding')}) AS l FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id AS i, b.vec_id AS j FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE {vector_sql('a.embedding', 'b.embedding')} / (a.l * b.l) >= 0.45),
+o AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM e),
+r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept
+  UNION ALL SELECT o.k, CASE WHEN len(list_intersect(r.kept, coalesce((SELECT list(i) FROM p WHERE p.j = o.vec_id), CAST([] AS BIGINT[])))) > 0 THEN r.kept ELSE list_append(r.kept, o.vec_id) END
+  FROM r JOIN o ON o.k = r.k + 1)
+SELECT vec_id, label FROM e WHERE vec_id IN (SELECT unnest(arg_max(kept, k)) FROM r)""",
+)
 def greedy_dedup(spark, sf_dir):
     x = samples(spark, sf_dir)
     return x.join(clusters.greedy_redundant(x, "vec_id", "embedding", 0.45), "vec_id", "left_anti").select("vec_id", "label")
@@ -263,11 +272,7 @@ SELECT vec_id, round, round(CASE WHEN round = 0 THEN weight ELSE w / sum(w) OVER
 )
 def reweight_rounds(spark, sf_dir):
     first = selected(spark, sf_dir).select("vec_id", F.col("p3_label").alias("label"), "weight")
-    rounds = [influence.reweighted(first, "vec_id", "label", r).select("vec_id", F.lit(r).cast("long").alias("round"), F.round("weight", 9).alias("weight")) for r in range(5)]
-    out = rounds[0]
-    for r in rounds[1:]:
-        out = out.unionByName(r)
-    return out
+    return influence.rounds(first, "vec_id", "label", 4).select("vec_id", "round", F.round("weight", 9).alias("weight"))
 
 
 @query(
@@ -310,3 +315,69 @@ UNION ALL SELECT 'phase3', count(*) FROM embeddings""",
 )
 def size_ledger(spark, sf_dir):
     return selectors.ledger(raw=samples(spark, sf_dir), phase1=phase1_select(spark, sf_dir), phase3=classify_labels(spark, sf_dir))
+
+
+@query(
+    "pooled_means",
+    """WITH x AS (SELECT label, vec_id % 3 <> 0 AS m, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+p AS (SELECT label, i, sum(CASE WHEN m THEN v ELSE 0 END) / greatest(sum(CAST(m AS INTEGER)), 1) AS v FROM x GROUP BY ALL)
+SELECT label, count(*) AS size, round(sqrt(sum(v * v)), 6) AS norm FROM p GROUP BY label""",
+)
+def pooled_means(spark, sf_dir):
+    """Each class is a sample, its vectors are its tokens' hidden states, and every third of them is padding."""
+    states = samples(spark, sf_dir).withColumn("mask", (F.col("vec_id") % 3 != 0).cast("int"))
+    return selectors.pooled(states, "label", "embedding", "mask").select("label", F.size("embedding").cast("long").alias("size"), F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("score_store", f"WITH {INFLUENCE} SELECT vec_id, dim, round(score, 6) AS score FROM vi WHERE dim <> 'chat'")
+def score_store(spark, sf_dir):
+    """Validation influence written by dimension, one dimension replaced by itself, and read again without one."""
+    path, found = tables.scratch(spark, "store"), tables.written(influences(spark, sf_dir), "influence")
+    tables.write_scores(found, path, ["dim"])
+    tables.write_scores(found.where("dim = 'safety'"), path, ["dim"])
+    return tables.read_scores(spark, path).where("dim <> 'chat'").select("vec_id", "dim", F.round("score", 6).alias("score"))
+
+
+@query("resumed_influence", f"WITH {MODEL} SELECT vec_id, round(score, 6) AS score FROM si")
+def resumed_influence(spark, sf_dir):
+    """Self-influence checkpoint by checkpoint, broken off after two of three, and taken up again."""
+    x, path = samples(spark, sf_dir), tables.scratch(spark, "resumed")
+    points = {c.step: c for c in checkpoints(x)}
+    one = lambda step: influence.gradient_norms(x, "vec_id", SoftmaxScorer(), [points[step]]).select("vec_id", "norm2")
+    tables.resumed(spark, path, [1, 2], one)
+    each = tables.resumed(spark, path, [1, 2, 3], one)
+    return each.groupBy("vec_id").agg(F.round(F.sum("norm2") / 3, 6).alias("score"))
+
+
+@query(
+    "checkpoint_load",
+    """WITH m AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label)
+SELECT 'layer.' || label || '.lora_A.weight' AS name, [CAST(n * 2 AS DOUBLE)] AS values FROM m""",
+)
+def checkpoint_load(spark, sf_dir):
+    """Parameters saved under wrapped names at three steps, of which the newest two stay, and loaded by the model's own names."""
+    path, n = tables.scratch(spark, "checkpoints"), samples(spark, sf_dir).groupBy("label").count()
+    for step in (50, 100, 200):
+        value = F.array((F.col("count") * (step / 100)).cast("double")).alias("values")
+        name = F.concat(F.lit("base_model.model.layer."), F.col("label").cast("string"), F.lit(".lora_A.default.weight")).alias("name")
+        tables.write_checkpoint(n.select(name, value), path, step)
+    newest = tables.prune_checkpoints(spark, path, 2)[-1]
+    names = n.select(F.concat(F.lit("layer."), F.col("label").cast("string"), F.lit(".lora_A.weight")).alias("name"))
+    return tables.load_checkpoint(spark.read.parquet(path), names, newest).select("name", "values")
+
+
+@query(
+    "three_phases",
+    f"""WITH {CUT}, a AS (SELECT vec_id FROM o WHERE NOT is_outlier ORDER BY score, vec_id LIMIT (SELECT greatest(100, count(*) // 5) FROM embeddings)),
+b AS (SELECT vec_id % 25 AS step, count(*) AS n FROM a GROUP BY ALL)
+SELECT 'raw' AS phase, count(*) AS rows FROM embeddings UNION ALL SELECT 'screening', count(*) FROM a UNION ALL SELECT 'batches', CAST(sum(least(n, 3)) AS BIGINT) FROM b
+UNION ALL SELECT 'reweighting', count(*) FROM a UNION ALL SELECT 'final', count(*) FROM a""",
+)
+def three_phases(spark, sf_dir):
+    """The ledger of a run of all three phases."""
+    x = samples(spark, sf_dir)
+    points = checkpoints(x)
+    losses = influence.gradient_norms(x, "vec_id", SoftmaxScorer(), points[-1:]).select("vec_id", (F.col("vec_id") % 25).alias("step"), "loss")
+    gradients = influence.mean_gradients(x.where(is_validation()).withColumn("dim", dim()), "dim", SoftmaxScorer(), points)
+    layers = [{"batches": {"batch": 3, "length": 25}, "reweighting": {"lambdas": LAMBDAS}}]
+    return phases.run(x, phases.Model(SoftmaxScorer(), points, "vec_id"), losses, gradients, layers, ["batches.strategy=cosine"]).ledger

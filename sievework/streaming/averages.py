@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +14,15 @@ OUT = "key string, ema double, steps long, use_uniform boolean"
 
 def moving_averages(stream: DataFrame, key: str, at: str, value: str, order: str, alpha: float = 0.95, threshold: float = 0.05, late: str = "1 hour") -> DataFrame:
     """key, ema, steps and use_uniform of the keys that a micro-batch has rows for. A key's state goes when the watermark
-    is a day past its last row. Rows of one batch are taken in the order of time and ``order``."""
+    is a day past its last row. Rows of one batch are taken in the order of time and ``order``; they meet in one task, so a stream's micro-batches should be bounded where a key is hot."""
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         ema, steps = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["at", "ord"])
-        for x in rows["x"].dropna():
+        rows = pd.concat([b[["at", "ord", "x"]] for b in batches]).sort_values(["at", "ord"])
+        for x in rows["x"].dropna().to_numpy():
             ema = x if ema is None else alpha * ema + (1 - alpha) * x
             steps += 1
         if ema is None:
@@ -45,14 +45,18 @@ def windowed(stream: DataFrame, at: str, key: str, value: str, width: str = "1 h
     )
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", rows: int | None = None) -> None:
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "update", rows: int | None = None, hooks: Sequence[tuple[int, Callable[[int], None]]] = ()) -> None:
     """Runs over all that is there now; each micro-batch overwrites its own folder, so that a repeated one counts once.
 
-    With rows, it is an error if the stream has read more or fewer.
+    With rows, it is an error if the stream has read more or fewer. Each hook (n, f) is called with the number of every n-th micro-batch, once it is
+    written: to save a checkpoint, or to score anew.
     """
 
     def write(df: DataFrame, epoch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        for every, hook in hooks:
+            if epoch > 0 and epoch % every == 0:
+                hook(epoch)
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()

@@ -1,6 +1,7 @@
 """Settings, schedules, selectors, records, streams: what a user sees, and the edges."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework import config
 from sievework.functions import records, tokens, vectors
-from sievework.operators import clusters, evaluation, influence, ngrams, sampling, selectors
+from sievework.operators import clusters, evaluation, influence, ngrams, phases, sampling, selectors
 from sievework.sources import tables
 from sievework.streaming import averages
 
@@ -23,35 +24,85 @@ def values(df, *columns):
     return [tuple(r) for r in df.orderBy(*columns).select(*columns).collect()]
 
 
+def stage_a(pool, fraction: float = 0.2, seed: int = 42, method: str = "uniform", cap: int | None = None, weights: dict[str, float] | None = None, loud: bool = False):
+    return fraction, seed, method, cap, weights, loud
+
+
+def stage_b(pool, names: tuple[str, ...] = ("x",), frame: np.ndarray | None = None):
+    return names
+
+
+STAGES = {"a": stage_a, "b": stage_b}
+
+
 class TestConfig:
-    def test_merge_is_deep_and_leaves_the_base(self):
-        base = {"a": {"b": 1, "c": 2}, "d": 3}
-        assert config.merged(base, {"a": {"b": 5}, "e": 6}) == {"a": {"b": 5, "c": 2}, "d": 3, "e": 6}
-        assert base["a"]["b"] == 1
+    def test_defaults_are_those_of_the_stages(self):
+        assert config.settings(STAGES) == {"a": {"fraction": 0.2, "seed": 42, "method": "uniform", "cap": None, "weights": None, "loud": False}, "b": {"names": ("x",)}}
+        assert set(config.settings(phases.STAGES)) == {"screening", "batches", "reweighting"}
+        assert config.settings(phases.STAGES)["batches"]["strategy"] == "linear"
+
+    def test_later_layers_hold(self):
+        base = {"a": {"seed": 1, "fraction": 0.5}}
+        found = config.settings(STAGES, [base, {"a": {"seed": 2, "weights": {"q": 1.0}}, "b": {"names": ["p", "q"]}}], ["a.fraction=0.25"])
+        assert (found["a"]["seed"], found["a"]["fraction"], found["a"]["weights"], found["b"]["names"]) == (2, 0.25, {"q": 1.0}, ("p", "q"))
+        assert base == {"a": {"seed": 1, "fraction": 0.5}}
 
     @pytest.mark.parametrize(
-        ("text", "value"), [("true", True), ("False", False), ("none", None), ("7", 7), ("2e-5", 2e-5), ("a,1,x", ["a", 1, "x"]), ("word", "word")]
+        ("text", "option", "value"),
+        [("a.cap=7", "cap", 7), ("a.cap=null", "cap", None), ("a.fraction=2e-5", "fraction", 2e-5), ("a.loud=true", "loud", True), ("a.method=7", "method", "7"), ('a.weights={"q": 0.5}', "weights", {"q": 0.5})],
     )
-    def test_types_are_read_from_text(self, text, value):
-        assert config.typed(text) == value
+    def test_text_is_read_by_the_annotation(self, text, option, value):
+        got = config.settings(STAGES, (), [text])["a"][option]
+        assert got == value and type(got) is type(value)
 
-    def test_overrides_nest(self):
-        s = config.load(overrides=["phase1.outlier_percentile=90", "seed=7", "phase2.tau_annealing=cosine"])
-        assert (s.phase1.outlier_percentile, s.seed, s.phase2.tau_annealing, s.phase1.target_fraction) == (90, 7, "cosine", 0.2)
+    def test_stages_can_be_off(self):
+        assert set(config.settings(STAGES, [{"b": False}])) == {"a"} == set(config.settings(STAGES, (), ["b=false"]))
+        assert set(config.settings(STAGES, [{"b": False}], ["b=true"])) == {"a", "b"}
 
-    def test_bad_settings_are_refused(self):
+    @pytest.mark.parametrize(("layers", "texts"), [([{"c": {}}], ()), ([{"a": {"frame": 1}}], ()), ((), ["a.no_such=1"])])
+    def test_unknown_names(self, layers, texts):
+        with pytest.raises(LookupError):
+            config.settings(STAGES, layers, texts)
+
+    @pytest.mark.parametrize(("layers", "texts"), [((), ["a.seed"]), ((), ["a.seed=x"]), ([{"a": {"seed": 0.5}}], ()), ([{"a": {"fraction": True}}], ())])
+    def test_bad_values(self, layers, texts):
+        with pytest.raises(ValueError):
+            config.settings(STAGES, layers, texts)
+
+    def test_files(self, tmp_path):
+        (tmp_path / "s.json").write_text('{"a": {"seed": 3}}')
+        assert config.settings(STAGES, [config.layer_of(str(tmp_path / "s.json"))])["a"]["seed"] == 3
+
+
+class TestPhases:
+    def model(self, spark, n=400):
+        rng = np.random.default_rng(1)
+        x, y = rng.normal(size=(n, 3)), rng.integers(0, 2, n)
+        pool = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(n)], "id long, embedding array<double>, label int").cache()
+        points = [influence.Checkpoint(k, 0.1, rng.normal(size=(2, 3))) for k in (1, 2)]
+        gradients = influence.mean_gradients(pool.where("id < 50").withColumn("dim", F.when(F.col("id") < 20, "a").otherwise("b")), "dim", influence.SoftmaxScorer(), points)
+        losses = pool.select("id", (F.col("id") % 10).alias("step"), (F.col("id") % 7 + 1.0).alias("loss"))
+        return pool, phases.Model(influence.SoftmaxScorer(), points, "id"), losses, gradients
+
+    def test_all_phases(self, spark):
+        pool, model, losses, gradients = self.model(spark)
+        done = phases.run(pool, model, losses, gradients, [{"screening": {"fraction": 0.25, "percentile": 90.0}, "reweighting": {"lambdas": {"a": 0.5, "b": 0.5}}}], ["batches.batch=2"])
+        assert dict(done.ledger.collect()) == {"raw": 400, "screening": 100, "batches": 20, "reweighting": 100, "final": 100}
+        assert {"influence_score", "p1_label", "influence_total_score", "p3_label", "weight"} <= set(done.pool.columns)
+        assert done.batches.groupBy("step").count().where("count <> 2").count() == 0
+
+    def test_phases_that_are_off(self, spark):
+        pool, model, losses, _ = self.model(spark, 60)
+        done = phases.run(pool, model, losses, None, [{"screening": False, "batches": False, "reweighting": False}])
+        assert dict(done.ledger.collect()) == {"raw": 60, "final": 60} and done.batches is None
+        assert dict(phases.run(pool, model, losses, None, [{"screening": False, "reweighting": False}]).ledger.collect())["batches"] == 40
+
+    def test_bad_settings(self, spark):
+        pool, model, losses, gradients = self.model(spark, 60)
         with pytest.raises(ValueError, match="sum 1"):
-            config.load(phase3={"lambda_weights": {"a": 0.5}})
-        assert config.load(phase3={"enabled": False, "lambda_weights": {"a": 0.5}}).phase3.lambda_weights == {"a": 0.5}
-        with pytest.raises(ValueError, match="tau_annealing"):
-            config.load(overrides=["phase2.tau_annealing=square"])
-        with pytest.raises(TypeError, match="no_such"):
-            config.load(overrides=["no_such=1"])
-        with pytest.raises(ValueError, match="key=value"):
-            config.load(overrides=["seed"])
-
-    def test_arguments(self):
-        assert config.arguments(["--seed", "9", "--override", "selection.method=dsir"]).selection.method == "dsir"
+            phases.run(pool, model, losses, gradients, [{"screening": False, "batches": False, "reweighting": {"lambdas": {"a": 0.8}}}])
+        with pytest.raises(ValueError, match="strategy"):
+            phases.run(pool, model, losses, gradients, (), ["batches.strategy=square"])
 
 
 class TestTemperature:
@@ -152,13 +203,52 @@ class TestSampling:
             assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
         assert sampling.hash_sample(d, "id", 100).select(F.spark_partition_id()).distinct().count() > 1
 
+    @pytest.mark.parametrize("descending", [False, True])
+    def test_the_kth_key_between_samples(self, spark, monkeypatch, descending):
+        """With so few rows sorted that the key is closed in step by step; a third of the rows are equal."""
+        monkeypatch.setattr(sampling, "FEW", 8)
+        monkeypatch.setattr(sampling, "SAMPLE", 50)
+        d = spark.createDataFrame([(float(i * 37 % 101) if i % 3 else 5.0, i if i % 3 else -1) for i in range(400)], "x double, id long").repartition(5).cache()
+        way = F.desc if descending else F.asc
+        for k in (1, 20, 133, 150, 399, 400):
+            got, want = sampling.first_rows(d, k, "x", "id", descending=descending), d.orderBy(way("x"), way("id")).limit(k)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+    def test_ema_in_many_blocks(self, spark):
+        rng = np.random.default_rng(5)
+        x = rng.normal(size=500)
+        e = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)] + [("b", 3, None), ("b", 4, 2.0)], "k string, step long, eta double").repartition(7)
+        s, path = x[0], []
+        for v in x:
+            s = 0.9 * s + 0.1 * v
+            path.append(s)
+        got = {r["k"]: r for r in sampling.ema(e, "k", "step", alpha=0.9).collect()}
+        assert math.isclose(got["a"]["ema"], s) and got["a"]["steps"] == 500 and (got["b"]["ema"], got["b"]["steps"]) == (2.0, 1)
+        run = values(sampling.running_ema(e.where("k = 'a'"), "k", "step", alpha=0.9), "step", "ema")
+        assert np.allclose([v for _, v in run], path) and len(run) == 500
+
+    def test_guard_closes_the_loop(self, spark):
+        rng = np.random.default_rng(6)
+        rows = [(10 * s + i, s, float(v)) for s in range(12) for i, v in enumerate(rng.uniform(1, 2, 10))]
+        losses = spark.createDataFrame(rows, "id long, step long, loss double")
+        plain = {r["step"]: r["eta"] for r in sampling.variance_reduction(sampling.importance_batches(losses, "id", "step", "loss"), "step", "loss", "p").collect()}
+        s, path = plain[0], {}
+        for step in sorted(plain):
+            s = 0.95 * s + 0.05 * plain[step]
+            path[step] = s
+        threshold = sum(sorted(path.values())[5:7]) / 2
+        first = min(k for k, v in path.items() if v < threshold)
+        got = sampling.guarded_batches(losses, "id", "step", "loss", threshold=threshold).collect()
+        assert {r["step"] for r in got if math.isclose(r["p"], 0.1)} == set(range(first + 1, 12)) and {r["weight"] for r in got if r["step"] > first} == {1.0}
+        assert all(not math.isclose(r["p"], 0.1) for r in sampling.guarded_batches(losses, "id", "step", "loss", threshold=-1e30).collect())
+
     def test_ema(self, spark):
         e = spark.createDataFrame([("a", 2, 0.0), ("a", 1, 1.0), ("b", 1, 0.01)], "k string, step long, eta double")
         assert values(sampling.ema(e, "k", "step", alpha=0.5), "k", "ema", "use_uniform") == [("a", 0.5, False), ("b", 0.01, True)]
 
     def test_resample_follows_the_weights(self, spark):
         p = spark.createDataFrame([(i, float(i)) for i in range(5)], "id long, w double")
-        n = dict(sampling.resample(p, "id", "w", 4000, buckets=3).groupBy("id").count().collect())
+        n = dict(sampling.resample(p, "id", "w", 4000, least_buckets=3, draws_at_once=500).groupBy("id").count().collect())
         assert sum(n.values()) == 4000 and 0 not in n and all(abs(n[i] / 4000 - i / 10) < 0.03 for i in range(1, 5))
 
     def test_weighted_sample_skips_zero(self, spark):
@@ -215,6 +305,22 @@ class TestRecords:
         d = spark.createDataFrame([("ab",), ("aBcd",), ("añ𝄞b\n",)], "t string").select(ngrams.char_ngrams(F.col("t")))
         assert [r[0] for r in d.collect()] == [[], ["abc", "bcd"], ["añ𝄞", "ñ𝄞b", "𝄞b\n"]]
 
+    @pytest.mark.parametrize("n", [1, 2, 3, 4])
+    def test_counts_and_weights_by_hand(self, spark, n):
+        texts = ["abcabc", "aBcd", "añ𝄞b\n", "", None, "xyzxyz", "ab"]
+        d = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(3)
+        grams = [[t.lower()[i : i + n] for i in range(len(t) - n + 1)] for t in (x or "" for x in texts)]
+        want = Counter(g for x in grams for g in x)
+        got = {r["gram"]: r["cnt"] for r in ngrams.top_grams(ngrams.gram_counts(d, "t", n), 100, n).collect()}
+        assert got == want
+        some = ngrams.top_grams(ngrams.gram_counts(d, "t", n), 3, n).collect()
+        assert [(r["gram"], r["cnt"]) for r in some] == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:3]
+        target = Counter(grams[0])
+        ts, tt, v = sum(want.values()), sum(target.values()), len(want)
+        ratio = {g: math.log(max((target[g] + 0.01 * ts) / (tt + 0.01 * ts * v), 1e-10) / max((want[g] + 0.01 * ts) / (ts + 0.01 * ts * v), 1e-10)) for g in want}
+        raw = {r["id"]: r["raw"] for r in ngrams.gram_weights(d, d.where("id = 0"), "id", "t", n).collect()}
+        assert all(math.isclose(raw[i], np.mean([ratio[g] for g in x]) if x else 0.0, abs_tol=1e-9) for i, x in enumerate(grams))
+
 
 class TestInfluence:
     def fixture(self, spark, n=30, seed=0):
@@ -250,6 +356,8 @@ class TestInfluence:
                 mean = each[at].mean(0)
                 want += each @ mean / (np.linalg.norm(each, axis=1) * np.linalg.norm(mean)) / 2
             assert np.allclose([rows[i, name] for i in range(30)], want) and (np.abs(want) <= 1).all()
+        by_passes = influence.validation_influence(df, "id", influence.SoftmaxScorer(), points, g, at_once=1)
+        assert {(r["id"], r["dim"]): r["score"] for r in by_passes.collect()} == rows
         total = influence.multi_objective(got, "id", {"a": 0.7}).where("id = 3").first()
         assert abs(total["total_score"] - 0.7 * rows[3, "a"]) < 1e-12
 
@@ -262,8 +370,20 @@ class TestInfluence:
         assert abs(r.agg(F.sum("weight")).first()[0] - 1) < 1e-12
         by, first = dict((i, x) for i, x in values(r, "id", "weight")), dict(values(w, "id", "weight"))
         assert abs(by[0] / by[2] - 4 * first[0] / first[2]) < 1e-9
+        every = influence.rounds(w, "id", "label", 4)
+        assert all(np.allclose(values(every.where(f"round = {k}"), "id", "weight"), values(influence.reweighted(w, "id", "label", k), "id", "weight")) for k in range(5))
         assert values(influence.reweighted(w, "id", "label", 9), "id", "weight") == values(influence.reweighted(w, "id", "label", 4), "id", "weight")
 
+    def test_pooled_means(self, spark):
+        d = spark.createDataFrame([(0, [[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0]), (1, [[1.0, 2.0]], [0])], "id long, h array<array<double>>, m array<int>")
+        assert values(d.select("id", vectors.masked_mean(F.col("h"), F.col("m")).alias("x")), "id", "x") == [(0, [2.0, 3.0]), (1, [0.0, 0.0])]
+        rows = d.select("id", F.explode(F.arrays_zip("h", "m")).alias("t")).select("id", "t.h", "t.m")
+        assert values(selectors.pooled(rows, "id", "h", "m"), "id", "h") == [(0, [2.0, 3.0]), (1, [0.0, 0.0])]
+        pool = spark.range(4).withColumnRenamed("id", "sample_id")
+        tokens_ = pool.crossJoin(spark.range(3).withColumnRenamed("id", "at")).select("sample_id", F.array(F.col("sample_id").cast("double"), F.lit(1.0)).alias("embedding"), (F.col("at") < 2).cast("int").alias("attention_mask"))
+        proxy = spark.createDataFrame([([1.0, 0.0],)], "embedding array<double>")
+        assert values(selectors.get_selector("less")(pool, "sample_id", fraction=0.5, proxy=proxy, tokens=tokens_), "sample_id") == [(2,), (3,)]
+
     def test_zero_vectors(self, spark):
         d = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0])], "a array<double>, b array<double>")
         assert d.select(vectors.cosine(F.col("a"), F.col("b")), F.size(vectors.unit(F.col("a")))).first() == (0.0, 2)
@@ -299,6 +419,37 @@ class TestClusters:
         gone = [r[0] for r in values(clusters.greedy_redundant(df, "id", "v", 0.95), "id")]
         assert sorted(set(range(120)) - set(gone)) == kept
 
+    def test_average_linkage_by_trying_all(self, spark):
+        rng = np.random.default_rng(4)
+        x = rng.normal(size=(25, 3))
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+
+        def slow(k, distance):
+            groups = [[i] for i in range(25)]
+            while len(groups) > 1:
+                d, a, b = min((np.mean([1 - u[i] @ u[j] for i in groups[a] for j in groups[b]]), a, b) for a in range(len(groups)) for b in range(a))
+                if len(groups) == k or distance is not None and d >= distance:
+                    break
+                groups[b] += groups.pop(a)
+            return sorted(sorted(g) for g in groups)
+
+        def fast(found):
+            by = {}
+            for i, c in enumerate(found):
+                by.setdefault(c, []).append(i)
+            return sorted(by.values())
+
+        for k, distance in ((1, None), (4, None), (25, None), (None, 0.1), (None, 0.5)):
+            assert fast(clusters.average_linkage(x, k, distance)) == slow(k, distance)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        got = dict(values(clusters.linkage(df, "v", threshold=0.9), "id", "cluster"))
+        assert fast([got[i] for i in range(25)]) == slow(None, 0.1)
+        # a common vector in many rows, in cells of a bounded number
+        many = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, float(i + 1)]) for i in range(90)], "id long, v array<double>")
+        cells = clusters.linkage(many, "v", threshold=0.9, cell=10)
+        assert cells.count() == 90 and cells.groupBy("cluster").agg(F.count_distinct(F.col("id") % 3 > 0).alias("n")).where("n > 1").count() == 0
+        assert clusters.fit_clusters(df, "v", 4, "agglomerative").select("cluster").distinct().count() == 4
+
     def test_default_number(self):
         assert [clusters.default_clusters(n) for n in (1, 2, 3, 100)] == [1, 1, 1, 10]
 
@@ -325,6 +476,27 @@ class TestTables:
         assert values(tables.load_checkpoint(found, names, 50), "name", "values") == [("layer.lora_A.weight", [1.0]), ("x.q.lora_B.weight", [2.0])]
         assert tables.spread([300, 100, 200]) == [100, 200, 300] and tables.spread(range(0, 110, 10), 6) == [0, 20, 40, 60, 80, 100]
 
+    def test_old_checkpoints_go(self, spark, tmp_path):
+        params = spark.createDataFrame([("a", [1.0])], "name string, values array<double>")
+        for step in (50, 100, 9):
+            tables.write_checkpoint(params, f"{tmp_path}/c", step)
+        (tmp_path / "c" / "step=odd").mkdir()
+        assert tables.prune_checkpoints(spark, f"{tmp_path}/c", 2) == [50, 100]
+        assert {p.name for p in (tmp_path / "c").glob("step=*")} == {"step=50", "step=100", "step=odd"}
+        assert tables.prune_checkpoints(spark, f"{tmp_path}/none", 2) == []
+
+    def test_finished_steps_are_read(self, spark, tmp_path):
+        made = []
+
+        def score(step):
+            made.append(step)
+            return spark.range(2).select("id", F.lit(float(step)).alias("x"))
+
+        tables.resumed(spark, f"{tmp_path}/s", [1, 2], score)
+        (tmp_path / "s" / "step=2" / "_SUCCESS").unlink()  # broken off
+        assert values(tables.resumed(spark, f"{tmp_path}/s", [1, 2, 3], score), "step", "x") == [(1, 1.0), (1, 1.0), (2, 2.0), (2, 2.0), (3, 3.0), (3, 3.0)]
+        assert made == [1, 2, 2, 3]
+
     def test_toy_pool(self, spark):
         rows = {r["sample_id"]: r for r in tables.toy_pool(spark, 41).collect()}
         assert rows[20]["output"] == rows[40]["output"] == tables.REFUSAL != rows[0]["output"]
@@ -372,6 +544,13 @@ class TestStreams:
         assert q.streaming_windows(spark, str(tmp_path)).agg({"n": "sum"}).first()[0] == 90
         assert values(q.streaming_ema(spark, str(tmp_path)), "event_type", "steps") == [("k0", 45), ("k1", 45)]
 
+    def test_hooks(self, spark, tmp_path):
+        rows = spark.range(6).selectExpr("'k' as key", "timestamp_seconds(1704067200 + id) as ts", "1.0D as x")
+        rows.repartition(6, "ts").write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/in")
+        stream, seen = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), []
+        averages.run_to_table(averages.windowed(stream, "ts", "key", "x"), f"{tmp_path}/out", f"{tmp_path}/state", hooks=[(2, seen.append), (3, lambda k: seen.append(-k))])
+        assert seen[:3] == [2, -3, 4]
+
     def test_missed_rows_are_an_error(self, spark, tmp_path):
         rows = spark.range(4).selectExpr("'k' as key", "timestamp_seconds(1704067200) as ts", "1.0D as x")
         rows.write.parquet(f"{tmp_path}/in")
