@@ -9,17 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import merge_dropout, ngram_join, packing, quality_classifier, quality_rules, resharding, token_counts, topk, toxicity, warc
-from .shared import scratch, small_batches, table
+from .shared import own_session, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(f):
+    """Registers a query, which runs in a session of its own, with bounded batches."""
+
     @functools.wraps(f)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        small_batches(spark)
-        return f(spark, sf_dir)
+        return f(own_session(spark), sf_dir)
 
     QUERIES[f.__name__] = run
     return run

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,6 +30,15 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def mixed_one(x: int) -> int:
+    """mixed() of one value."""
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & 0xFFFFFFFFFFFFFFFF
+    return x ^ (x >> 31)
+
+
 with np.errstate(over="ignore"):
     BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BASE = 0x9E3779B97F4A7C15 | 1
