@@ -1,15 +1,16 @@
 """WARC archives: captures written as request, response or revisit, and metadata records; and put together again.
 
 Writing: each page is a capture of three records, which name each other as concurrent. Of captures whose payloads are
-equal, the one with the largest page_id holds the payload in a response record, and the others are revisits that refer
-to it. Archives are gzip files of a bounded number of records, written by Spark's text sink.
+equal, the one with the largest page_id holds the payload in a response record, and the others are revisits, which name it by
+WARC-Refers-To. Which pages are revisits is found from page ids and digests alone; payloads meet that by what tells their own row from others,
+so that copies of one page do not meet in one task. Archives are gzip files of so many records as have a bounded number of bytes on average, written by Spark's text sink.
 
 Reading: each archive is parsed record by record, by Content-Length; requests and metadata are then joined to
 their response or revisit through WARC-Concurrent-To, whichever of the two names the other, into one nested row for each
 capture. A revisit gets the page that it refers to by a further join.
 
 Cases: a null payload is the empty one; a null page_id is smaller than all others; repeated rows with the largest
-page_id of their group are all responses (so are null ones, if it has no other); a null url is
+page_id of their group are all responses (so are null ones, if it has no other), and revisits of such a group name none of them but have its digest; a null url is
 an empty one, and line breaks and spaces in a url are escaped; payloads shorter than ``least`` bytes are all responses; a
 request or metadata record that nothing is concurrent to is left out, and a response without them has nulls there;
 an empty table gives an archive without records and an empty result; columns may have any other names.
@@ -55,29 +56,48 @@ def record(kind, block: Column, **fields) -> Column:
     return F.concat(head, F.lit("\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block, F.lit("\r\n\r"))
 
 
-def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 6000) -> None:
-    """Writes the pages (page_id, url, html) as archives into the folder ``path``."""
-    payload = shared.whole_text("html")
+def roles(pages: DataFrame, least: int) -> DataFrame:
+    """Of the rows (row, check, size) whose payload others have too, or that are there more than once: first, the page of the response; named,
+    whether that is a single row; again, whether the row is a revisit; and times, how often the row is there."""
+    slim = shared.written(pages.select("page_id", "row", "check", "size", F.sha2(F.col("html").cast("binary"), 256).alias("key")), "payloads")
+    rows = slim.groupBy("page_id", "row", "check", "size", "key").agg(F.count(F.lit(1)).alias("times"))
+    rows = shared.written(rows, "rows")
+    groups = rows.groupBy("key").agg(F.sum("times").alias("n"), F.max(F.struct(F.col("page_id").alias("first"), F.col("times").alias("repeats"))).alias("top")).where("n > 1")
+    met = shared.looked_up(rows, groups, "key").where("n > 1")
+    first = F.col("top.first")
+    again = ~F.col("page_id").eqNullSafe(first) & (F.col("size") >= least)
+    return met.select("row", "check", "size", first.alias("first"), (F.col("top.repeats") == 1).alias("named"), again.alias("again"), "times")
+
+
+def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 32 << 20) -> None:
+    """Writes the pages (page_id, url, html) as archives into the folder ``path``: of so many records as have ``per_file`` bytes on average, before they are compressed."""
     found = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(shared.whole_text("url"), "[\\x00-\\x20]", "%20").alias("url"),
-        payload.alias("html"),
-    ).withColumn("key", F.sha2(F.col("html").cast("binary"), 256))
-    copies = found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first")).where("n > 1").select("key", "first", F.lit(True).alias("several"))
-    size = F.octet_length("html")
-    is_revisit = F.col("several") & ~F.col("page_id").eqNullSafe(F.col("first")) & (size >= least)
-    all_rows = found.withColumn("capture", F.monotonically_increasing_id()).join(copies, "key", "left").withColumn("again", F.coalesce(is_revisit, F.lit(False)))
-    request, response, metadata = (urn(F.col("capture"), x) for x in ("request", "response", "metadata"))
-    digest = F.concat(F.lit("sha1:"), base32(F.sha1(F.col("html").cast("binary"))))
+        shared.whole_text("html").alias("html"),
+    )
+    # what tells a row from others: 96 bits of hashes and the size
+    found = found.withColumns({"row": F.xxhash64("page_id", "html"), "check": F.hash("html", "page_id"), "size": F.octet_length("html")})
+    ends = found.agg(F.count(F.lit(1)), F.sum("size")).first()
+    most_records = max(3, 3 * per_file * ends[0] // max(1, (ends[1] or 0) + 1000 * ends[0]))
+    known = shared.written(roles(found, least), "roles")
+    all_rows = found.join(shared.sent_if_small(known), ["row", "check", "size"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
+    digest = base32(F.sha1(F.col("html").cast("binary")))
+    all_rows = all_rows.withColumns({"digest": digest, "copy": F.when(F.col("times") > 1, F.monotonically_increasing_id())})
+    named_by = lambda *parts: F.concat_ws(":", *[F.col(x).cast("string") for x in parts])
+    capture = named_by("page_id", "digest", "copy")
+    request, response, metadata = (urn(capture, x) for x in ("request", "response", "metadata"))
+    refers_to = F.when(F.col("again") & F.col("named"), urn(named_by("first", "digest"), "response"))
+    size, same = F.col("size"), {"date": F.lit(DATE), "target_uri": F.col("url")}
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), size.cast("string"), F.lit("\r\n\r\n"))
-    same = {"date": F.lit(DATE), "target_uri": F.col("url")}
     rows = F.array(
         record(F.lit("request"), F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n")), record_id=request, concurrent_to=response, **same),
         record(
             F.when(F.col("again"), "revisit").otherwise("response"),
             F.when(F.col("again"), http).otherwise(F.concat(http, "html")),
             record_id=response,
-            payload_digest=digest,
+            payload_digest=F.concat(F.lit("sha1:"), "digest"),
+            refers_to=refers_to,
             profile=F.when(F.col("again"), PROFILE),
             **same,
         ),
@@ -90,7 +110,7 @@ def write(pages: DataFrame, path: str, least: int = 0, per_file: int = 6000) ->
         ),
     )
     all_rows.select(F.explode(rows).alias("value")).write.option("compression", "gzip").option("lineSep", "\n").option(
-        "maxRecordsPerFile", per_file
+        "maxRecordsPerFile", most_records
     ).text(path)
 
 
@@ -185,9 +205,15 @@ def round_trip(pages: DataFrame, path: str, least: int = 0) -> DataFrame:
         F.col("response.bytes").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
+        F.col("response.refers_to").alias("refers_to"),
     )
-    rows = shared.written(rows.drop("capture"), "captures")
-    held = rows.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("page_id").alias("refers"))
-    return rows.join(held, "payload_digest", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers")).alias("refers_to")
-    )
+    rows = shared.written(rows, "captures")
+    responses = rows.where("record_type = 'response'")
+    by_name = shared.looked_up(rows, responses.select(F.col("capture").alias("refers_to"), F.col("page_id").alias("named")), "refers_to")
+    if rows.where("record_type = 'revisit' and refers_to is null").limit(1).count():
+        by_name = shared.written(by_name, "captures")
+        by_name = shared.looked_up(by_name, responses.groupBy("payload_digest").agg(F.max("page_id").alias("alike")), "payload_digest")
+    else:
+        by_name = by_name.withColumn("alike", F.lit(None).cast("long"))
+    refers = F.when(F.col("record_type") == "revisit", F.coalesce("named", "alike"))
+    return by_name.select("page_id", "payload_bytes", "payload_digest", "record_type", refers.alias("refers_to"))
