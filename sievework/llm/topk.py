@@ -1,25 +1,27 @@
 """Exact top-k by inner product, with a table of pivots.
 
 Integer vectors are mapped so that the largest inner products are the smallest distances: a candidate x gets one more
-component, sqrt(M - |x|^2) for M the largest squared norm, and a query a zero. A block of candidates holds its
-distances to many pivots; for a query, the largest difference of its own and a candidate's distance to a pivot is a lower bound of
-their distance. Candidates are evaluated in the order of that bound, some at a time, until the bound of the next is
-above the distance of the k-th best: then none of the rest can be among the best. Scores are exact integers;
+component, sqrt(M - |x|^2) for M the largest squared norm, and a query a zero. Candidates are kept in blocks, each with a table of its
+distances to many pivots, which is made once. For a query, the largest difference of its own and a candidate's distance to a
+pivot is a lower bound of their distance. Candidates are evaluated in the order of that bound, some at a time, until the bound of the
+next is above the distance of the k-th best: then none of the rest can be among the best. Scores are exact integers;
 bounds are lowered by more than their rounding error.
 
-The queries are a stated set of rows, held against all rows in blocks: blocks of queries meet blocks of candidates by an
-equi-join on the block's number, and each meeting gives at most k rows for each query, of which the best k are kept.
+The queries are a stated set of rows, held against all rows in blocks: each block of queries is sent to the blocks of candidates, which
+stay where they are, and each meeting gives at most k rows for each query, of which the best k are kept.
 
 Cases: vectors that are null or hold null or non-finite components take no part; shorter vectors end in zeros; vectors of no
-component score 0; ids may repeat (each row is a candidate, and a query is never matched with rows of its own id); a
-null id takes no part; ties go to the smaller id; fewer than k candidates give all; an empty table gives none.
+component score 0; ids may repeat (each row is a candidate, and a query is never matched with rows of its own id; equal rows are one
+query, and different vectors of one id are queries of their own); a null id takes no part; ties go to the smaller id; fewer than k
+candidates give all; an empty table gives none; components of 2**54 or more after scaling, and scores beyond 64 bits, are errors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -29,60 +31,64 @@ def integers(vectors: DataFrame, scale: int) -> DataFrame:
     """id and v, the floors of scale times each component, of the rows that take part."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.col("embedding").isNotNull() & F.col("vec_id").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(fine).select(
-        F.col("vec_id").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale)).alias("v")
-    )
+    whole = lambda x: F.when(F.abs(x * scale) < float(1 << 54), F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is too large")).cast("long"))
+    return vectors.where(fine).select(F.col("vec_id").cast("long").alias("id"), F.transform(v, whole).alias("v"))
 
 
-def blocks(rows: DataFrame, number: Column) -> DataFrame:
-    """A row for each block: its ids, and its vectors one after the other as 64-bit integers."""
+def matrix(vectors, width: int) -> np.ndarray:
+    m = np.zeros((len(vectors), width), np.int64)
+    for i, v in enumerate(vectors):
+        m[i, : len(v)] = v
+    return m
+
+
+def raised(m: np.ndarray, most: float | None) -> np.ndarray:
+    """The vectors with one more component: a candidate's, or 0 for queries (most is None)."""
+    x = m.astype(float)
+    last = np.zeros(len(x)) if most is None else np.sqrt(np.maximum(most - (x**2).sum(1), 0))
+    return np.hstack([x, last[:, None]])
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """A row for each pivot, as 32-bit floats."""
+    square = (pivots**2).sum(1)[:, None] + (x**2).sum(1) - 2 * pivots @ x.T
+    return np.sqrt(np.maximum(square, 0)).astype(np.float32)
 
-    def packed(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values("id", kind="stable")
-        width = max((len(v) for v in x["v"]), default=0)
-        m = np.zeros((len(x), width), np.int64)
-        for i, v in enumerate(x["v"]):
-            m[i, : len(v)] = v
-        return pd.DataFrame({"block": [key[0]], "width": [width], "ids": [x["id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()]})
 
-    return rows.withColumn("block", number).groupBy("block").applyInPandas(packed, "block int, width int, ids binary, m binary")
+#: A block: its ids, its vectors one after the other as 64-bit integers, and its distances to the pivots.
+BLOCK = "block int, ids binary, m binary, distances binary"
 
 
-def matrix(row, prefix: str, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row[f"{prefix}ids"], np.int64)
-    m = np.zeros((len(ids), width), np.int64)
-    m[:, : row[f"{prefix}width"]] = np.frombuffer(row[f"{prefix}m"], np.int64).reshape(len(ids), -1)
-    return ids, m
+def blocks(rows: DataFrame, number: Column, width: int, pivots: np.ndarray, most: float | None) -> DataFrame:
+    def packed(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("id", kind="stable")
+        m = matrix(x["v"], width)
+        table = distances(raised(m, most), pivots)
+        return pd.DataFrame({"block": [key[0]], "ids": [x["id"].to_numpy(np.int64).tobytes()], "m": [m.tobytes()], "distances": [table.tobytes()]})
+
+    return rows.withColumn("block", number).groupBy("block").applyInPandas(packed, BLOCK)
 
 
 def exactly(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as 64-bit floats where no inner product of them can reach 2**52, so that it is exact; else as they are."""
+    """Both as 64-bit floats where no inner product of them can reach 2**52, so that it is exact; as they are, where it fits 64 bits; else as Python's integers."""
     largest = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    return (a.astype(float), b.astype(float)) if largest < 2**52 else (a, b)
+    kind = float if largest < 2**52 else np.int64 if largest < 2**62 else object
+    return a.astype(kind), b.astype(kind)
 
 
-def best(q_ids, q, c_ids, c, k: int, pivots: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """For one block of each: query ids, candidate ids and scores of the k best for each query; and how many were evaluated."""
+def best(q_ids, q, q_table, c_ids, c, c_table, most: float, k: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """For one block of each: the place of the query, the candidate's id and the score of the k best for each query; and how many were evaluated.
+
+    The tables have a row for each pivot.
+    """
     asked, exact = exactly(q, c)
-    norms = (c.astype(float) ** 2).sum(1)
-    most = norms.max(initial=0.0)
-    tall = np.hstack([c.astype(float), np.sqrt(np.maximum(most - norms, 0))[:, None]])
-    flat = np.hstack([q.astype(float), np.zeros((len(q), 1))])
-    chosen = tall[np.linspace(0, len(c) - 1, min(pivots, len(c))).astype(int)]
-    scale = 1.0 + most + float((flat**2).sum(1).max(initial=0.0))
-
-    def distances(x):
-        square = (x**2).sum(1)[:, None] + (chosen**2).sum(1) - 2 * x @ chosen.T
-        return np.sqrt(np.maximum(square, 0))
-
-    table, mine = distances(tall).astype(np.float32).T.copy(), distances(flat).astype(np.float32)
-    slack = 1e-5 * np.sqrt(scale)  # above the rounding of roots of differences of squares, and of 32-bit floats
+    norms = (q.astype(float) ** 2).sum(1)
+    slack = 1e-5 * np.sqrt(1.0 + most + norms.max(initial=0.0))  # above the rounding of roots of differences of squares, and of 32-bit floats
     out_q, out_c, out_s, evaluated = [], [], [], 0
     for i in range(len(q)):
         bound = np.zeros(len(c), np.float32)
-        for column, own in zip(table, mine[i], strict=True):
+        for column, own in zip(c_table, q_table[:, i], strict=True):
             np.maximum(bound, np.abs(column - own), out=bound)
-        norm = float((flat[i] ** 2).sum())
         ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
         # in the order of the bound: first the few lowest, then those of the rest that can still be among the best
         lowest = np.argpartition(bound, chunk)[:chunk] if len(bound) > chunk else np.arange(len(bound))
@@ -101,14 +107,14 @@ def best(q_ids, q, c_ids, c, k: int, pivots: int, chunk: int = 512) -> tuple[np.
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
             # the distance of the k-th best; a candidate must come nearer, or as near with a smaller id
-            kth = np.sqrt(max(norm + most - 2 * float(scores[-1]), 0.0)) + 2 * slack if len(scores) == k else np.inf
+            kth = np.sqrt(max(norms[i] + most - 2 * float(scores[-1]), 0.0)) + 2 * slack if len(scores) == k else np.inf
             if order is None:
                 order = np.flatnonzero(rest & (bound <= kth))
                 order = order[np.argsort(bound[order], kind="stable")]
             order = order[: np.searchsorted(bound[order], kth, "right")]
             step = len(some)
             some, order = order[: 2 * step], order[2 * step :]
-        out_q.append(np.full(len(ids), q_ids[i]))
+        out_q.append(np.full(len(ids), i))
         out_c.append(ids)
         out_s.append(scores)
     none = np.zeros(0, np.int64)
@@ -116,28 +122,46 @@ def best(q_ids, q, c_ids, c, k: int, pivots: int, chunk: int = 512) -> tuple[np.
 
 
 def search(
-    vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int = 32, per_block: int = 4096, queries_per_block: int = 1024
+    vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, pivots: int = 32, per_block: int = 4096, queries_per_block: int = 512
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the k best of each query; is_query is over the column id."""
-    rows = shared.written(integers(vectors, scale), "integers")
+    with shared.Workspace(vectors.sparkSession, "topk") as work:
+        return shared.written(_search(vectors, is_query, k, scale, pivots, per_block, queries_per_block, work), "best")
+
+
+def _search(vectors, is_query, k, scale, pivots, per_block, queries_per_block, work: shared.Workspace) -> DataFrame:
+    rows = work.written(integers(vectors, scale), "integers")
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    ends = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("width"), F.max(norm).alias("most")).first()
+    width, most = max(ends["width"] or 0, 1), ends["most"] or 0.0
+    chosen = rows.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(pivots).select("v").collect()
+    points = raised(matrix([r["v"] for r in chosen], width), most)
     queries = rows.where(is_query).dropDuplicates(["id", "v"])
-    n_c, n_q = max(1, -(-rows.count() // per_block)), max(1, -(-queries.count() // queries_per_block))
-    block = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
-    asked = blocks(queries, block(n_q, "q")).select(*[F.col(x).alias(f"q_{x}") for x in ("block", "width", "ids", "m")])
-    held = shared.written(blocks(rows.withColumn("__row", F.lit(0)).select("id", "v"), block(n_c, "c")), "candidates")
-    # each block of candidates once for each block of queries, so that they meet by an equi-join
-    met = held.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(asked, "q_block")
-    met = met.repartition(max(shared.parts(rows.sparkSession), 1), "q_block", "block")
+    n_c, n_q = max(1, -(-ends["n"] // per_block)), max(1, -(-queries.count() // queries_per_block))
+    block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
+    # a row may be there as often as it likes, so candidates are dealt by more than what they hold
+    dealt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_c)).cast("int")
+    held = work.written(blocks(rows, dealt, width, points, most), "candidates").withColumn("of", F.lit(-1))
+    asked = work.written(blocks(queries, block(n_q, "q"), width, points, None), "queries").withColumnRenamed("block", "of")
+    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
+    together = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "of").select("block", "of", "ids", "m", "distances")
+
+    def unpacked(ids: bytes, m: bytes, table: bytes):
+        ids = np.frombuffer(ids, np.int64)
+        return ids, np.frombuffer(m, np.int64).reshape(len(ids), width), np.frombuffer(table, np.float32).reshape(-1, len(ids))
 
     def meet(batches):
+        now, candidates = None, None
         for batch in batches:
-            for row in batch.to_dict("records"):
-                width = max(row["width"], row["q_width"], 1)
-                q, c, s, _ = best(*matrix(row, "q_", width), *matrix(row, "", width), k, pivots)
-                yield pd.DataFrame({"query_id": q, "vec_id": c, "score": s})
-
-    found = met.mapInPandas(meet, "query_id long, vec_id long, score long")
-    top = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id"))), 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("at", "one")).select(
-        "query_id", (F.col("at") + 1).alias("rank"), F.col("one.vec_id").alias("vec_id"), (-F.col("one.less")).alias("score")
-    )
+            for b, of, *parts in zip(*(batch.column(i) for i in range(5)), strict=True):
+                b, of, parts = b.as_py(), of.as_py(), unpacked(*(x.as_py() for x in parts))
+                if of < 0:
+                    now, candidates = b, parts
+                elif b == now:
+                    at, c, s, _ = best(*parts, *candidates, most, k)
+                    columns = [parts[0][at], of + (at << 32), c, s]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "query", "vec_id", "score"])
+
+    found = together.mapInArrow(meet, "query_id long, query long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

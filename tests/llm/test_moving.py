@@ -7,6 +7,8 @@ import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -47,15 +49,33 @@ class TestResharding:
         assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)}
 
     def test_near_equal_and_few_moves(self, spark):
-        docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 37 % 400).cast("int")).alias("text"), F.lit(1).alias("extra"))
-        old = F.pmod(F.xxhash64("doc_id"), F.lit(4))
-        files = resharding.reshard(docs, old, 4, 6, shared.scratch(spark, "shards"), per_block=50)
-        assert files.count() == 3000 and "extra" in files.columns
-        sizes = dict(files.groupBy("shard").agg(F.sum(F.length("text") + 8)).collect())
+        docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") * 37 % 400).cast("int")).alias("text"), F.lit(1).alias("extra"), F.lit("own").alias("Shard"))
+        old, new = f"{shared.scratch(spark, 'shards')}/old", shared.scratch(spark, "shards")
+        schema = resharding.write(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)), 4, old, least=5_000)
+        was = {r["doc_id"]: r["shard"] for r in spark.read.parquet(old).collect()}
+        root = Path(old.removeprefix("file://"))
+        before = {p: hashlib.sha1(p.read_bytes()).hexdigest() for p in root.rglob("*.parquet")}
+        done = resharding.reshard(spark, schema, old, 4, 6, new)
+        rows = done.read(spark).collect()
+        assert Counter(r["doc_id"] for r in rows) == Counter(range(3000)) and {r["extra"] for r in rows} == {1}
+        sizes = Counter()
+        for r in rows:
+            sizes[r["shard"]] += len(r["text"]) + 8
         total = sum(sizes.values())
-        assert len(sizes) == 6 and all(abs(v - total / 6) < 1000 for v in sizes.values())
-        moved = files.where("shard <> __old").agg(F.sum(F.length("text") + 8)).first()[0]
-        assert moved <= total / 3 * 1.02
+        assert total == done.total and set(sizes) == set(range(6)) and all(abs(v - total / 6) < 409 for v in sizes.values())
+        # the fewest bytes move: what is in the old shards beyond the new capacity
+        held = Counter()
+        for r in rows:
+            held[was[r["doc_id"]]] += len(r["text"]) + 8
+        assert done.moved == total - sum(min(v, c) for v, c in zip((held[i] for i in range(4)), resharding.even(total, 6), strict=False))
+        moved = sum(len(r["text"]) + 8 for r in rows if was[r["doc_id"]] != r["shard"])
+        assert abs(moved - done.moved) < 4 * 6 * 409
+        # files that are not affected keep name and bytes, and are not read into new ones
+        assert before == {p: hashlib.sha1(p.read_bytes()).hexdigest() for p in root.rglob("*.parquet")}
+        kept = {Path(urlparse(k).path) for k in done.kept}
+        assert len(kept) > len(before) / 3 and kept < set(before) and all(k.parent.name in {f"shard={i}" for i in range(4)} for k in kept)
+        fresh = spark.read.parquet(new)
+        assert fresh.agg(F.sum(F.length("text") + 8)).first()[0] == done.rewritten < total * 0.7
 
     def test_empty_table(self, spark, odd):
         assert resharding.digests(odd.limit(0), shared.scratch(spark, "shards")).count() == 0
@@ -96,8 +116,22 @@ class TestWarc:
         kinds = Counter(f["warc-type"][0] for f, _ in records)
         assert kinds["request"] == kinds["metadata"] == len(PAGES) == kinds["response"] + kinds["revisit"] and len(files) > 3
         ids = [f["warc-record-id"][0] for f, _ in records]
+        responses = {f["warc-record-id"][0]: f["warc-payload-digest"] for f, _ in records if f["warc-type"] == ["response"]}
+        for f, _ in records:
+            if f["warc-type"] == ["revisit"] and "warc-refers-to" in f:
+                assert responses[f["warc-refers-to"][0]] == f["warc-payload-digest"]
+        assert sum("warc-refers-to" in f for f, _ in records) == 4  # two of "same", one of the empty ones and one of "with null"
         assert len(set(ids)) == len(ids) and all(f["warc-profile"] == [warc.PROFILE] for f, _ in records if f["warc-type"] == ["revisit"])
 
+    def test_hot_payloads(self, spark, monkeypatch):
+        """Many copies of one page, which are looked up apart, and a group whose response is there twice."""
+        looked_up = shared.looked_up
+        monkeypatch.setattr(shared, "looked_up", lambda rows, values, key: looked_up(rows, values, key, 4, 5))
+        rows = [(i, "u", "hot") for i in range(60)] + [(i, "u", f"cold {i // 2}") for i in range(60, 90)] + [(99, "u", "x"), (99, "u", "x"), (98, "u", "x")]
+        got = {(r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string"), shared.scratch(spark, "warc")).collect()}
+        want = {(i, "revisit", 59) for i in range(59)} | {(59, "response", None), (99, "response", None), (98, "revisit", 99)}
+        assert got == want | {(i, "response", None) if i % 2 else (i, "revisit", i + 1) for i in range(60, 90)}
+
     def test_captures_are_nested_whoever_names_whom(self, spark):
         rows = [("response", "r1", ["q1"], None), ("request", "q1", [], None), ("metadata", "m1", ["r1"], None), ("metadata", "lost", ["none"], None), ("revisit", "r2", [], "r1"), ("request", "q2", ["r2"], None)]
         d = spark.createDataFrame([(t, i, c, x, "u", None, None, None, None) for t, i, c, x in rows], warc.RECORD)
@@ -139,20 +173,51 @@ class TestTopK:
         got = topk.search(d, F.col("id") % 25 == 0, per_block=sizes[0], queries_per_block=sizes[1]).collect()
         assert {tuple(r) for r in got} == self.by_hand(rows, 5, lambda i: i % 25 == 0) and len(got) == len(set(got))
 
+    @staticmethod
+    def best(q_ids, q, c_ids, c, k, pivots):
+        most = float((c.astype(float) ** 2).sum(1).max())
+        tall = topk.raised(c, most)
+        points = tall[np.linspace(0, len(c) - 1, pivots).astype(int)]
+        return topk.best(q_ids, q, topk.distances(topk.raised(q, None), points), c_ids, c, topk.distances(tall, points), most, k)
+
     def test_elimination_stops_early_and_is_exact(self):
         rng = np.random.default_rng(3)
         centers = rng.integers(-3000, 3000, (12, 4))
         c = (centers[rng.integers(0, 12, 6000)] + rng.integers(-20, 20, (6000, 4))).astype(np.int64)
         q, ids = c[:5], np.arange(6000)
-        _, _, s, evaluated = topk.best(ids[:5], q, ids, c, 5, 64)
+        _, _, s, evaluated = self.best(ids[:5], q, ids, c, 5, 64)
         want = np.sort(np.where(ids[:5, None] == ids, -(10**12), q @ c.T), 1)[:, ::-1][:, :5]
         assert (s == want.ravel()).all() and evaluated < 5 * 6000 / 2
 
     def test_large_numbers_stay_exact(self):
         big = np.array([[1 << 27, 3], [1 << 27, 2], [1, 1]], np.int64)
-        _, c, s, _ = topk.best(np.array([0]), big[:1], np.arange(3), big, 2, 4)
+        _, c, s, _ = self.best(np.array([0]), big[:1], np.arange(3), big, 2, 3)
         assert c.tolist() == [1, 2] and s.tolist() == [(1 << 54) + 6, (1 << 27) + 3]
 
+        huge = np.array([[1 << 31, 0], [1 << 30, 0], [1, 1 << 31]], np.int64)
+        _, c, s, _ = self.best(np.array([0]), huge[:1], np.arange(3), huge, 2, 3)
+        assert c.tolist() == [1, 2] and s.tolist() == [1 << 61, 1 << 31]
+        with pytest.raises(OverflowError):
+            self.best(np.array([9]), huge[:1] * 2, np.arange(3), huge * 2, 2, 3)
+
+    def test_tables_are_made_once(self, spark, monkeypatch):
+        """Neither what is sent to the meetings nor the meetings make distances: they come with the blocks."""
+        rows = self.rows()
+        d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        made, blocks = [], topk.blocks
+        monkeypatch.setattr(topk, "blocks", lambda *a: made.append(a) or blocks(*a))
+        topk.search(d, F.col("id") % 25 == 0, per_block=40, queries_per_block=3)
+        assert len(made) == 2 and made[0][3] is made[1][3]
+        monkeypatch.setattr(topk, "distances", None)
+        rng = np.random.default_rng(0)
+        c = rng.integers(-9, 9, (50, 3))
+        assert len(topk.best(np.arange(2), c[:2], np.zeros((4, 2), np.float32), np.arange(50), c, np.zeros((4, 50), np.float32), 400.0, 5)[0]) == 10
+
+    def test_too_large_components(self, spark):
+        d = spark.createDataFrame([(0, [1e300]), (1, [2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="too large"):
+            topk.search(d, F.col("id") == 0)
+
     def test_few_and_none(self, spark):
         d = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
         assert [tuple(r) for r in topk.search(d, F.col("id") == 0).collect()] == [(0, 1, 1, 131072)]
