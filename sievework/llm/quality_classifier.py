@@ -4,14 +4,16 @@ All grades share one weight vector over hashed features; ordered thresholds cut
 P(grade > k) = 1 / (1 + exp(theta_k - score)). The expected grade is the sum of these probabilities, and the tail
 probability that of a grade that is good enough.
 
-Features are shares of a text: its hashed runs of four bytes, in lower case and as they are, and its repeated words and
-lines. They are scaled by the square root, so that a few marks show in a long text.
+Features of a text are its hashed runs of four bytes, in lower case and as they are: the square root of how often a bucket
+occurs, times the bucket's rarity in the sample that the model is fitted on, scaled to length 1, so that a few rare runs show
+in a long text. Beside them are the square roots of the shares of repeated words, words that follow themselves, and capitals.
 
-The model is fitted on a bounded sample of rated texts, the same for every run, by a hash of doc_id.
+The model is fitted on a bounded sample of rated texts of any length, the same for every run, by a hash of doc_id.
 
 Cases: a null or empty text has no features, and its score is the bias alone; null ratings and grades outside
 0 to top are left out; of several ratings of a document the lowest holds; without ratings of two grades at least nothing
-is learned and all texts get the same score, at which everything is kept; rows may repeat; columns may have any other names.
+is learned and all texts get the same score, at which everything is kept; rows may repeat; a probability at the limit is kept; an empty
+table gives an empty result; columns may have any other names.
 """
 
 from __future__ import annotations
@@ -24,20 +26,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shared
+from . import labelled, shared
 from .quality_rules import keyed
 from .text import LOWER, Texts, texts
 
-BITS = 11
+BITS = 13
 BUCKETS = 1 << BITS
 EXTRA = 3
+#: Texts handled at once.
+AT_ONCE = 64
 
 
-def hashed(t: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each run of four bytes of the words, and the text that it is in."""
+def counts(t: Texts) -> np.ndarray:
+    """How often each text has each bucket's runs of four bytes: a row for each text."""
     n = len(t.data) - 3
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros((len(t), BUCKETS), np.float32)
     low = LOWER[t.data]
     capital = (low != t.data).astype(np.uint32)
     x, shape = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
@@ -49,7 +53,8 @@ def hashed(t: Texts) -> tuple[np.ndarray, np.ndarray]:
         h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
     of = np.repeat(np.arange(len(t)), np.diff(t.offsets))
     inside = of[:n] == of[3:]
-    return (h[inside] >> np.uint32(32 - BITS)).astype(np.int64), of[:n][inside]
+    bucket = (h[inside] >> np.uint32(32 - BITS)).astype(np.int64)
+    return np.bincount(of[:n][inside] * BUCKETS + bucket, minlength=len(t) * BUCKETS).reshape(len(t), BUCKETS).astype(np.float32)
 
 
 def extras(t: Texts) -> np.ndarray:
@@ -65,99 +70,125 @@ def extras(t: Texts) -> np.ndarray:
     return np.stack([t.per_text(again) / n, t.per_text(~first) / n, capital], 1)
 
 
-def features(column: pa.Array) -> np.ndarray:
-    """Square roots of the shares, a row for each text."""
-    out = [np.zeros((0, BUCKETS + EXTRA), np.float32)]
-    for t in texts(column):
-        bucket, of = hashed(t)
-        counts = np.bincount(of * BUCKETS + bucket, minlength=len(t) * BUCKETS).reshape(len(t), BUCKETS)
-        roots = np.sqrt(counts.astype(np.float32)) / np.sqrt(np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
-        out.append(np.hstack([roots, np.sqrt(extras(t)).astype(np.float32)]))
-    return np.concatenate(out)
+def in_parts(column: pa.Array):
+    """The column's texts, AT_ONCE at most at a time."""
+    for lo in range(0, len(column), AT_ONCE):
+        yield from texts(column.slice(lo, AT_ONCE))
+
+
+@dataclass
+class Rows:
+    """Features of some texts: values of buckets, each with the number of its text, in order, and the other columns."""
+
+    bucket: np.ndarray
+    value: np.ndarray
+    owner: np.ndarray
+    extra: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, self.value * w[:BUCKETS][self.bucket], len(self.extra)) + self.extra @ w[BUCKETS:]
+
+    def weighed(self, g: np.ndarray) -> np.ndarray:
+        """The sum of the texts' features, each text's times its g."""
+        return np.concatenate([np.bincount(self.bucket, self.value * g[self.owner], BUCKETS), g @ self.extra])
 
 
 @dataclass
 class Model:
-    """weights of the features, and ordered thresholds theta_0 < theta_1 < ..."""
+    """weights of the features, the rarity of each bucket, and ordered thresholds theta_0 < theta_1 < ..."""
 
     weights: np.ndarray
+    rarity: np.ndarray
     theta: np.ndarray
 
     def scores(self, column: pa.Array) -> np.ndarray:
-        out = [np.zeros(0, np.float32)]
-        for lo in range(0, len(column), 512):
-            out.append(features(column.slice(lo, 512)) @ self.weights.astype(np.float32))
-        return np.concatenate(out).astype(float)
+        w, square = (self.weights[:BUCKETS] * self.rarity).astype(np.float32), (self.rarity**2).astype(np.float32)
+        out = [np.zeros(0)]
+        for t in in_parts(column):
+            c = counts(t)
+            length = np.sqrt(np.maximum(c @ square, 1e-12))
+            out.append((np.sqrt(c) @ w) / length + np.sqrt(extras(t)) @ self.weights[BUCKETS:])
+        return np.concatenate(out)
 
     def above(self, scores: np.ndarray) -> np.ndarray:
         """P(grade > k), a column for each k."""
         return 1 / (1 + np.exp(np.clip(self.theta[None] - scores[:, None], -500, 500)))
 
 
-def train(x: np.ndarray, grade: np.ndarray, top: int, rounds: int = 150, ridge: float = 1e-4, rate: float = 0.3) -> Model:
-    """Adam on the mean log-loss of the grades; thresholds are a first one and the logarithms of the steps to the next."""
-    w = np.zeros(x.shape[1])
+def thresholds(theta0: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """A first threshold and the logarithms of the steps to the next ones, as thresholds."""
+    return np.concatenate([theta0, theta0 + np.cumsum(np.exp(steps))])
+
+
+def loss_and_slopes(x: Rows, grade: np.ndarray, w: np.ndarray, theta0: np.ndarray, steps: np.ndarray, ridge: float) -> tuple[float, list[np.ndarray]]:
+    """The mean log-loss with a ridge on w, and its slopes by w, theta0 and steps."""
+    z, n, top, rows = x.times(w), len(grade), len(steps) + 1, np.arange(len(grade))
+    # P(grade = g) = F(theta_g - z) - F(theta_{g-1} - z), with -inf and inf at the ends
+    edges = np.concatenate([[-np.inf], thresholds(theta0, steps), [np.inf]])
+    with np.errstate(over="ignore"):
+        cdf = 1 / (1 + np.exp(-(edges[None] - z[:, None])))
+    density = cdf * (1 - cdf)
+    p = (cdf[rows, grade + 1] - cdf[rows, grade]).clip(1e-12)
+    up, low = density[rows, grade + 1] / p, density[rows, grade] / p
+    g_edge = np.zeros(top + 2)
+    np.add.at(g_edge, grade + 1, -up / n)
+    np.add.at(g_edge, grade, low / n)
+    g_theta = g_edge[1:-1]
+    g_steps = np.array([g_theta[k + 1 :].sum() * np.exp(steps[k]) for k in range(top - 1)])
+    return float(-np.log(p).mean() + ridge * w @ w), [x.weighed((up - low) / n) + 2 * ridge * w, np.array([g_theta.sum()]), g_steps]
+
+
+def train(x: Rows, rarity: np.ndarray, grade: np.ndarray, top: int, rounds: int = 120, ridge: float = 1e-5, rate: float = 0.3) -> Model:
+    """Adam on the mean log-loss of the grades."""
+    w = np.zeros(BUCKETS + x.extra.shape[1])
     if len(np.unique(grade)) < 2:
-        return Model(w, np.linspace(-6, -5, top))
+        return Model(w, rarity, np.linspace(-6, -5, top))
     count = np.array([(grade > k).mean() for k in range(top)]).clip(1e-3, 1 - 1e-3)
     start = np.maximum.accumulate(np.log(1 / count - 1) + 1e-3 * np.arange(top))
     theta0, steps = start[:1].copy(), np.log(np.diff(start).clip(1e-3))
     moments = [(np.zeros_like(v), np.zeros_like(v)) for v in (w, theta0, steps)]
-    rows, n = np.arange(len(x)), len(x)
     for r in range(1, rounds + 1):
-        theta = np.concatenate([theta0, theta0 + np.cumsum(np.exp(steps))])
-        z = (x @ w.astype(x.dtype)).astype(float)
-        # P(grade = g) = F(theta_g - z) - F(theta_{g-1} - z), with -inf and inf at the ends
-        edges = np.concatenate([[-np.inf], theta, [np.inf]])
-        with np.errstate(over="ignore"):
-            cdf = 1 / (1 + np.exp(-(edges[None] - z[:, None])))
-        density = cdf * (1 - cdf)
-        p = (cdf[rows, grade + 1] - cdf[rows, grade]).clip(1e-12)
-        up, low = density[rows, grade + 1] / p, density[rows, grade] / p
-        g_z = (up - low) / n
-        g_edge = np.zeros(top + 2)
-        np.add.at(g_edge, grade + 1, -up / n)
-        np.add.at(g_edge, grade, low / n)
-        g_theta = g_edge[1:-1]
-        g_steps = np.array([g_theta[k + 1 :].sum() * np.exp(steps[k]) for k in range(top - 1)])
-        slopes = [x.T @ g_z.astype(x.dtype) + 2 * ridge * w, np.array([g_theta.sum()]), g_steps]
+        _, slopes = loss_and_slopes(x, grade, w, theta0, steps, ridge)
         for v, g, (m, s) in zip((w, theta0, steps), slopes, moments, strict=True):
             m += 0.1 * (g - m)
             s += 0.01 * (g**2 - s)
             v -= rate * (1 - r / (rounds + 1)) * (m / (1 - 0.9**r)) / (np.sqrt(s / (1 - 0.99**r)) + 1e-10)
-    return Model(w, np.concatenate([theta0, theta0 + np.cumsum(np.exp(steps))]))
+    return Model(w, rarity, thresholds(theta0, steps))
 
 
-def fit(docs: DataFrame, ratings: DataFrame, top: int, per_grade: int = 1500, longest: int = 20_000) -> Model:
-    """ratings: doc_id and grade, 0 to top. Of each grade at most so many texts, of at most so many bytes."""
-    rated = (
-        ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, top))
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.min("grade").cast("int").alias("__grade"))
-    )
-    text = docs.select(F.col("doc_id").alias("__id"), shared.whole_text().alias("__text")).where(F.octet_length("__text") <= longest)
-    chosen = None
-    for grade in range(top + 1):
-        # a few more ids than texts wanted: some have none, or a long one; as few as that go to every executor
-        ids = rated.where(F.col("__grade") == grade).orderBy(F.xxhash64("__id"), "__id").limit(2 * per_grade)
-        some = text.join(F.broadcast(ids), "__id").orderBy(F.xxhash64("__id"), "__id", "__text").limit(per_grade)
-        chosen = some if chosen is None else chosen.unionAll(some)
-
-    def featured(batches):
+def scaled(bucket: list[np.ndarray], count: list[np.ndarray], extra: np.ndarray) -> tuple[Rows, np.ndarray]:
+    """The features of texts from their counts, and the rarity of each bucket: log of 1 + texts over 1 + texts that have it."""
+    n = len(bucket)
+    owner = np.repeat(np.arange(n), [len(b) for b in bucket])
+    bucket, count = (np.concatenate(x) if x else np.zeros(0) for x in (bucket, count))
+    bucket = bucket.astype(np.int32)
+    rarity = np.log((1 + n) / (1 + np.bincount(bucket, minlength=BUCKETS))) + 0.1
+    value = (np.sqrt(count) * rarity[bucket]).astype(np.float32)
+    length = np.sqrt(np.bincount(owner, value.astype(float) ** 2, n))
+    return Rows(bucket, value / np.maximum(length, 1e-6)[owner].astype(np.float32), owner, extra), rarity
+
+
+def fit(docs: DataFrame, ratings: DataFrame, top: int, per_grade: int = 1500, most_bytes: int = 6 << 20) -> Model:
+    """ratings: doc_id and grade, 0 to top. Of each grade at most so many texts and bytes, as labelled.sample() takes them."""
+    rated = ratings.where(F.col("doc_id").isNotNull() & F.col("grade").between(0, top))
+    rated = rated.groupBy(F.col("doc_id").alias("id")).agg(F.min("grade").cast("int").alias("mark"))
+    chosen = labelled.sample(docs, rated, dict.fromkeys(range(top + 1), per_grade), most_bytes)
+
+    def counted(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                x = features(part.column(1))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "grade", "x"]
-                )
-
-    rows = chosen.select("__id", "__text", "__grade").mapInArrow(featured, "id long, grade int, x binary").toArrow()
-    if not rows.num_rows:
-        return train(np.zeros((0, BUCKETS + EXTRA), np.float32), np.zeros(0, int), top)
+            rows = []
+            for t in in_parts(batch.column(2)):
+                for c, e in zip(counts(t), extras(t), strict=True):
+                    bucket = np.flatnonzero(c)
+                    rows.append((bucket.astype(np.uint32).tobytes(), c[bucket].tobytes(), np.sqrt(e).tobytes()))
+            columns = [pa.array([r[k] for r in rows], pa.binary()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], ["id", "grade", "bucket", "count", "extra"])
+
+    rows = chosen.select("id", "mark", "text").mapInArrow(counted, "id long, grade int, bucket binary, count binary, extra binary").toArrow()
     rows = rows.take(pa.array(np.argsort(rows["id"].to_numpy(), kind="stable")))
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(-1, BUCKETS + EXTRA)
-    return train(x, rows["grade"].to_numpy().astype(int), top)
+    bucket, count = ([np.frombuffer(x, kind) for x in rows[c].to_pylist()] for c, kind in (("bucket", np.uint32), ("count", np.float32)))
+    extra = np.frombuffer(b"".join(rows["extra"].to_pylist()), float).reshape(-1, EXTRA)
+    return train(*scaled(bucket, count, extra), rows["grade"].to_numpy().astype(int), top)
 
 
 def rated(docs: DataFrame, ratings: DataFrame, top: int = 2, least: int = 1, keep: float = 0.3, **how) -> DataFrame:
