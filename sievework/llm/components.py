@@ -23,17 +23,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of each node of edges u, v; nodes without edges are not there.
 
-    Each round is a table in the shared folder. The star of every component is reached in about log(n)**2 rounds.
+    Each round is a table in the shared folder, and the one before it goes. Every component becomes a star in about log(n)**2 rounds;
+    then a round changes nothing, and this ends.
     """
-    now, before = shared.written(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
-    for _ in range(most_rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if mark == before or not mark[0]:
-            stars = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
-            return stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct())
-        before = mark
-        now = shared.written(_star(_star(now, True), False), "edges")
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+    with shared.Workspace(edges.sparkSession, "components") as work:
+        now, before = work.written(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
+        while True:
+            mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+            if mark == before or not mark[0]:
+                stars = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
+                return shared.written(stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct()), "roots")
+            before = mark
+            now = work.rewritten(_star(_star(now, True), False), "edges")
