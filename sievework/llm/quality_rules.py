@@ -10,7 +10,8 @@ with too few labels for any outcome to pass are not tested, and the rules reject
 
 Cases: a null text has no words; a null stratum is a stratum of its own; null, repeated or contradictory labels
 count once as good only if every label of that document is good; an empty holdout rejects by the base rules alone;
-rows may repeat and columns may have any other names; an empty table gives an empty result.
+rows may repeat and columns may have any other names; an empty table gives an empty result; two documents of one value are
+on the same side of a cutoff, as a rule rejects what is above it.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ CONTINUES = np.zeros(256, bool)
 CONTINUES[0x80:0xC0] = True
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
+#: So many of them are those of the base.
+BASE_COUNTS = 5
 MEASURES = T.StructType([T.StructField(x, T.LongType()) for x in COUNTS])
 
 
@@ -167,10 +170,12 @@ def fit(
     risk: float = 0.02,
     delta: float = 0.05,
     rules: tuple[Rule, ...] = RULES,
+    most: int = 100_000,
 ) -> DataFrame:
     """A row for each stratum: stratum, and a cutoff for each rule (null: rejects nothing).
 
-    docs has doc_id, the stratum and the struct ``measured``; labels has doc_id and quality (1: good).
+    docs has doc_id, the stratum and the struct ``measured``; labels has doc_id and quality (1: good). The order of the steps is
+    learned from at most ``most`` labelled documents, the first by a hash; all other good ones are in the tests, whatever their number.
     """
     is_good = F.col("quality") == 1
     known = (
@@ -183,16 +188,24 @@ def fit(
     held = docs.select(
         F.col("doc_id").alias("__id"), F.col(stratum).cast("string").alias("stratum"), base_failed(measured).alias("base"), *[r.value(measured).alias(r.name) for r in rules]
     ).join(known, "__id")
-    held = shared.written(held.withColumn("orders", ~F.col("good") | (F.pmod(F.xxhash64("__id", F.lit("order")), F.lit(ORDERING)) == 0)), "held")
+    # of several rows of a document the largest values count, once
+    held = held.groupBy("__id", "good").agg(F.min("stratum").alias("stratum"), F.max("base").alias("base"), *[F.max(r.name).alias(r.name) for r in rules])
+    with shared.Workspace(docs.sparkSession, "quality-rules") as work:
+        held = work.written(held.withColumn("orders", ~F.col("good") | (F.pmod(F.xxhash64("__id", F.lit("order")), F.lit(ORDERING)) == 0)), "held")
+        return _chosen(held, work, risk, delta, rules, most)
 
+
+def _chosen(held: DataFrame, work: shared.Workspace, risk: float, delta: float, rules: tuple[Rule, ...], most: int) -> DataFrame:
+    """The cutoffs, as a table. held: stratum, good, base, orders and the value of each rule, for each labelled document."""
     above = [sum((F.col(r.name) > c).cast("int") for c in r.cutoffs).alias(r.name) for r in rules]
-    ordering = held.where("orders and (good or not base)").select("good", *above).groupBy("good", *[r.name for r in rules]).count().toPandas()
+    some = held.where("orders and (good or not base)").orderBy(F.xxhash64("__id"), "__id").limit(most)
+    ordering = some.select("good", *above).groupBy("good", *[r.name for r in rules]).count().toPandas()
     steps = order(ordering[[r.name for r in rules]].to_numpy(np.int64), ordering["good"].to_numpy(bool), ordering["count"].to_numpy(np.int64), rules, risk)
     first = [first_step(r, [(c, j) for j, (i, c) in enumerate(steps) if rules[i] is r]) for r in rules]
     tally = held.where("good and not orders").select("stratum", F.least(*first, F.lit(None).cast("int")).alias("first")).groupBy("stratum").agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("first") <= j).alias(f"step_{j}") for j in range(len(steps))]
     )
-    tally = shared.written(tally, "tally")
+    tally = work.written(tally, "tally")
     # the level of each test falls with the number of strata that are tested
     tested = tally.where(F.col("n") >= math.log(delta) / math.log1p(-risk)).count()
     level = delta / max(1, tested)
@@ -209,7 +222,7 @@ def fit(
                 rows.append(out)
             yield pd.DataFrame(rows, columns=["stratum", *[r.name for r in rules]]).astype({r.name: float for r in rules})
 
-    return tally.mapInPandas(choose, kind)
+    return shared.written(tally.mapInPandas(choose, kind), "cutoffs")
 
 
 #: One of so many good documents sets the order of the steps, and is not in the tests.
@@ -256,31 +269,26 @@ def base_failed(measured: str) -> Column:
     return (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
 
 
-def judged(docs: DataFrame, cuts: DataFrame, measured: str, stratum: str = "lang", rules=RULES, most: int = 100_000) -> DataFrame:
-    """docs with __base_failed and __kept. cuts: a row for each stratum; sent to every executor if ``most`` rows or fewer."""
-    cuts = shared.written(cuts, "cutoffs").select(F.col("stratum").alias("__of"), F.struct(*[r.name for r in rules]).alias("__cut"))
-    cuts = F.broadcast(cuts) if cuts.limit(most + 1).count() <= most else cuts
+def judged(docs: DataFrame, cuts: DataFrame, measured: str, base_name: str, kept_name: str, stratum: str = "lang", rules=RULES, most: int = 100_000) -> DataFrame:
+    """docs with two columns more. cuts: a row for each stratum; sent to every executor if ``most`` rows or fewer."""
+    of, cut = shared.unused([*docs.columns, base_name, kept_name], "of", "cut")
+    cuts = shared.sent_if_small(cuts.select(F.col("stratum").alias(of), F.struct(*[r.name for r in rules]).alias(cut)), most)
     base, over = base_failed(measured), F.lit(False)
     for r in rules:
-        over = over | F.coalesce(r.value(measured) > F.col(f"__cut.{r.name}"), F.lit(False))
-    return (
-        docs.join(cuts, docs[stratum].cast("string").eqNullSafe(F.col("__of")), "left")
-        .withColumns({"__base_failed": base, "__kept": ~base & ~over})
-        .drop("__of", "__cut")
-    )
+        over = over | F.coalesce(r.value(measured) > F.col(f"{cut}.{r.name}"), F.lit(False))
+    met = docs.join(cuts, docs[stratum].cast("string").eqNullSafe(F.col(of)), "left")
+    return met.withColumns({base_name: base, kept_name: ~base & ~over}).drop(of, cut)
 
 
 def rated(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """doc_id, the counts, base_failed and kept of each document."""
-    found = shared.written(
-        docs.select("doc_id", "lang", measures(shared.whole_text()).alias("m")), "measures"
-    )
-    out = judged(found, fit(found, labels, "m", **how), "m")
-    return out.select("doc_id", *[F.col(f"m.{x}") for x in COUNTS], F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    """doc_id, n_words and the counts of the base, base_failed and kept of each document; then the other counts."""
+    found = shared.written(docs.select("doc_id", "lang", measures(shared.whole_text()).alias("m")), "measures")
+    out = judged(found, fit(found, labels, "m", **how), "m", "base_failed", "kept")
+    return out.select("doc_id", *[F.col(f"m.{x}") for x in COUNTS[:BASE_COUNTS]], "base_failed", "kept", *[F.col(f"m.{x}") for x in COUNTS[BASE_COUNTS:]])
 
 
 def passing(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
-    """The documents that are kept, with their own columns only."""
-    columns = [F.col(f"`{x}`") for x in docs.columns]
-    found = docs.select(*columns, measures(shared.whole_text()).alias("__m"))
-    return judged(found, fit(found, labels, "__m", **how), "__m").where("__kept").select(*columns)
+    """The documents that are kept, with their own columns only. Each text is measured once, and written beside its counts."""
+    m, base, kept = shared.unused(docs.columns, "m", "base_failed", "kept")
+    found = shared.written(docs.select(*shared.own_columns(docs), measures(shared.whole_text()).alias(m)), "measured")
+    return judged(found, fit(found, labels, m, **how), m, base, kept).where(F.col(kept)).select(*shared.own_columns(docs))
