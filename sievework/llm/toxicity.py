@@ -1,15 +1,16 @@
 """Toxicity by bags of subwords.
 
 A word is the mean of the vectors of its character n-grams (and of the word itself), hashed into a fixed number of
-buckets, so that an unseen spelling shares vectors with those seen. A window of a few words is the mean of their
+buckets, so that an unseen spelling shares vectors with those seen. A window of two words is the mean of their
 vectors, and a linear softmax over the two labels reads it. A text's log-odds weigh those of its windows by their own
 softmax, so that one bad passage in a long text is not averaged away. Vectors and softmax are trained jointly, in
-numpy, on a bounded sample of labelled texts. As the softmax is linear, scoring needs only each bucket's vector times
+numpy, on a bounded sample of labelled texts of any length. As the softmax is linear, scoring needs only each bucket's vector times
 the difference of the two weight vectors: one number for each bucket.
 
 Cases: a null or empty text gets the log-odds of no window, the bias alone; labels that are null are left out; of
 contradictory labels of one document the toxic one holds; without labelled texts of both kinds nothing is learned and
-every score is that of the bias, below one half; repeated rows score alike; columns may have any other names.
+every score is that of the bias, below one half; repeated rows score alike, and a score at the threshold counts as toxic; an
+empty table gives an empty result; columns may have any other names.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shared
+from . import labelled, shared
 from .text import mixed
 
-WINDOW, STEP = 8, 4
+WINDOW, STEP = 2, 1
 PRIOR = -3.0
 
 
@@ -114,7 +115,7 @@ class Model:
 
 
 def train(
-    texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, dim: int = 8, epochs: int = 8, least_steps: int = 600, batch: int = 32, rate: float = 0.5, seed: int = 7
+    texts: list[str], labels: np.ndarray, buckets: int = 1 << 17, dim: int = 8, epochs: int = 5, least_steps: int = 600, batch: int = 32, rate: float = 1.0, seed: int = 7
 ) -> Model:
     """Adagrad on the log-loss of the texts' log-odds, by bucket vectors E and softmax weights U and biases b.
 
@@ -181,25 +182,13 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3500, longest: int = 20_000, **how) -> Model:
-    """Trains on at most so many labelled texts of each kind, of at most ``longest`` bytes each, first by a hash of doc_id."""
-    marked = (
-        labels.where("doc_id is not null and toxic is not null")
-        .where(~held_out())
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.max("toxic").alias("__toxic"))
-    )
-    text = docs.select(F.col("doc_id").alias("__id"), shared.whole_text().alias("__text")).where(F.octet_length("__text") <= longest)
-    chosen = None
-    for label, most in ((1, positives), (0, negatives)):
-        # a few more ids than texts wanted: some have none, or a long one; as few as that go to every executor
-        ids = marked.where(F.col("__toxic") == label).orderBy(F.xxhash64("__id"), "__id").limit(2 * most)
-        some = text.join(F.broadcast(ids), "__id").orderBy(F.xxhash64("__id"), "__id", "__text").limit(most)
-        chosen = some if chosen is None else chosen.unionAll(some)
-    rows = chosen.select("__id", "__text", "__toxic").toArrow()
-    order = np.argsort(rows["__id"].to_numpy(), kind="stable")
-    rows = rows.take(pa.array(order))
-    return train(rows["__text"].to_pylist(), rows["__toxic"].to_numpy(), **how)
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, negatives: int = 3500, most_bytes: int = 16 << 20, **how) -> Model:
+    """Trains on at most so many labelled texts of each kind, and so many bytes of each, as labelled.sample() takes them."""
+    marked = labels.where("doc_id is not null and toxic is not null").where(~held_out())
+    marked = marked.groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").alias("mark"))
+    rows = labelled.sample(docs, marked, {1: positives, 0: negatives}, most_bytes).toArrow()
+    rows = rows.take(pa.array(np.argsort(rows["id"].to_numpy(), kind="stable")))
+    return train(rows["text"].to_pylist(), rows["mark"].to_numpy(), **how)
 
 
 def scorer(model: Model):
@@ -226,6 +215,6 @@ def rated(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) ->
 
 def passing(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
     """The documents whose score is below the threshold, with their own columns only."""
-    columns = [F.col(f"`{x}`") for x in docs.columns]
+    (name,) = shared.unused(docs.columns, "score")
     score = scorer(fit(docs, labels, **how))
-    return docs.select(*columns, score(shared.whole_text()).alias("__score")).where(F.col("__score") < threshold).select(*columns)
+    return docs.withColumn(name, score(shared.whole_text())).where(F.col(name) < threshold).select(*shared.own_columns(docs))

@@ -38,10 +38,36 @@ def clashing(odd):
     """The same with other columns, named as what the operators make."""
     from pyspark.sql import functions as F
 
-    return odd.withColumns({c: F.lit(f"own {c}") for c in ("kept", "score", "n_words", "c", "key", "hash", "group", "piece", "stratum", "m", "shard", "size", "digest", "n_tokens", "root", "a b")})
+    return odd.withColumns({c: F.lit(f"own {c}") for c in ("kept", "score", "n_words", "c", "key", "hash", "group", "piece", "stratum", "m", "shard", "size", "digest", "n_tokens", "root", "a b", "__key", "__hash", "__score", "__m", "__of", "__cut", "__kept", "of", "cut", "salt", "file", "path", "place", "begin", "base_failed", "row", "hot")})
 
 
 @pytest.fixture(scope="session")
 def labels(spark, odd_rows):
     rows = [(i, int(k % 4 > 0), int(k % 5 == 0)) for k, (i, *_) in enumerate(odd_rows)] + [(None, 1, 1), (1, None, None), (9999, 1, 1)]
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+@pytest.fixture(scope="session")
+def mixed_rows():
+    """Clean prose, junk, toxic texts, short ones, copies and near copies, enough of them for every verdict."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(1100):
+        words = prose(rng, rng.randint(60, 90)).split(" ")
+        if i % 9 == 0:
+            words = [w + "***" for w in words]
+        if i % 7 == 0:
+            for _ in range(6):
+                words[rng.randrange(len(words))] = rng.choice(["zounds", "zoundsy", "blackguard", "knavish"])
+        if i % 50 == 3:
+            words = words[:20]
+        rows.append((i, " ".join(words), ("en", "en", "de", None)[i % 4], "s", 0))
+    for i in range(40):
+        text = rows[5 * i + 1][1]
+        rows.append((2000 + i, text if i % 3 else text + " more", rows[5 * i + 1][2], "s", 0))
+    return rows
+
+
+@pytest.fixture(scope="session")
+def mixed_labels():
+    return [(i, int(i % 9 > 0), int(i % 7 == 0)) for i in range(1100) if i % 10]

@@ -2,7 +2,6 @@
 
 import math
 import random
-import re
 from collections import Counter
 
 import numpy as np
@@ -10,23 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.llm import quality_classifier, quality_rules, toxicity
+from sievework.llm import labelled, quality_classifier, quality_rules, toxicity
 
-from .conftest import prose
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def by_hand(text):
-    text = text or ""
-    w = WORD.findall(text)
-    where = {}
-    for i in range(len(w) - 2):
-        where.setdefault(tuple(w[i : i + 3]), []).append(i)
-    covered = {j for at in where.values() if len(at) > 1 for i in at for j in (i, i + 1, i + 2)}
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    dup = len(lines) - len(set(lines))
-    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+from .by_hand import by_hand, kept_by_hand, score_by_hand
+from .conftest import KIND, prose
 
 
 class TestQualityRules:
@@ -57,14 +43,24 @@ class TestQualityRules:
         rows = []
         for i in range(1500):
             words = prose(rng, 70).split(" ")
-            rows.append((i, " ".join(w + "***" if i % 10 == 0 else w for w in words), "en" if i % 5 else None, "s", 0))
+            rows.append((i, " ".join(w + "***" if i % 10 == 0 else w for w in words), "en" if i % 3 else None, "s", 0))
         docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
         labels = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(1500)], "doc_id long, quality int")
         got = {r["doc_id"]: r["kept"] for r in quality_rules.rated(docs, labels, risk=0.12).collect()}
         clean, junk = [got[i] for i in range(1500) if i % 10], [got[i] for i in range(1500) if i % 10 == 0]
         assert np.mean(clean) >= 0.88 and np.mean(junk) < 0.6
-        # a stratum of 300 labels is too small for a bound this tight
-        assert all(r["kept"] for r in quality_rules.rated(docs, labels.where("doc_id % 5 = 0"), risk=0.01).collect())
+        # a stratum of 500 labels is too small for a bound this tight
+        assert all(r["kept"] for r in quality_rules.rated(docs, labels.where("doc_id % 3 = 0"), risk=0.005).collect())
+
+    def test_verdicts_by_brute_force(self, spark, mixed_rows, mixed_labels):
+        docs = spark.createDataFrame(mixed_rows, KIND)
+        labels = spark.createDataFrame(mixed_labels, "doc_id long, quality int, toxic int")
+        got = quality_rules.rated(docs, labels)
+        assert got.columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+        got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in got.collect()}
+        want = kept_by_hand(mixed_rows, mixed_labels)
+        assert got == want
+        assert {(False, False), (False, True), (True, False)} == set(want.values())
 
     def test_few_labels_suffice(self, spark):
         rng = random.Random(3)
@@ -117,6 +113,39 @@ class TestToxicity:
         a, b = (toxicity.train(corpus[0][:60], corpus[1][:60], least_steps=20) for _ in range(2))
         assert (a.score == b.score).all() and a.bias == b.bias
 
+    def test_score_by_hand(self, corpus):
+        m = toxicity.train(corpus[0][:80], corpus[1][:80], least_steps=20)
+        texts = [*corpus[0][80:90], "", "one", "one two", "Élan! (vital), x"]
+        assert np.allclose(m.log_odds(texts), [score_by_hand(m, t) for t in texts], atol=1e-4)
+
+    def test_only_long_texts_are_labelled(self, spark):
+        rng = random.Random(9)
+        rows = []
+        for i in range(60):
+            words = prose(rng, 9000).split(" ")
+            if i % 2:
+                for _ in range(300):
+                    words[rng.randrange(len(words))] = "zounds"
+            rows.append((i, " ".join(words), i % 2))
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, x, 1 - x) for i, _, x in rows if i < 40], "doc_id long, toxic int, quality int")
+        got = {r["doc_id"]: r["score"] for r in toxicity.rated(docs, labels, most_bytes=400_000, least_steps=40).collect()}
+        assert np.mean([(got[i] >= 0.7) == (x == 1) for i, _, x in rows if i >= 40]) > 0.9
+        graded = quality_classifier.rated(docs, labels.select("doc_id", F.col("quality").alias("grade")), top=1, most_bytes=400_000).collect()
+        by = {r["doc_id"]: r["expected_grade"] for r in graded}
+        assert np.mean([by[i] for i, _, x in rows if i >= 40 and not x]) > np.mean([by[i] for i, _, x in rows if i >= 40 and x]) + 0.3
+
+    def test_sample_is_bounded(self, spark):
+        rows = [(i, "word " * (10 if i else 4000)) for i in range(50)] + [(3, "word " * 10)] * 5
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        marks = spark.createDataFrame([(i, i % 2) for i in range(60)], "id long, mark int")
+        some = labelled.sample(docs, marks, {0: 10, 1: 10}, 10_000).collect()
+        assert Counter(r["mark"] for r in some) == {0: 10, 1: 10} and len({r["id"] for r in some}) == 20
+        few = labelled.sample(docs, marks, {0: 50, 1: 50}, 300).collect()
+        assert all(sum(min(len(r["text"]), 37) for r in few if r["mark"] == m) <= 300 for m in (0, 1)) and len(few) > 6
+        long = labelled.sample(docs, marks.where("id = 0"), {0: 1}, 8_000).collect()
+        assert 900 < len(long[0]["text"]) < 1200
+
     def test_rows(self, clashing, odd_rows, labels):
         import zlib
 
@@ -152,13 +181,46 @@ class TestQualityClassifier:
 
     def test_thresholds_are_ordered(self):
         rng = np.random.default_rng(0)
-        x = rng.normal(size=(300, 5)).astype(np.float32)
+        x = rng.normal(size=(300, 5))
         grade = np.digitize(x[:, 0] + 0.1 * rng.normal(size=300), [-0.5, 0.0, 1.0])
-        m = quality_classifier.train(x, grade, 3)
+        none = np.zeros(0, np.int64)
+        rows = quality_classifier.Rows(none, none, none, x)
+        m = quality_classifier.train(rows, np.zeros(quality_classifier.BUCKETS), grade, 3)
         assert (np.diff(m.theta) > 0).all()
-        above = m.above(x @ m.weights)
+        above = m.above(rows.times(m.weights))
         assert (np.diff(above, axis=1) <= 0).all() and np.corrcoef(above.sum(1), grade)[0, 1] > 0.9
 
+    def test_likelihood_and_slopes(self):
+        """The loss by its formula, text by text, and its slopes by differences."""
+        rng, q = np.random.default_rng(1), quality_classifier
+        owner, bucket = np.repeat(np.arange(12), 5), rng.integers(0, 9, 60)
+        x, grade = q.Rows(bucket, rng.normal(size=60), owner, rng.normal(size=(12, 2))), rng.integers(0, 4, 12)
+        at = [np.concatenate([rng.normal(size=9), np.zeros(q.BUCKETS - 9), rng.normal(size=2)]), rng.normal(size=1), 0.3 * rng.normal(size=2)]
+        loss, slopes = q.loss_and_slopes(x, grade, *at, 0.01)
+        theta, want = q.thresholds(at[1], at[2]), 0.0
+        for i, g in enumerate(grade):
+            z = sum(x.value[k] * at[0][bucket[k]] for k in range(60) if owner[k] == i) + x.extra[i] @ at[0][-2:]
+            below = lambda k, z=z: 0.0 if k < 0 else 1.0 if k == 3 else 1 / (1 + math.exp(z - theta[k]))
+            want -= math.log(below(g) - below(g - 1)) / 12
+        assert math.isclose(loss, want + 0.01 * at[0] @ at[0], rel_tol=1e-9)
+        for v, slope in zip(at, slopes, strict=True):
+            for k in range(min(len(v), 9)):
+                ends = []
+                for step in (1e-6, -1e-6):
+                    v[k] += step
+                    ends.append(q.loss_and_slopes(x, grade, *at, 0.01)[0])
+                    v[k] -= step
+                assert math.isclose((ends[0] - ends[1]) / 2e-6, slope[k], rel_tol=1e-4, abs_tol=1e-7)
+
+    def test_scores_are_those_of_the_fitted_rows(self):
+        q, texts = quality_classifier, pa.array(["the Thing, the thing", "x" * 30, "", None, "réeuxé"])
+        parts = list(q.in_parts(texts))
+        c, e = q.counts(parts[0]), np.sqrt(q.extras(parts[0]))
+        bucket = [np.flatnonzero(r) for r in c]
+        rows, rarity = q.scaled(bucket, [r[b] for r, b in zip(c, bucket, strict=True)], e)
+        w = np.random.default_rng(0).normal(size=q.BUCKETS + q.EXTRA)
+        assert np.allclose(q.Model(w, rarity, np.zeros(1)).scores(texts), rows.times(w), atol=1e-4)
+
     def test_odd_rows(self, clashing, odd_rows, labels):
         got = quality_classifier.rated(clashing, quality_classifier.grades(labels)).collect()
         assert Counter(r["doc_id"] for r in got) == Counter(i for i, *_ in odd_rows)
