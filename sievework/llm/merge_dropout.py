@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .merges import Memo, Pairs, merge
-from .text import Texts, mixed, texts
+from .merges import Memo, Pairs, Skip, merge
+from .text import Texts, mixed, mixed_one, texts
 
 SPACE = "▁"
 
@@ -44,7 +44,7 @@ def mixed_quietly(x: np.ndarray) -> np.ndarray:
 class Model:
     """The pieces of a .model file of kind BPE with byte fallback, a space before each text, and no normalisation."""
 
-    def __init__(self, path: str, dropout: float, seed: int, most_words: int = 1_000_000) -> None:
+    def __init__(self, path: str, dropout: float, seed: int, most_words: int = 200_000) -> None:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -74,19 +74,22 @@ class Model:
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
         self.seed = np.uint64(seed)
         self.limit = np.uint64(min(max(dropout, 0.0), 1.0) * float((1 << 64) - 2048))
-        self.memo = Memo(most_words)
+        self.memo = Memo(most_words, 10 * most_words)
 
     def _place(self, origin: np.ndarray, merged: np.ndarray) -> np.ndarray:
         """A hash of a candidate in its word."""
         with np.errstate(over="ignore"):
             return mixed(origin.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + merged.astype(np.uint64) + self.seed)
 
-    def _work_out(self, data: bytes, length: np.ndarray, skip: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def _place_one(self, origin: int, merged: int) -> int:
+        return mixed_one((origin * 0xD1342543DE82EF95 + merged + int(self.seed)) & 0xFFFFFFFFFFFFFFFF)
+
+    def _work_out(self, data: bytes, length: np.ndarray, skip: Skip, skip_one: Callable[[int, int, int], bool]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units, each of some bytes of data."""
         code = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
         lead = np.concatenate([[0], np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
         end = np.cumsum(length)
-        sym, n = merge(self.symbol[code], lead[end] - lead[end - length], self.pairs, skip)
+        sym, n = merge(self.symbol[code], lead[end] - lead[end - length], self.pairs, skip, skip_one)
         rare = sym < 0
         if not rare.any():
             return sym, n
@@ -109,7 +112,10 @@ class Model:
             places.append(self._place(origin, merged))
             return np.zeros(len(word), bool)
 
-        ids, n = self._work_out(data, length, note)
+        long: list[tuple[int, int, int]] = []
+        ids, n = self._work_out(data, length, note, lambda *taken: long.append(taken))
+        if long:
+            note(*(np.array(x, np.int64) for x in zip(*long, strict=True)))
         word, place = np.concatenate(words), np.concatenate(places)
         place = place[np.argsort(word, kind="stable")]
         taken = np.bincount(word, minlength=len(length))
@@ -158,7 +164,11 @@ class Model:
                 again[of[mixed_quietly(keys[of] ^ (low | high << np.uint64(32))) < self.limit]] = True
                 at = np.flatnonzero(again)
                 own = keys[at]
-                ids, n_own = self._work_out(*spelled(at), lambda word, origin, merged, own=own: mixed_quietly(own[word] ^ self._place(origin, merged)) < self.limit)
+                ids, n_own = self._work_out(
+                    *spelled(at),
+                    lambda word, origin, merged, own=own: mixed_quietly(own[word] ^ self._place(origin, merged)) < self.limit,
+                    lambda word, origin, merged, own=own: mixed_one(int(own[word]) ^ self._place_one(origin, merged)) < int(self.limit),
+                )
                 begin[at], taken[at], n[at] = len(flat) - 1 + np.cumsum(n_own) - n_own, 0, n_own
                 flat = np.concatenate([flat, ids])
             flat = flat[spans(begin + 1 + 2 * taken, n)].astype(np.int64)

@@ -2,16 +2,19 @@
 
 Every word has an agenda of its adjacent pairs that merge; the pair of lowest rank, the leftmost of equals, is taken
 from it first, as the tokenizer libraries do. Each round takes one candidate from the agenda of every word that has
-any.
+any. A word of more than LONG symbols has its agenda in a heap, and is worked out alone, in time n log n.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
 
 NONE = np.int64(1 << 40)
+#: Symbols of a word beyond which a heap is its agenda.
+LONG = 256
 
 
 class Table:
@@ -52,7 +55,7 @@ class Table:
 class Memo:
     """Ids by 64-bit keys, for a bounded number of keys and ids: when either is reached, all are forgotten."""
 
-    def __init__(self, most_keys: int = 1_000_000, most_ids: int = 10_000_000) -> None:
+    def __init__(self, most_keys: int = 200_000, most_ids: int = 2_000_000) -> None:
         self.most_keys, self.most_ids = most_keys, most_ids
         self._forget(most_keys)
 
@@ -105,17 +108,86 @@ class Pairs:
         return self.table.find(self._keys(left, right))
 
 
-def merge(
-    symbols: np.ndarray,
-    length: np.ndarray,
-    pairs: Pairs,
-    skip: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None,
-) -> tuple[np.ndarray, np.ndarray]:
+#: Which of the candidates taken are thrown away: of words and the places in them of the first symbol that the candidate's left side was
+#: made from, and what they would merge to.
+Skip = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def merge(symbols: np.ndarray, length: np.ndarray, pairs: Pairs, skip: Skip | None = None, skip_one: Callable[[int, int, int], bool] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The symbols of each word after all merges, and how many each word has.
 
-    skip(word, origin, merged) says which of the candidates taken from the agendas are thrown away; origin is the
-    place in the word of the first symbol that the candidate's left side was made from.
+    skip(word, origin, merged) says which of the candidates taken from the agendas are thrown away; skip_one is the same for one
+    candidate of a long word.
+    """
+    length = length.astype(np.int64)
+    is_long = length > LONG
+    if not is_long.any():
+        return in_rounds(symbols, length, pairs, skip)
+    begin = np.cumsum(length) - length
+    of_long = np.repeat(is_long, length)
+    at = np.flatnonzero(~is_long)
+    ids, n = in_rounds(symbols[~of_long], length[~is_long], pairs, skip and (lambda word, origin, merged: skip(at[word], origin, merged)))
+    each = np.split(ids, np.cumsum(n)[:-1]) if len(n) else []
+    found = dict(zip(at.tolist(), each, strict=True))
+    for i in np.flatnonzero(is_long).tolist():
+        one = skip_one and (lambda origin, merged, i=i: skip_one(i, origin, merged))
+        found[i] = by_heap(symbols[begin[i] : begin[i] + length[i]], pairs, one)
+    parts = [found[i] for i in range(len(length))]
+    return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def by_heap(symbols: np.ndarray, pairs: Pairs, skip: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """The symbols of one word after all merges: a heap of rank and place, and links to the next and the last symbol that is left.
+
+    A pair at a place only grows, so a rank that is not that of the pair which is there now, or none, is out of date.
     """
+    n = len(symbols)
+    sym, after, before = symbols.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+    slot = pairs(symbols[:-1].astype(np.int64), symbols[1:].astype(np.int64))
+    rank = pairs.rank[slot]
+    pending = np.where(rank < NONE, slot, -1).tolist()  # of each place: the slot of the pair that begins there
+    pending.append(-1)
+    at = np.flatnonzero(rank < NONE)
+    heap = ((rank[at] << 32) | at).tolist()
+    heapq.heapify(heap)
+    known: dict[tuple[int, int], int] = {}
+
+    def candidate(i: int) -> None:
+        j = after[i]
+        if j >= n:
+            pending[i] = -1
+            return
+        key = sym[i], sym[j]
+        s = known.get(key)
+        if s is None:
+            s = int(pairs(np.array([key[0]], np.int64), np.array([key[1]], np.int64))[0])
+            s = known[key] = s if pairs.rank[s] < NONE else -1
+        pending[i] = s
+        if s >= 0:
+            heapq.heappush(heap, (int(pairs.rank[s]) << 32) | i)
+
+    while heap:
+        top = heapq.heappop(heap)
+        i, s = top & 0xFFFFFFFF, pending[top & 0xFFFFFFFF]
+        if s < 0 or pairs.rank[s] != top >> 32:
+            continue
+        merged = int(pairs.merged[s])
+        if skip is not None and skip(i, merged):
+            pending[i] = -1
+            continue
+        j = after[i]
+        sym[i], sym[j], pending[j] = merged, None, -1
+        after[i] = after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        candidate(i)
+        if before[i] >= 0:
+            candidate(before[i])
+    return np.array([x for x in sym if x is not None], np.int64)
+
+
+def in_rounds(symbols: np.ndarray, length: np.ndarray, pairs: Pairs, skip: Skip | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """merge(), with one candidate of every word at a time."""
     sym, length = symbols.astype(np.int64), length.astype(np.int64)
     word = np.arange(len(length))
     origin = np.arange(len(sym)) - np.repeat(np.cumsum(length) - length, length)
