@@ -1,7 +1,8 @@
 """Packing of documents into sequences by the sum-of-squares rule.
 
 A document longer than a sequence is cut into full pieces and a rest; full pieces are sequences of their own. The
-rests are dealt by a hash into groups of about ``group`` documents, and each group is packed by itself, longest first:
+pieces are dealt by a hash of what they are into groups of about ``group`` documents (equal rows, which nothing tells apart, by their count), so
+that sequences never hang on partitions, and each group is packed by itself, longest first:
 a piece goes to the open sequence where the sum, over all gaps, of the squared number of open sequences with that gap
 becomes smallest; a new sequence is opened only where none has room, as few sequences are wanted. So a group ends with
 a few open sequences at most, and no task sees more than a group.
@@ -24,19 +25,21 @@ from pyspark.sql import functions as F
 from . import shared
 from .tokens import encoder
 
-PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
+#: Equal rows that are made again at once.
+COPIES = 10_000
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
-    """A row for each piece of each document: PIECES, and the ids themselves if wanted. row counts a task's documents."""
+    """A row for each piece of each document: PIECES, and the ids themselves if wanted."""
     schema = PIECES + (", ids array<long>" if with_ids else "")
 
     def cut(batches):
-        enc, row = encoder(path), 0
+        enc = encoder(path)
         for batch in batches:
             doc_id, done = batch.column(0), 0
             for flat, at in enc.ids(batch.column(1)):
-                out: list[list] = [[] for _ in range(5 + with_ids)]
+                out: list[list] = [[] for _ in range(4 + with_ids)]
                 whole = doc_id.slice(done, len(at) - 1)
                 done += len(at) - 1
                 owner = []
@@ -45,14 +48,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int, with_ids: boo
                     for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         owner.append(k)
-                        values = (row + k, piece, start, len(part), zlib.crc32(part.tobytes()))
+                        values = (piece, start, len(part), zlib.crc32(part.tobytes()))
                         for column, x in zip(out, values + ((part.astype(np.int64),) if with_ids else ()), strict=True):
                             column.append(x)
-                row += len(at) - 1
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [whole.take(pa.array(owner, pa.int64())), *[pa.array(x, t) for x, t in zip(out, kinds, strict=False)]],
-                    ["doc_id", "row", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.whole_text().alias("text")).mapInArrow(cut, schema)
@@ -86,13 +88,13 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, group: int = 4096, with_ids: bool = False) -> DataFrame:
-    """PIECES without row, with sequence_id and offset, and the ids if wanted."""
+    """PIECES, with sequence_id and offset, and the ids if wanted."""
     groups = max(1, -(-docs.count() // group))
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
+    schema = PIECES + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
 
     def packed(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["length", "doc_id", "piece", "row"], ascending=[False, True, True, True], na_position="first", kind="stable")
+        x = x.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], na_position="first", kind="stable")
         size = x["length"].to_numpy()
         full = int((size == capacity).sum())
         sequence, offset = sum_of_squares(size[full:], capacity)
@@ -100,9 +102,9 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, grou
         x["offset"] = np.concatenate([np.zeros(full, np.int64), offset])
         return x[[*columns, "sequence_id", "offset"]]
 
-    found = pieces(docs, path, capacity, end_id, with_ids)
-    return (
-        found.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", "row"), F.lit(groups)))
-        .groupBy("group")
-        .applyInPandas(packed, schema)
-    )
+    found = pieces(docs, path, capacity, end_id, with_ids).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    # equal rows once each, some thousands at a time
+    runs = found.withColumn("run", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES))))
+    each = runs.withColumn("copy", F.explode(F.sequence(F.col("run") * COPIES, F.least(F.col("n"), (F.col("run") + 1) * COPIES) - 1))).drop("n", "run")
+    group_of = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy"), F.lit(groups))
+    return each.withColumn("group", group_of).groupBy("group").applyInPandas(packed, schema)
