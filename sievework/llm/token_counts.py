@@ -5,7 +5,8 @@ normalisation). Texts whose key the cache has get the stored count; each distinc
 count appended to the cache.
 
 The normalised content has each run of ASCII white space as one space, and none at the ends, where the tokenizer drops
-white space anyway; for others it is the text itself.
+white space anyway; for others it is the text itself. Digests are made where the texts are, once for the rows and once for the distinct
+texts, which alone are shuffled. Counts of texts that many rows have are sent to all executors, so that no task gets all those rows.
 
 Cases: a null text counts as the empty one; repeated rows each get their count; the cache may hold a key twice (from
 jobs at the same time); an empty table gives an empty result and leaves the cache as it is; columns may have any other
@@ -68,6 +69,5 @@ def counted(docs: DataFrame, cache: str, path: str, limit: int = 2048) -> DataFr
     fill(docs, cache, path)
     text = shared.whole_text()
     keyed = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), digest(text, bool(by_words(path))).alias("digest"))
-    return keyed.join(stored(docs.sparkSession, cache, version(path)), "digest", "left").select(
-        "doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
-    )
+    found = shared.looked_up(shared.written(keyed, "digests"), stored(docs.sparkSession, cache, version(path)), "digest")
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

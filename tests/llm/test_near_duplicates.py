@@ -1,17 +1,24 @@
 """Operator 2 and the pipeline."""
 
 import itertools
+import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sievework.llm import ngram_join, queries, shared
+from sievework.llm import ngram_join, queries, shared, toxicity
 from sievework.llm.components import components
 
+from .by_hand import kept_by_hand, score_by_hand
+from .conftest import KIND
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -74,6 +81,31 @@ class TestJoin:
         monkeypatch.setattr(ngram_join, "AT_A_TIME", 700)
         monkeypatch.setattr(ngram_join, "MOST_SENT", 3)
         assert got(docs, n=4, percent=85) == want and len({k[2] for k in want}) > 31
+        monkeypatch.setattr(ngram_join, "SUBLIST", 5)  # all lists of the family in sublists
+        assert got(docs, n=4, percent=85) == want
+        monkeypatch.setattr(ngram_join, "CENTERS", (1, 2))
+        assert got(docs, n=4, percent=85) == want
+
+    def test_lists_come_whole(self):
+        rng = np.random.default_rng(4)
+        rows = sorted({(int(t), int(s), int(c)) for t, s, c in rng.integers(0, (30, 3, 40), (900, 3))} | {(7, 0, k) for k in range(100, 400)})
+        rows = [r for r in rows for _ in range(1 + r[2] % 2)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 50], strict=True)], ["token", "salt", "c"]) for i in range(0, len(rows), 50)]
+        for at_once in (1, 60, 10_000):
+            found = []
+            for x, begin, end in ngram_join.lists(batches, ("token", "salt", "c"), at_once):
+                found += [[(int(x["token"][i]), int(x["salt"][i]), int(x["c"][i])) for i in range(a, b)] for a, b in zip(begin, end, strict=True)]
+            assert found == [list(g) for _, g in itertools.groupby(sorted(set(rows)), lambda r: r[:2])]
+
+    def test_frequent_shingles(self, monkeypatch):
+        monkeypatch.setattr(ngram_join, "AT_ONCE", 40)
+        monkeypatch.setattr(ngram_join, "MOST_FREQUENT", 3)
+        f = ngram_join.Frequent()
+        for _ in range(30):
+            f.add(np.array([1, 2, 3, 9], np.uint64))
+            f.add(np.array([1, 3], np.uint64))
+        f.tally()
+        assert dict(zip(f.tokens.tolist(), f.count.tolist(), strict=True))[1] == 60 and len(f.tokens) == 3
 
     def test_index_by_brute_force(self):
         rng = np.random.default_rng(1)
@@ -125,8 +157,30 @@ class TestPipeline:
             now = Counter(r["doc_id"] for r in docs.collect())
             assert docs.columns == columns and (ids is None or now <= ids)
             ids = now
-        last = corpus_pipeline.run(spark, folder).collect()
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, folder).collect()
         assert Counter(r["doc_id"] for r in last if r["piece"] == 0) == ids
 
+    def test_each_stage_by_brute_force(self, spark, mixed_rows, mixed_labels, tmp_path):
+        spark.createDataFrame(mixed_rows, KIND).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(mixed_labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+        docs, text = shared.table(spark, str(tmp_path), "documents"), {r[0]: r[1] for r in mixed_rows}
+        steps = []
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = shared.written(stage(spark, docs, str(tmp_path)), name)
+            steps.append({r["doc_id"] for r in docs.collect()})
+            assert docs.count() == len(steps[-1])
+        good, civil, unlike = steps
+        assert good == {i for i, (_, kept) in kept_by_hand(mixed_rows, mixed_labels).items() if kept} and 600 < len(good) < 1100
+        # toxicity: the model that the stage's own labelled texts give, scored text by text
+        learned = sorted(i for i, _, x in mixed_labels if i in good and zlib.crc32(str(i).encode()) % 3 != 1)
+        model = toxicity.train([text[i] for i in learned], np.array([int(i % 7 == 0) for i in learned]))
+        assert civil == {i for i in good if 1 / (1 + math.exp(-score_by_hand(model, text[i]))) < 0.7} and 0.8 < len(civil) / len(good) < 0.95
+        ids = sorted(civil)
+        root = roots_by_hand(sets_by_hand([(i, text[i]) for i in ids], 5), 80)
+        assert unlike == {ids[k] for k in set(root)} and 20 <= len(civil) - len(unlike)
+        count = Tokenizer.from_file(queries.vocabulary())
+        last = corpus_pipeline.run(spark, str(tmp_path)).collect()
+        assert Counter((r["doc_id"], r["piece"], r["length"]) for r in last) == Counter((i, 0, len(count.encode(text[i], add_special_tokens=False).ids) + 1) for i in unlike)
+
     def test_all_operators_are_registered(self):
         assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)

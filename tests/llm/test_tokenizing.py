@@ -1,6 +1,7 @@
 """Operators 1, 5 and 7: token ids against the libraries, exact round trips, packing and the cache of counts."""
 
 import random
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sievework.llm import merge_dropout, packing, shared, token_counts
-from sievework.llm.merges import Memo, Pairs, Table, merge
+from sievework.llm.merges import Memo, Pairs, Table, in_rounds, merge
+from sievework.llm.text import Texts, mixed, mixed_one
 from sievework.llm.tokens import Encoder
 
 WORDS, BYTES, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -39,6 +41,18 @@ class TestMerges:
         sym, n = merge(np.array([0, 1, 2, 0, 0, 0, 0, 1]), np.array([3, 0, 3, 2]), pairs)
         assert sym.tolist() == [0, 4, 5, 0, 3] and n.tolist() == [2, 0, 2, 1]
 
+    @pytest.mark.parametrize("share", [0.0, 0.3])
+    def test_a_heap_gives_what_rounds_give(self, share):
+        pairs, rng = merge_dropout.Model(PIECES, 0.0, 1).pairs, np.random.default_rng(2)
+        length = np.array([3, 700, 0, 40, 300])
+        letters = merge_dropout.Model(PIECES, 0.0, 1).symbol[rng.choice([ord(c) for c in "thearioné"], length.sum())]
+        gone = lambda word, origin, merged: mixed(word.astype(np.uint64) + mixed(origin.astype(np.uint64) + mixed(merged.astype(np.uint64)))) < np.uint64(share * 2**64)
+        gone_one = lambda word, origin, merged: mixed_one((word + mixed_one((origin + mixed_one(merged)) % 2**64)) % 2**64) < int(share * 2**64)
+        with np.errstate(over="ignore"):
+            a, n = merge(letters, length, pairs, gone, gone_one)
+            b, m = in_rounds(letters, length, pairs, gone)
+        assert a.tolist() == b.tolist() and n.tolist() == m.tolist() and n.sum() < length.sum()
+
     def test_memo_forgets_and_goes_on(self):
         m, work = Memo(most_keys=3), lambda keys: (lambda at: (np.repeat(keys[at], 2).astype(np.uint32), np.full(len(at), 2)))
         for part in ([1, 2, 2], [3, 4, 5, 6], [1, 6]):
@@ -109,6 +123,39 @@ class TestMergeDropout:
             count += len(sym) == 1
         return count / n
 
+    def test_as_a_plain_agenda(self):
+        """With the same key, a slow agenda in plain Python gives the same pieces."""
+        sp, m = sentencepiece.SentencePieceProcessor(model_file=PIECES), merge_dropout.Model(PIECES, 0.25, 9)
+        score = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size())}
+        text, salt = "the situation of information " * 6 + "antidisestablishmentarianism" * 12, merge_dropout.salts(pa.array([77]))
+        got = next(iter(m.encode(pa.array([text]), salt)))[0].tolist()
+        t = Texts(np.frombuffer((" " + text).encode(), np.uint8), np.array([0, len(text) + 1]))
+        stops = t.ends
+        words = t.hashes(np.concatenate([[0], stops[:-1]]), stops)
+        with np.errstate(over="ignore"):
+            keys = mixed(words + mixed(salt + mixed(np.arange(len(words)).astype(np.uint64) + m.seed))).tolist()
+        want = []
+        for word, key in zip(text.split(), keys, strict=True):
+            sym, off = [(c, k) for k, c in enumerate("\u2581" + word)], set()
+            while found := [(-score[a + b], i) for (a, i), (b, _) in zip(sym, sym[1:], strict=False) if a + b in score and (i, a + b) not in off]:
+                origin = min(found)[1]
+                i = next(k for k, (_, at) in enumerate(sym) if at == origin)
+                merged = sym[i][0] + sym[i + 1][0]
+                if mixed_one(key ^ m._place_one(origin, sp.piece_to_id(merged))) < int(m.limit):
+                    off.add((origin, merged))
+                else:
+                    sym[i : i + 2] = [(merged, origin)]
+            want += [sp.piece_to_id(x) for x, _ in sym]
+        assert got == want and len(words) == 25
+
+    def test_a_very_long_word(self):
+        rng = np.random.default_rng(3)
+        word = bytes(rng.choice(np.frombuffer(b"etaoinshrdlu", np.uint8), 300_000)).decode()
+        m, began = merge_dropout.Model(PIECES, 0.1, 1), time.time()
+        (ids, _, t), = m.encode(pa.array([word]), np.zeros(1, np.uint64))
+        assert time.time() - began < 40 and m.decode(ids).tobytes() == t.data.tobytes()
+        assert len(ids) > len(sentencepiece.SentencePieceProcessor(model_file=PIECES).encode(word))
+
     def test_remembered_or_not_the_same(self, odd_rows):
         texts = [t or "" for _, t, *_ in odd_rows]
         salts = merge_dropout.salts(pa.array(range(len(texts))))
@@ -151,6 +198,15 @@ class TestPacking:
         used, least = self.check(packing.pack(clashing, WORDS, capacity), odd_rows, library, capacity)
         assert used <= least * 1.01 + 1
 
+    def test_sequences_do_not_hang_on_partitions(self, odd):
+        a, b = (sorted(map(str, packing.pack(odd.repartition(n), WORDS, 256, group=10).collect())) for n in (1, 5))
+        assert a == b
+
+    def test_equal_rows_by_the_thousand(self, spark, library, monkeypatch):
+        monkeypatch.setattr(packing, "COPIES", 7)
+        rows = [(1, "one two")] * 50 + [(2, "one two"), (None, None)]
+        self.check(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, 16, group=10), rows, library, 16)
+
     def test_many_groups(self, odd, odd_rows, library):
         used, least = self.check(packing.pack(odd, WORDS, 256, group=10), odd_rows, library, 256)
         assert used <= least * 1.3
@@ -208,6 +264,13 @@ class TestTokenCounts:
         b = token_counts.counted(odd, cache, PIECES).agg(F.sum("n_tokens")).first()[0]
         assert a != b and spark.read.parquet(cache).select("version").distinct().count() == 2
 
+    def test_common_texts_are_looked_up_apart(self, spark):
+        rows = spark.createDataFrame([(i, "often" if i < 40 else None if i < 50 else f"k{i}") for i in range(90)], "i long, k string")
+        values = spark.createDataFrame([("often", 1)] + [(f"k{i}", i) for i in range(50, 80)], "k string, v long")
+        for least in (10, 1000):
+            got = {r["i"]: r["v"] for r in shared.looked_up(rows, values, "k", 5, least).collect()}
+            assert got == {i: 1 if i < 40 else i if 50 <= i < 80 else None for i in range(90)}
+
     def test_white_space_is_normal(self, spark):
         d = spark.createDataFrame([(1, "a  b\n"), (2, "a b"), (3, "A b")], "doc_id long, text string")
         cache = shared.scratch(spark, "cache")
