@@ -20,21 +20,23 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = met.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+    return out.where("u <> v")
+
+
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, which is no u itself. Stars keep what is connected, so these then are the components."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up * down > 0").limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of each node of edges u, v; nodes without edges are not there.
 
-    Each round is a table in the shared folder, and the one before it goes. Every component becomes a star in about log(n)**2 rounds;
-    then a round changes nothing, and this ends.
+    Each round is a table in the shared folder, and the one before it goes. Every component becomes a star in about log(n)**2 rounds,
+    which ends this. For more edges to components that are known, give their stars with the edges.
     """
     with shared.Workspace(edges.sparkSession, "components") as work:
-        now, before = work.written(edges.where("u <> v").select("u", "v").distinct(), "edges"), None
-        while True:
-            mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-            if mark == before or not mark[0]:
-                stars = now.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("root"))
-                return shared.written(stars.unionAll(stars.select(F.col("root").alias("node"), "root").distinct()), "roots")
-            before = mark
-            now = work.rewritten(_star(_star(now, True), False), "edges")
+        now = work.written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        while not _is_forest_of_stars(now):
+            now = work.rewritten(_star(_star(now, True), False).distinct(), "edges")
+        return shared.written(now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select("v", "v").distinct()), "roots")

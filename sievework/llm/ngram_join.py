@@ -547,6 +547,15 @@ def more_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, sets: Data
     return sets.unionAll(work.written(sets_of(docs, classes, wanted.join(sets.select("c"), "c", "left_anti"), n, work), "sets"))
 
 
+def linked(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """c and root of the components that roots, as far as there are any, and links u, v give together."""
+    if roots is not None:
+        if links.limit(1).count() == 0:
+            return roots
+        links = links.unionAll(roots.select("c", "root"))
+    return components(links).withColumnRenamed("node", "c")
+
+
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """key, doc_id, hash, n_shingles, root (a number of the component; null for the empty set) and component_id of each
     document; documents link at ``percent`` of 100 or more. It is a table in the shared folder."""
@@ -565,15 +574,13 @@ def _joined(docs: DataFrame, n: int, percent: int, work: shared.Workspace) -> Da
     live = work.rewritten(live.join(in_enough_lists(live, percent), "c", "left_semi").select(*POSTING), "postings")
     hot = live.where("of > 1").limit(1).count() > 0
 
-    roots = links = sets = tried = None
+    roots = sets = tried = None
     for turn, centers in enumerate(CENTERS):
         pairs = stars(rooted(live, roots), percent, centers, turn, hot)
         pairs = work.written(pairs if tried is None else pairs.join(tried, ["lo", "hi"], "left_anti"), "pairs")
         tried = pairs.select("lo", "hi") if tried is None else tried.unionAll(pairs.select("lo", "hi"))
         sets = more_sets(docs, classes, pairs.select(F.col("a").alias("c")).unionAll(pairs.select("b")), sets, n, work)
-        found_links = work.written(checked(pairs, sets, percent), "links")
-        links = found_links if links is None else links.unionAll(found_links)
-        roots = components(links).withColumnRenamed("node", "c")
+        roots = linked(roots, work.written(checked(pairs, sets, percent), "links"))
 
     rest = apart(rooted(live, roots), percent, hot).withColumns({"lo": F.least("a", "root"), "hi": F.greatest("a", "root")})
     # a class without a link is its own component, and may have been tried with a before
@@ -585,7 +592,7 @@ def _joined(docs: DataFrame, n: int, percent: int, work: shared.Workspace) -> Da
     members = work.written(roots.join(asked_for, "root", "left_semi").select("c", "root").unionAll(single), "members")
     sets = more_sets(docs, classes, rest.select(F.col("a").alias("c")).unionAll(members.select("c")), sets, n, work)
     late = work.written(checked_apart(rest, members, sets, percent), "links")
-    roots = components(links.unionAll(late)).withColumnRenamed("node", "c")
+    roots = linked(roots, late)
 
     of_class = classes.join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     least = of_class.groupBy("root").agg(F.min("doc_id").alias("component_id"))
