@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merge_dropout, ngram_join, packing, quality_classifier, quality_rules, resharding, token_counts, topk, toxicity, warc
+from . import divergence, merge_dropout, ngram_join, packing, quality_classifier, quality_rules, resharding, token_counts, topk, toxicity, warc
 from .shared import own_session, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,45 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), o AS MATERIALIZED (SELECT doc, lang, source, unnest(terms) AS term FROM d
+), k AS MATERIALIZED (SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT doc) >= 3
+), v AS MATERIALIZED (SELECT lang, count(*) AS v FROM k GROUP BY lang
+), c AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM o JOIN k USING (lang, term) GROUP BY ALL
+), g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d
+), t AS MATERIALIZED (
+  SELECT g.lang, g.source, coalesce(v, 0) AS v, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total
+  FROM g LEFT JOIN v ON g.lang = v.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), lt AS (SELECT lang, CAST(sum(total) AS HUGEINT) AS total FROM t GROUP BY lang
+), lc AS (SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM c GROUP BY ALL
+), s AS MATERIALIZED (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (t.total + t.v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (lc.n + 1)) // (lt.total + t.v) AS q
+  FROM t JOIN k ON k.lang = t.lang LEFT JOIN c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+  JOIN lt ON lt.lang = t.lang JOIN lc ON lc.lang = t.lang AND lc.term = k.term
+), p AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p ON p.lang = a.lang AND p.source = a.source AND p.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM s WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u
+)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+"""
