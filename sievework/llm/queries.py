@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import divergence, merge_dropout, ngram_join, packing, quality_classifier, quality_rules, resharding, token_counts, topk, toxicity, warc
+from . import divergence, fill_middle, merge_dropout, ngram_join, packing, quality_classifier, quality_rules, resharding, token_counts, topk, toxicity, url_filters, warc
 from .shared import own_session, scratch, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,63 @@ WITH d AS (
 )
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
 """
+
+
+#: The rules of the query, with their verdicts.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where no rule fits, urls are blocked whose pages all repeat the html of pages with smaller ids."""
+    pages = table(spark, sf_dir, "pages")
+    return url_filters.judged(pages, url_filters.rule_table(spark, RULES), url_filters.only_copies(pages))
+
+
+ORACLES["op12_url_filters"] = r"""
+WITH p AS (
+  SELECT page_id, coalesce(url, '') AS url, sha256(coalesce(html, '')) AS digest,
+    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+  FROM pages
+), h AS (
+  SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, page_id = min(page_id) OVER (PARTITION BY digest) AS first
+  FROM p
+), u AS (SELECT url, bool_or(first) AS own FROM h GROUP BY url
+), r(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')
+), f AS (
+  SELECT page_id, max_by({'rule': r.host || r.path, 'verdict': verdict}, length(r.host || r.path)) AS best
+  FROM h JOIN r ON (h.host = r.host OR ends_with(h.host, '.' || r.host)) AND starts_with(h.path, r.path) GROUP BY page_id
+)
+SELECT h.page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN own THEN 'allow' ELSE 'block' END) AS verdict
+FROM h JOIN u USING (url) LEFT JOIN f USING (page_id)
+"""
+
+
+@query
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op13_fill_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), n AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT *, coalesce(array_to_string(u[1:least(a, b)], ''), '') AS prefix, coalesce(array_to_string(u[least(a, b) + 1:greatest(a, b)], ''), '') AS middle,
+    coalesce(array_to_string(u[greatest(a, b) + 1:n], ''), '') AS suffix
+  FROM n
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
