@@ -25,17 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .merges import Memo, Pairs, Skip, merge
+from .merges import Memo, Pairs, Skip, merge, spans
 from .text import Texts, mixed, mixed_one, texts
 
 SPACE = "▁"
 
 
-def spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """begin, begin + 1 and so on, n of each, one span after the other."""
-    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 def mixed_quietly(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         return mixed(x)
@@ -151,7 +146,7 @@ class Model:
                 length = stops[at] - starts[at]
                 return t.data[spans(starts[at], length)].tobytes(), length
 
-            flat, size = self.memo.get(words, lambda at, spelled=spelled: self._undropped(*spelled(at)))
+            flat, size = self.memo.get(words, t.data, starts, stops, lambda at, spelled=spelled: self._undropped(*spelled(at)))
             begin = np.cumsum(size) - size
             taken = flat[begin].astype(np.int64)
             n = size - 1 - 2 * taken

@@ -13,8 +13,8 @@ from collections.abc import Callable
 import numpy as np
 
 NONE = np.int64(1 << 40)
-#: Symbols of a word beyond which a heap is its agenda.
-LONG = 256
+#: Symbols of a word beyond which a heap is its agenda; bytes of words compared at once.
+LONG, AT_ONCE = 256, 1 << 20
 
 
 class Table:
@@ -53,41 +53,84 @@ class Table:
 
 
 class Memo:
-    """Ids by 64-bit keys, for a bounded number of keys and ids: when either is reached, all are forgotten."""
+    """Ids of words by 64-bit keys, for a bounded number of words, bytes and ids: when one is reached, all are forgotten.
 
-    def __init__(self, most_keys: int = 200_000, most_ids: int = 2_000_000) -> None:
-        self.most_keys, self.most_ids = most_keys, most_ids
+    Words are kept beside their ids, and a word found by its key is compared; one that differs is worked out by itself.
+    """
+
+    def __init__(self, most_keys: int = 200_000, most_ids: int = 2_000_000, most_bytes: int = 8_000_000) -> None:
+        self.most_keys, self.most_ids, self.most_bytes = most_keys, most_ids, most_bytes
         self._forget(most_keys)
 
     def _forget(self, room: int) -> None:
         self.table = Table(room)
-        self.begin, self.size = (np.zeros(len(self.table.keys), np.int32) for _ in "ab")
+        self.begin, self.size, self.at, self.length = (np.zeros(len(self.table.keys), np.int64) for _ in "abcd")
         self.pool, self.n_ids, self.n_keys = np.zeros(1 << 16, np.uint32), 0, 0
+        self.words, self.n_bytes = np.zeros(1 << 16, np.uint8), 0
+
+    @staticmethod
+    def _room(pool: np.ndarray, n: int) -> np.ndarray:
+        while n > len(pool):
+            pool = np.concatenate([pool, np.zeros_like(pool)])
+        return pool
 
-    def get(self, keys: np.ndarray, work_out: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        """All keys' ids, one after the other, and how many each key has.
+    def get(
+        self, keys: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, work_out: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (spans of data, with their keys), one after the other, and how many each has.
 
-        work_out gets the places of some keys that are not known, and gives their ids and how many each has.
+        work_out gets the places of some words that are not known, and gives their ids and how many each has.
         """
+        length = ends - starts
         slot = self.table.find(keys)
         new = np.flatnonzero(self.table.keys[slot] != keys)
         if len(new):
             new = new[np.unique(keys[new], return_index=True)[1]]
-            if self.n_keys + len(new) > self.most_keys or self.n_ids > self.most_ids:
+            if self.n_keys + len(new) > self.most_keys or self.n_ids > self.most_ids or self.n_bytes > self.most_bytes:
                 new = np.unique(keys, return_index=True)[1]
                 self._forget(max(self.most_keys, len(new)))
             flat, n = work_out(new)
-            while self.n_ids + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool = self._room(self.pool, self.n_ids + len(flat))
             self.pool[self.n_ids : self.n_ids + len(flat)] = flat
+            spelled = data[spans(starts[new], length[new])]
+            self.words = self._room(self.words, self.n_bytes + len(spelled))
+            self.words[self.n_bytes : self.n_bytes + len(spelled)] = spelled
             slot = self.table.put(keys[new])
             self.begin[slot], self.size[slot] = self.n_ids + np.cumsum(n) - n, n
+            self.at[slot], self.length[slot] = self.n_bytes + np.cumsum(length[new]) - length[new], length[new]
             self.n_ids += len(flat)
+            self.n_bytes += len(spelled)
             self.n_keys += len(new)
             slot = self.table.find(keys)
-        n = self.size[slot].astype(np.int64)
-        end = np.cumsum(n)
-        return self.pool[np.repeat(self.begin[slot] - (end - n), n) + np.arange(end[-1] if len(end) else 0)], n
+        begin, n, flat = self.begin[slot], self.size[slot], self.pool
+        other = self._others(slot, data, starts, length)
+        if len(other):
+            own, n_own = work_out(other)
+            flat = np.concatenate([self.pool[: self.n_ids], own.astype(np.uint32)])
+            n = n.copy()
+            begin[other], n[other] = self.n_ids + np.cumsum(n_own) - n_own, n_own
+        return flat[spans(begin, n)], n
+
+    def _others(self, slot: np.ndarray, data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The places of words that are not those which their keys stand for."""
+        other = self.length[slot] != length
+        same = np.flatnonzero(~other)
+        stop, lo = np.cumsum(length[same]), 0
+        while lo < len(same):
+            before = int(stop[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(stop, before + AT_ONCE, "right")))
+            some = same[lo:hi]
+            n = length[some]
+            differ = self.words[spans(self.at[slot[some]], n)] != data[spans(starts[some], n)]
+            if differ.any():
+                other[np.repeat(some, n)[differ]] = True
+            lo = hi
+        return np.flatnonzero(other)
+
+
+def spans(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1 and so on, n of each, one span after the other."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
 class Pairs:

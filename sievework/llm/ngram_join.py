@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .components import components
-from .text import BASE, Texts, mixed, texts
+from .text import Texts, mixed, multipliers, texts
 
 #: Shingles counted at once, how often one must be there to count as frequent, and how many frequent ones are told to all.
 AT_ONCE, OFTEN, MOST_FREQUENT = 500_000, 3, 200_000
@@ -69,8 +69,7 @@ def shingles(t: Texts, n: int) -> list[np.ndarray]:
             out.append(np.unique(windows[a : b - n + 1]))
         elif b > a:
             with np.errstate(over="ignore"):
-                powers = np.array([pow(BASE, j + 1, 1 << 64) for j in range(b - a)], np.uint64)
-                out.append(mixed((words[a:b] * powers).sum(keepdims=True) + np.uint64(b - a)))
+                out.append(mixed((words[a:b] * multipliers(0, b - a)).sum(keepdims=True) + np.uint64(b - a)))
         else:
             out.append(windows[:0])
     return out

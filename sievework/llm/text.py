@@ -1,7 +1,7 @@
 """Words, lines and hashes of whole texts, by numpy over the UTF-8 bytes of Arrow batches.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. None of those bytes occurs inside a longer UTF-8 sequence, so spans of bytes
-are spans of text. Hashes have 64 bits.
+are spans of text. Hashes have 64 bits; where equal ones must be equal words, the words are compared.
 """
 
 from __future__ import annotations
@@ -41,20 +41,40 @@ def mixed_one(x: int) -> int:
 
 with np.errstate(over="ignore"):
     BYTE_VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i < n."""
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        for k, base in enumerate((BASE, BASE_INVERSE)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0], _powers[1]
+def multipliers(begin: int, end: int) -> np.ndarray:
+    """A multiplier for each place, drawn as if at random, so that no pattern of bytes makes sums of products meet as it does with powers of a base."""
+    with np.errstate(over="ignore"):
+        return mixed((np.arange(begin, end, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+
+
+#: Bytes hashed at once, and the multipliers of the first places.
+AT_ONCE = 1 << 20
+FIRST = multipliers(0, 1 << 12)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span of data, none of them empty: the sum of each byte's value times its place's multiplier, and the length, mixed."""
+    size = ends - starts
+    out = np.zeros(len(size), np.uint64)
+    stop, lo = np.cumsum(size), 0
+    with np.errstate(over="ignore"):
+        while lo < len(size):
+            before = int(stop[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(stop, before + AT_ONCE, "right")))
+            if size[lo] > AT_ONCE:
+                for a in range(0, int(size[lo]), AT_ONCE):
+                    b = min(a + AT_ONCE, int(size[lo]))
+                    out[lo] += (BYTE_VALUE[data[starts[lo] + a : starts[lo] + b]] * multipliers(a, b)).sum()
+            else:
+                n, end = size[lo:hi], stop[lo:hi] - before
+                place = np.arange(end[-1]) - np.repeat(end - n, n)
+                most = int(n.max())
+                by = FIRST if most <= len(FIRST) else multipliers(0, most)
+                out[lo:hi] = np.add.reduceat(BYTE_VALUE[data[place + np.repeat(starts[lo:hi], n)]] * by[place], end - n)
+            lo = hi
+        return mixed(out + size.astype(np.uint64))
 
 
 @dataclass
@@ -65,7 +85,6 @@ class Texts:
     offsets: np.ndarray
 
     def __post_init__(self) -> None:
-        self._sums: np.ndarray | None = None
         n, at = len(self.data), self.offsets
         is_word = ~IS_SEPARATOR[self.data]
         before = np.zeros(n, bool)
@@ -89,12 +108,7 @@ class Texts:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of the bytes of each span."""
-        up, down = powers(len(self.data) + 1)
-        with np.errstate(over="ignore"):
-            if self._sums is None:
-                self._sums = np.zeros(len(self.data) + 1, np.uint64)
-                np.cumsum(BYTE_VALUE[self.data] * up[: len(self.data)], out=self._sums[1:])
-            return mixed((self._sums[ends] - self._sums[starts]) * down[starts])
+        return hashed(self.data, starts, ends)
 
     def word_hashes(self) -> np.ndarray:
         return self.hashes(self.starts, self.ends)
@@ -105,10 +119,10 @@ class Texts:
         full = np.zeros(n, bool)
         last = np.repeat(self.first[1:], self.n_words)
         full[:] = np.arange(n) + k <= last
-        out = np.zeros(n, np.uint64)
+        out, by = np.zeros(n, np.uint64), multipliers(0, k)
         with np.errstate(over="ignore"):
             for j in range(min(k, n)):
-                out[: n - j] += hashes[j:] * np.uint64(pow(BASE, j + 1, 1 << 64))
+                out[: n - j] += hashes[j:] * by[j]
             return mixed(out), full
 
     def per_text(self, values: np.ndarray) -> np.ndarray:

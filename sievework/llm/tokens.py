@@ -1,7 +1,7 @@
 """Token ids of whole texts as the public tokenizers' libraries give them, faster.
 
 A tokenizer that drops white space and never joins across it gives a text the ids of its words, one after the other.
-For such a tokenizer a word's ids are worked out once and remembered, by a 64-bit hash of the word, for a bounded number
+For such a tokenizer a word's ids are worked out once and remembered, beside the word, for a bounded number
 of words: for words of common Latin letters and printable ASCII by numpy merges of the vocabulary's own pairs, for all
 others by the library.
 """
@@ -144,7 +144,7 @@ class Encoder:
                 ids = self._words([raw[a:b].decode() for a, b in spans])
                 return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
 
-            flat, n = self.memo.get(t.word_hashes(), work_out)
+            flat, n = self.memo.get(t.word_hashes(), t.data, t.starts, t.ends, work_out)
             yield flat, np.concatenate([[0], np.cumsum(n)])[t.first]
 
 

@@ -14,9 +14,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sievework.llm import merge_dropout, packing, shared, token_counts
+from sievework.llm import merge_dropout, ngram_join, packing, quality_rules, shared, text, token_counts
 from sievework.llm.merges import Memo, Pairs, Table, in_rounds, merge
-from sievework.llm.text import Texts, mixed, mixed_one
+from sievework.llm.text import Texts, mixed, mixed_one, texts
 from sievework.llm.tokens import Encoder
 
 WORDS, BYTES, PIECES = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -56,10 +56,60 @@ class TestMerges:
     def test_memo_forgets_and_goes_on(self):
         m, work = Memo(most_keys=3), lambda keys: (lambda at: (np.repeat(keys[at], 2).astype(np.uint32), np.full(len(at), 2)))
         for part in ([1, 2, 2], [3, 4, 5, 6], [1, 6]):
-            keys = np.array(part, np.uint64)
-            flat, n = m.get(keys, work(keys))
+            keys, words = np.array(part, np.uint64), np.array(part, np.uint8)
+            at = np.arange(len(part))
+            flat, n = m.get(keys, words, at, at + 1, work(keys))
             assert flat.tolist() == np.repeat(part, 2).tolist() and n.tolist() == [2] * len(part)
 
+    def test_memo_compares_words_of_one_key(self):
+        data = np.frombuffer(b"abcabdabxyabc", np.uint8)
+        starts, ends = np.array([0, 3, 6, 10]), np.array([3, 6, 10, 13])
+        work = lambda at: (np.repeat(data[ends[at] - 1], ends[at] - starts[at]).astype(np.uint32), ends[at] - starts[at])
+        m = Memo()
+        for _ in range(2):
+            flat, n = m.get(np.full(4, 7, np.uint64), data, starts, ends, work)
+            assert n.tolist() == [3, 3, 4, 3] and bytes(flat.astype(np.uint8)) == b"cccdddyyyyccc"
+
+
+def complements(n=10):
+    """Two words of 2**n letters, of which one has b where the other has a: sums of their letters times powers of any odd base meet in 64 bits."""
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+class TestWordsThatPowersCannotTell:
+    def test_hashes(self):
+        for n in (10, 11, 12):
+            t = next(texts(pa.array([" ".join(complements(n))])))
+            assert len(set(t.word_hashes().tolist())) == 2
+
+    def test_long_spans_are_hashed_in_pieces(self, monkeypatch):
+        data = np.frombuffer(b"the same words, the same words; and others" * 9, np.uint8)
+        starts, ends = np.array([0, 10, 16, 40, 58]), np.array([9, 15, 30, 55, 300])
+        whole = text.hashed(data, starts, ends)
+        monkeypatch.setattr(text, "AT_ONCE", 16)
+        assert text.hashed(data, starts, ends).tolist() == whole.tolist() and len(set(whole.tolist())) == 5
+
+    @pytest.mark.parametrize("dropout", [0.0, 0.1])
+    def test_op1_is_lossless(self, spark, dropout):
+        x, y = complements()
+        docs = spark.createDataFrame([(1, f"{x} {y}"), (2, y), (3, x)], "doc_id long, text string").coalesce(1)
+        assert all(r["lossless"] for r in merge_dropout.digests(docs, PIECES, dropout).collect())
+
+    @pytest.mark.parametrize("path", [WORDS, PIECES])
+    def test_ids_are_the_library_s(self, path):
+        e, both = Encoder(path), [" ".join(complements(n)) for n in (10, 11)] + [" ".join(reversed(complements(10)))]
+        assert [f[a:b].tolist() for f, at in e.ids(pa.array(both)) for a, b in zip(at, at[1:], strict=False)] == [list(x) for x in e.library(both)]
+
+    def test_lines_and_shingles(self):
+        x, y = complements()
+        found = quality_rules.counts(pa.array([f"{x}\n{y}\n{x}"]))
+        assert found["n_dup_lines"].tolist() == [1]
+        a, b = (next(texts(pa.array([f"one {w} two three four"]))) for w in (x, y))
+        assert len(set(ngram_join.shingles(a, 3)[0].tolist()) & set(ngram_join.shingles(b, 3)[0].tolist())) == 1
+
 
 class TestEncoder:
     @pytest.mark.parametrize("path", [WORDS, BYTES, PIECES])
