@@ -7,7 +7,6 @@ regression on a vector column, whose gradient (p - y) x^T has the squared norm |
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
@@ -15,10 +14,11 @@ from typing import Protocol
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
+from .array_sums import added
 from .scalars import beside
 
 
@@ -90,67 +90,174 @@ def self_influence(df: DataFrame, id_col: str, scorer: Scorer, checkpoints: Sequ
     return gradient_norms(df, id_col, scorer, checkpoints).groupBy(id_col).agg(F.sum(rate * F.col("norm2")).alias("score"))
 
 
-def mean_gradients(df: DataFrame, dim: str, scorer: Scorer, checkpoints: Sequence[Checkpoint]) -> DataFrame:
-    """step, dim, n and the mean gradient (as a flat array) of the samples of each dimension at each checkpoint.
+#: Columns of a gradient's right side in a block, and bytes of gradients that a task holds.
+WIDTH, MOST_HELD = 1024, 1 << 26
 
-    Sums are made batch by batch, and then by component.
+
+def sides(df: DataFrame, scorer: Scorer, checkpoint: Checkpoint) -> tuple[int, int]:
+    """How many rows and columns a gradient has; none of an empty table."""
+    some = df.select(*scorer.columns).limit(1).toArrow().to_batches()
+    if not sum(b.num_rows for b in some):
+        return 0, 0
+    _, left, right = scorer(next(b for b in some if b.num_rows), checkpoint)
+    return left.shape[1], right.shape[1]
+
+
+def numbers(n: int) -> Column:
+    """0 to n - 1."""
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
+def in_groups(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The runs of equal values of some columns of numbers."""
+    values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+    change = np.zeros(batch.num_rows, bool)
+    change[:1] = True
+    for v in values:
+        change[1:] |= v[1:] != v[:-1]
+    at = np.flatnonzero(change)
+    for lo, hi in zip(at, np.append(at[1:], batch.num_rows), strict=True):
+        yield tuple(v[lo] for v in values), batch.slice(lo, hi - lo)
+
+
+def mean_gradients(df: DataFrame, dim: str, scorer: Scorer, checkpoints: Sequence[Checkpoint], width: int = WIDTH, most_held: int = MOST_HELD) -> DataFrame:
+    """step, dim, block, n and gradient: the mean gradient of the n samples of each dimension at each checkpoint, in blocks of ``width`` columns,
+    each a flat array.
+
+    A task sums up a group of blocks that fits in memory over all its samples, and gives each block away once. Where one group is not all blocks,
+    samples are dealt to each group. Partial sums of a block meet in one task, one after the other.
     """
+    rows, columns = sides(df, scorer, checkpoints[0])
+    blocks = -(-columns // width)
+    n_dims = df.select(dim).distinct().count()
+    at_once = max(1, most_held // max(1, 8 * rows * width * len(checkpoints) * n_dims))
+    groups = -(-blocks // at_once)
 
     def run(batches):
-        for b in batches:
-            names = np.array(b.column("__dim").to_pylist(), object)
-            for c in checkpoints:
-                _, left, right = scorer(b, c)
-                for d in pd.unique(names):
-                    at = names == d
-                    total = left[at].T @ right[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([c.step]), pa.array([d]), pa.array([int(at.sum())]), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["step", "dim", "n", "total"]
-                    )
+        n: dict[tuple, int] = {}
+        total: dict[tuple, np.ndarray] = {}
+        group = None
+
+        def give():
+            for key, x in total.items():
+                step, d, block = key
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([step]), pa.array([d], pa.string()), pa.array([block]), pa.array([float(n[key])]), pa.array([x.ravel().tolist()], pa.list_(pa.float64()))], ["step", "dim", "block", "n", "total"]
+                )
+            n.clear()
+            total.clear()
 
-    parts = df.select(F.col(dim).alias("__dim"), *scorer.columns).mapInArrow(run, "step long, dim string, n long, total array<double>")
-    n = parts.groupBy("step", "dim").agg(F.sum("n").alias("n"))
-    sums = parts.select("step", "dim", F.posexplode("total").alias("i", "x")).groupBy("step", "dim", "i").agg(F.sum("x").alias("x"))
-    flat = sums.groupBy("step", "dim").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("total"))
-    return flat.join(n, ["step", "dim"]).select("step", "dim", "n", F.transform("total", lambda x: x / F.col("n")).alias("gradient"))
+        for b in batches:
+            for (g,), part in in_groups(b, "__group"):
+                if g != group:
+                    yield from give()
+                    group = g
+                names = np.array(part.column("__dim").to_pylist(), object)
+                for c in checkpoints:
+                    _, left, right = scorer(part, c)
+                    for d in pd.unique(names):
+                        at = names == d
+                        for block in range(int(g) * at_once, min((int(g) + 1) * at_once, blocks)):
+                            key = c.step, d, block
+                            total[key] = total.get(key, 0.0) + left[at].T @ right[at, block * width : (block + 1) * width]
+                            n[key] = n.get(key, 0) + int(at.sum())
+        yield from give()
+
+    dealt = df.select(F.col(dim).cast("string").alias("__dim"), F.explode(numbers(max(groups, 1))).alias("__group"), *scorer.columns)
+    if groups > 1:
+        dealt = dealt.repartition("__group", F.pmod(F.hash(*scorer.columns), F.lit(64))).sortWithinPartitions("__group")
+    sums = added(dealt.mapInArrow(run, "step long, dim string, block long, n double, total array<double>"), ["step", "dim", "block"])
+    return sums.select("step", "dim", "block", F.col("n").cast("long").alias("n"), F.transform("total", lambda x: x / F.col("n")).alias("gradient"))
+
+
+def gradient_norms_of(gradients: DataFrame) -> DataFrame:
+    """step, dim, size and norm of the gradients that mean_gradients() gives."""
+    square = F.aggregate("gradient", F.lit(0.0), lambda s, x: s + x * x)
+    return gradients.groupBy("step", "dim").agg(F.sum(F.size("gradient")).cast("long").alias("size"), F.sqrt(F.sum(square)).alias("norm"))
 
 
 def validation_influence(
-    df: DataFrame, id_col: str, scorer: Scorer, checkpoints: Sequence[Checkpoint], gradients: DataFrame, normalize: bool = True, given_rates: bool = False, at_once: int = 64
+    df: DataFrame,
+    id_col: str,
+    scorer: Scorer,
+    checkpoints: Sequence[Checkpoint],
+    gradients: DataFrame,
+    normalize: bool = True,
+    given_rates: bool = False,
+    per_bucket: int = 200_000,
+    most_held: int = MOST_HELD,
 ) -> DataFrame:
     """id, dim and score: the sum over checkpoints of rate times the (cosine of the) inner product with the dimension's mean gradient.
 
-    gradients has a row for each checkpoint and dimension. ``at_once`` dimensions are scored in one pass over the samples, whose gradients
-    do not leave the batch.
+    gradients has the blocks that mean_gradients() gives. A task holds a group of blocks that fits in memory, of all checkpoints and dimensions, and a bucket of
+    samples passes by them, batch by batch; so blocks are sent once for each bucket, samples once for each group, and neither reaches the
+    driver. What a sample has with each group is added up by its id, so ids are unique.
     """
     gradients = written(gradients, "gradients")
-    names = sorted(r["dim"] for r in gradients.select("dim").distinct().collect())
-    passes = [names[k : k + at_once] for k in range(0, max(1, len(names)), at_once)]
-    each = [_influence_of(df, id_col, scorer, checkpoints, gradients.where(F.col("dim").isin(some)).collect(), normalize, given_rates) for some in passes]
-    return functools.reduce(DataFrame.unionByName, each)
-
-
-def _influence_of(df, id_col, scorer, checkpoints, rows: list, normalize: bool, given_rates: bool) -> DataFrame:
-    weight = rates(checkpoints, given_rates)
-    at = {c.step: [(r["dim"], np.array(r["gradient"], float)) for r in rows if r["step"] == c.step] for c in checkpoints}
-    dims = sorted({r["dim"] for r in rows})
+    norms = {(r["step"], r["dim"]): r["norm"] for r in gradient_norms_of(gradients).collect()}
+    names, weight = sorted({d for _, d in norms}), rates(checkpoints, given_rates)
+    kind = df.schema[id_col].dataType.simpleString()
+    if not names:
+        return df.sparkSession.createDataFrame([], f"{id_col} {kind}, dim string, score double")
+    rows, _ = sides(df, scorer, checkpoints[0])
+    ends = gradients.agg(F.max("block").alias("last"), F.max(F.size("gradient")).alias("size")).first()
+    width = ends["size"] // max(rows, 1)
+    at_once = max(1, most_held // max(1, 8 * ends["size"] * len(norms)))
+    groups, buckets = ends["last"] // at_once + 1, -(-df.count() // per_bucket) or 1
+    place = {key: k for k, key in enumerate((c.step, d) for c in checkpoints for d in names)}
 
     def run(batches):
+        held: dict[tuple[int, int], np.ndarray] = {}
+        where = None
         for b in batches:
-            total = {d: np.zeros(b.num_rows) for d in dims}
-            for c in checkpoints:
-                _, left, right = scorer(b, c)
-                own = np.sqrt((left**2).sum(1) * (right**2).sum(1))
-                for d, g in at[c.step]:
-                    inner = np.einsum("ij,ij->i", left @ g.reshape(left.shape[1], -1), right)
-                    if normalize:
-                        inner = inner / (np.maximum(own, 1e-12) * max(float(np.linalg.norm(g)), 1e-12))
-                    total[d] += weight[c.step] * inner
-            for d in dims:
-                yield pa.RecordBatch.from_arrays([b.column("__id"), pa.array([d] * b.num_rows), pa.array(total[d])], [id_col, "dim", "score"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("__id"), *scorer.columns).mapInArrow(run, f"{id_col} {kind}, dim string, score double")
+            for (group, bucket, sample), part in in_groups(b, "__group", "__bucket", "__sample"):
+                if where != (group, bucket):
+                    held, where = {}, (group, bucket)
+                if not sample:
+                    for i in range(part.num_rows):
+                        key = part.column("__step")[i].as_py(), part.column("__dim")[i].as_py()
+                        if key in place:
+                            held[place[key], part.column("__block")[i].as_py()] = part.column("__gradient")[i].values.to_numpy(zero_copy_only=False).reshape(rows, -1)
+                    continue
+                inner, own = np.zeros((part.num_rows, len(place))), np.zeros((part.num_rows, len(checkpoints)))
+                for i, c in enumerate(checkpoints):
+                    _, left, right = scorer(part, c)
+                    if group == 0:
+                        own[:, i] = np.sqrt((left**2).sum(1) * (right**2).sum(1))
+                    for (k, block), g in held.items():
+                        if i * len(names) <= k < (i + 1) * len(names):
+                            inner[:, k] += np.einsum("ij,ij->i", left @ g, right[:, block * width : block * width + g.shape[1]])
+                lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64())) for x in (inner, own)]
+                yield pa.RecordBatch.from_arrays([part.column("__id"), *lists], ["__id", "inner", "own"])
+
+    none = lambda t: F.lit(None).cast(t)
+    samples = df.select(
+        F.explode(numbers(groups)).alias("__group"), F.pmod(F.xxhash64(id_col), F.lit(buckets)).alias("__bucket"), F.lit(1).alias("__sample"),
+        none("long").alias("__step"), none("string").alias("__dim"), none("long").alias("__block"), none("array<double>").alias("__gradient"), F.col(id_col).alias("__id"), *scorer.columns,
+    )
+    blocks = gradients.select(
+        F.floor(F.col("block") / at_once).alias("__group"), F.explode(numbers(buckets)).alias("__bucket"), F.lit(0).alias("__sample"),
+        F.col("step").alias("__step"), F.col("dim").alias("__dim"), F.col("block").alias("__block"), F.col("gradient").alias("__gradient"), none(kind).alias("__id"),
+        *[none(df.schema[c].dataType.simpleString()).alias(c) for c in scorer.columns],
+    )
+    met = blocks.unionByName(samples).repartition("__group", "__bucket").sortWithinPartitions("__group", "__bucket", "__sample")
+    found = met.mapInArrow(run, f"__id {kind}, inner array<double>, own array<double>")
+    if groups > 1:
+        sums = [F.sum(F.get("inner", F.lit(k))).alias(f"i{k}") for k in range(len(place))] + [F.sum(F.get("own", F.lit(i))).alias(f"o{i}") for i in range(len(checkpoints))]
+        found = found.groupBy("__id").agg(*sums)
+    else:
+        found = found.select("__id", *[F.get("inner", F.lit(k)).alias(f"i{k}") for k in range(len(place))], *[F.get("own", F.lit(i)).alias(f"o{i}") for i in range(len(checkpoints))])
+    least = lambda x: F.greatest(x, F.lit(1e-12))
+
+    def score(d: str) -> Column:
+        out = F.lit(0.0)
+        for i, c in enumerate(checkpoints):
+            inner = F.col(f"i{place[c.step, d]}")
+            out = out + F.lit(weight[c.step]) * (inner / (least(F.col(f"o{i}")) * F.lit(max(norms.get((c.step, d), 0.0), 1e-12))) if normalize else inner)
+        return out
+
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), score(d).alias("score")) for d in names])).alias("x")
+    return found.select(F.col("__id").alias(id_col), each).select(id_col, "x.dim", "x.score")
 
 
 def multi_objective(scores: DataFrame, id_col: str, lambdas: dict[str, float]) -> DataFrame:

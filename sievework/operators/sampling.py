@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import written
-from .scalars import beside
+from .scalars import beside, beside_key
 
 
 def shuffle_key(seed: int | str, *ids: str) -> Column:
@@ -169,11 +169,22 @@ def temperature(step: Column, strategy: str = "linear", initial: float = 1.0, le
 
 
 def softmax(df: DataFrame, score: str, tau: str, by: str) -> DataFrame:
-    """p: the softmax of score / tau over the rows of a key."""
+    """p, the softmax of score / tau over the rows of a key, and n, how many these are.
+
+    The greatest score and the sum of a key are aggregated before they meet the rows, so a key's rows need not be in one task. Null keys are left out.
+    """
+    up = df.withColumn("__z", F.col(score) / F.col(tau))
+    up = beside_key(up, up.groupBy(by).agg(F.max("__z").alias("__most")), by).withColumn("__e", F.exp(F.col("__z") - F.col("__most")))
+    sums = up.groupBy(by).agg(F.sum("__e").alias("__sum"), F.count(F.lit(1)).alias("n"))
+    return beside_key(up.drop("n"), sums, by).withColumn("p", F.col("__e") / F.col("__sum")).drop("__z", "__most", "__e", "__sum")
+
+
+def softmax_of_few(df: DataFrame, score: str, tau: str, by: str) -> DataFrame:
+    """softmax() where a key has few rows."""
     group = Window.partitionBy(by)
     z = F.col(score) / F.col(tau)
     up = df.withColumn("__e", F.exp(z - F.max(z).over(group)))
-    return up.withColumn("p", F.col("__e") / F.sum("__e").over(group)).drop("__e")
+    return up.withColumns({"p": F.col("__e") / F.sum("__e").over(group), "n": F.count(F.lit(1)).over(group)}).drop("__e")
 
 
 def importance_weight(p: Column, n: Column, clip: float | None = 10.0) -> Column:
@@ -193,7 +204,7 @@ def importance_batches(
     order = Window.partitionBy(step).orderBy(shuffle_key(seed, id_col, step), id_col)
     few = losses.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= batch * multiplier)
     few = few.withColumn("tau", temperature(F.col(step), strategy, length=length))
-    scored = softmax(few, loss, "tau", step).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(step)))
+    scored = softmax_of_few(few, loss, "tau", step)
     if fallback is not None:
         scored = scored.join(fallback.select(step).distinct().withColumn("__uniform", F.lit(True)), step, "left")
         flat = F.coalesce("__uniform", F.lit(False))
@@ -249,11 +260,12 @@ def ema(etas: DataFrame, key: str, step: str, value: str = "eta", alpha: float =
     return blocks.select(key, last.alias("ema"), steps.alias("steps")).withColumn("use_uniform", F.coalesce(F.col("ema") < threshold, F.lit(False)))
 
 
-def running_ema(etas: DataFrame, key: str, step: str, value: str = "eta", alpha: float = 0.95) -> DataFrame:
-    """key, step and ema, the moving average of ema() after each step."""
+def running_ema(etas: DataFrame, key: str, step: str, value: str = "eta", alpha: float = 0.95, start: float | None = None) -> DataFrame:
+    """key, step and ema, the moving average of ema() after each step; with start, that of values before these."""
     rows, blocks = in_blocks(etas, key, step, value, alpha, twice=True)
     earlier = lambda b: F.slice("blocks", F.lit(1), b)
-    before = lambda b: F.aggregate(earlier(b), F.get("blocks", F.lit(0))["first"], lambda s, x: F.pow(F.lit(alpha), x["n"]) * s + x["added"])
+    begin = F.get("blocks", F.lit(0))["first"] if start is None else F.lit(float(start))
+    before = lambda b: F.aggregate(earlier(b), begin, lambda s, x: F.pow(F.lit(alpha), x["n"]) * s + x["added"])
     starts = blocks.select(key, F.posexplode("blocks").alias("at", "b"), "blocks").select(key, F.col("b.__block").alias("__block"), before(F.col("at")).alias("__start"))
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
@@ -268,10 +280,23 @@ def running_ema(etas: DataFrame, key: str, step: str, value: str = "eta", alpha:
 def guarded_batches(losses: DataFrame, id_col: str, step: str, loss: str, alpha: float = 0.95, threshold: float = 0.05, **how) -> DataFrame:
     """importance_batches() with the tracker closed around them: from the step after that at which the moving average of the variance that
     they save falls below the threshold, batches are uniform. As a uniform batch tells nothing of that variance, this lasts."""
-    path = running_ema(variance_reduction(importance_batches(losses, id_col, step, loss, **how), step, loss, "p").withColumn("__all", F.lit(0)), "__all", step, "eta", alpha)
-    first = path.where(F.col("ema") < threshold).agg(F.min(step).alias("__first"))
-    fallback = beside(losses.select(step).distinct(), first).where(F.col(step) > F.col("__first")).select(step)
-    return importance_batches(losses, id_col, step, loss, fallback=fallback, **how)
+    return guarded_from(losses, id_col, step, loss, alpha, threshold, **how)[0]
+
+
+def guarded_from(
+    losses: DataFrame, id_col: str, step: str, loss: str, alpha: float = 0.95, threshold: float = 0.05, start: float | None = None, first: int | None = None, **how
+) -> tuple[DataFrame, float | None, int | None]:
+    """guarded_batches() of further steps, the moving average after them, and the step at which it fell below the threshold. start and first: these two as
+    the steps before left them, None of none."""
+    if first is None:
+        etas = variance_reduction(importance_batches(losses, id_col, step, loss, **how), step, loss, "p").withColumn("__all", F.lit(0))
+        path = running_ema(etas, "__all", step, "eta", alpha, start)
+        end = path.agg(F.min(F.when(F.col("ema") < threshold, F.col(step))).alias("first"), F.max_by("ema", step).alias("all"), F.count(F.lit(1)).alias("n")).first()
+        first, start = end["first"], start if not end["n"] else end["all"]
+        if first is not None:  # steps after the first one below tell nothing
+            start = path.where(F.col(step) == first).first()["ema"]
+    fallback = losses.select(step).distinct().where(F.lit(first is not None) & (F.col(step) > F.lit(-1 if first is None else first)))
+    return importance_batches(losses, id_col, step, loss, fallback=fallback, **how), start, first
 
 
 def weighted_loss(batches: DataFrame, step: str, loss: str, weight: str) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.records import pool_text
 from ..functions.vectors import unit
 from ..sources.tables import written
-from . import clusters, influence, ngrams, sampling
+from . import clusters, influence, ngrams, quantiles, sampling, token_loss
+from .array_sums import array_sums
 from .scalars import beside
 
 SELECTORS: dict[str, Callable[..., DataFrame]] = {}
@@ -82,9 +83,8 @@ def proxy_scores(pool: DataFrame, id_col: str, vector: str, proxy: DataFrame) ->
 def pooled(tokens: DataFrame, id_col: str, vector: str, mask: str) -> DataFrame:
     """id and vector, a representation of each sample: the mean of its tokens' hidden states where the mask is 1; zeros where it is nowhere.
     tokens has a row for each token."""
-    parts = tokens.select(id_col, F.col(mask).cast("double").alias("__m"), F.posexplode(vector).alias("i", "x"))
-    means = parts.groupBy(id_col, "i").agg((F.sum(F.col("x") * F.col("__m")) / F.greatest(F.sum("__m"), F.lit(1.0))).alias("x"))
-    return means.groupBy(id_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias(vector))
+    sums = array_sums(tokens, [id_col], vector, F.coalesce(F.col(mask).cast("double"), F.lit(0.0)))
+    return sums.select(id_col, F.transform("total", lambda x: x / F.greatest(F.col("n"), F.lit(1.0))).alias(vector))
 
 
 def proxy_rows(pool: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
@@ -106,12 +106,26 @@ def less(
 
 
 @register("rho_loss")
-def rho_loss(pool: DataFrame, id_col: str, losses: DataFrame, fraction: float = 0.2, holdout: float = 0.05, seed: int = 42, reference: DataFrame | None = None) -> DataFrame:
-    """The candidates (all but a holdout) of the largest loss; with reference losses (id, loss), of the largest difference."""
-    rows = sampling.split_holdout(pool, id_col, holdout, 10, seed).where("not holdout").drop("holdout")
+def rho_loss(
+    pool: DataFrame, id_col: str, losses: DataFrame | None = None, fraction: float = 0.2, holdout: float = 0.05, seed: int = 42, reference: DataFrame | None = None, model: token_loss.Model | None = None
+) -> DataFrame:
+    """The candidates (all but a holdout) of the largest loss; with reference losses (id, loss), of the largest difference.
+
+    Without losses, the pool has token arrays (input_ids, labels): they are those under the model, and without reference losses those
+    under a model of the holdout are the reference, as what the holdout teaches anyway. Samples without a predicted token have no loss and are not chosen.
+    """
+    split = sampling.split_holdout(pool, id_col, holdout, 10, seed)
+    rows = split.where("not holdout").drop("holdout")
+    if losses is None:
+        if model is None:
+            raise ValueError("rho_loss needs losses, or a model of tokens")
+        losses = token_loss.token_losses(pool, id_col, model)
+        if reference is None:
+            reference = token_loss.token_losses(pool, id_col, token_loss.fit(split.where("holdout"), model.coding.order, model.coding.vocabulary))
     scores = losses.select(id_col, F.col("loss").alias("score"))
     if reference is not None:
         scores = scores.join(reference.select(id_col, F.col("loss").alias("__r")), id_col).select(id_col, (F.col("score") - F.col("__r")).alias("score"))
+    scores = scores.where("score is not null")
     return chosen(rows, top(rows.select(id_col).join(scores, id_col), id_col, "score", sampling.share(pool.count(), fraction)), id_col)
 
 
@@ -122,9 +136,14 @@ def importance(pool: DataFrame, id_col: str, **_) -> DataFrame:
 
 
 def outliers(scores: DataFrame, percentile: float = 95.0) -> DataFrame:
-    """scores with is_outlier: at or above the exact percentile, by linear interpolation. Both are rounded alike before they meet."""
-    cut = scores.agg(F.round(F.percentile("score", percentile / 100), 9).alias("cut"))
-    return beside(scores, cut).withColumn("is_outlier", F.round("score", 9) >= F.col("cut"))
+    """scores with is_outlier: at or above the exact percentile, by linear interpolation. Both are rounded alike before they meet.
+
+    The scores are written first, as sums of scores can differ in their last bits from run to run; without any there are no outliers.
+    """
+    scores = written(scores, "scores")
+    cut = quantiles.percentiles(scores, "score", [percentile / 100])[0]
+    is_outlier = F.lit(False) if cut is None else F.coalesce(F.round("score", 9) >= F.round(F.lit(cut), 9), F.lit(False))
+    return scores.withColumn("is_outlier", is_outlier)
 
 
 def kept_rows(labelled: DataFrame, id_col: str, least: int = 5000, most: int = 50_000, fraction: float = 0.2, sentinel: int = 50_000) -> DataFrame:

@@ -8,10 +8,10 @@ from ..functions import records
 from ..operators import evaluation
 from ..sources import tables
 from ..sources.tables import scratch, table
-from ..streaming import averages
+from ..streaming import averages, batches
 from .influence_queries import MODEL, checkpoints, samples
 from .registry import query
-from .sampling_queries import EMA
+from .sampling_queries import EMA, GUARD, losses
 
 WORDS = "string_split(text, ' ')"
 
@@ -101,9 +101,23 @@ def event_stream(spark, sf_dir):
 def streaming_ema(spark, sf_dir):
     """The moving averages at the end of the stream of events."""
     out, (stream, n) = scratch(spark, "ema"), event_stream(spark, sf_dir)
-    averages.run_to_table(averages.moving_averages(stream, "event_type", "ts", "loss", "event_id", threshold=1.5), out, scratch(spark, "state"), rows=n)
-    last = averages.last_states(spark, out, averages.OUT, ["key"])
-    return last.select(F.col("key").alias("event_type"), F.round("ema", 6).alias("ema"), "steps", "use_uniform")
+    averages.fold_averages(stream, "event_type", "ts", "loss", "event_id", out, scratch(spark, "state"), forget="1000 days", rows=n)
+    return averages.averages(spark, out, 1.5).select(F.col("key").alias("event_type"), F.round("ema", 6).alias("ema"), "steps", "use_uniform")
+
+
+@query("streaming_batches", GUARD.replace("{threshold}", "-1e6"))
+def streaming_batches(spark, sf_dir):
+    """guarded_batches on a stream: the events arrive in four parts in the order of time, and the stream is stopped after each and taken up again."""
+    spark, out, state, source = batches.session(spark), scratch(spark, "batches"), scratch(spark, "state"), scratch(spark, "source")
+    rows = losses(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts")), "event_id")
+    ends = rows.agg(F.unix_micros(F.min("ts")).alias("low"), F.unix_micros(F.max("ts")).alias("high")).first()
+    part = F.least(F.lit(3), F.floor((F.unix_micros("ts") - ends["low"]) * 4 / max(1, ends["high"] - ends["low"])))
+    steps = batches.Steps("event_id", "step", "loss", "ts", F.date_trunc("HOUR", "ts") + F.expr("INTERVAL 1 HOUR"), threshold=-1e6, how={"length": 500})
+    for k in range(4):
+        rows.where(part == k).write.mode("append").parquet(source)
+        batches.run(spark.readStream.schema(rows.schema).parquet(source), steps, out, state)
+    batches.finish(spark, steps, out, state)
+    return batches.batches(spark, out).select("event_id", "step", F.round("p", 9).alias("p"), F.round("weight", 6).alias("weight"))
 
 
 @query(

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import clusters, influence, phases, selectors
+from ..operators import clusters, influence, phases, quantiles, selectors
 from ..operators.influence import Checkpoint, SoftmaxScorer
 from ..operators.sampling import shuffle_key
 from ..sources import tables
@@ -17,6 +17,8 @@ from .sampling_queries import order
 
 DIMS = ("reasoning", "safety", "chat", "factual")
 LAMBDAS = {"reasoning": 0.30, "safety": 0.25, "chat": 0.25, "factual": 0.20}
+#: Columns of a gradient in a block: fewer than the vectors have.
+WIDTH = 24
 NAMES = "['" + "', '".join(DIMS) + "']"
 
 
@@ -133,6 +135,16 @@ def score_stats(spark, sf_dir):
 CUT = f"{MODEL}, o AS MATERIALIZED (SELECT vec_id, score, round(score, 9) >= round((SELECT quantile_cont(score, 0.95) FROM si), 9) AS is_outlier FROM si)"
 
 
+SHARES = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
+@query("score_percentiles", f"WITH {MODEL} SELECT unnest([{', '.join(map(str, SHARES))}]::DOUBLE[]) AS share, round(unnest(quantile_cont(score, [{', '.join(map(str, SHARES))}])), 9) AS value FROM si")
+def score_percentiles(spark, sf_dir):
+    found = quantiles.percentiles(tables.written(scores(spark, sf_dir), "scores"), "score", SHARES)
+    values = spark.createDataFrame([(s, v) for s, v in zip(SHARES, found, strict=True)], "share double, value double")
+    return values.select("share", F.round("value", 9).alias("value"))
+
+
 @query("outlier_flag", f"WITH {CUT} SELECT vec_id, is_outlier FROM o")
 def outlier_flag(spark, sf_dir):
     return selectors.outliers(scores(spark, sf_dir)).select("vec_id", "is_outlier")
@@ -216,14 +228,14 @@ gr AS MATERIALIZED (SELECT step, ({NAMES})[p.label % 4 + 1] AS dim, cls, i, avg(
 @query("val_mean_gradient", f"WITH {VALID} SELECT CAST(step AS BIGINT) AS step, dim, count(*) AS size, round(sqrt(sum(g * g)), 6) AS norm FROM gr GROUP BY ALL")
 def val_mean_gradient(spark, sf_dir):
     x = samples(spark, sf_dir)
-    found = influence.mean_gradients(x.where(is_validation()).withColumn("dim", dim()), "dim", SoftmaxScorer(), checkpoints(x))
-    return found.select("step", "dim", F.size("gradient").cast("long").alias("size"), F.round(vectors.norm(F.col("gradient")), 6).alias("norm"))
+    found = influence.mean_gradients(x.where(is_validation()).withColumn("dim", dim()), "dim", SoftmaxScorer(), checkpoints(x), WIDTH)
+    return influence.gradient_norms_of(found).select("step", "dim", "size", F.round("norm", 6).alias("norm"))
 
 
 def influences(spark, sf_dir):
     x = samples(spark, sf_dir)
     points = checkpoints(x)
-    gradients = influence.mean_gradients(x.where(is_validation()).withColumn("dim", dim()), "dim", SoftmaxScorer(), points)
+    gradients = influence.mean_gradients(x.where(is_validation()).withColumn("dim", dim()), "dim", SoftmaxScorer(), points, WIDTH)
     return influence.validation_influence(x, "vec_id", SoftmaxScorer(), points, gradients)
 
 
@@ -314,7 +326,8 @@ def checkpoint_subsample(spark, sf_dir):
 UNION ALL SELECT 'phase3', count(*) FROM embeddings""",
 )
 def size_ledger(spark, sf_dir):
-    return selectors.ledger(raw=samples(spark, sf_dir), phase1=phase1_select(spark, sf_dir), phase3=classify_labels(spark, sf_dir))
+    each = {"phase1": phase1_select(spark, sf_dir), "phase3": classify_labels(spark, sf_dir)}
+    return selectors.ledger(raw=samples(spark, sf_dir), **{name: tables.written(df, name) for name, df in each.items()})
 
 
 @query(

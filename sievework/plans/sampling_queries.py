@@ -114,14 +114,14 @@ def softmax_probs(spark, sf_dir):
 
 @query("importance_weights", f"WITH {SOFTMAX} SELECT event_id, step, round(least(1 / (p * n), 10), 6) AS weight FROM p")
 def importance_weights(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = losses(spark, sf_dir).withColumn("tau", temperature(F.col("step"), length=500)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("step")))
+    rows = losses(spark, sf_dir).withColumn("tau", temperature(F.col("step"), length=500))
     return sampling.softmax(rows, "loss", "tau", "step").select("event_id", "step", F.round(importance_weight(F.col("p"), F.col("n")), 6).alias("weight"))
 
 
-BATCH = f"""
-{STEPS}, c AS (SELECT *, {tau('linear')} AS tau, row_number() OVER (PARTITION BY step ORDER BY {order('42', 'event_id', 'step')}, event_id) AS k FROM e),
+def draws_sql(steps: str) -> str:
+    """Tables up to b, the importance batches of the table e (event_id, step, loss) that ``steps`` defines."""
+    return f"""
+{steps}, c AS (SELECT *, {tau('linear')} AS tau, row_number() OVER (PARTITION BY step ORDER BY {order('42', 'event_id', 'step')}, event_id) AS k FROM e),
 z AS (SELECT *, loss / tau AS z FROM c WHERE k <= 16),
 x AS (SELECT *, exp(z - max(z) OVER (PARTITION BY step)) AS ex, count(*) OVER (PARTITION BY step) AS n FROM z),
 p AS (SELECT *, ex / sum(ex) OVER (PARTITION BY step) AS p FROM x),
@@ -129,6 +129,9 @@ d AS (SELECT *, row_number() OVER (PARTITION BY step ORDER BY -ln({u('draw42', '
 b AS (SELECT event_id, step, loss, tau, p, n, least(1 / (p * n), 10) AS weight FROM d WHERE place <= 4)"""
 
 
+BATCH = draws_sql(STEPS)
+
+
 def batches(spark, sf_dir):
     return sampling.importance_batches(losses(spark, sf_dir), "event_id", "step", "loss", length=500)
 

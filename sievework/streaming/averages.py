@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import sampling
+from ..operators.scalars import beside
+from ..sources.tables import exists, written
+
 OUT = "key string, ema double, steps long, use_uniform boolean"
 
 
@@ -35,6 +39,50 @@ def moving_averages(stream: DataFrame, key: str, at: str, value: str, order: str
     return rows.groupBy("key").applyInPandasWithState(step, OUT, "ema double, steps long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
+STATE = "key string, ema double, steps long, last timestamp"
+
+
+def fold_averages(
+    stream: DataFrame, key: str, at: str, value: str, order: str, path: str, checkpoint: str, alpha: float = 0.95, forget: str = "1 day", rows: int | None = None
+) -> None:
+    """Moving averages whose keys may be hot: each micro-batch is summed in blocks of key and time, as in sampling.ema(), and a key's few blocks go on from
+    its average before. path/epoch=N has the averages after micro-batch N: OUT, and the time of the last row.
+
+    A key without rows for so long (by the rows' own times) is forgotten. A micro-batch that is run again reads those of the one before it. Null values
+    do not count.
+    """
+    spark = stream.sparkSession
+
+    def fold(df: DataFrame, epoch: int) -> None:
+        df = written(df.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at"), F.struct(F.col(at).alias("at"), F.col(order).alias("order")).alias("place"), F.col(value).cast("double").alias("x")), "arrived")
+        found = spark.read.schema(f"{STATE}, epoch long").parquet(path).where(F.col("epoch") == epoch - 1).drop("epoch") if exists(spark, path) else spark.createDataFrame([], STATE)
+        _, blocks = sampling.in_blocks(df, "key", "place", "x", alpha)
+        lasts = df.where("x is not null").groupBy("key").agg(F.max("at").alias("now"))
+        both = found.join(blocks.join(lasts, "key"), "key", "full_outer")
+        start = F.coalesce("ema", F.get("blocks", F.lit(0))["first"])
+        ema = F.aggregate("blocks", start, lambda s, b: F.pow(F.lit(alpha), b["n"]) * s + b["added"])
+        steps = F.aggregate("blocks", F.coalesce("steps", F.lit(0)).cast("long"), lambda s, b: s + b["n"])
+        rows = both.select("key", F.coalesce(ema, "ema").alias("ema"), F.coalesce(steps, "steps").alias("steps"), F.greatest("last", "now").alias("last"))
+        newest = rows.agg(F.max("last").alias("newest"))
+        kept = beside(rows, newest).where(F.col("last") >= F.col("newest") - F.expr(f"INTERVAL {forget}")).drop("newest")
+        kept.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(fold).start()
+    query.awaitTermination()
+    read = sum(x.numInputRows for x in query.recentProgress)
+    if rows is not None and read != rows:
+        raise ValueError(f"the stream has read {read} rows of {rows}")
+
+
+def averages(spark: SparkSession, path: str, threshold: float = 0.05) -> DataFrame:
+    """OUT after the last micro-batch of fold_averages()."""
+    if not exists(spark, path):  # a stream without rows has no micro-batch
+        return spark.createDataFrame([], OUT)
+    found = spark.read.schema(f"{STATE}, epoch long").parquet(path)
+    last = found.agg(F.max("epoch")).first()[0]
+    return found.where(F.col("epoch") == last).select("key", "ema", "steps", (F.col("ema") < threshold).alias("use_uniform"))
+
+
 def windowed(stream: DataFrame, at: str, key: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """Count, mean and sample variance of each key in windows of time: in append mode once the watermark has passed them, in update mode whenever they change."""
     return (

@@ -356,8 +356,11 @@ class TestInfluence:
                 mean = each[at].mean(0)
                 want += each @ mean / (np.linalg.norm(each, axis=1) * np.linalg.norm(mean)) / 2
             assert np.allclose([rows[i, name] for i in range(30)], want) and (np.abs(want) <= 1).all()
-        by_passes = influence.validation_influence(df, "id", influence.SoftmaxScorer(), points, g, at_once=1)
-        assert {(r["id"], r["dim"]): r["score"] for r in by_passes.collect()} == rows
+        for width, most_held, per_bucket in ((1, 1, 7), (3, 1, 100), (2, 200, 10), (4, 1 << 20, 4)):
+            blocks = influence.mean_gradients(valid.repartition(3), "dim", influence.SoftmaxScorer(), points, width, most_held)
+            assert blocks.count() == 2 * 2 * -(-4 // width) and {r["n"] for r in blocks.collect()} == {5}
+            again = {(r["id"], r["dim"]): r["score"] for r in influence.validation_influence(df, "id", influence.SoftmaxScorer(), points, blocks, per_bucket=per_bucket, most_held=most_held).collect()}
+            assert again.keys() == rows.keys() and all(abs(again[k] - rows[k]) < 1e-12 for k in rows)
         total = influence.multi_objective(got, "id", {"a": 0.7}).where("id = 3").first()
         assert abs(total["total_score"] - 0.7 * rows[3, "a"]) < 1e-12
 
