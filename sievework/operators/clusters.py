@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -11,9 +12,14 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot
-from ..sources.tables import written
+from ..functions.vectors import cosine, dot, unit
+from ..sources.tables import Workspace, written
+from . import sampling
+from .array_sums import array_sums
+from .graphs import connected
 from .influence import nearest_of_cluster
+from .pairs import greedy_redundant, similar_pairs  # noqa: F401
+from .scalars import beside_key
 
 
 def default_clusters(n: int) -> int:
@@ -23,7 +29,7 @@ def default_clusters(n: int) -> int:
 def fit_clusters(df: DataFrame, vector: str, k: int, method: str = "kmeans", seed: int = 42, starts: int = 10) -> DataFrame:
     """df with cluster and center. kmeans keeps the cheapest of several starts; agglomerative is linkage()."""
     if method == "agglomerative":
-        return linkage(df, vector, k=k, seed=seed)
+        return linkage(df, vector, k=k)
     if method != "kmeans":
         raise ValueError(f"no such clustering method: {method!r}")
     features = df.withColumn("__v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
@@ -33,138 +39,142 @@ def fit_clusters(df: DataFrame, vector: str, k: int, method: str = "kmeans", see
     return model.transform(features).drop("__v").join(F.broadcast(centers), "cluster")
 
 
-def average_linkage(x: np.ndarray, k: int | None, distance: float | None) -> np.ndarray:
-    """The cluster of each row: the two clusters of least mean cosine distance are joined until k are left, or the least is ``distance`` or more.
+#: Clusters of a connected part that one task joins, and the similarities down to which clusters are joined in turn.
+CELL, LEVELS = 1000, (0.95, 0.8, 0.6, 0.4, 0.2, 0.05, -2.0)
+#: Digits to which similarities are rounded before they are compared, so that the order of additions does not matter.
+DIGITS = 10
+JOINED = "kind int, a long, b long, s double, sum array<double>, n long"
 
-    Neighbours are followed until two are each other's nearest, which average linkage may join at once; the joins are sorted afterwards.
-    """
-    n = len(x)
-    length = np.linalg.norm(x, axis=1)
-    unit = x / np.maximum(length, 1e-12)[:, None]
-    d = 1 - unit @ unit.T
-    np.fill_diagonal(d, np.inf)
-    size, joins, chain, alive = np.ones(n), [], [], np.ones(n, bool)
-    while alive.sum() > 1:
-        if not chain:
-            chain.append(int(alive.argmax()))
-        a = chain[-1]
-        b = int(d[a].argmin())
-        if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
-            b = chain[-2]
-        if len(chain) < 2 or b != chain[-2]:
-            chain.append(b)
-            continue
-        del chain[-2:]
-        joins.append((d[a, b], a, b))
-        mean = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
-        size[a] += size[b]
-        d[a], d[:, a] = mean, mean
-        d[a, a], d[b], d[:, b], alive[b] = np.inf, np.inf, np.inf, False
-    root = list(range(n))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    joins.sort(key=lambda j: j[0])
-    for height, a, b in joins[: n - k] if k is not None else joins:
-        if distance is None or height < distance:
-            root[find(a)] = find(b)
-    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
+def mutual(sums: np.ndarray, size: np.ndarray, ids: np.ndarray, least: float) -> tuple[list[tuple[int, int, float]], np.ndarray, np.ndarray, np.ndarray]:
+    """The joins of some clusters (ids in order) above a similarity: (into, which, similarity), the smaller id into which the other goes; and the
+    ids, sums and sizes of the clusters that are left.
 
-def linkage(df: DataFrame, vector: str, k: int | None = None, threshold: float = 0.95, cell: int = 1000, seed: int = 42) -> DataFrame:
-    """df with cluster and center: average linkage by the cosine distance, to about k clusters or up to a similarity of ``threshold``.
-
-    A merge tree over all pairs does not scale, so that of more rows than ``cell`` is made in cells: k-means deals out the rows, and a hash
-    the rows of a k-means cell that is still too large. With one cell this is average linkage as it stands; with several, each gets its share of the k.
+    Pairs that are each other's nearest are joined, round by round; of equally near ones the smaller id is the nearest, so that there is always such a pair.
     """
-    n = df.count()
-    rows = df.withColumn("__x", F.transform(vector, lambda x: x.cast("double")))
-    if n > cell:
-        parts = KMeans(k=math.ceil(2 * n / cell), seed=seed, featuresCol="__v", predictionCol="__cell", maxIter=10)
-        rows = rows.withColumn("__v", array_to_vector("__x"))
-        rows = parts.fit(rows).transform(rows).drop("__v")
-        sizes = rows.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(cell)).alias("__parts"))
-        rows = rows.join(sizes, "__cell").withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__parts")).cast("int")).drop("__parts")
+    sums, size, alive, out = sums.astype(float), size.astype(float), np.arange(len(ids)), []
+    s = np.round(sums @ sums.T / np.outer(size, size), DIGITS)
+    np.fill_diagonal(s, -np.inf)
+    while len(alive) > 1:
+        part = s[np.ix_(alive, alive)]
+        nearest, k = part.argmax(1), np.arange(len(alive))
+        pairs = k[(nearest[nearest] == k) & (k < nearest) & (part.max(1) > least)]
+        if not len(pairs):
+            break
+        a, b = alive[pairs], alive[nearest[pairs]]
+        out += [(int(ids[x]), int(ids[y]), float(s[x, y])) for x, y in zip(a, b, strict=True)]
+        sums[a] += sums[b]
+        size[a] += size[b]
+        alive = np.setdiff1d(alive, b)
+        s[a] = np.round(sums[a] @ sums.T / np.outer(size[a], size), DIGITS)
+        s[:, a] = s[a].T
+        s[a, a] = -np.inf
+    return out, ids[alive], sums[alive], size[alive].astype(np.int64)
+
+
+def joined_in_tasks(parts: DataFrame, least: float) -> DataFrame:
+    """JOINED: rows of kind 0 are joins, rows of kind 1 the clusters (a, sum, n) that are left, of clusters (part, c, sum, n) part by part."""
+
+    def run(x: pd.DataFrame) -> pd.DataFrame:
+        x = x.sort_values("c")
+        joins, ids, sums, size = mutual(np.stack(x["sum"]), x["n"].to_numpy(), x["c"].to_numpy(), least)
+        n, m = len(joins), len(ids)
+        into, which, near = zip(*joins, strict=True) if joins else ((), (), ())
+        none = lambda k: [None] * k
+        return pd.DataFrame({
+            "kind": [0] * n + [1] * m, "a": [*into, *ids.tolist()], "b": pd.array([*which, *none(m)], "Int64"), "s": pd.array([*near, *none(m)], "Float64"),
+            "sum": [*none(n), *sums], "n": pd.array([*none(n), *size.tolist()], "Int64"),
+        })
+
+    return parts.groupBy("part").applyInPandas(run, JOINED)
+
+
+def joined_in_tables(clusters: DataFrame, edges: DataFrame, least: float, work: Workspace) -> tuple[list[DataFrame], DataFrame]:
+    """The same by joins of tables, for parts that are too large for a task: the joins, round by round, and the clusters that are left. edges: a, b of
+    all clusters above the similarity, so that a joined cluster's are those of its two sides."""
+    joins = []
+    side = lambda name: clusters.select(F.col("c").alias(name), F.col("sum").alias(f"{name}_sum"), F.col("n").alias(f"{name}_n"))
+    while True:
+        near = edges.join(side("a"), "a").join(side("b"), "b")
+        near = near.select("a", "b", F.round(dot(F.col("a_sum"), F.col("b_sum")) / (F.col("a_n") * F.col("b_n")), DIGITS).alias("s")).where(F.col("s") > least)
+        near = work.written(near, "near")
+        both = near.select(F.col("a").alias("c"), F.col("b").alias("o"), "s").unionByName(near.select(F.col("b").alias("c"), F.col("a").alias("o"), "s"))
+        nearest = both.groupBy("c").agg(F.min(F.struct((-F.col("s")).alias("s"), "o")).alias("m")).select("c", "m.o", (-F.col("m.s")).alias("s"))
+        back = nearest.select(F.col("o").alias("c"), F.col("c").alias("o"))
+        pairs = work.written(nearest.join(back, ["c", "o"]).where("c < o").select(F.col("c").alias("a"), F.col("o").alias("b"), "s"), "pairs")
+        if not pairs.limit(1).count():
+            return joins, clusters
+        joins.append(pairs)
+        moved = clusters.join(pairs.select(F.col("b").alias("c"), "a"), "c", "left").select(F.coalesce("a", "c").alias("c"), "sum", "n")
+        added = moved.groupBy("c").agg(F.collect_list("sum").alias("x"), F.sum("n").alias("n"))  # two of a pair
+        clusters = work.written(added.select("c", F.reduce(F.slice("x", 2, 1), F.get("x", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("sum"), "n"), "clusters")
+        to = pairs.select(F.col("b").alias("was"), F.col("a").alias("now"))
+        for name in ("a", "b"):
+            near = near.join(to.withColumnRenamed("was", name), name, "left").withColumn(name, F.coalesce("now", name)).drop("now")
+        edges = work.written(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+
+def joined_level(clusters: DataFrame, least: float, cell: int, work: Workspace) -> tuple[list[DataFrame], DataFrame]:
+    """The joins above a similarity, and the clusters (c, sum, n) that are left."""
+    kept, whole = [], clusters.count() <= cell
+    if whole:
+        found = work.written(joined_in_tasks(clusters.withColumn("part", F.lit(0)), least), "joined")
+        edges = None
     else:
-        rows = rows.withColumns({"__cell": F.lit(0), "__part": F.lit(0)})
-
-    def run(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(x["__x"]).astype(float)
-        found = average_linkage(m, None if k is None else max(1, round(k * len(x) / n)), None if k is not None else 1 - threshold)
-        centers = [m[found == c].mean(0) for c in range(found.max() + 1)]
-        number = (int(key[0]) << 40) + (int(key[1]) << 20)
-        return x.drop(columns=["__x", "__cell", "__part"]).assign(cluster=number + found, center=[centers[c] for c in found])
-
-    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return rows.groupBy("__cell", "__part").applyInPandas(run, f"{kind}, cluster long, center array<double>")
+        edges = work.written(similar_pairs(clusters, "c", "sum", least).select(F.col("i").alias("a"), F.col("j").alias("b")), "edges")
+        part = work.written(connected(edges, work), "parts")
+        size = part.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+        placed = work.written(clusters.join(beside_key(part, size, "part"), "c", "left"), "placed")
+        kept.append(placed.where("part is null").select("c", "sum", "n"))
+        found = work.written(joined_in_tasks(placed.where(F.col("size") <= cell).select("part", "c", "sum", "n"), least), "joined")
+    joins = [found.where("kind = 0").select("a", "b", "s")]
+    kept.append(found.where("kind = 1").select(F.col("a").alias("c"), "sum", "n"))
+    if edges is not None and (large := placed.where(F.col("size") > cell).select("c", "sum", "n")).limit(1).count():
+        more, left = joined_in_tables(large, edges.join(large.select(F.col("c").alias("a")), "a", "left_semi"), least, work)
+        joins, kept = joins + more, [*kept, left]
+    return joins, work.written(functools.reduce(DataFrame.unionByName, kept), "clusters")
+
+
+def linkage(df: DataFrame, vector: str, k: int | None = None, threshold: float = 0.95, cell: int = CELL, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """df with cluster and center (the mean of its vectors): average linkage by the cosine distance, exact at any size, to k clusters or above a similarity of
+    ``threshold``.
+
+    The mean similarity of two clusters is the inner product of their sums of unit vectors over the product of their sizes. Two that are each other's nearest
+    can be joined whatever happens elsewhere, so all such pairs are joined round by round. A mean above t has a member above t, so clusters
+    are joined level by level, t falling, over the graph of pairs above t; its connected parts are apart, and one task joins a part of up to ``cell``
+    clusters by a matrix. The last joins are taken back, by similarity, until there are k clusters.
+
+    Equal vectors are always together, zero ones too, which have a similarity of 0 to all; null vectors make a cluster each row's
+    value, null. With k, the last level compares all clusters that are left with each other.
+    """
+    key = F.xxhash64(F.transform(vector, lambda x: x.cast("double") + 0.0))
+    rows = df.withColumn("__c", key)
+    with Workspace(df.sparkSession, "linkage") as work:
+        units = rows.where(F.col(vector).isNotNull()).groupBy("__c").agg(F.first(unit(F.col(vector))).alias("u"), F.count(F.lit(1)).alias("n"))
+        first = work.written(units.select(F.col("__c").alias("c"), F.transform("u", lambda x: x * F.col("n")).alias("sum"), "n"), "classes")
+        classes, clusters, joins = first.count(), first, []
+        for level in levels if k is not None else (threshold,):
+            some, clusters = joined_level(clusters, level if clusters.count() > cell or k is None else levels[-1], cell, work)
+            joins += some
+            if k is not None and clusters.count() <= k:
+                break
+        done = functools.reduce(DataFrame.unionByName, joins)
+        if k is not None and classes - k < done.count():
+            done = sampling.first_rows(work.written(done, "joins"), max(0, classes - k), -F.col("s"), "b")
+        links = work.written(done.select(F.col("b").alias("c"), F.col("a").alias("root")), "links")
+        while True:  # each step doubles how far a link reaches
+            further = links.select(F.col("c").alias("root"), F.col("root").alias("next"))
+            longer = work.written(links.join(further, "root", "left").select("c", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("went")), "links")
+            links = longer.select("c", "root")
+            if not longer.where("went").limit(1).count():
+                break
+        roots = written(first.select("c").join(links, "c", "left").select(F.col("c").alias("__c"), F.coalesce("root", "c").alias("cluster")), "roots")
+    found = beside_key(rows, roots, "__c").drop("__c")
+    sums = array_sums(found, ["cluster"], vector)
+    return beside_key(found, sums.select("cluster", F.transform("total", lambda x: x / F.col("n")).alias("center")), "cluster")
 
 
 def representatives(clustered: DataFrame, id_col: str, vector: str) -> DataFrame:
     """The member of each cluster that is nearest to its center by the cosine; ties by id."""
     distance = F.round(1 - cosine(F.col(vector), F.col("center")), 9)
     return nearest_of_cluster(clustered.withColumn("distance", distance), "cluster", "distance", id_col)
-
-
-def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, pivots: int = 16, block: int = 512) -> DataFrame:
-    """i, j of all pairs i < j whose cosine is the threshold or more: exact, by blocks.
-
-    Unit vectors lie within sqrt(2 - 2 threshold) of each other, so their distances to any pivot differ by no more. Rows are dealt
-    by their nearest pivot among a few, and to every other pivot's cell that their distance allows; each cell is handled block against block.
-    """
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    unit = df.select(F.col(id_col).alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).where(dot(F.col("v"), F.col("v")) > 0)
-    chosen = [np.array(r["v"], float) for r in unit.orderBy(F.md5(F.col("id").cast("string"))).limit(pivots).collect()]
-    if not chosen:
-        return df.sparkSession.createDataFrame([], "i long, j long")
-    p = np.stack([x / np.linalg.norm(x) for x in chosen])
-
-    def deal(batches):
-        for x in batches:
-            m = np.stack(x["v"]).astype(float)
-            m /= np.linalg.norm(m, axis=1, keepdims=True)
-            d = np.sqrt(np.maximum(2 - 2 * m @ p.T, 0))
-            home = d.argmin(1)
-            # a partner whose home is cell c is within reach of this row, so this row's distance to c exceeds its own nearest by 2 reach at most
-            rows, cells = np.nonzero(d <= d.min(1, keepdims=True) + 2 * reach)
-            yield pd.DataFrame({"cell": cells, "home": home[rows] == cells, "id": x["id"].to_numpy()[rows], "v": list(m[rows])})
-
-    dealt = unit.mapInPandas(deal, "cell int, home boolean, id long, v array<double>")
-    size = dealt.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
-    parts = dealt.join(F.broadcast(size), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    # a row of block a meets blocks a and above as the left side, and its own and lower ones as the right side
-    left = parts.where("home").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("left", F.lit(True)).withColumnRenamed("part", "a").withColumnRenamed("to", "b")
-    right = parts.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("left", F.lit(False)).withColumnRenamed("part", "b").withColumnRenamed("to", "a")
-    both = left.select("cell", "a", "b", "left", "id", "v").unionByName(right.select("cell", "a", "b", "left", "id", "v"))
-
-    def meet(x: pd.DataFrame) -> pd.DataFrame:
-        l, r = x[x["left"]], x[~x["left"]]
-        if not len(l) or not len(r):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64)})
-        a, b = np.nonzero(np.stack(l["v"]) @ np.stack(r["v"]).T >= threshold - 1e-12)
-        i, j = l["id"].to_numpy()[a], r["id"].to_numpy()[b]
-        return pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j)})[i != j]
-
-    return both.groupBy("cell", "a", "b").applyInPandas(meet, "i long, j long").distinct()
-
-
-def greedy_redundant(df: DataFrame, id_col: str, vector: str, threshold: float = 0.95) -> DataFrame:
-    """The ids that a keep-first pass drops: a row goes where an earlier kept row is as similar as the threshold.
-
-    Each round settles the rows whose earlier neighbours are all settled, one at least; there are as many as the longest chain. The state
-    is a table in the shared folder.
-    """
-    pairs = written(similar_pairs(df, id_col, vector, threshold), "pairs")
-    open_, gone = pairs, pairs.select(F.col("j").alias("id")).limit(0)
-    while True:
-        if not open_.limit(1).count():
-            return gone.withColumnRenamed("id", id_col)
-        waiting = open_.select(F.col("j").alias("id")).distinct()
-        kept = open_.select(F.col("i").alias("id")).distinct().join(waiting, "id", "left_anti")
-        dropped = open_.join(kept.withColumnRenamed("id", "i"), "i", "left_semi").select(F.col("j").alias("id")).distinct()
-        gone = written(gone.unionByName(dropped), "gone")
-        left = open_.join(dropped.withColumnRenamed("id", "i"), "i", "left_anti").join(dropped.withColumnRenamed("id", "j"), "j", "left_anti")
-        open_ = written(left.join(kept.withColumnRenamed("id", "i"), "i", "left_anti"), "open")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import written
+from ..sources.tables import Workspace, written
 from .scalars import beside
 
 SMOOTHING = 0.01
@@ -35,11 +36,32 @@ def coded(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return grams[inside], of[:m][inside]
 
 
+def distinct_grams(texts: list[str], n: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct runs of n characters of the texts, and for all runs the number of theirs and the text that each is in."""
+    code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    of = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    m = max(0, len(code) - n + 1)
+    place = np.flatnonzero(of[:m] == of[n - 1 : n - 1 + m])
+    number = np.zeros(len(place), np.int64)
+    for lo in range(0, n, 3):  # three characters are a number of 63 bits; each further three make the runs so far more
+        part = np.zeros(len(place), np.int64)
+        for k in range(lo, min(lo + 3, n)):
+            part = (part << 21) | code[place + k]
+        rank = np.unique(part, return_inverse=True)[1]
+        number = np.unique(number * (int(rank.max(initial=0)) + 1) + rank, return_inverse=True)[1]
+    first = np.unique(number, return_index=True)[1]
+    whole = code[place[first][:, None] + np.arange(n)].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [whole[i : i + n] for i in range(0, len(whole), n)], number, of[place]
+
+
+def lowered(df: DataFrame, text: str) -> DataFrame:
+    return df.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+
+
 def gram_counts(df: DataFrame, text: str, n: int = 3) -> DataFrame:
-    """gram and cnt. Runs of up to three characters are counted as numbers in each task, and the counts are summed; longer ones are strings."""
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    """gram and cnt (code and cnt of runs of up to three characters, which are counted as numbers). Tasks count before anything is shuffled."""
     if n > 3:
-        return df.select(F.explode(char_ngrams(F.col(text), n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("cnt"))
+        return lowered(df, text).mapInArrow(_long_counts(n, AT_ONCE), "gram string, cnt long, missed long").where("gram is not null").groupBy("gram").agg(F.sum("cnt").alias("cnt"))
 
     def count(batches):
         held, size = [], 0
@@ -63,7 +85,77 @@ def gram_counts(df: DataFrame, text: str, n: int = 3) -> DataFrame:
             grams, cnt = tally()
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(cnt)], ["code", "cnt"])
 
-    return df.select(lower.alias("t")).mapInArrow(count, "code long, cnt long").groupBy("code").agg(F.sum("cnt").alias("cnt"))
+    return lowered(df, text).mapInArrow(count, "code long, cnt long").groupBy("code").agg(F.sum("cnt").alias("cnt"))
+
+
+def _long_counts(n: int, most: int, forget: bool = False, known: pa.Array | None = None):
+    """Counts of runs of n characters, in a task. With forget, a task holds ``most`` counters: when there are more, the largest that must go is taken off
+    all, and rows without a gram say how much was (missed). With known, only these runs are counted."""
+
+    def summed(held: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(held).group_by("gram", use_threads=False).aggregate([("cnt", "sum")]).rename_columns(["gram", "cnt"])
+
+    def run(batches):
+        held, size, missed = [], 0, 0
+
+        def give(found: pa.Table):
+            for b in found.select(["gram", "cnt"]).to_batches(max_chunksize=10_000):
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.nulls(len(b), pa.int64())], ["gram", "cnt", "missed"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                grams, number, _ = distinct_grams(batch.column(0).slice(lo, 256).to_pylist(), n)
+                part = pa.table({"gram": pa.array(grams, pa.string()), "cnt": np.bincount(number, minlength=len(grams)).astype(np.int64)})
+                if known is not None:
+                    part = part.filter(pc.is_in(part.column("gram"), value_set=known))
+                held.append(part)
+                size += len(part)
+                if size <= 2 * most:
+                    continue
+                found = summed(held)
+                if len(found) > most and forget:
+                    cnt = found.column("cnt").to_numpy()
+                    off = int(np.partition(cnt, len(cnt) - most - 1)[len(cnt) - most - 1])
+                    missed += off
+                    found = found.set_column(1, "cnt", pa.array(cnt - off)).filter(pa.array(cnt > off))
+                elif len(found) > most:
+                    yield from give(found)
+                    found = found.slice(0, 0)
+                held, size = [found], len(found)
+        if held:
+            yield from give(summed(held))
+        if forget:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.array([missed])], ["gram", "cnt", "missed"])
+
+    return run
+
+
+#: Counters of a task, and candidates that are sent to all tasks to be counted again.
+COUNTERS, MOST_CANDIDATES = 200_000, 2_000_000
+
+
+def most_frequent(df: DataFrame, text: str, most: int, n: int = 3, counters: int = COUNTERS) -> DataFrame:
+    """gram and cnt of the most frequent runs of n characters, exact; ties by the gram.
+
+    Of longer runs, of which most are rare, tasks keep counters for the frequent ones and the amount by which their counts may be too low, which adds up over tasks.
+    What could be among the first by its count and that amount is counted again, exactly. Where the amount is so large that a run without any counter
+    could be among them, all runs are counted.
+    """
+    if n <= 3:
+        return top_grams(gram_counts(df, text, n), most, n)
+    with Workspace(df.sparkSession, "grams") as work:
+        kept = work.written(lowered(df, text).mapInArrow(_long_counts(n, counters, forget=True), "gram string, cnt long, missed long"), "kept")
+        low = work.written(kept.where("gram is not null").groupBy("gram").agg(F.sum("cnt").alias("cnt")), "low")
+        missed = kept.agg(F.sum("missed")).first()[0] or 0
+        last = low.orderBy(F.desc("cnt")).limit(most).agg(F.min("cnt"), F.count(F.lit(1))).first()
+        if missed == 0:
+            return written(top_grams(low, most, n), "top")
+        if last[1] == most and missed < last[0]:
+            near = low.where(F.col("cnt") + missed >= last[0]).select("gram").limit(MOST_CANDIDATES + 1).toArrow().column(0).combine_chunks()
+            if len(near) <= MOST_CANDIDATES:
+                again = lowered(df, text).mapInArrow(_long_counts(n, len(near) + 1, known=near), "gram string, cnt long, missed long")
+                return written(top_grams(again.groupBy("gram").agg(F.sum("cnt").alias("cnt")), most, n), "top")
+        return written(top_grams(gram_counts(df, text, n), most, n), "top")
 
 
 def top_grams(counts: DataFrame, most: int, n: int = 3) -> DataFrame:
@@ -94,13 +186,8 @@ def gram_weights(pool: DataFrame, target: DataFrame, id_col: str, text: str, n:
 
     The ratios, of which there are 2 * features at most, go to the tasks, and each text is read once for them; the means are written.
     """
-    ratios = log_ratios(top_grams(gram_counts(pool, text, n), features, n), top_grams(gram_counts(target, text, n), features, n))
-    if n > 3:
-        grams = pool.select(F.col(id_col), F.explode(char_ngrams(F.col(text), n)).alias("gram"))
-        found = grams.join(F.broadcast(ratios), "gram").groupBy(id_col).agg(F.avg("log_ratio").alias("raw"))
-        raw = pool.select(id_col).join(found, id_col, "left").select(id_col, F.coalesce("raw", F.lit(0.0)).alias("raw"))
-    else:
-        raw = _raw_weights(pool, id_col, text, n, ratios.toPandas())
+    ratios = log_ratios(most_frequent(pool, text, features, n), most_frequent(target, text, features, n))
+    raw = _raw_weights(pool, id_col, text, n, ratios.toPandas())
     raw = written(raw, "weights")
     ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     scaled = F.when(F.col("hi") > F.col("lo"), (F.col("raw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
@@ -108,18 +195,29 @@ def gram_weights(pool: DataFrame, target: DataFrame, id_col: str, text: str, n:
 
 
 def _raw_weights(pool: DataFrame, id_col: str, text: str, n: int, ratios: pd.DataFrame) -> DataFrame:
-    known = coded(ratios["gram"].tolist(), n)[0]
-    order = np.argsort(known)
-    known, ratio = known[order], ratios["log_ratio"].to_numpy(float)[order]
+    """id and raw: the mean ratio of each text's runs that have one."""
+    if n > 3:
+        by_gram = dict(zip(ratios["gram"], ratios["log_ratio"].astype(float), strict=True))
+    else:
+        known = coded(ratios["gram"].tolist(), n)[0]
+        order = np.argsort(known)
+        known, ratio = known[order], ratios["log_ratio"].to_numpy(float)[order]
 
     def weigh(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                grams, of = coded(part.column(1).to_pylist(), n)
-                at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
-                there = known[at] == grams if len(known) else np.zeros(len(grams), bool)
-                sums = np.bincount(of[there], ratio[at[there]], part.num_rows)
+                if n > 3:
+                    grams, number, of = distinct_grams(part.column(1).to_pylist(), n)
+                    each = np.array([by_gram.get(g, np.nan) for g in grams], float)[number]
+                    there = ~np.isnan(each)
+                    found = each[there]
+                else:
+                    grams, of = coded(part.column(1).to_pylist(), n)
+                    at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+                    there = known[at] == grams if len(known) else np.zeros(len(grams), bool)
+                    found = ratio[at[there]]
+                sums = np.bincount(of[there], found, part.num_rows)
                 raw = sums / np.maximum(np.bincount(of[there], minlength=part.num_rows), 1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(raw)], [id_col, "raw"])
 

@@ -232,6 +232,13 @@ def variance_reduction(batches: DataFrame, step: str, loss: str, p: str, n: str
     return both.where("uni > 0 and imp is not null").select(step, (1 - F.col("imp") / F.col("uni")).alias("eta"))
 
 
+def step_stats(drawn: DataFrame, step: str = "step", loss: str = "loss") -> DataFrame:
+    """Of each step's batch: temperature, candidates, rows, mean loss and weight, and the variance saved (eta; null of one row)."""
+    saved = variance_reduction(drawn, step, loss, "p")
+    each = drawn.groupBy(step).agg(F.max("tau").alias("tau"), F.max("n").alias("candidates"), F.count(F.lit(1)).alias("rows"), F.avg(loss).alias("mean_loss"), F.avg("weight").alias("mean_weight"))
+    return each.join(saved, step, "left")
+
+
 def in_blocks(etas: DataFrame, key: str, step: str, value: str, alpha: float, twice: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows (key, step, value) that have a value, with the block that they are in; and for each key its blocks in order: n rows, the sum that they
     add to the average, and the first value. Blocks are ranges of key and step, so a key of many rows has many. If the rows are read

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.records import pool_text
 from ..functions.vectors import unit
 from ..sources.tables import written
-from . import clusters, influence, ngrams, quantiles, sampling, token_loss
+from . import clusters, influence, ngrams, quantiles, sampling, scalar_clusters, token_loss
 from .array_sums import array_sums
 from .scalars import beside
 
@@ -130,9 +130,13 @@ def rho_loss(
 
 
 @register("importance_sampling")
-def importance(pool: DataFrame, id_col: str, **_) -> DataFrame:
-    """An online selector: the pool stays, and sampling.importance_batches draws from it step by step."""
-    return pool
+def importance(pool: DataFrame, id_col: str, losses: DataFrame | None = None, step: str = "step", loss: str = "loss", **how) -> DataFrame:
+    """An online selector: without losses the pool stays. With those of some steps (id, step, loss) it gives the rows of their guarded batches, with step,
+    p and weight; how: of sampling.guarded_batches()."""
+    if losses is None:
+        return pool
+    drawn = sampling.guarded_batches(losses, id_col, step, loss, **how)
+    return pool.join(drawn.select(id_col, step, "p", "weight"), id_col)
 
 
 def outliers(scores: DataFrame, percentile: float = 95.0) -> DataFrame:
@@ -167,8 +171,11 @@ def tracin(
     marked = outliers(scores.select(id_col, "score"), percentile)
     clean = marked.where("not is_outlier")
     if method != "none" and (n := clean.count()) > 10:
-        vectors = clean.withColumn("__x", F.array(F.col("score")))
-        grouped = clusters.fit_clusters(vectors, "__x", k or clusters.default_clusters(n), method, seed)
+        number = k or clusters.default_clusters(n)
+        if method == "kmeans":
+            grouped = scalar_clusters.scalar_kmeans(clean, "score", number)
+        else:
+            grouped = clusters.fit_clusters(clean.withColumn("__x", F.array(F.col("score"))), "__x", number, method, seed)
         # a single positive score has cosine distance 0 to its mean: the first member stands for the cluster
         first = influence.nearest_of_cluster(grouped.withColumn("__d", F.lit(0)), "cluster", "__d", id_col).select(id_col, F.lit(True).alias("__first"))
         marked = marked.join(first, id_col, "left")

@@ -171,6 +171,18 @@ def variance_eta(spark, sf_dir):
     return both.select("step", F.round(F.ln(1 - F.col("eta")), 6).alias("log_ratio"), F.round(F.ln(1 - F.col("scaled_eta")), 6).alias("scaled_log_ratio"))
 
 
+@query(
+    "step_stats",
+    f"""WITH {ETA}, a AS (SELECT step, max(tau) AS tau, max(n) AS candidates, count(*) AS rows, avg(loss) AS mean_loss, avg(weight) AS mean_weight FROM b GROUP BY step)
+SELECT step, round(tau, 9) AS tau, candidates, rows, round(mean_loss, 6) AS mean_loss, round(mean_weight, 6) AS mean_weight, round(ln(1 - eta), 6) AS log_ratio FROM a LEFT JOIN t USING (step)""",
+)
+def step_stats(spark, sf_dir):
+    """The figures of each step's batch; of the variance saved the logarithm of 1 - eta."""
+    found = sampling.step_stats(batches(spark, sf_dir))
+    rounded = [F.round(c, 6).alias(c) for c in ("mean_loss", "mean_weight")]
+    return found.select("step", F.round("tau", 9).alias("tau"), "candidates", "rows", *rounded, F.round(F.ln(1 - F.col("eta")), 6).alias("log_ratio"))
+
+
 GUARD = f"""
 WITH RECURSIVE {ETA.strip()},
 o AS MATERIALIZED (SELECT step, eta, row_number() OVER (ORDER BY step) AS k FROM t),

@@ -135,6 +135,14 @@ def ngram_counts(spark, sf_dir):
     return ngrams.top_grams(ngrams.gram_counts(table(spark, sf_dir, "documents"), "text"), 10_000)
 
 
+GRAMS_5 = "SELECT unnest(list_transform(range(1, length(lower(text)) - 3), lambda i: substr(lower(text), i, 5))) AS gram FROM documents"
+
+
+@query("ngram_counts_5", f"WITH g AS ({GRAMS_5}) SELECT gram, count(*) AS cnt FROM g GROUP BY gram ORDER BY cnt DESC, gram LIMIT 10000")
+def ngram_counts_5(spark, sf_dir):
+    return ngrams.most_frequent(table(spark, sf_dir, "documents"), "text", 10_000, 5)
+
+
 DSIR = f"""
 WITH g AS MATERIALIZED ({GRAMS}),
 n AS (SELECT greatest(1, count(*) // 10) AS k, greatest(1, CAST(floor(count(*) * 0.2) AS BIGINT)) AS keep FROM documents),

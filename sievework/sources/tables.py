@@ -37,6 +37,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables of one run, all in one folder, which is deleted when the run ends. What the run returns is written elsewhere."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path, self.n = spark, scratch(spark, name), 0
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.n += 1
+        df.write.parquet(f"{self.path}/{self.n}-{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}-{name}")
+
+
 def read_pool(spark: SparkSession, path: str, split: str | None = None, num_samples: int | None = None, seed: int = 42, id_col: str = "sample_id") -> DataFrame:
     """A pool of samples; split is a partition folder. A split that is not there is an error, never another split."""
     from ..operators.sampling import hash_sample

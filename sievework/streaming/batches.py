@@ -173,10 +173,3 @@ def finish(spark: SparkSession, steps: Steps, path: str, checkpoint: str, kind:
 def batches(spark: SparkSession, path: str) -> DataFrame:
     """All batches drawn so far: the columns of sampling.importance_batches()."""
     return spark.read.parquet(f"{path}/batches").drop("epoch")
-
-
-def stats(drawn: DataFrame, step: str = "step", loss: str = "loss") -> DataFrame:
-    """Of each step: temperature, candidates, rows, mean loss and weight of the batch, and the variance saved (null of one row)."""
-    saved = sampling.variance_reduction(drawn, step, loss, "p")
-    each = drawn.groupBy(step).agg(F.first("tau").alias("tau"), F.first("n").alias("candidates"), F.count(F.lit(1)).alias("rows"), F.avg(loss).alias("mean_loss"), F.avg("weight").alias("mean_weight"))
-    return each.join(saved, step, "left")

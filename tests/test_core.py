@@ -1,18 +1,20 @@
 """Settings, schedules, selectors, records, streams: what a user sees, and the edges."""
 
+import itertools
 import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sievework import config
 from sievework.functions import records, tokens, vectors
-from sievework.operators import clusters, evaluation, influence, ngrams, phases, sampling, selectors
-from sievework.sources import tables
-from sievework.streaming import averages
+from sievework.operators import array_sums, clusters, evaluation, graphs, influence, ngrams, pairs, phases, quantiles, sampling, scalar_clusters, selectors, token_loss
+from sievework.sources import archives, positions, tables
+from sievework.streaming import averages, batches
 
 
 @pytest.fixture(scope="module")
@@ -155,10 +157,22 @@ class TestSelectors:
         few = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "sample_id long, embedding array<double>")
         assert values(selectors.get_selector("less")(few, "sample_id", fraction=0.4), "sample_id") == [(3,), (4,)]
 
+    def test_no_scores_no_outliers(self, spark):
+        assert selectors.outliers(spark.createDataFrame([], "id long, score double")).count() == 0
+        got = selectors.outliers(spark.createDataFrame([(1, None), (2, 3.0)], "id long, score double"))
+        assert values(got, "id", "is_outlier") == [(1, False), (2, True)]
+
     def test_outliers_at_the_cut_are_outliers(self, spark):
         s = spark.createDataFrame([(i, 1.0) for i in range(4)], "sample_id long, score double")
         assert selectors.outliers(s).where("is_outlier").count() == 4
 
+    def test_importance_gives_batches(self, spark):
+        losses = spark.range(60).select("id", (F.col("id") % 5).alias("step"), (F.col("id") / 7).alias("loss"))
+        pool = spark.range(80).select("id", (F.col("id") * 2).alias("x"))
+        got = selectors.get_selector("importance_sampling")(pool, "id", losses=losses, batch=3, length=10)
+        want = sampling.guarded_batches(losses, "id", "step", "loss", batch=3, length=10)
+        assert values(got, "id", "step") == values(want, "id", "step") and got.count() == 15 and got.columns == ["id", "x", "step", "p", "weight"]
+
     def test_guards(self, spark):
         rows = [(i, float(i), "representative" if i < 3 else "redundant" if i < 9 else "outlier") for i in range(10)]
         s = spark.createDataFrame(rows, "sample_id long, score double, label string")
@@ -315,12 +329,25 @@ class TestRecords:
         assert got == want
         some = ngrams.top_grams(ngrams.gram_counts(d, "t", n), 3, n).collect()
         assert [(r["gram"], r["cnt"]) for r in some] == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:3]
+        for counters in (1, 2, 1000):
+            top = ngrams.most_frequent(d, "t", 3, n, counters).collect()
+            assert [(r["gram"], r["cnt"]) for r in top] == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:3]
         target = Counter(grams[0])
         ts, tt, v = sum(want.values()), sum(target.values()), len(want)
         ratio = {g: math.log(max((target[g] + 0.01 * ts) / (tt + 0.01 * ts * v), 1e-10) / max((want[g] + 0.01 * ts) / (ts + 0.01 * ts * v), 1e-10)) for g in want}
         raw = {r["id"]: r["raw"] for r in ngrams.gram_weights(d, d.where("id = 0"), "id", "t", n).collect()}
         assert all(math.isclose(raw[i], np.mean([ratio[g] for g in x]) if x else 0.0, abs_tol=1e-9) for i, x in enumerate(grams))
 
+    @pytest.mark.parametrize("most_candidates", [2_000_000, 2])
+    def test_frequent_long_grams_are_counted_again(self, spark, monkeypatch, most_candidates):
+        monkeypatch.setattr(ngrams, "MOST_CANDIDATES", most_candidates)
+        rng = np.random.default_rng(2)
+        texts = ["".join(rng.choice(list("abcdefgh"), 30)) + "common phrase " * int(rng.integers(0, 4)) for _ in range(80)]
+        d = spark.createDataFrame([(t,) for t in texts], "t string").repartition(5)
+        want = Counter(t[i : i + 6] for t in texts for i in range(len(t) - 5))
+        got = ngrams.most_frequent(d, "t", 8, 6, counters=150).collect()
+        assert [(r["gram"], r["cnt"]) for r in got] == sorted(want.items(), key=lambda x: (-x[1], x[0]))[:8]
+
 
 class TestInfluence:
     def fixture(self, spark, n=30, seed=0):
@@ -406,52 +433,86 @@ class TestClusters:
         clusters.fit_clusters(d, "v", 2)
         assert made == list(range(42, 52))
 
-    def test_similar_pairs_and_greedy(self, spark):
-        rng = np.random.default_rng(3)
+    @staticmethod
+    def families(seed=3, spread=0.3):
+        rng = np.random.default_rng(seed)
         base = rng.normal(size=(12, 5))
-        x = np.vstack([b + 0.3 * rng.normal(size=(10, 5)) for b in base])
-        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        return np.vstack([b + spread * rng.normal(size=(10, 5)) for b in base])
+
+    @pytest.mark.parametrize(("threshold", "leaf", "block"), [(0.95, 4096, 16), (0.95, 8, 5), (0.45, 8, 2048), (0.0, 8, 50)])
+    def test_similar_pairs_and_greedy(self, spark, threshold, leaf, block):
+        x = self.families()
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(5)
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
         cos = u @ u.T
-        want = sorted((i, j) for i in range(120) for j in range(i + 1, 120) if cos[i, j] >= 0.95)
-        assert values(clusters.similar_pairs(df, "id", "v", 0.95, block=16), "i", "j") == want and want
+        want = sorted((i, j) for i in range(120) for j in range(i + 1, 120) if cos[i, j] >= threshold)
+        assert values(pairs.similar_pairs(df, "id", "v", threshold, leaf, block), "i", "j") == want
         kept = []
         for i in range(120):
-            if not any(cos[i, k] >= 0.95 for k in kept):
+            if not any(cos[i, k] >= threshold for k in kept):
                 kept.append(i)
-        gone = [r[0] for r in values(clusters.greedy_redundant(df, "id", "v", 0.95), "id")]
+        gone = [r[0] for r in values(clusters.greedy_redundant(df, "id", "v", threshold), "id")]
         assert sorted(set(range(120)) - set(gone)) == kept
 
-    def test_average_linkage_by_trying_all(self, spark):
-        rng = np.random.default_rng(4)
-        x = rng.normal(size=(25, 3))
+    def test_a_tree_saves_comparisons(self, spark):
+        x = np.repeat(self.families(7, 0.05), 5, axis=0) + 0.001 * np.random.default_rng(1).normal(size=(600, 5))
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        compared = pairs.sizes(pairs.cells(df, "id", "v", 0.999, leaf=40)).agg(F.sum("pairs")).first()[0]
+        assert compared < 0.2 * 600 * 600
+        homes = pairs.cells(df, "id", "v", 0.999, leaf=40).where("home")
+        assert homes.count() == homes.select("id").distinct().count() == 600
+
+    def test_equal_zero_and_null_vectors(self, spark):
+        rows = [(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, 0.0]), (6, [1.0, 0.1]), (7, [-1.0, 0.0])]
+        df = spark.createDataFrame(rows, "id long, v array<double>")
+        assert values(pairs.similar_pairs(df, "id", "v", 0.95), "i", "j") == [(1, 2), (1, 5), (1, 6), (2, 5), (2, 6), (5, 6)]
+        assert values(clusters.greedy_redundant(df, "id", "v", 0.95), "id") == [(2,), (5,), (6,)]
+        assert pairs.similar_pairs(df.limit(0), "id", "v", 0.95).count() == 0 and clusters.greedy_redundant(df.limit(0), "id", "v").count() == 0
+
+    @staticmethod
+    def slow(x, k, distance):
+        """Average linkage by trying all pairs of clusters."""
         u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        groups = [[i] for i in range(len(x))]
+        while len(groups) > 1:
+            d, a, b = min((np.mean([1 - u[i] @ u[j] for i in groups[a] for j in groups[b]]), a, b) for a in range(len(groups)) for b in range(a))
+            if len(groups) == k or distance is not None and d >= distance:
+                break
+            groups[b] += groups.pop(a)
+        return sorted(sorted(g) for g in groups)
 
-        def slow(k, distance):
-            groups = [[i] for i in range(25)]
-            while len(groups) > 1:
-                d, a, b = min((np.mean([1 - u[i] @ u[j] for i in groups[a] for j in groups[b]]), a, b) for a in range(len(groups)) for b in range(a))
-                if len(groups) == k or distance is not None and d >= distance:
-                    break
-                groups[b] += groups.pop(a)
-            return sorted(sorted(g) for g in groups)
-
-        def fast(found):
-            by = {}
-            for i, c in enumerate(found):
-                by.setdefault(c, []).append(i)
-            return sorted(by.values())
-
-        for k, distance in ((1, None), (4, None), (25, None), (None, 0.1), (None, 0.5)):
-            assert fast(clusters.average_linkage(x, k, distance)) == slow(k, distance)
+    @staticmethod
+    def groups(df):
+        by = {}
+        for i, c in values(df, "id", "cluster"):
+            by.setdefault(c, []).append(i)
+        return sorted(sorted(g) for g in by.values())
+
+    @pytest.mark.parametrize(("k", "threshold", "cell"), [(1, None, 1000), (4, None, 1000), (4, None, 5), (25, None, 1000), (None, 0.9, 1000), (None, 0.5, 3)])
+    def test_average_linkage_by_trying_all(self, spark, k, threshold, cell):
+        """In one task, and by joins of tables, whatever the partitions."""
+        x = np.random.default_rng(4).normal(size=(25, 3))
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
-        got = dict(values(clusters.linkage(df, "v", threshold=0.9), "id", "cluster"))
-        assert fast([got[i] for i in range(25)]) == slow(None, 0.1)
-        # a common vector in many rows, in cells of a bounded number
-        many = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, float(i + 1)]) for i in range(90)], "id long, v array<double>")
-        cells = clusters.linkage(many, "v", threshold=0.9, cell=10)
-        assert cells.count() == 90 and cells.groupBy("cluster").agg(F.count_distinct(F.col("id") % 3 > 0).alias("n")).where("n > 1").count() == 0
-        assert clusters.fit_clusters(df, "v", 4, "agglomerative").select("cluster").distinct().count() == 4
+        how = {"k": k} if k is not None else {"threshold": threshold}
+        want = self.slow(x, k, None if threshold is None else 1 - threshold)
+        found = clusters.linkage(df.repartition(3 if cell > 3 else 7), "v", cell=cell, **how)
+        assert self.groups(found) == want
+        for r in found.collect():
+            mine = next(g for g in want if r["id"] in g)
+            assert np.allclose(r["center"], x[mine].mean(0))
+
+    def test_linkage_of_equal_vectors(self, spark):
+        many = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, float(i + 1)]) for i in range(90)] + [(90, [0.0, 0.0]), (91, [0.0, 0.0])], "id long, v array<double>")
+        assert self.groups(clusters.linkage(many, "v", threshold=0.9)) == sorted([[i for i in range(90) if i % 3], [i for i in range(90) if not i % 3], [90, 91]])
+        assert clusters.fit_clusters(many, "v", 2, "agglomerative").select("cluster").distinct().count() == 2
+        assert clusters.linkage(many.limit(0), "v", k=3).count() == 0
+
+    def test_connected_parts(self, spark):
+        edges = [(1, 2), (2, 3), (7, 8), (9, 9), (20, 10), (10, 30), (30, 5), *[(100 + i, 101 + i) for i in range(40)], *[(500, 501 + i) for i in range(30)]]
+        with tables.Workspace(spark, "test") as work:
+            got = dict(values(graphs.connected(spark.createDataFrame(edges, "a long, b long"), work), "c", "part"))
+        want = {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 20: 5, 10: 5, 30: 5, 5: 5} | {100 + i: 100 for i in range(41)} | {500 + i: 500 for i in range(31)}
+        assert got == want
 
     def test_default_number(self):
         assert [clusters.default_clusters(n) for n in (1, 2, 3, 100)] == [1, 1, 1, 10]
@@ -560,3 +621,313 @@ class TestStreams:
         stream = averages.windowed(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "ts", "key", "x")
         with pytest.raises(ValueError, match="4 rows of 5"):
             averages.run_to_table(stream, f"{tmp_path}/out", f"{tmp_path}/state", rows=5)
+
+
+class TestQuantiles:
+    @pytest.fixture
+    def small(self, monkeypatch):
+        """Few values are sorted at once, and sketches are small, so that brackets are drawn again and again."""
+        monkeypatch.setattr(quantiles, "FEW", 20)
+        monkeypatch.setattr(quantiles, "SKETCH", 64)
+        monkeypatch.setattr(quantiles, "SLACK", 0.02)
+
+    @pytest.mark.parametrize("kind", ["normal", "ties", "one", "steps"])
+    def test_as_numpy(self, spark, small, kind):
+        rng = np.random.default_rng(5)
+        x = {"normal": rng.normal(size=3000), "ties": rng.integers(0, 4, 3000).astype(float), "one": np.full(500, 2.5), "steps": np.repeat([1.0, 1.0 + 1e-12, 7.0], [900, 900, 900])}[kind]
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").repartition(6)
+        shares = [0.0, 0.05, 0.333, 0.5, 0.95, 0.9501, 1.0]
+        assert np.allclose(quantiles.percentiles(df, "x", shares), np.quantile(x, shares), rtol=0, atol=1e-13)
+        ranks = [0, 17, 18, len(x) // 2, len(x) - 1, 17]
+        assert quantiles.order_statistics(df, "x", ranks) == np.sort(x)[ranks].tolist()
+
+    def test_cases(self, spark):
+        none = spark.createDataFrame([(None,)], "x double")
+        assert quantiles.percentiles(none, "x", [0.5]) == [None] and quantiles.order_statistics(none, "x", []) == []
+        one = spark.createDataFrame([(3,)], "x int")
+        assert quantiles.percentiles(one, "x", [0.0, 0.7, 1.0]) == [3.0, 3.0, 3.0]
+        with pytest.raises(ValueError, match="there are 1 values"):
+            quantiles.order_statistics(one, "x", [1])
+        with pytest.raises(ValueError, match="between 0 and 1"):
+            quantiles.percentiles(one, "x", [1.5])
+
+
+class TestArraySums:
+    def test_by_hand(self, spark, monkeypatch):
+        rng = np.random.default_rng(2)
+        rows = [(int(k), int(w), rng.normal(size=4).tolist()) for k, w in zip(rng.integers(0, 5, 200), rng.integers(0, 3, 200), strict=True)]
+        df = spark.createDataFrame([*rows, (1, 1, None)], "k int, w int, v array<double>").repartition(4)
+        for keys in (["k"], []):
+            got = {tuple(r[k] for k in keys): (r["n"], r["total"]) for r in array_sums.array_sums(df, keys, "v", F.col("w")).collect()}
+            for key, (n, total) in got.items():
+                mine = [(w, v) for k, w, v in rows if not keys or k == key[0]]
+                assert n == sum(w for w, _ in mine) and np.allclose(total, sum(w * np.array(v) for w, v in mine))
+            assert len(got) == (5 if keys else 1)
+        assert array_sums.array_sums(df.limit(0), ["k"], "v").count() == 0
+
+
+class TestTokenLoss:
+    def rows(self, seed=1, n=60):
+        rng = np.random.default_rng(seed)
+        rows = []
+        for i in range(n):
+            ids = rng.integers(0, 7, rng.integers(0, 12)).tolist()
+            rows.append((i, ids, [-100 if rng.random() < 0.3 else t for t in ids]))
+        return [*rows, (n, None, None), (n + 1, [3], [3]), (n + 2, [6, 6, 6], [6, None, 6])]
+
+    @staticmethod
+    def slow(train, rows, order, vocabulary):
+        count, follow = {}, {}
+        places = lambda ids, labels: [(tuple([vocabulary] * order + ids[:i]), labels[i]) for i in range(1, len(ids or [])) if labels[i] not in (None, -100)]
+        for _, ids, labels in train:
+            for context, w in places(ids, labels):
+                for k in range(order):
+                    h = context[len(context) - k :]
+                    count.setdefault(h, {}).setdefault(w, 0)
+                    count[h][w] += 1
+        out = {}
+        for i, ids, labels in rows:
+            each = []
+            for context, w in places(ids, labels):
+                p = 1 / vocabulary
+                for k in range(order):
+                    seen = count.get(context[len(context) - k :])
+                    if seen:
+                        p = (seen.get(w, 0) + len(seen) * p) / (sum(seen.values()) + len(seen))
+                each.append(-math.log(p))
+            out[i] = (sum(each) / len(each) if each else None, len(each))
+        return out
+
+    @pytest.mark.parametrize("order", [1, 2, 3, 4])
+    def test_by_hand(self, spark, order, monkeypatch):
+        monkeypatch.setattr(token_loss, "OFTEN", 3)
+        rows, train = self.rows(), self.rows(9, 25)
+        frame = lambda x: spark.createDataFrame(x, "id long, input_ids array<int>, labels array<int>").repartition(4)
+        for of in (train, rows, []):
+            got = token_loss.token_losses(frame(rows), "id", token_loss.fit(frame(of), order, 7))
+            want = self.slow(of, rows, order, 7)
+            found = {r["id"]: (r["loss"], r["tokens"]) for r in got.collect()}
+            assert found.keys() == want.keys()
+            for i, (loss, n) in want.items():
+                assert found[i][1] == n and (loss is None and found[i][0] is None or abs(found[i][0] - loss) < 1e-9)
+
+    def test_the_holdout_is_the_reference(self, spark):
+        rows = spark.createDataFrame(self.rows(3, 200), "id long, input_ids array<int>, labels array<int>")
+        model = token_loss.fit(rows, 2, 7)
+        kept = selectors.get_selector("rho_loss")(rows, "id", fraction=0.1, model=model)
+        held = sampling.split_holdout(rows, "id").where("holdout")
+        losses = [dict(values(token_loss.token_losses(rows, "id", m), "id", "loss")) for m in (model, token_loss.fit(held, 2, 7))]
+        out = {r["id"] for r in held.collect()}
+        score = {i: losses[0][i] - losses[1][i] for i in losses[0] if losses[0][i] is not None and i not in out}
+        assert {r["id"] for r in kept.collect()} == set(sorted(score, key=lambda i: (score[i], i))[-20:])
+        with pytest.raises(ValueError, match="needs losses"):
+            selectors.get_selector("rho_loss")(rows, "id")
+
+    def test_bad_ids(self, spark):
+        with pytest.raises(ValueError, match="do not fit"):
+            token_loss.Coding(5, 32_000)
+        coding = token_loss.Coding(2, 4)
+        for ids, labels in (([[4]], [[0]]), ([[0, -1]], [[0, 1]]), ([[0, 1]], [[0]]), ([[0, 1]], [[0, 9]])):
+            with pytest.raises(ValueError):
+                coding.grams(pa.array(ids), pa.array(labels))
+
+
+class TestStreamedBatches:
+    HOW = {"batch": 2, "multiplier": 3, "length": 30}
+
+    def steps(self, **more):
+        return batches.Steps("id", "step", "loss", "at", F.timestamp_seconds((F.col("step") + 1) * 60 + 480_000), how=self.HOW, **more)
+
+    @pytest.fixture
+    def rows(self, spark):
+        rng = np.random.default_rng(6)
+        rows = [(1000 * k + i, k, float(rng.gamma(2.0)), 60 * k + int(rng.integers(0, 60))) for k in range(24) for i in range(int(rng.integers(1, 15)))]
+        rows += [(77_000, None, 1.0, 5), (77_001, 3, None, 190)]
+        return spark.createDataFrame(rows, "id long, step long, loss double, sec long").withColumn("at", F.timestamp_seconds(F.col("sec") + 480_000)).drop("sec")
+
+    @pytest.mark.parametrize("threshold", [-1e9, 0.5, -3.0])
+    def test_as_the_batch_form(self, spark, rows, tmp_path, threshold):
+        own, steps = batches.session(spark), self.steps(threshold=threshold)
+        for k in range(3):  # stopped and taken up again
+            rows.where(f"floor((unix_timestamp(at) - 480000) / 480) = {k}").write.mode("append").parquet(f"{tmp_path}/in")
+            batches.run(own.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), steps, f"{tmp_path}/out", f"{tmp_path}/state")
+        closed = batches.batches(own, f"{tmp_path}/out").select("step").distinct().count()
+        assert 0 < closed < 24
+        batches.finish(own, steps, f"{tmp_path}/out", f"{tmp_path}/state")
+        got = batches.batches(own, f"{tmp_path}/out")
+        want = sampling.guarded_batches(rows.where("step is not null and loss is not null"), "id", "step", "loss", threshold=threshold, **self.HOW)
+        plain = lambda df: sorted((r["step"], r["id"], round(r["p"], 9), r["n"], round(r["weight"], 9)) for r in df.collect())
+        assert plain(got) == plain(want)
+        ema, first = batches.last_state(own, f"{tmp_path}/out")
+        assert (first is None) == (threshold == -1e9) and ema is not None
+        figures = sampling.step_stats(got).collect()
+        assert len(figures) == 24 and all(r["rows"] <= 2 and r["candidates"] <= 6 for r in figures)
+
+    def test_open_steps_begin_a_new_stream(self, spark, rows, tmp_path):
+        own, steps = batches.session(spark), self.steps(threshold=-1e9)
+        first = rows.where("step < 5 or step = 5 and id % 2 = 0")
+        first.write.parquet(f"{tmp_path}/a")
+        batches.run(own.readStream.schema(rows.schema).parquet(f"{tmp_path}/a"), steps, f"{tmp_path}/out", f"{tmp_path}/state")
+        left = batches.open_candidates(own, f"{tmp_path}/state")
+        assert {r["step"] for r in left.collect()} >= {5}
+        rows.where("step > 5 or step = 5 and id % 2 = 1").write.parquet(f"{tmp_path}/b")
+        batches.run(own.readStream.schema(rows.schema).parquet(f"{tmp_path}/b"), steps, f"{tmp_path}/more", f"{tmp_path}/state2", initial=left)
+        batches.finish(own, steps, f"{tmp_path}/more", f"{tmp_path}/state2")
+        got = batches.batches(own, f"{tmp_path}/out").unionByName(batches.batches(own, f"{tmp_path}/more"))
+        want = sampling.guarded_batches(rows.where("step is not null and loss is not null"), "id", "step", "loss", threshold=-1e9, **self.HOW)
+        assert values(got, "step", "id") == values(want, "step", "id")
+
+
+class TestFoldedAverages:
+    def test_over_micro_batches(self, spark, tmp_path):
+        rng = np.random.default_rng(8)
+        rows = [(f"k{rng.integers(0, 3)}", i, float(rng.normal()), i) for i in range(300)] + [("gone", 5, 1.0, 500), ("k0", 7, None, 501)]
+        df = spark.createDataFrame(rows, "key string, sec long, x double, id long").withColumn("at", F.timestamp_seconds("sec"))
+        for k in range(3):
+            df.where(f"floor(sec / 100) = {k}").write.mode("append").parquet(f"{tmp_path}/in")
+            averages.fold_averages(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "key", "at", "x", "id", f"{tmp_path}/out", f"{tmp_path}/state", alpha=0.9, forget="150 seconds")
+        want = {}
+        for key, _, x, _ in sorted(rows[:300], key=lambda r: r[1]):
+            ema, n = want.get(key, (None, 0))
+            want[key] = (x if ema is None else 0.9 * ema + 0.1 * x, n + 1)
+        got = {r["key"]: (r["ema"], r["steps"]) for r in averages.averages(spark, f"{tmp_path}/out").collect()}
+        assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-9 and got[k][1] == want[k][1] for k in want)
+
+
+class TestScalarClusters:
+    @staticmethod
+    def cost(parts):
+        return sum(((p - p.mean()) ** 2).sum() for p in parts)
+
+    @pytest.mark.parametrize("k", [1, 2, 3, 5, 11, 20])
+    def test_by_trying_all_cuts(self, spark, k):
+        x = np.sort(np.random.default_rng(3).normal(size=11)) ** 3
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)] + [(90, None), (91, float("nan"))], "id long, x double").repartition(4)
+        best = min(self.cost([x[a:b] for a, b in itertools.pairwise((0, *c, 11))]) for c in itertools.combinations(range(1, 11), min(k, 11) - 1))
+        rows = scalar_clusters.scalar_kmeans(df, "x", k).collect()
+        by = {}
+        for r in rows:
+            by.setdefault(r["cluster"], []).append(r["x"])
+        by.pop(None)
+        assert abs(self.cost([np.array(v) for v in by.values()]) - best) < 1e-9 and len(by) == min(k, 11)
+        assert all(abs(r["center"] - np.mean(by[r["cluster"]])) < 1e-9 for r in rows if r["cluster"] is not None)
+        assert {r["id"] for r in rows if r["cluster"] is None} == {90, 91}
+
+    def test_cuts_of_many_bins(self):
+        x = np.sort(np.concatenate([np.random.default_rng(1).normal(c, 0.2, 60) for c in (0, 1e6, 1e6 + 3)]))
+        bins = np.stack([x, x, np.ones(180), x, x * x], axis=1)
+        assert scalar_clusters.best_cuts(bins, 3).tolist() == [0, 60, 120]
+        # as a plain dynamic program has it
+        best = [self.cost([x[:j]]) if j else 0.0 for j in range(181)]
+        for _ in range(6):
+            best = [min((best[i] + self.cost([x[i:j]]) for i in range(j) if math.isfinite(best[i])), default=math.inf) if j else math.inf for j in range(181)]
+        cuts = scalar_clusters.best_cuts(bins, 7)
+        assert abs(self.cost([x[a:b] for a, b in itertools.pairwise((*cuts, 180))]) - best[180]) < 1e-3
+
+    def test_partitions_and_bins(self, spark):
+        rng = np.random.default_rng(9)
+        x = np.concatenate([rng.normal(size=3000), rng.normal(5, 0.001, 3000), [0.0, -0.0, -1e9, 1e9]])
+        df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double")
+        found = scalar_clusters.histogram(df, "x", 200)
+        assert found[:, 2].sum() == len(x) and (found[1:, 0] > found[:-1, 1]).all() and found[:, 2].max() <= len(x) / 200 + 1 and len(found) < 6000
+        first = values(scalar_clusters.scalar_kmeans(df, "x", 40, 200), "id", "cluster")
+        assert values(scalar_clusters.scalar_kmeans(df.repartition(7), "x", 40, 200), "id", "cluster") == first
+        assert scalar_clusters.scalar_kmeans(df.limit(0), "x", 3).count() == 0
+
+
+class TestPositions:
+    @pytest.fixture
+    def rows(self, spark, tmp_path):
+        for k, n in enumerate((3, 0, 5, 2)):
+            spark.range(100 * k, 100 * k + n).coalesce(1).write.mode("append").parquet(f"{tmp_path}/t/part={k}")
+        return positions.read_numbered(spark, f"{tmp_path}/t")
+
+    def test_numbers_over_files(self, rows):
+        assert values(rows, "position", "id") == list(enumerate([0, 1, 2, 200, 201, 202, 203, 204, 300, 301]))
+        assert values(positions.rows_between(rows, 2, 4), "id") == [(2,), (200,)]
+
+    def test_gathered(self, spark, rows):
+        wanted = spark.createDataFrame([(0, 9), (1, -1), (2, 0), (3, 9), (4, -10)], "place int, position long")
+        got = positions.gathered(rows, wanted)
+        assert [r["id"] for r in got.collect()] == [301, 301, 0, 301, 0]
+        with pytest.raises(IndexError):
+            positions.gathered(rows, spark.createDataFrame([(0, 10)], "place int, position long"))
+
+    def test_joined(self, spark, rows):
+        values_ = rows.select("position", (F.col("id") + 1).alias("v"))
+        assert all(r["v"] == r["id"] + 1 for r in positions.with_column_by_position(rows, values_, "v").collect())
+        with pytest.raises(ValueError, match="10 rows on the left and 9"):
+            positions.joined_by_position(rows, values_.where("position > 0"))
+        with pytest.raises(ValueError, match="there is a column"):
+            positions.with_column_by_position(rows, values_, "id")
+
+
+class TestArchives:
+    @pytest.fixture
+    def own(self, spark):
+        archives.register(spark)
+        return spark
+
+    ROWS = [(i, step, dim, i / 7 + step, "kept" if i % 3 else None) for step in (1, 5, 20) for dim in ("a", "b c") for i in range(7)]
+
+    def write(self, own, path, rows, mode="append", about=None):
+        df = own.createDataFrame(rows, archives.SCORES).repartition(3)
+        writer = df.write.format("score_archive").mode(mode)
+        (writer.option("about", about) if about else writer).save(path)
+
+    def test_round_trip(self, own, tmp_path):
+        path = f"{tmp_path}/x"
+        self.write(own, path, self.ROWS, about='{"seed": 7}')
+        found = own.read.format("score_archive").load(path)
+        assert sorted(map(tuple, found.collect()), key=str) == sorted(self.ROWS, key=str) and archives.about(path) == {"seed": 7}
+        for where, keep in (("dim = 'b c'", lambda r: r[2] == "b c"), ("step > 1 and step <= 5", lambda r: r[1] == 5), ("step in (1, 20) and score > 3", lambda r: r[1] != 5 and r[3] > 3), ("step = 2", lambda r: False)):
+            assert sorted(map(tuple, found.where(where).collect()), key=str) == sorted(filter(keep, self.ROWS), key=str)
+        self.write(own, path, self.ROWS[:5], "overwrite")
+        assert own.read.format("score_archive").load(path).count() == 5
+
+    def test_filters_choose_files(self):
+        reader = archives.ScoreReader("/nowhere")
+        left = list(reader.pushFilters([archives.EqualTo(("step",), 3), archives.GreaterThan(("score",), 0.5), archives.In(("dim",), ("a",))]))
+        assert [type(f) for f in left] == [archives.GreaterThan] and len(reader.tests) == 2
+
+    def test_a_broken_job_leaves_nothing(self, own, tmp_path):
+        path = f"{tmp_path}/x"
+        self.write(own, path, self.ROWS)
+        with pytest.raises(Exception, match="cannot name an archive"):
+            self.write(own, path, [*self.ROWS, (1, 1, "a,b", 0.0, None)])
+        assert own.read.format("score_archive").load(path).count() == len(self.ROWS)
+        assert not [x for x in (tmp_path / "x").iterdir() if x.name.startswith("_job")]
+
+    def test_other_files_are_passed_over(self, own, tmp_path):
+        path = f"{tmp_path}/x"
+        self.write(own, path, self.ROWS)
+        for name in ("notes.npz", "step=x,dim=a,00.npz", "_job-1/step=1,dim=a,00.npz"):
+            (tmp_path / "x" / name).parent.mkdir(exist_ok=True)
+            (tmp_path / "x" / name).write_bytes(b"no archive")
+        assert own.read.format("score_archive").load(path).count() == len(self.ROWS)
+        assert archives.about(f"{tmp_path}") == {} and own.read.format("score_archive").load(f"{tmp_path}/none").count() == 0
+
+    def test_checkpoint_folders(self, tmp_path):
+        for name, whole in (("checkpoint-100", True), ("checkpoint-20", True), ("checkpoint-x", True), ("checkpoint-7", False), ("other-3", True)):
+            (tmp_path / name).mkdir()
+            if whole:
+                (tmp_path / name / "adapter_config.json").write_text("{}")
+        assert list(archives.adapter_checkpoints(str(tmp_path))) == [20, 100] and archives.adapter_checkpoints(f"{tmp_path}/none") == {}
+
+    def test_arrow_files(self, own, tmp_path):
+        path = f"{tmp_path}/a"
+        t = pa.table({"id": list(range(1000)), "t": [f"text {i}" if i % 5 else None for i in range(1000)], "v": [[float(i)] for i in range(1000)]})
+        (tmp_path / "a").mkdir()
+        with pa.OSFile(f"{path}/one.arrow", "wb") as f, pa.ipc.new_file(f, t.schema) as w:
+            w.write_table(t, max_chunksize=100)
+        with pa.OSFile(f"{path}/two.arrow", "wb") as f, pa.ipc.new_stream(f, t.schema) as w:
+            w.write_table(t, max_chunksize=300)
+        df = archives.arrow_scan(own, path, ["t", "id"])
+        assert df.columns == ["t", "id"] and values(df.where("t is not null").groupBy("id").count(), "id", "count") == [(i, 2) for i in range(1000) if i % 5]
+        reader = archives.ArrowReader(path, df.schema, 250)
+        assert [p.batches for p in reader.partitions()] == [(0, 3), (3, 6), (6, 9), (9, 10), None]
+        assert values(archives.arrow_scan(own, path), "id", "v") == sorted([(i, [float(i)]) for i in range(1000)] * 2)
+        own.createDataFrame([(1, "x")], "id long, t string").write.format("arrow_ipc").mode("append").save(f"{tmp_path}/b")
+        assert values(archives.arrow_scan(own, f"{tmp_path}/b"), "id", "t") == [(1, "x")]
+        with pytest.raises(FileNotFoundError):
+            archives.arrow_scan(own, f"{tmp_path}/none")
