@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import xxhash
 
-from sievework.llm import quality_rules, toxicity
+from sievework.llm import quality_classifier, quality_rules, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,3 +97,24 @@ def score_by_hand(model, text):
     z = [sum(x) / len(x) for x in windows]
     weights = np.exp(np.array(z) - max(z))
     return model.bias + float((weights / weights.sum()) @ np.array(z))
+
+
+def grade_by_hand(model, text, least=1, keep=0.3):
+    """expected_grade, tail_probability and kept of a text under a model of grades."""
+    data = (text or "").encode()
+    low = data.translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256)))
+    count = defaultdict(int)
+    for i in range(len(data) - 3):
+        x = int.from_bytes(low[i : i + 4], "little")
+        shape = sum((low[i + k] != data[i + k]) << k for k in range(4))
+        h = (x ^ (shape * 0x85EBCA6B & 0xFFFFFFFF)) * 0x9E3779B1 & 0xFFFFFFFF
+        h = (h ^ (h >> 15)) * 0x2C1B3C6D & 0xFFFFFFFF
+        count[h >> (32 - quality_classifier.BITS)] += 1
+    w = WORD.findall(text or "")
+    n = max(1, len(w))
+    extra = [sum(a == b for a, b in zip(w, w[1:], strict=False)) / n, (len(w) - len(set(w))) / n, sum(65 <= b <= 90 for b in data) / max(1, len(data))]
+    length = math.sqrt(max(sum(c * model.rarity[b] ** 2 for b, c in count.items()), 1e-12))
+    score = sum(math.sqrt(c) * model.rarity[b] * model.weights[b] for b, c in count.items()) / length
+    score += sum(math.sqrt(e) * v for e, v in zip(extra, model.weights[quality_classifier.BUCKETS :], strict=True))
+    above = [1 / (1 + math.exp(t - score)) for t in model.theta]
+    return sum(above), above[least - 1], above[least - 1] >= keep

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievework.llm import labelled, quality_classifier, quality_rules, toxicity
 
-from .by_hand import by_hand, kept_by_hand, score_by_hand
+from .by_hand import by_hand, grade_by_hand, kept_by_hand, score_by_hand
 from .conftest import KIND, prose
 
 
@@ -166,6 +166,28 @@ class TestToxicity:
 
 
 class TestQualityClassifier:
+    def test_rated_by_hand(self, spark, clashing, odd_rows, mixed_rows, mixed_labels):
+        """Each document's grade, tail and verdict, from the fitted weights and thresholds by plain Python."""
+        rows = spark.createDataFrame([(i + 10_000, *r) for i, *r in mixed_rows], KIND)
+        docs = clashing.select("doc_id", "text", "lang", "source", "n_chars").unionByName(rows)
+        ratings = spark.createDataFrame([(i + 10_000, 2 * q - (q and t)) for i, q, t in mixed_labels], "doc_id long, grade int")
+        model = quality_classifier.fit(docs, ratings, 2)
+        assert (model.theta[1:] > model.theta[:-1]).all() and np.abs(model.weights).max() > 0
+        texts = [(i, t) for i, t, *_ in odd_rows] + [(i + 10_000, t) for i, t, *_ in mixed_rows]
+        want = Counter()
+        for i, t in texts:
+            grade, tail, kept = grade_by_hand(model, t)
+            assert abs(tail - 0.3) > 1e-4
+            want[i, round(grade, 3), round(tail, 3), kept] += 1
+        got = quality_classifier.rated(docs, ratings).collect()
+        near = Counter((r["doc_id"], round(r["expected_grade"], 3), round(r["tail_probability"], 3), r["kept"]) for r in got)
+        apart = list((want - near).elements()), list((near - want).elements())
+        assert len(got) == len(texts) and {r["kept"] for r in got} == {True, False}
+        # what is rounded may differ in its last digit
+        key = lambda x: (x[0] is None, x[0] or 0, x)
+        for a, b in zip(*(sorted(x, key=key) for x in apart), strict=True):
+            assert a[0] == b[0] and a[3] == b[3] and abs(a[1] - b[1]) < 0.0021 and abs(a[2] - b[2]) < 0.0021
+
     def test_graded_texts(self, spark):
         rng = random.Random(6)
         rows = []
