@@ -7,8 +7,9 @@ pivot is a lower bound of their distance. Candidates are evaluated in the order
 next is above the distance of the k-th best: then none of the rest can be among the best. Scores are exact integers;
 bounds are lowered by more than their rounding error.
 
-The queries are a stated set of rows, held against all rows in blocks: each block of queries is sent to the blocks of candidates, which
-stay where they are, and each meeting gives at most k rows for each query, of which the best k are kept.
+The queries are a stated set of rows, held against all rows in blocks. A task holds as many blocks of candidates as fit in memory, and each block of
+queries is sent to each task once: it meets one block of candidates after the other, with the best k so far. So queries are sent as often as
+tasks' memories are filled by all candidates, and each meeting gives at most k rows for each query, of which the best k are kept.
 
 Cases: vectors that are null or hold null or non-finite components take no part; shorter vectors end in zeros; vectors of no
 component score 0; ids may repeat (each row is a candidate, and a query is never matched with rows of its own id; equal rows are one
@@ -55,6 +56,8 @@ def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0)).astype(np.float32)
 
 
+#: Bytes of the blocks of candidates that a task holds.
+MOST_HELD = 1 << 26
 #: A block: its ids, its vectors one after the other as 64-bit integers, and its distances to the pivots.
 BLOCK = "block int, ids binary, m binary, distances binary"
 
@@ -76,10 +79,12 @@ def exactly(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a.astype(kind), b.astype(kind)
 
 
-def best(q_ids, q, q_table, c_ids, c, c_table, most: float, k: int, chunk: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def best(
+    q_ids, q, q_table, c_ids, c, c_table, most: float, k: int, chunk: int = 512, start: list[tuple[np.ndarray, np.ndarray]] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """For one block of each: the place of the query, the candidate's id and the score of the k best for each query; and how many were evaluated.
 
-    The tables have a row for each pivot.
+    The tables have a row for each pivot. start: ids and scores of each query's best of other blocks, which count among the k and stop it sooner.
     """
     asked, exact = exactly(q, c)
     norms = (q.astype(float) ** 2).sum(1)
@@ -89,12 +94,14 @@ def best(q_ids, q, q_table, c_ids, c, c_table, most: float, k: int, chunk: int =
         bound = np.zeros(len(c), np.float32)
         for column, own in zip(c_table, q_table[:, i], strict=True):
             np.maximum(bound, np.abs(column - own), out=bound)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        ids, scores = (np.zeros(0, np.int64), np.zeros(0, np.int64)) if start is None else start[i]
+        # the distance of the k-th best; a candidate must come nearer, or as near with a smaller id
+        reach = lambda scores, i=i: np.sqrt(max(norms[i] + most - 2 * float(scores[-1]), 0.0)) + 2 * slack if len(scores) == k else np.inf
         # in the order of the bound: first the few lowest, then those of the rest that can still be among the best
         lowest = np.argpartition(bound, chunk)[:chunk] if len(bound) > chunk else np.arange(len(bound))
         rest = np.ones(len(bound), bool)
         rest[lowest] = False
-        some, order = lowest, None
+        some, order = lowest[bound[lowest] <= reach(scores)], None
         while len(some):
             evaluated += len(some)
             new = (exact[some] @ asked[i]).astype(np.int64)
@@ -106,8 +113,7 @@ def best(q_ids, q, q_table, c_ids, c, c_table, most: float, k: int, chunk: int =
             ids, scores = np.concatenate([ids, c_ids[some][near]]), np.concatenate([scores, new[near]])
             top = np.lexsort((ids, -scores))[:k]
             ids, scores = ids[top], scores[top]
-            # the distance of the k-th best; a candidate must come nearer, or as near with a smaller id
-            kth = np.sqrt(max(norms[i] + most - 2 * float(scores[-1]), 0.0)) + 2 * slack if len(scores) == k else np.inf
+            kth = reach(scores)
             if order is None:
                 order = np.flatnonzero(rest & (bound <= kth))
                 order = order[np.argsort(bound[order], kind="stable")]
@@ -141,24 +147,33 @@ def _search(vectors, is_query, k, scale, pivots, per_block, queries_per_block, w
     block = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
     # a row may be there as often as it likes, so candidates are dealt by more than what they hold
     dealt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_c)).cast("int")
-    held = work.written(blocks(rows, dealt, width, points, most), "candidates").withColumn("of", F.lit(-1))
-    asked = work.written(blocks(queries, block(n_q, "q"), width, points, None), "queries").withColumnRenamed("block", "of")
-    asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))))
-    together = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "of").select("block", "of", "ids", "m", "distances")
+    at_once = max(1, MOST_HELD // (per_block * (8 * width + 4 * len(points) + 8)))
+    tasks = max(-(-n_c // at_once), min(n_c, shared.parts(vectors.sparkSession)))
+    held = work.written(blocks(rows, dealt, width, points, most), "candidates").withColumns({"task": F.pmod("block", F.lit(tasks)), "of": F.lit(-1)})
+    asked = work.written(blocks(queries, block(n_q, "q"), width, points, None), "queries").withColumn("of", F.col("block"))
+    asked = asked.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    together = held.unionByName(asked).repartition("task").sortWithinPartitions("task", "of", "block").select("task", "of", "ids", "m", "distances")
 
     def unpacked(ids: bytes, m: bytes, table: bytes):
         ids = np.frombuffer(ids, np.int64)
         return ids, np.frombuffer(m, np.int64).reshape(len(ids), width), np.frombuffer(table, np.float32).reshape(-1, len(ids))
 
     def meet(batches):
-        now, candidates = None, None
+        now, candidates = None, []
         for batch in batches:
-            for b, of, *parts in zip(*(batch.column(i) for i in range(5)), strict=True):
-                b, of, parts = b.as_py(), of.as_py(), unpacked(*(x.as_py() for x in parts))
+            for t, of, *parts in zip(*(batch.column(i) for i in range(5)), strict=True):
+                t, of, parts = t.as_py(), of.as_py(), unpacked(*(x.as_py() for x in parts))
+                if t != now:
+                    now, candidates = t, []
                 if of < 0:
-                    now, candidates = b, parts
-                elif b == now:
-                    at, c, s, _ = best(*parts, *candidates, most, k)
+                    candidates.append(parts)
+                    continue
+                start = None
+                for some in candidates:
+                    at, c, s, _ = best(*parts, *some, most, k, start=start)
+                    ends = np.searchsorted(at, np.arange(len(parts[0]) + 1))
+                    start = [(c[x:y], s[x:y]) for x, y in zip(ends, ends[1:], strict=False)]
+                if candidates:
                     columns = [parts[0][at], of + (at << 32), c, s]
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["query_id", "query", "vec_id", "score"])
 

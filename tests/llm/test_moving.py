@@ -166,8 +166,10 @@ class TestTopK:
             out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(score[:k])}
         return out
 
-    @pytest.mark.parametrize("sizes", [(4096, 1024), (40, 3)])
-    def test_as_brute_force(self, spark, sizes):
+    @pytest.mark.parametrize("sizes", [(4096, 1024, 1 << 26), (40, 3, 1 << 26), (40, 3, 1), (7, 100, 1 << 26)])
+    def test_as_brute_force(self, spark, monkeypatch, sizes):
+        """One block of candidates in a task, or several one after the other."""
+        monkeypatch.setattr(topk, "MOST_HELD", sizes[2])
         rows = self.rows()
         d = spark.createDataFrame([(i, v, 0, "own") for i, v in rows], "vec_id long, embedding array<double>, block int, id string")
         got = topk.search(d, F.col("id") % 25 == 0, per_block=sizes[0], queries_per_block=sizes[1]).collect()
@@ -189,6 +191,21 @@ class TestTopK:
         want = np.sort(np.where(ids[:5, None] == ids, -(10**12), q @ c.T), 1)[:, ::-1][:, :5]
         assert (s == want.ravel()).all() and evaluated < 5 * 6000 / 2
 
+    def test_the_best_so_far_stop_the_next_block_sooner(self):
+        rng = np.random.default_rng(5)
+        centers = rng.integers(-3000, 3000, (12, 4))
+        c = (centers[rng.integers(0, 12, 6000)] + rng.integers(-20, 20, (6000, 4))).astype(np.int64)
+        q, ids, most = c[:5], np.arange(6000), float((c.astype(float) ** 2).sum(1).max())
+        tall = topk.raised(c, most)
+        points = tall[:64]
+        of_q, table = topk.distances(topk.raised(q, None), points), topk.distances(tall, points)
+        halves = [(ids[a:b], c[a:b], table[:, a:b]) for a, b in ((0, 3000), (3000, 6000))]
+        at, found, s, _ = topk.best(ids[:5], q, of_q, *halves[0], most, 5)
+        start = [(found[at == i], s[at == i]) for i in range(5)]
+        alone, carried = (topk.best(ids[:5], q, of_q, *halves[1], most, 5, start=x) for x in (None, start))
+        whole = topk.best(ids[:5], q, of_q, ids, c, table, most, 5)
+        assert carried[1].tolist() == whole[1].tolist() and carried[2].tolist() == whole[2].tolist() and carried[3] <= alone[3]
+
     def test_large_numbers_stay_exact(self):
         big = np.array([[1 << 27, 3], [1 << 27, 2], [1, 1]], np.int64)
         _, c, s, _ = self.best(np.array([0]), big[:1], np.arange(3), big, 2, 3)
