@@ -365,8 +365,8 @@ def rooted(live: DataFrame, roots: DataFrame | None) -> DataFrame:
     """live with the root and the size of each class's component; a class without a link is its own."""
     if roots is None:
         return live.withColumns({"root": F.col("c"), "size": F.lit(1).cast("long")})
-    sized = roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
-    return live.select(*POSTING).join(sized, "c", "left").select(*POSTING, F.coalesce("root", "c").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
+    sized = roots.join(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root").select("c", "root", "size")
+    return live.select(*POSTING).join(shared.sent_if_small(sized, MOST_SENT), "c", "left").select(*POSTING, F.coalesce("root", "c").alias("root"), F.coalesce("size", F.lit(1)).alias("size"))
 
 
 def apart(live: DataFrame, percent: int, hot: bool) -> DataFrame:
@@ -570,7 +570,8 @@ def _joined(docs: DataFrame, n: int, percent: int, work: shared.Workspace) -> Da
     rows = found.where("token is null").drop("token", "often")
     classes = work.written(rows.where("c is not null").groupBy("c").agg(F.min("key").alias("key"), F.min("doc_id").alias("doc_id")), "classes")
     live = work.written(shared_lists(postings(docs, n, percent, (tokens[order], often[order]))), "postings")
-    live = work.rewritten(live.join(in_enough_lists(live, percent), "c", "left_semi").select(*POSTING), "postings")
+    enough = shared.sent_if_small(work.written(in_enough_lists(live, percent), "enough"), MOST_SENT)
+    live = work.rewritten(live.join(enough, "c", "left_semi").select(*POSTING), "postings")
     hot = live.where("of > 1").limit(1).count() > 0
 
     roots = sets = tried = None
