@@ -182,18 +182,9 @@ def toy_pool(spark: SparkSession, n: int = 100) -> DataFrame:
     )
 
 
-def first_rows(df: DataFrame, id_col: str, n: int) -> DataFrame:
-    """The n rows of smallest id."""
-    from ..operators import sampling
-
-    return sampling.first_rows(df, n, id_col)
-
-
 def ordered_turns(turns: DataFrame, key: str = "conv_id") -> DataFrame:
     """One row for each conversation: its turns (role, content) in order."""
     one = F.struct("turn", "role", F.col("text").alias("content"))
     return turns.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("messages")).select(
         key, F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages")
     )
-
-
