@@ -183,4 +183,4 @@ class TestPipeline:
         assert Counter((r["doc_id"], r["piece"], r["length"]) for r in last) == Counter((i, 0, len(count.encode(text[i], add_special_tokens=False).ids) + 1) for i in unlike)
 
     def test_all_operators_are_registered(self):
-        assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
+        assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES) == list(range(1, 14)) and set(queries.ORACLES) <= set(queries.QUERIES)
