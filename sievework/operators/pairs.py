@@ -3,7 +3,8 @@
 Unit vectors of a cosine of t or more lie within sqrt(2 - 2 t) of each other, so their distances to a pivot differ by no more. A cell's rows go to the
 nearest of a few pivots among them, which is where they are at home, and as guests to every other one where a row at home may be so near. Cells
 of more than LEAF rows are split again, unless that saves too little: where the reach is long or vectors lie equally far from each other, a split
-leaves as much to compare. Then cells are handled block against block.
+leaves as much to compare. Then cells are handled block against block. A row is sent once for each block of its cell, so the blocks are few: GRID, until
+they would be larger than BLOCK rows; a task goes through its two in tiles.
 
 A pair meets where its smaller id is at home, and is made there alone.
 """
@@ -14,8 +15,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,8 +25,10 @@ from .array_sums import matrix
 from .influence import in_groups
 from .scalars import beside_key
 
-#: Rows of a cell that is not split, pivots of a split, rows of a block, rows that pass by a copy of the pivots, and the share of comparisons that a split must not exceed.
-LEAF, PIVOTS, BLOCK, PER_BUCKET, WORTH = 4096, 16, 2048, 500_000, 0.7
+#: Rows of a cell that is not split, pivots of a split, rows that pass by a copy of the pivots, and the share of comparisons that a split must not exceed.
+LEAF, PIVOTS, PER_BUCKET, WORTH = 4096, 16, 500_000, 0.7
+#: Rows and bytes of a block at most, blocks of a cell as long as that holds, and the sides of a tile.
+BLOCK, BLOCK_BYTES, GRID, TILE = 32_768, 1 << 24, 12, (1024, 4096)
 CELL = "cell string, home boolean, id long, v array<double>"
 
 
@@ -119,25 +122,58 @@ def cells(df: DataFrame, id_col: str, vector: str, threshold: float, leaf: int =
         return written(out, "cells")
 
 
+def grid_parts(n: int, dims: int, block: int = BLOCK) -> int:
+    """Blocks of n vectors: GRID at most, of a sixteenth of a block or more, unless they would be larger than a block."""
+    rows = max(1, min(block, BLOCK_BYTES // (8 * max(1, dims))))
+    return max(1, -(-n // rows), min(GRID, -(-n // max(1, rows // 16))))
+
+
+def by_id(x: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of some rows (their last two columns), by id."""
+    ids, m = x.column(x.num_columns - 2).to_numpy(), matrix(x.column(x.num_columns - 1).combine_chunks())
+    order = np.argsort(ids, kind="stable")
+    return ids[order], m[order]
+
+
+def inner_products(l: np.ndarray, r: np.ndarray) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Tile by tile, those of the same rows of l one after the other."""
+    for i in range(0, len(l), TILE[0]):
+        for j in range(0, len(r), TILE[1]):
+            rows, columns = slice(i, i + TILE[0]), slice(j, j + TILE[1])
+            yield rows, columns, l[rows] @ r[columns].T
+
+
 def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """i, j of all pairs i < j whose cosine is the threshold or more. Ids are unique; null vectors have no partner, and zero ones a cosine of 0."""
     rows = cells(df, id_col, vector, threshold, leaf)
-    size = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"), F.count_if("home").alias("homes")).where("homes > 0").drop("homes")
-    parts = beside_key(rows, size, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    to = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = parts.where("home").select("cell", F.col("part").alias("a"), to.alias("b"), F.lit(True).alias("left"), "id", "v")
-    right = parts.select("cell", to.alias("a"), F.col("part").alias("b"), F.lit(False).alias("left"), "id", "v")
-
-    def meet(x: pd.DataFrame) -> pd.DataFrame:
-        l, r = x[x["left"]], x[~x["left"]]
-        if not len(l) or not len(r):
-            return pd.DataFrame({"i": np.zeros(0, np.int64), "j": np.zeros(0, np.int64)})
-        a, b = np.nonzero(np.stack(l["v"]) @ np.stack(r["v"]).T >= threshold - 1e-12)
-        i, j = l["id"].to_numpy()[a], r["id"].to_numpy()[b]
-        return pd.DataFrame({"i": i, "j": j})[i < j]
-
-    # the smaller id is on the left where it is at home, and there alone
-    return left.unionByName(right).groupBy("cell", "a", "b").applyInPandas(meet, "i long, j long")
+    size = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"), F.max(F.size("v")).alias("dims")).where("homes > 0")
+    most = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("dims")))))  # as grid_parts() does
+    few = F.least(F.lit(GRID), F.ceil(F.col("n") / F.greatest(F.lit(1), F.floor(most / 16))))
+    size = size.select("cell", F.greatest(F.ceil(F.col("n") / most), few).cast("int").alias("parts"), (F.col("homes") == F.col("n")).alias("own"))
+    parts = beside_key(rows, size, "cell").withColumn("part", F.pmod(F.xxhash64("id", F.lit("block")), F.col("parts")).cast("int"))
+    # where all are at home, two blocks meet once, and a block meets itself on the left
+    last = F.col("parts") - 1
+    to = F.sequence(F.when(F.col("own"), F.col("part")).otherwise(0), last)
+    of = F.filter(F.sequence(F.lit(0), last), lambda x: ~F.col("own") | (x < F.col("part")))
+    left = parts.where("home").select("cell", F.col("part").alias("a"), F.explode(to).alias("b"), "own", F.lit(True).alias("left"), "id", "v")
+    right = parts.select("cell", F.explode(of).alias("a"), F.col("part").alias("b"), "own", F.lit(False).alias("left"), "id", "v")
+
+    def meet(x: pa.Table) -> pa.Table:
+        own, itself = x.column("own")[0].as_py(), x.column("a")[0].as_py() == x.column("b")[0].as_py()
+        ids, m = by_id(x.filter(pc.field("left")))
+        others, r = (ids, m) if own and itself else by_id(x.filter(~pc.field("left")))
+        found = [np.zeros((2, 0), np.int64)]
+        for rows, columns, near in inner_products(m, r):
+            a, b = np.nonzero(near >= threshold - 1e-12)
+            i, j = ids[rows][a], others[columns][b]
+            if own and not itself:
+                i, j = np.minimum(i, j), np.maximum(i, j)
+            found.append(np.stack([i, j])[:, i < j])
+        i, j = np.concatenate(found, axis=1)
+        return pa.table({"i": i, "j": j})
+
+    # elsewhere the smaller id is on the left where it is at home, and there alone
+    return left.unionByName(right).groupBy("cell", "a", "b").applyInArrow(meet, "i long, j long")
 
 
 def greedy_redundant(df: DataFrame, id_col: str, vector: str, threshold: float = 0.95) -> DataFrame:

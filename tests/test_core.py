@@ -454,6 +454,17 @@ class TestClusters:
         gone = [r[0] for r in values(clusters.greedy_redundant(df, "id", "v", threshold), "id")]
         assert sorted(set(range(120)) - set(gone)) == kept
 
+    def test_few_blocks_of_a_cell(self, spark, monkeypatch):
+        """Rows are sent for each block of their cell: no more blocks with more rows, until a block is full."""
+        assert [pairs.grid_parts(n, 64) for n in (1, 2049, 100_000, 390_000)] == [1, 2, 12, 12]
+        assert 600_000 / pairs.grid_parts(600_000, 64) > 20_000 and pairs.grid_parts(10_000, 1 << 14) == 79
+        monkeypatch.setattr(pairs, "TILE", (3, 5))
+        rows = self.families(5, 0.2)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "id long, v array<double>")
+        found = pairs.similar_pairs(df, "id", "v", -0.2, block=64)
+        u = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+        assert values(found, "i", "j") == [(i, j) for i in range(120) for j in range(i + 1, 120) if u[i] @ u[j] >= -0.2]
+
     def test_a_tree_saves_comparisons(self, spark):
         x = np.repeat(self.families(7, 0.05), 5, axis=0) + 0.001 * np.random.default_rng(1).normal(size=(600, 5))
         df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
