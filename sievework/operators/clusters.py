@@ -7,6 +7,8 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -18,7 +20,7 @@ from . import sampling
 from .array_sums import array_sums
 from .graphs import connected
 from .influence import nearest_of_cluster
-from .pairs import greedy_redundant, similar_pairs  # noqa: F401
+from .pairs import by_id, greedy_redundant, grid_parts, inner_products, similar_pairs  # noqa: F401
 from .scalars import beside_key
 
 
@@ -39,8 +41,8 @@ def fit_clusters(df: DataFrame, vector: str, k: int, method: str = "kmeans", see
     return model.transform(features).drop("__v").join(F.broadcast(centers), "cluster")
 
 
-#: Clusters of a connected part that one task joins, and the similarities down to which clusters are joined in turn.
-CELL, LEVELS = 1000, (0.95, 0.8, 0.6, 0.4, 0.2, 0.05, -2.0)
+#: Clusters that one task joins.
+CELL = 1000
 #: Digits to which similarities are rounded before they are compared, so that the order of additions does not matter.
 DIGITS = 10
 JOINED = "kind int, a long, b long, s double, sum array<double>, n long"
@@ -105,15 +107,81 @@ def joined_in_tables(clusters: DataFrame, edges: DataFrame, least: float, work:
         if not pairs.limit(1).count():
             return joins, clusters
         joins.append(pairs)
-        moved = clusters.join(pairs.select(F.col("b").alias("c"), "a"), "c", "left").select(F.coalesce("a", "c").alias("c"), "sum", "n")
-        added = moved.groupBy("c").agg(F.collect_list("sum").alias("x"), F.sum("n").alias("n"))  # two of a pair
-        clusters = work.written(added.select("c", F.reduce(F.slice("x", 2, 1), F.get("x", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("sum"), "n"), "clusters")
+        clusters = work.written(joined_sums(clusters, pairs), "clusters")
         to = pairs.select(F.col("b").alias("was"), F.col("a").alias("now"))
         for name in ("a", "b"):
             near = near.join(to.withColumnRenamed("was", name), name, "left").withColumn(name, F.coalesce("now", name)).drop("now")
         edges = work.written(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
 
 
+def nearest(some: DataFrame, n_some: int, clusters: DataFrame, n: int) -> DataFrame:
+    """c of some clusters, o and s: the nearest other cluster, of equally near ones the smallest, and its similarity. Blocks meet blocks; of each two no more
+    than a row for a cluster is left, so that no pair is ever stored."""
+    mean = F.transform("sum", lambda x: x / F.col("n")).alias("v")
+    dims = clusters.select(F.max(F.size("sum"))).first()[0] or 1
+    a, b = (grid_parts(x, dims) for x in (n_some, n))
+    part = lambda parts: F.pmod(F.xxhash64("c", F.lit("block")), F.lit(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    asks = some.select(part(a).alias("a"), every(b).alias("b"), F.lit(True).alias("left"), "c", mean)
+    told = clusters.select(every(a).alias("a"), part(b).alias("b"), F.lit(False).alias("left"), "c", mean)
+
+    def meet(x: pa.Table) -> pa.Table:
+        (ids, m), (others, r) = (by_id(x.filter(side)) for side in (pc.field("left"), ~pc.field("left")))
+        o, s = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
+        for i, j, near in inner_products(m, r):
+            found = others[j]
+            at = np.minimum(np.searchsorted(found, ids[i]), len(found) - 1)
+            same = np.flatnonzero(found[at] == ids[i])
+            near[same, at[same]] = -np.inf
+            best = near.max(1)
+            first = near.argmax(1)
+            for k in np.flatnonzero((near >= best[:, None] - 2 * 10.0**-DIGITS).sum(1) > 1):
+                first[k] = np.round(near[k], DIGITS).argmax()
+            best = np.round(best, DIGITS)
+            nearer = best > s[i]  # those of later blocks have larger ids
+            s[i] = np.where(nearer, best, s[i])
+            o[i] = np.where(nearer, found[first], o[i])
+        there = np.isfinite(s)
+        return pa.table({"c": ids[there], "o": o[there], "s": s[there]})
+
+    met = asks.unionByName(told).groupBy("a", "b").applyInArrow(meet, "c long, o long, s double")
+    return met.groupBy("c").agg(F.min(F.struct((-F.col("s")).alias("s"), "o")).alias("m")).select("c", "m.o", (-F.col("m.s")).alias("s"))
+
+
+def joined_by_nearest(clusters: DataFrame, most: int, work: Workspace) -> tuple[list[DataFrame], DataFrame]:
+    """The joins of pairs that are each other's nearest, round by round, until there are ``most`` clusters or fewer; and these.
+
+    A joined cluster is no nearer to any other than the nearer one of its two was. So what was a cluster's nearest stays it as long as neither is
+    joined, and a round compares only the others with all.
+    """
+    n, joins, asked_all = clusters.count(), [], True
+    near = work.written(nearest(clusters, n, clusters, n), "near")
+    while n > most:
+        back = near.select(F.col("o").alias("c"), F.col("c").alias("o"))
+        pairs = work.written(near.where("c < o").join(back, ["c", "o"]).select(F.col("c").alias("a"), F.col("o").alias("b"), "s"), "pairs")
+        found = pairs.count()
+        if not found:
+            if asked_all:
+                break
+            near, asked_all = work.written(nearest(clusters, n, clusters, n), "near"), True  # ties by rounding
+            continue
+        joins.append(pairs)
+        n -= found
+        clusters = work.written(joined_sums(clusters, pairs), "clusters")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
+        stays = work.written(near.join(ends, "c", "left_anti").join(ends.withColumnRenamed("c", "o"), "o", "left_anti").select("c", "o", "s"), "stays")
+        some = clusters.join(stays, "c", "left_anti")
+        near, asked_all = work.written(stays.unionByName(nearest(some, n - stays.count(), clusters, n)), "near"), False
+    return joins, clusters
+
+
+def joined_sums(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The clusters (c, sum, n) when those of the pairs (a, b) are joined."""
+    moved = clusters.join(pairs.select(F.col("b").alias("c"), "a"), "c", "left").select(F.col("c").alias("was"), F.coalesce("a", "c").alias("c"), "sum", "n")
+    added = moved.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("was", "sum"))).alias("x"), F.sum("n").alias("n"))  # two of a pair
+    return added.select("c", F.reduce(F.slice("x.sum", 2, 1), F.get("x.sum", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("sum"), "n")
+
+
 def joined_level(clusters: DataFrame, least: float, cell: int, work: Workspace) -> tuple[list[DataFrame], DataFrame]:
     """The joins above a similarity, and the clusters (c, sum, n) that are left."""
     kept, whole = [], clusters.count() <= cell
@@ -135,17 +203,21 @@ def joined_level(clusters: DataFrame, least: float, cell: int, work: Workspace)
     return joins, work.written(functools.reduce(DataFrame.unionByName, kept), "clusters")
 
 
-def linkage(df: DataFrame, vector: str, k: int | None = None, threshold: float = 0.95, cell: int = CELL, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+def linkage(df: DataFrame, vector: str, k: int | None = None, threshold: float = 0.95, cell: int = CELL) -> DataFrame:
     """df with cluster and center (the mean of its vectors): average linkage by the cosine distance, exact at any size, to k clusters or above a similarity of
     ``threshold``.
 
     The mean similarity of two clusters is the inner product of their sums of unit vectors over the product of their sizes. Two that are each other's nearest
-    can be joined whatever happens elsewhere, so all such pairs are joined round by round. A mean above t has a member above t, so clusters
-    are joined level by level, t falling, over the graph of pairs above t; its connected parts are apart, and one task joins a part of up to ``cell``
-    clusters by a matrix. The last joins are taken back, by similarity, until there are k clusters.
+    can be joined whatever happens elsewhere, so all such pairs are joined round by round.
+
+    To k clusters, a round looks for the nearest of the clusters whose nearest is gone, block against block, which stores no pair; one task joins the last
+    ``cell`` clusters by a matrix. The last joins are taken back, by similarity, until there are k clusters.
+
+    Above a threshold, clusters are joined over the graph of pairs above it, as a mean above t has a member above t; its connected parts are apart, and
+    one task joins a part of up to ``cell`` clusters by a matrix.
 
     Equal vectors are always together, zero ones too, which have a similarity of 0 to all; null vectors make a cluster each row's
-    value, null. With k, the last level compares all clusters that are left with each other.
+    value, null.
     """
     key = F.xxhash64(F.transform(vector, lambda x: x.cast("double") + 0.0))
     rows = df.withColumn("__c", key)
@@ -153,11 +225,10 @@ def linkage(df: DataFrame, vector: str, k: int | None = None, threshold: float =
         units = rows.where(F.col(vector).isNotNull()).groupBy("__c").agg(F.first(unit(F.col(vector))).alias("u"), F.count(F.lit(1)).alias("n"))
         first = work.written(units.select(F.col("__c").alias("c"), F.transform("u", lambda x: x * F.col("n")).alias("sum"), "n"), "classes")
         classes, clusters, joins = first.count(), first, []
-        for level in levels if k is not None else (threshold,):
-            some, clusters = joined_level(clusters, level if clusters.count() > cell or k is None else levels[-1], cell, work)
-            joins += some
-            if k is not None and clusters.count() <= k:
-                break
+        if k is not None and classes > cell:
+            joins, clusters = joined_by_nearest(clusters, cell, work)
+        more, clusters = joined_level(clusters, threshold if k is None else -2.0, cell, work)
+        joins += more
         done = functools.reduce(DataFrame.unionByName, joins)
         if k is not None and classes - k < done.count():
             done = sampling.first_rows(work.written(done, "joins"), max(0, classes - k), -F.col("s"), "b")

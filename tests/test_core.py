@@ -512,6 +512,26 @@ class TestClusters:
             mine = next(g for g in want if r["id"] in g)
             assert np.allclose(r["center"], x[mine].mean(0))
 
+    def test_linkage_to_k_stores_no_pairs(self, spark, monkeypatch):
+        """In small blocks and tiles, with ties, as by trying all; no table has a row for a pair of clusters."""
+        monkeypatch.setattr(pairs, "TILE", (4, 7))
+        monkeypatch.setattr(pairs, "BLOCK_BYTES", 8 * 3 * 9)
+        sizes, write = [], tables.Workspace.written
+
+        def counted(work, df, name):
+            out = write(work, df, name)
+            sizes.append(out.count())
+            return out
+
+        monkeypatch.setattr(tables.Workspace, "written", counted)
+        x = np.random.default_rng(9).normal(size=(60, 3)) + [2.0, 0.0, 0.0]
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        assert self.groups(clusters.linkage(df, "v", k=5, cell=8)) == self.slow(x, 5, None)
+        assert max(sizes) <= 60
+        corners = [(i, v) for i, v in enumerate([[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0], [-1.0, 0.0, 0.0], [0.0, -1.0, 0.0], [0.0, 0.0, -1.0]])]
+        found = [self.groups(clusters.linkage(spark.createDataFrame(corners, "id long, v array<double>").repartition(n), "v", k=2, cell=2)) for n in (1, 4)]
+        assert found[0] == found[1] and len(found[0]) == 2
+
     def test_linkage_of_equal_vectors(self, spark):
         many = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, float(i + 1)]) for i in range(90)] + [(90, [0.0, 0.0]), (91, [0.0, 0.0])], "id long, v array<double>")
         assert self.groups(clusters.linkage(many, "v", threshold=0.9)) == sorted([[i for i in range(90) if i % 3], [i for i in range(90) if not i % 3], [90, 91]])
