@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.tokens import IGNORE
 from ..sources.tables import written
 
+#: Tokens of a batch that are handled at once, but for a row that is longer.
+TOKENS = 200_000
 #: Grams that a task counts before it gives its counts away; the grams that are told to all; and the places of hot grams that make it worth while.
 AT_ONCE, MOST_SENT, OFTEN = 1_000_000, 10_000, 1000
 
@@ -71,6 +73,16 @@ class Coding:
         return (gram << self.bits | y)[told], row[told]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in parts of TOKENS or one row: a batch has 10,000 rows, and each token is held a dozen times over as a number of 64 bits."""
+    for b in batches:
+        ends, lo = np.cumsum(b.column(column).value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + TOKENS, "right")))
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All numbers of a column of arrays, the row that each is in, and its place there. A null number is IGNORE."""
     n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -89,7 +101,7 @@ def gram_counts(tokens: DataFrame, coding: Coding) -> DataFrame:
             grams, at = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
             return grams, np.bincount(at, np.concatenate([c for _, c in held]), len(grams)).astype(np.int64)
 
-        for b in batches:
+        for b in slices(batches, 0):
             held.append(np.unique(coding.grams(b.column(0), b.column(1))[0], return_counts=True))
             size += len(held[-1][0])
             if size > 2 * AT_ONCE:
@@ -149,7 +161,7 @@ def sample_grams(tokens: DataFrame, id_col: str, coding: Coding) -> DataFrame:
     """id, gram and times: how often each sample has each gram."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
+        for b in slices(batches, 1):
             gram, row = coding.grams(b.column(1), b.column(2))
             order = np.lexsort((gram, row))
             gram, row = gram[order], row[order]

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -742,6 +743,22 @@ class TestTokenLoss:
             for i, (loss, n) in want.items():
                 assert found[i][1] == n and (loss is None and found[i][0] is None or abs(found[i][0] - loss) < 1e-9)
 
+    def test_a_large_batch_is_handled_in_parts(self):
+        """What is held beside a batch does not grow with its rows."""
+        coding, peaks = token_loss.Coding(), []
+        for rows in (2_000, 10_000):
+            x = pa.array([[7, 8, 9] * 50] * rows, pa.list_(pa.int32()))
+            batch = pa.RecordBatch.from_arrays([x, x], ["input_ids", "labels"])
+            tracemalloc.start()
+            n = [len(coding.grams(b.column(0), b.column(1))[0]) for b in token_loss.slices([batch], 0)]
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+            assert sum(n) == 149 * rows
+        assert peaks[1] < 1.2 * peaks[0]
+        x = pa.array([None, [1] * token_loss.TOKENS, [], [1, 2], [3] * (token_loss.TOKENS + 5), None, [4]], pa.list_(pa.int32()))
+        found = list(token_loss.slices([pa.RecordBatch.from_arrays([x], ["x"])], 0))
+        assert [r for b in found for r in b.column(0).to_pylist()] == x.to_pylist() and len(found) == 4
+
     def test_the_holdout_is_the_reference(self, spark):
         rows = spark.createDataFrame(self.rows(3, 200), "id long, input_ids array<int>, labels array<int>")
         model = token_loss.fit(rows, 2, 7)
