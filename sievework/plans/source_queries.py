@@ -62,5 +62,5 @@ def arrow_scan(spark, sf_dir):
     """The documents as Arrow files, of which three columns are read."""
     archives.register(spark)
     path = scratch(spark, "arrow")
-    table(spark, sf_dir, "documents").repartitionByRange(3, "doc_id").write.format("arrow_ipc").mode("append").save(path)
+    table(spark, sf_dir, "documents").write.format("arrow_ipc").mode("append").save(path)
     return archives.arrow_scan(spark, path, ["doc_id", "lang", "text"]).where("lang <> 'en'").select("doc_id", "lang", F.char_length("text").cast("long").alias("chars"))

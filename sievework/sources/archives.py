@@ -202,8 +202,12 @@ class ArrowWriter(Staged):
         return Wrote([name] if writer else [])
 
 
+#: Bytes of an Arrow file that a task reads.
+TASK_BYTES = 64 << 20
+
+
 class ArrowReader(DataSourceReader):
-    """Tasks by record batches, as many to a task as have so many rows; a file in stream form, which has no index, is one task. Only the columns of
+    """Tasks by record batches, as many to a task as have so many rows or, at the file's mean, TASK_BYTES; a file in stream form, which has no index, is one task. Only the columns of
     the schema are read."""
 
     def __init__(self, path: str, schema: StructType, rows: int) -> None:
@@ -219,9 +223,10 @@ class ArrowReader(DataSourceReader):
                     continue
                 found = ipc.open_file(f, options=ipc.IpcReadOptions(included_fields=[0]))  # to count rows, one column is read
                 begin, n = 0, 0
+                most = max(1, TASK_BYTES * found.num_record_batches // max(1, f.size()))
                 for k in range(found.num_record_batches):
                     n += found.get_batch(k).num_rows
-                    if n >= self.rows or k == found.num_record_batches - 1:
+                    if n >= self.rows or k + 1 - begin >= most or k == found.num_record_batches - 1:
                         out.append(Piece(x, batches=(begin, k + 1)))
                         begin, n = k + 1, 0
         return out

@@ -955,6 +955,16 @@ class TestArchives:
         assert own.read.format("score_archive").load(path).count() == len(self.ROWS)
         assert archives.about(f"{tmp_path}") == {} and own.read.format("score_archive").load(f"{tmp_path}/none").count() == 0
 
+    def test_arrow_tasks_by_bytes(self, tmp_path, monkeypatch):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(["x" * 1000] * 100)], ["id", "t"])
+        with pa.OSFile(f"{tmp_path}/a.arrow", "wb") as f, pa.ipc.new_file(f, batch.schema) as out:
+            for _ in range(10):
+                out.write_batch(batch)
+        monkeypatch.setattr(archives, "TASK_BYTES", 250_000)
+        reader = archives.ArrowReader(str(tmp_path), archives.arrow_schema(str(tmp_path)), 100_000)
+        assert [p.batches for p in reader.partitions()] == [(k, k + 2) for k in range(0, 10, 2)]
+        assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 1000
+
     def test_checkpoint_folders(self, tmp_path):
         for name, whole in (("checkpoint-100", True), ("checkpoint-20", True), ("checkpoint-x", True), ("checkpoint-7", False), ("other-3", True)):
             (tmp_path / name).mkdir()
