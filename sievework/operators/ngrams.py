@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -130,6 +132,98 @@ def _long_counts(n: int, most: int, forget: bool = False, known: pa.Array | None
     return run
 
 
+class Alphabet:
+    """Runs of n characters as numbers, whose order is that of the runs: a digit for each character of the table."""
+
+    def __init__(self, points: np.ndarray, n: int) -> None:
+        self.points, self.n, self.bits = np.sort(points), n, max(1, int(len(points)).bit_length())
+        self.fits = n * self.bits <= 62
+
+    def coded(self, texts: list[str]) -> np.ndarray:
+        """All runs of the texts. A digit of 0 stands between two texts."""
+        points = np.frombuffer("\0".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        rank = np.zeros(int(self.points[-1]) + 1 if len(self.points) else 1, np.int64)
+        rank[self.points] = np.arange(1, len(self.points) + 1)
+        digit = rank[points]
+        length = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(length + 1)[:-1] - 1
+        digit[ends] = 0
+        m = max(0, len(digit) - self.n + 1)
+        code, inside = np.zeros(m, np.int64), np.ones(m, bool)
+        for k in range(self.n):
+            code = (code << self.bits) | digit[k : k + m]
+        for k in range(self.n):
+            at = ends - k
+            inside[at[(at >= 0) & (at < m)]] = False
+        return code[inside]
+
+    def spelled(self, codes: np.ndarray) -> list[str]:
+        digits = np.stack([(codes >> self.bits * k) & ((1 << self.bits) - 1) for k in range(self.n - 1, -1, -1)], 1)
+        whole = self.points[digits - 1].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [whole[i : i + self.n] for i in range(0, len(whole), self.n)]
+
+
+def characters(texts: DataFrame) -> np.ndarray:
+    """The code points that the texts (t) have."""
+
+    def run(batches):
+        seen = np.zeros(0x110000, bool)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                seen[np.frombuffer("".join(batch.column(0).slice(lo, 256).to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen))], ["point"])
+
+    return texts.mapInArrow(run, "point long").distinct().toArrow().column("point").to_numpy().astype(np.int64)
+
+
+def _coded_counts(alphabet: Alphabet, most: int, forget: bool = False, known: np.ndarray | None = None):
+    """As _long_counts(), of runs as numbers: code, cnt and missed."""
+
+    def run(batches):
+        names, missed = ["code", "cnt", "missed"], 0
+        codes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, size = [], 0
+
+        def tally():
+            nonlocal codes, counts, held, size
+            new, cnt = np.unique(np.concatenate(held), return_counts=True) if held else (codes[:0], counts[:0])
+            if known is not None:
+                at = np.minimum(np.searchsorted(known, new), len(known) - 1)
+                new, cnt = new[known[at] == new], cnt[known[at] == new]
+            at = np.minimum(np.searchsorted(codes, new), max(0, len(codes) - 1))
+            there = codes[at] == new if len(codes) else np.zeros(len(new), bool)
+            counts[at[there]] += cnt[there]
+            codes, counts = np.concatenate([codes, new[~there]]), np.concatenate([counts, cnt[~there]])
+            order = np.argsort(codes, kind="stable")
+            codes, counts, held, size = codes[order], counts[order], [], 0
+
+        def give():
+            for lo in range(0, len(codes), 100_000):
+                part = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(codes[part]), pa.array(counts[part]), pa.nulls(len(codes[part]), pa.int64())], names)
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                held.append(alphabet.coded([x or "" for x in batch.column(0).slice(lo, 256).to_pylist()]))
+                size += len(held[-1])
+                if size <= 2 * AT_ONCE:
+                    continue
+                tally()
+                if len(codes) > most and forget:
+                    off = int(np.partition(counts, len(counts) - most - 1)[len(counts) - most - 1])
+                    missed += off
+                    codes, counts = codes[counts > off], counts[counts > off] - off
+                elif len(codes) > most:
+                    yield from give()
+                    codes, counts = codes[:0], counts[:0]
+        tally()
+        yield from give()
+        if forget:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([missed], pa.int64())], names)
+
+    return run
+
+
 #: Counters of a task, and candidates that are sent to all tasks to be counted again.
 COUNTERS, MOST_CANDIDATES = 200_000, 2_000_000
 
@@ -137,34 +231,47 @@ COUNTERS, MOST_CANDIDATES = 200_000, 2_000_000
 def most_frequent(df: DataFrame, text: str, most: int, n: int = 3, counters: int = COUNTERS) -> DataFrame:
     """gram and cnt of the most frequent runs of n characters, exact; ties by the gram.
 
-    Of longer runs, of which most are rare, tasks keep counters for the frequent ones and the amount by which their counts may be too low, which adds up over tasks.
+    Longer runs are numbers where the characters that the texts have are few enough for 62 bits, as they nearly always are, else strings. Of them, of which most are rare, tasks keep counters for the frequent ones and the amount by which their counts may be too low, which adds up over tasks.
     What could be among the first by its count and that amount is counted again, exactly. Where the amount is so large that a run without any counter
     could be among them, all runs are counted.
     """
     if n <= 3:
         return top_grams(gram_counts(df, text, n), most, n)
+    alphabet = Alphabet(characters(lowered(df, text)), n)
+    key, kind = ("code", "long") if alphabet.fits else ("gram", "string")
+
+    def counted(most: int, **how) -> DataFrame:
+        count = _coded_counts(alphabet, most, **how) if alphabet.fits else _long_counts(n, most, **how)
+        return lowered(df, text).mapInArrow(count, f"{key} {kind}, cnt long, missed long")
+
+    def top(counts: DataFrame) -> DataFrame:
+        return top_grams(counts, most, n, alphabet.spelled)
+
     with Workspace(df.sparkSession, "grams") as work:
-        kept = work.written(lowered(df, text).mapInArrow(_long_counts(n, counters, forget=True), "gram string, cnt long, missed long"), "kept")
-        low = work.written(kept.where("gram is not null").groupBy("gram").agg(F.sum("cnt").alias("cnt")), "low")
+        kept = work.written(counted(counters, forget=True), "kept")
+        low = work.written(kept.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("cnt").alias("cnt")), "low")
         missed = kept.agg(F.sum("missed")).first()[0] or 0
         last = low.orderBy(F.desc("cnt")).limit(most).agg(F.min("cnt"), F.count(F.lit(1))).first()
         if missed == 0:
-            return written(top_grams(low, most, n), "top")
+            return written(top(low), "top")
         if last[1] == most and missed < last[0]:
-            near = low.where(F.col("cnt") + missed >= last[0]).select("gram").limit(MOST_CANDIDATES + 1).toArrow().column(0).combine_chunks()
+            near = low.where(F.col("cnt") + missed >= last[0]).select(key).limit(MOST_CANDIDATES + 1).toArrow().column(0).combine_chunks()
             if len(near) <= MOST_CANDIDATES:
-                again = lowered(df, text).mapInArrow(_long_counts(n, len(near) + 1, known=near), "gram string, cnt long, missed long")
-                return written(top_grams(again.groupBy("gram").agg(F.sum("cnt").alias("cnt")), most, n), "top")
-        return written(top_grams(gram_counts(df, text, n), most, n), "top")
+                known = np.sort(near.to_numpy()) if alphabet.fits else near
+                return written(top(counted(len(near) + 1, known=known).groupBy(key).agg(F.sum("cnt").alias("cnt"))), "top")
+        return written(top(counted(AT_ONCE).groupBy(key).agg(F.sum("cnt").alias("cnt"))), "top")
 
 
-def top_grams(counts: DataFrame, most: int, n: int = 3) -> DataFrame:
-    """gram and cnt of the most frequent; ties by the gram."""
+def top_grams(counts: DataFrame, most: int, n: int = 3, spell: Callable[[np.ndarray], list[str]] | None = None) -> DataFrame:
+    """gram and cnt of the most frequent; ties by the gram. ``spell`` makes runs of codes that are not 21 bits a character."""
     if "gram" in counts.columns:
         return counts.orderBy(F.desc("cnt"), "gram").limit(most)
 
     def spelled(batches):
         for b in batches:
+            if spell:
+                yield pa.RecordBatch.from_arrays([pa.array(spell(b.column(0).to_numpy()), pa.string()), b.column(1)], ["gram", "cnt"])
+                continue
             grams = ["".join(chr((x >> 21 * k) & 0x1FFFFF) for k in range(n - 1, -1, -1)) for x in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), b.column(1)], ["gram", "cnt"])
 

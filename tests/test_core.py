@@ -38,6 +38,28 @@ def stage_b(pool, names: tuple[str, ...] = ("x",), frame: np.ndarray | None = No
 STAGES = {"a": stage_a, "b": stage_b}
 
 
+class TestRunsAsNumbers:
+    TEXTS = ["", "a\0b\0c\0d", None, "\U0001f600xy\U0001f600xyz\uffee", "abcab", "ab"]
+
+    def test_alphabet(self):
+        texts = [x or "" for x in self.TEXTS]
+        alphabet = ngrams.Alphabet(np.unique([ord(c) for t in texts for c in t]), 5)
+        want = [t[i : i + 5] for t in texts for i in range(len(t) - 4)]
+        codes = alphabet.coded(texts)
+        assert alphabet.fits and alphabet.spelled(codes) == want and [want[i] for i in np.argsort(codes)] == sorted(want)
+        assert not ngrams.Alphabet(np.arange(5000), 5).fits and len(alphabet.coded([])) == len(alphabet.coded([""])) == 0
+
+    @pytest.mark.parametrize("counters", [1, 4, 1000])
+    def test_counts(self, spark, monkeypatch, counters):
+        monkeypatch.setattr(ngrams, "_long_counts", None)  # no strings are counted
+        monkeypatch.setattr(ngrams, "AT_ONCE", 3)
+        texts = [*self.TEXTS, *["the cat and the dog"] * 4]
+        want = Counter(t[i : i + 5] for t in texts if t for i in range(len(t) - 4))
+        df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+        found = [(r["gram"], r["cnt"]) for r in ngrams.most_frequent(df, "t", 6, 5, counters).collect()]
+        assert sorted(found) == sorted(sorted(want.items(), key=lambda x: (-x[1], x[0]))[:6])
+
+
 class TestConfig:
     def test_defaults_are_those_of_the_stages(self):
         assert config.settings(STAGES) == {"a": {"fraction": 0.2, "seed": 42, "method": "uniform", "cap": None, "weights": None, "loud": False}, "b": {"names": ("x",)}}
