@@ -11,16 +11,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, unit
+from ..functions.vectors import cosine, dot, norm
 from ..sources.tables import Workspace, written
 from . import sampling
-from .array_sums import array_sums
+from .array_sums import array_sums, matrix
 from .graphs import connected
 from .influence import nearest_of_cluster
-from .pairs import by_id, greedy_redundant, grid_parts, inner_products, similar_pairs  # noqa: F401
+from .pairs import GRID, block_rows, greedy_redundant, grid_parts, similar_pairs  # noqa: F401
 from .scalars import beside_key
 
 
@@ -41,51 +41,146 @@ def fit_clusters(df: DataFrame, vector: str, k: int, method: str = "kmeans", see
     return model.transform(features).drop("__v").join(F.broadcast(centers), "cluster")
 
 
-#: Clusters that one task joins.
-CELL = 1000
+#: Clusters that one task joins, unless they are more than a block has.
+CELL = 32_768
 #: Digits to which similarities are rounded before they are compared, so that the order of additions does not matter.
 DIGITS = 10
-JOINED = "kind int, a long, b long, s double, sum array<double>, n long"
+#: Rows and columns of a tile of similarities in single precision, and candidates that are worked out at once in double precision.
+TILE, EXACT = (512, 512), 1 << 15
+#: The similarity of near copies.
+ALIKE = 0.9
+JOINED = "kind int, a long, b long, s double, sum array<double>, n long, o long, near double"
 
 
-def mutual(sums: np.ndarray, size: np.ndarray, ids: np.ndarray, least: float) -> tuple[list[tuple[int, int, float]], np.ndarray, np.ndarray, np.ndarray]:
-    """The joins of some clusters (ids in order) above a similarity: (into, which, similarity), the smaller id into which the other goes; and the
-    ids, sums and sizes of the clusters that are left.
+class Nearest:
+    """The nearest of each of some vectors (ids in order) among others, o, and its similarity s, rounded (-inf: none); of equally near ones the smallest id.
+    Where ``above`` is given, what is no nearer than that may be left out. low is the smallest id of a near copy, or the vector's own.
+
+    Tiles are of single precision, and only their largest values are kept. What may be the nearest by these, give or take their error, is worked out
+    in double precision.
+    """
+
+    def __init__(self, ids: np.ndarray, m: np.ndarray, above: np.ndarray | None = None, part: np.ndarray | None = None) -> None:
+        self.ids, self.m, self.single, self.part = ids, m, m.astype(np.float32), part
+        self.o, self.s, self.low = np.full(len(m), -1, np.int64), np.full(len(m), -np.inf), ids.copy()
+        self.slack = 2 * (m.shape[1] + 4) * 2.0**-24 + 2 * 10.0**-DIGITS
+        self.floor = np.full(len(m), -np.inf) if above is None else above - self.slack
+
+    def settle(self, rows: slice, top: np.ndarray, tiles: list[slice], others: Nearest) -> None:
+        """top: the largest similarity of some rows (the second axis) in each tile of the others."""
+        floor, alike = np.maximum(self.floor[rows], top.max(0) - self.slack), top >= ALIKE
+        first = np.where(alike.any(0), alike.argmax(0), -1)
+        for t, columns in enumerate(tiles):
+            at = rows.start + np.flatnonzero((top[t] >= floor) & (top[t] > -np.inf) | (first == t))
+            if not len(at):
+                continue
+            near, least, ids = self.single[at] @ others.single[columns].T, floor[at - rows.start, None], others.ids[columns]
+            near[self.same(at, others, columns)] = -np.inf
+            copies = np.flatnonzero((near >= ALIKE).any(1))
+            self.low[at[copies]] = np.minimum(self.low[at[copies]], ids[(near[copies] >= ALIKE).argmax(1)])
+            x, y = np.nonzero((near >= least) & (near > -np.inf))
+            if not len(x):
+                continue
+            exact = np.concatenate([self.exact(at[x[i : i + EXACT]], others.m[columns], y[i : i + EXACT]) for i in range(0, len(x), EXACT)])
+            starts = np.flatnonzero(np.diff(x, prepend=-1))
+            best, at = np.maximum.reduceat(exact, starts), at[x[starts]]
+            k = np.flatnonzero(exact == np.repeat(best, np.diff(starts, append=len(x))))
+            o = ids[y[k[np.diff(x[k], prepend=-1) > 0]]]
+            nearer = (best > self.s[at]) | ((best == self.s[at]) & (o < self.o[at]))
+            self.s[at], self.o[at] = np.where(nearer, best, self.s[at]), np.where(nearer, o, self.o[at])
+
+    def same(self, rows: slice | np.ndarray, others: Nearest, columns: slice) -> tuple[np.ndarray, np.ndarray] | np.ndarray:
+        """Where rows and columns are one vector, or of one part."""
+        if self.part is not None:
+            return self.part[rows, None] == others.part[None, columns]
+        mine, theirs = self.ids[rows], others.ids[columns]
+        at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+        there = np.flatnonzero(theirs[at] == mine)
+        return there, at[there]
+
+    def exact(self, rows: np.ndarray, m: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.round(np.einsum("ij,ij->i", self.m[rows], m[others]), DIGITS)
+
+
+def meet(l: Nearest, r: Nearest, both: bool = False) -> None:
+    """Looks for the nearest of l in r, and with ``both`` of r in l; a vector's nearest is not itself and, where parts are given, of another part."""
+    if not len(l.ids) or not len(r.ids):
+        return
+    down, across = ([slice(i, min(i + size, len(x.ids))) for i in range(0, len(x.ids), size)] for x, size in zip((l, r), TILE, strict=True))
+    tile, low = np.empty(TILE, np.float32), np.empty((len(down) if both else 0, len(r.ids)), np.float32)
+    for i, rows in enumerate(down):
+        top = np.empty((len(across), rows.stop - rows.start), np.float32)
+        for j, columns in enumerate(across):
+            near = np.matmul(l.single[rows], r.single[columns].T, out=tile[: rows.stop - rows.start, : columns.stop - columns.start])
+            near[l.same(rows, r, columns)] = -np.inf
+            near.max(1, out=top[j])
+            if both:
+                near.max(0, out=low[i, columns])
+        l.settle(rows, top, across, r)
+    for columns in across if both else []:
+        r.settle(columns, low[:, columns], down, l)
+
+
+def mutual(sums: np.ndarray, size: np.ndarray, least: float, outside: np.ndarray | None = None) -> tuple[list[tuple[int, int, float]], dict[str, np.ndarray]]:
+    """The joins of some clusters (in the order of their ids) above a similarity, by position: (into, which, similarity), the smaller one into which the other
+    goes. And the clusters that are left: at, sums and size; whether they are joined ones; the nearest, o, and its similarity, s. Where o is -1, none is
+    nearer than s, if any is.
 
     Pairs that are each other's nearest are joined, round by round; of equally near ones the smaller id is the nearest, so that there is always such a pair.
+    With ``outside``, the similarity to the nearest of all others, only what is nearer than that is joined, whatever is joined among the others: a mean is
+    no more than the largest of its terms. A joined cluster's nearest outside is no nearer than the mean of its two sides'.
+
+    What is no nearer than that bound is not looked for, so after the first round few clusters are compared with all.
     """
-    sums, size, alive, out = sums.astype(float), size.astype(float), np.arange(len(ids)), []
-    s = np.round(sums @ sums.T / np.outer(size, size), DIGITS)
-    np.fill_diagonal(s, -np.inf)
-    while len(alive) > 1:
-        part = s[np.ix_(alive, alive)]
-        nearest, k = part.argmax(1), np.arange(len(alive))
-        pairs = k[(nearest[nearest] == k) & (k < nearest) & (part.max(1) > least)]
-        if not len(pairs):
+    sums, size, n, out = sums.astype(float), size.astype(float), len(size), []
+    m, outside = sums / size[:, None], np.full(n, -np.inf) if outside is None else outside.astype(float)
+    bound, alive, joined = np.maximum(outside, least), np.ones(n, bool), np.zeros(n, bool)
+    o, s, ask = np.full(n, -1), np.full(n, np.inf), np.arange(n)
+    while True:
+        live = np.flatnonzero(alive)
+        found = Nearest(ask, m[ask], bound[ask])
+        meet(found, Nearest(live, m[live]))
+        o[ask], s[ask] = found.o, found.s
+        k = live[o[live] >= 0]
+        a = k[(o[o[k]] == k) & (k < o[k]) & (s[k] > np.maximum(bound[k], bound[o[k]]))]
+        if not len(a):
             break
-        a, b = alive[pairs], alive[nearest[pairs]]
-        out += [(int(ids[x]), int(ids[y]), float(s[x, y])) for x, y in zip(a, b, strict=True)]
+        b = o[a]
+        out += zip(a.tolist(), b.tolist(), s[a].tolist(), strict=True)
+        outside[a] = (size[a] * outside[a] + size[b] * outside[b]) / (size[a] + size[b]) + 10 * 10.0**-DIGITS
         sums[a] += sums[b]
         size[a] += size[b]
-        alive = np.setdiff1d(alive, b)
-        s[a] = np.round(sums[a] @ sums.T / np.outer(size[a], size), DIGITS)
-        s[:, a] = s[a].T
-        s[a, a] = -np.inf
-    return out, ids[alive], sums[alive], size[alive].astype(np.int64)
+        m[a], bound[a] = sums[a] / size[a, None], np.maximum(outside[a], least)
+        alive[b], joined[a] = False, True
+        ends = np.zeros(n + 1, bool)
+        ends[a] = ends[b] = True
+        gone = alive & (ends[:n] | ends[o])
+        o[gone] = -1
+        ask = np.flatnonzero(gone & (s > bound))
+    return out, {"at": live, "sums": sums[live], "size": size[live].astype(np.int64), "joined": joined[live], "o": o[live], "s": s[live]}
 
 
 def joined_in_tasks(parts: DataFrame, least: float) -> DataFrame:
-    """JOINED: rows of kind 0 are joins, rows of kind 1 the clusters (a, sum, n) that are left, of clusters (part, c, sum, n) part by part."""
+    """JOINED: rows of kind 0 are joins, rows of kind 1 the clusters (a, sum, n) that are left, of clusters (part, c, sum, n, o, s) part by part. o and s are the
+    nearest of all clusters out of the part (s -inf: there is none). A cluster that is left has its nearest of all clusters, o and near, unless
+    it is a joined one or that is not known; o may be joined in its own part."""
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
         x = x.sort_values("c")
-        joins, ids, sums, size = mutual(np.stack(x["sum"]), x["n"].to_numpy(), x["c"].to_numpy(), least)
-        n, m = len(joins), len(ids)
+        ids, others, outside = x["c"].to_numpy(), x["o"].to_numpy(), x["s"].to_numpy()
+        joins, left = mutual(np.stack(x["sum"]), x["n"].to_numpy(), least, outside)
+        at, o, s = left["at"], left["o"], left["s"]
+        inside = o >= 0
+        mine, theirs = ids[o], others[at]
+        first = inside & ((s > outside[at]) | ((s == outside[at]) & (mine < theirs)))
+        known = ~left["joined"] & (inside | (outside[at] > s))
         into, which, near = zip(*joins, strict=True) if joins else ((), (), ())
-        none = lambda k: [None] * k
+        n, m, none = len(joins), len(at), lambda k: [None] * k
         return pd.DataFrame({
-            "kind": [0] * n + [1] * m, "a": [*into, *ids.tolist()], "b": pd.array([*which, *none(m)], "Int64"), "s": pd.array([*near, *none(m)], "Float64"),
-            "sum": [*none(n), *sums], "n": pd.array([*none(n), *size.tolist()], "Int64"),
+            "kind": [0] * n + [1] * m, "a": [*ids[list(into)].tolist(), *ids[at].tolist()], "b": pd.array([*ids[list(which)].tolist(), *none(m)], "Int64"),
+            "s": pd.array([*near, *none(m)], "Float64"), "sum": [*none(n), *left["sums"]], "n": pd.array([*none(n), *left["size"].tolist()], "Int64"),
+            "o": pd.array([*none(n), *np.where(known, np.where(first, mine, theirs), None).tolist()], "Int64"),
+            "near": pd.array([*none(n), *np.where(known, np.where(first, s, outside[at]), None).tolist()], "Float64"),
         })
 
     return parts.groupBy("part").applyInPandas(run, JOINED)
@@ -114,79 +209,148 @@ def joined_in_tables(clusters: DataFrame, edges: DataFrame, least: float, work:
         edges = work.written(near.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
 
 
+def mean() -> Column:
+    return F.transform("sum", lambda x: x / F.col("n")).alias("v")
+
+
 def nearest(some: DataFrame, n_some: int, clusters: DataFrame, n: int) -> DataFrame:
-    """c of some clusters, o and s: the nearest other cluster, of equally near ones the smallest, and its similarity. Blocks meet blocks; of each two no more
-    than a row for a cluster is left, so that no pair is ever stored."""
-    mean = F.transform("sum", lambda x: x / F.col("n")).alias("v")
-    dims = clusters.select(F.max(F.size("sum"))).first()[0] or 1
-    a, b = (grid_parts(x, dims) for x in (n_some, n))
-    part = lambda parts: F.pmod(F.xxhash64("c", F.lit("block")), F.lit(parts)).cast("int")
+    """c of some clusters, o and s: the nearest other cluster (where both have a part, of another part), of equally near ones the smallest, and its similarity.
+    Blocks meet blocks; of each two no more than a row for a cluster is left, so that no pair is ever stored."""
+    dims, part = dimensions(clusters), ["part"] if "part" in clusters.columns else []
+    a, b = blocks(n_some, dims, GRID // 2), blocks(n, dims)
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    asks = some.select(part(a).alias("a"), every(b).alias("b"), F.lit(True).alias("left"), "c", mean)
-    told = clusters.select(every(a).alias("a"), part(b).alias("b"), F.lit(False).alias("left"), "c", mean)
-
-    def meet(x: pa.Table) -> pa.Table:
-        (ids, m), (others, r) = (by_id(x.filter(side)) for side in (pc.field("left"), ~pc.field("left")))
-        o, s = np.zeros(len(ids), np.int64), np.full(len(ids), -np.inf)
-        for i, j, near in inner_products(m, r):
-            found = others[j]
-            at = np.minimum(np.searchsorted(found, ids[i]), len(found) - 1)
-            same = np.flatnonzero(found[at] == ids[i])
-            near[same, at[same]] = -np.inf
-            best = near.max(1)
-            first = near.argmax(1)
-            for k in np.flatnonzero((near >= best[:, None] - 2 * 10.0**-DIGITS).sum(1) > 1):
-                first[k] = np.round(near[k], DIGITS).argmax()
-            best = np.round(best, DIGITS)
-            nearer = best > s[i]  # those of later blocks have larger ids
-            s[i] = np.where(nearer, best, s[i])
-            o[i] = np.where(nearer, found[first], o[i])
-        there = np.isfinite(s)
-        return pa.table({"c": ids[there], "o": o[there], "s": s[there]})
-
-    met = asks.unionByName(told).groupBy("a", "b").applyInArrow(meet, "c long, o long, s double")
-    return met.groupBy("c").agg(F.min(F.struct((-F.col("s")).alias("s"), "o")).alias("m")).select("c", "m.o", (-F.col("m.s")).alias("s"))
+    asks = some.select(by_hash(a).alias("a"), every(b).alias("b"), F.lit(True).alias("left"), *part, "c", mean())
+    told = clusters.select(every(a).alias("a"), by_hash(b).alias("b"), F.lit(False).alias("left"), *part, "c", mean())
+    return nearest_of_blocks(asks.unionByName(told), False).select("c", "o", "s")
+
+
+def nearest_of_all(clusters: DataFrame, n: int) -> DataFrame:
+    """The same of all clusters, and low, the smallest of those as near as near copies, and of itself. Two blocks meet once."""
+    parts = blocks(n, dimensions(clusters))
+    met = clusters.select(by_hash(parts).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("with"), "c", mean())
+    return nearest_of_blocks(met.select(F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), (F.col("block") <= F.col("with")).alias("left"), "c", "v"), True)
+
+
+def mean() -> Column:
+    return F.transform("sum", lambda x: x / F.col("n")).alias("v")
+
+
+def dimensions(clusters: DataFrame) -> int:
+    return clusters.select(F.max(F.size("sum"))).first()[0] or 1
+
+
+def blocks(n: int, dims: int, most: int = GRID) -> int:
+    """Blocks of n vectors: few, as a vector is sent for each, unless they would be larger than two blocks of pairs.py."""
+    return max(min(grid_parts(n, dims), most), -(-n // (2 * block_rows(dims))))
+
+
+def by_hash(parts: int) -> Column:
+    return F.pmod(F.xxhash64("c", F.lit("block")), F.lit(parts)).cast("int")
+
+
+def nearest_of_blocks(rows: DataFrame, both: bool) -> DataFrame:
+    """c, o, s, low of rows (a, b, left, part or none, c, v): of those on the left among those on the right of the same a and b. With ``both``, of all among
+    those on the other side, and where a is b, of all among all, which are on the left."""
+
+    def side(x: pa.Table) -> Nearest:
+        order = np.argsort(x.column("c").to_numpy(), kind="stable")
+        part = x.column("part").to_numpy()[order] if "part" in x.column_names else None
+        return Nearest(x.column("c").to_numpy()[order], matrix(x.column("v").combine_chunks())[order], part=part)
+
+    def run(x: pa.Table) -> pa.Table:
+        l = side(x.filter(pc.field("left")))
+        if both and x.column("a")[0].as_py() == x.column("b")[0].as_py():
+            meet(l, l)
+            sides = [l]
+        else:
+            r = side(x.filter(~pc.field("left")))
+            meet(l, r, both)
+            sides = [l, r] if both else [l]
+        there = np.concatenate([x.s for x in sides]) > -np.inf
+        return pa.table({name: np.concatenate([getattr(x, at) for x in sides])[there] for name, at in (("c", "ids"), ("o", "o"), ("s", "s"), ("low", "low"))})
+
+    met = rows.groupBy("a", "b").applyInArrow(run, "c long, o long, s double, low long")
+    found = met.groupBy("c").agg(F.min(F.struct((-F.col("s")).alias("s"), "o")).alias("m"), F.min("low").alias("low"))
+    return found.select("c", "m.o", (-F.col("m.s")).alias("s"), "low")
+
+
+def joined_copies(clusters: DataFrame, near: DataFrame, n: int, most: int, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """The joins among near copies (as nearest_of_all() gives them) that nothing outside can come before, the clusters that are left, and near of those
+    of them whose nearest is known; None if there are no groups of three or more, and no more than a task joins.
+
+    In such a group one cluster grows and all others wait for it, so a join or two come of a round. A task joins a group as long as nothing outside of it
+    is nearer, which is why its members, and they alone, are compared with all again.
+    """
+    sizes = near.groupBy(F.col("low").alias("part")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(3, most)).select("part")
+    part = work.written(near.select("c", F.col("low").alias("part")).join(sizes, "part", "left_semi"), "copies")
+    some = part.count()
+    if not some:
+        return None
+    placed = work.written(clusters.join(part, "c", "left").select("c", "sum", "n", F.coalesce("part", "c").alias("part"), F.col("part").isNotNull().alias("copy")), "placed")
+    members = placed.where("copy").drop("copy")
+    outside = work.written(nearest(members, some, placed, n), "outside")
+    beside = members.join(outside, "c", "left").select("part", "c", "sum", "n", F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("s", F.lit(-math.inf)).alias("s"))
+    found = work.written(joined_in_tasks(beside, -2.0), "joined")
+    joins, left = found.where("kind = 0").select("a", "b", "s"), found.where("kind = 1")
+    rest = placed.where("not copy").select("c", "sum", "n").unionByName(left.select(F.col("a").alias("c"), "sum", "n"))
+    known = left.where("o is not null").select(F.col("a").alias("c"), "o", F.col("near").alias("s"))
+    known = near.join(part, "c", "left_anti").select("c", "o", "s").unionByName(known)
+    return joins, work.written(rest, "clusters"), work.written(unjoined(known, joins), "stays")
 
 
 def joined_by_nearest(clusters: DataFrame, most: int, work: Workspace) -> tuple[list[DataFrame], DataFrame]:
-    """The joins of pairs that are each other's nearest, round by round, until there are ``most`` clusters or fewer; and these.
+    """The joins of pairs that are each other's nearest, round by round, until there are ``most`` clusters or fewer; and these. Those of near copies come first.
 
     A joined cluster is no nearer to any other than the nearer one of its two was. So what was a cluster's nearest stays it as long as neither is
     joined, and a round compares only the others with all.
     """
-    n, joins, asked_all = clusters.count(), [], True
-    near = work.written(nearest(clusters, n, clusters, n), "near")
+    n, joins = clusters.count(), []
+    first = work.written(nearest_of_all(clusters, n), "nearest")
+    stays = first.select("c", "o", "s")
+    if found := joined_copies(clusters, first, n, most, work):
+        copies, clusters, stays = found
+        joins.append(copies)
+        n -= copies.count()
     while n > most:
+        held = stays.count()
+        near = stays
+        if held < n:
+            near = work.written(stays.unionByName(nearest(clusters.join(stays, "c", "left_anti"), n - held, clusters, n)), "near")
         back = near.select(F.col("o").alias("c"), F.col("c").alias("o"))
         pairs = work.written(near.where("c < o").join(back, ["c", "o"]).select(F.col("c").alias("a"), F.col("o").alias("b"), "s"), "pairs")
-        found = pairs.count()
-        if not found:
-            if asked_all:
+        joined = pairs.count()
+        if not joined:
+            if not held:
                 break
-            near, asked_all = work.written(nearest(clusters, n, clusters, n), "near"), True  # ties by rounding
+            stays = near.limit(0)  # ties by rounding
             continue
         joins.append(pairs)
-        n -= found
-        clusters = work.written(joined_sums(clusters, pairs), "clusters")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
-        stays = work.written(near.join(ends, "c", "left_anti").join(ends.withColumnRenamed("c", "o"), "o", "left_anti").select("c", "o", "s"), "stays")
-        some = clusters.join(stays, "c", "left_anti")
-        near, asked_all = work.written(stays.unionByName(nearest(some, n - stays.count(), clusters, n)), "near"), False
+        n -= joined
+        clusters, stays = work.written(joined_sums(clusters, pairs), "clusters"), work.written(unjoined(near, pairs), "stays")
     return joins, clusters
 
 
+def unjoined(near: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (c, o, s) of which neither cluster is of the pairs."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c"))
+    return near.join(ends, "c", "left_anti").join(ends.withColumnRenamed("c", "o"), "o", "left_anti").select("c", "o", "s")
+
+
 def joined_sums(clusters: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The clusters (c, sum, n) when those of the pairs (a, b) are joined."""
-    moved = clusters.join(pairs.select(F.col("b").alias("c"), "a"), "c", "left").select(F.col("c").alias("was"), F.coalesce("a", "c").alias("c"), "sum", "n")
+    """The clusters (c, sum, n) when those of the pairs (a, b) are joined. Only these are moved."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("c"), "a")
+    moved = clusters.join(ends, "c").select(F.col("c").alias("was"), F.col("a").alias("c"), "sum", "n")
     added = moved.groupBy("c").agg(F.array_sort(F.collect_list(F.struct("was", "sum"))).alias("x"), F.sum("n").alias("n"))  # two of a pair
-    return added.select("c", F.reduce(F.slice("x.sum", 2, 1), F.get("x.sum", F.lit(0)), lambda s, x: F.zip_with(s, x, lambda u, v: u + v)).alias("sum"), "n")
+    added = added.select("c", F.zip_with(F.get("x.sum", F.lit(0)), F.get("x.sum", F.lit(1)), lambda u, v: u + v).alias("sum"), "n")
+    return clusters.join(ends, "c", "left_anti").select("c", "sum", "n").unionByName(added)
 
 
 def joined_level(clusters: DataFrame, least: float, cell: int, work: Workspace) -> tuple[list[DataFrame], DataFrame]:
     """The joins above a similarity, and the clusters (c, sum, n) that are left."""
     kept, whole = [], clusters.count() <= cell
+    alone = lambda parts: parts.select("part", "c", "sum", "n", F.lit(0).cast("long").alias("o"), F.lit(-math.inf).alias("s"))
     if whole:
-        found = work.written(joined_in_tasks(clusters.withColumn("part", F.lit(0)), least), "joined")
+        found = work.written(joined_in_tasks(alone(clusters.withColumn("part", F.lit(0))), least), "joined")
         edges = None
     else:
         edges = work.written(similar_pairs(clusters, "c", "sum", least).select(F.col("i").alias("a"), F.col("j").alias("b")), "edges")
@@ -194,7 +358,7 @@ def joined_level(clusters: DataFrame, least: float, cell: int, work: Workspace)
         size = part.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
         placed = work.written(clusters.join(beside_key(part, size, "part"), "c", "left"), "placed")
         kept.append(placed.where("part is null").select("c", "sum", "n"))
-        found = work.written(joined_in_tasks(placed.where(F.col("size") <= cell).select("part", "c", "sum", "n"), least), "joined")
+        found = work.written(joined_in_tasks(alone(placed.where(F.col("size") <= cell)), least), "joined")
     joins = [found.where("kind = 0").select("a", "b", "s")]
     kept.append(found.where("kind = 1").select(F.col("a").alias("c"), "sum", "n"))
     if edges is not None and (large := placed.where(F.col("size") > cell).select("c", "sum", "n")).limit(1).count():
@@ -222,9 +386,11 @@ def linkage(df: DataFrame, vector: str, k: int | None = None, threshold: float =
     key = F.xxhash64(F.transform(vector, lambda x: x.cast("double") + 0.0))
     rows = df.withColumn("__c", key)
     with Workspace(df.sparkSession, "linkage") as work:
-        units = rows.where(F.col(vector).isNotNull()).groupBy("__c").agg(F.first(unit(F.col(vector))).alias("u"), F.count(F.lit(1)).alias("n"))
-        first = work.written(units.select(F.col("__c").alias("c"), F.transform("u", lambda x: x * F.col("n")).alias("sum"), "n"), "classes")
+        length = F.greatest(norm(F.col(vector)), F.lit(1e-12))
+        units = rows.where(F.col(vector).isNotNull()).groupBy("__c").agg(F.first(vector).alias("v"), F.first(length).alias("l"), F.count(F.lit(1)).alias("n"))
+        first = work.written(units.select(F.col("__c").alias("c"), F.transform("v", lambda x: x.cast("double") / F.col("l") * F.col("n")).alias("sum"), "n"), "classes")
         classes, clusters, joins = first.count(), first, []
+        cell = min(cell, block_rows(dimensions(first)))
         if k is not None and classes > cell:
             joins, clusters = joined_by_nearest(clusters, cell, work)
         more, clusters = joined_level(clusters, threshold if k is None else -2.0, cell, work)

@@ -122,9 +122,14 @@ def cells(df: DataFrame, id_col: str, vector: str, threshold: float, leaf: int =
         return written(out, "cells")
 
 
+def block_rows(dims: int, block: int = BLOCK) -> int:
+    """Vectors of a block at most."""
+    return max(1, min(block, BLOCK_BYTES // (8 * max(1, dims))))
+
+
 def grid_parts(n: int, dims: int, block: int = BLOCK) -> int:
     """Blocks of n vectors: GRID at most, of a sixteenth of a block or more, unless they would be larger than a block."""
-    rows = max(1, min(block, BLOCK_BYTES // (8 * max(1, dims))))
+    rows = block_rows(dims, block)
     return max(1, -(-n // rows), min(GRID, -(-n // max(1, rows // 16))))
 
 

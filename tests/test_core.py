@@ -555,6 +555,59 @@ class TestClusters:
         found = [self.groups(clusters.linkage(spark.createDataFrame(corners, "id long, v array<double>").repartition(n), "v", k=2, cell=2)) for n in (1, 4)]
         assert found[0] == found[1] and len(found[0]) == 2
 
+    def test_linkage_joins_near_copies_at_once(self, spark, monkeypatch):
+        """In a group of near copies one cluster grows and all others wait for it, which took a round of jobs for each join or two."""
+        monkeypatch.setattr(pairs, "BLOCK_BYTES", 8 * 4 * 30)
+        rounds, write = [], tables.Workspace.written
+        monkeypatch.setattr(tables.Workspace, "written", lambda work, df, name: rounds.append(name) or write(work, df, name))
+        rng = np.random.default_rng(3)
+        copies = [1.0, 0.0, 0.0, 0.0] + np.geomspace(1e-4, 0.2, 24)[:, None] * np.c_[np.zeros(24), rng.normal(size=(24, 3))]
+        x = np.vstack([copies, rng.normal(size=(16, 4))])
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+        assert self.groups(clusters.linkage(df, "v", k=6, cell=30)) == self.slow(x, 6, None)
+        assert "copies" in rounds and rounds.count("pairs") <= 3
+
+    def test_nearest_by_tiles(self, monkeypatch):
+        """As by double precision alone: ties go to the smallest id, also where single precision can't tell; own and equal parts are left out."""
+        monkeypatch.setattr(clusters, "TILE", (4, 7))
+        monkeypatch.setattr(clusters, "EXACT", 5)
+        rng = np.random.default_rng(8)
+        x = np.vstack([rng.normal(size=(30, 6)), np.eye(6), np.eye(6)[:3], np.zeros((2, 6))])
+        x = np.vstack([x, x[:9] + 1e-7 * rng.normal(size=(9, 6))])
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        ids, part = np.sort(rng.choice(10**12, len(x), replace=False)) - 5 * 10**11, rng.integers(0, 4, len(x))
+        s = np.round(np.einsum("ik,jk->ij", x, x), clusters.DIGITS)
+        for split, parted in ((20, False), (len(x), False), (31, True), (len(x), True)):
+            left, right = np.arange(split), np.arange(len(x)) if split == len(x) else np.arange(split, len(x))
+            l, r = (clusters.Nearest(ids[k], x[k], part=part[k] if parted else None) for k in (left, right))
+            clusters.meet(l, r, both=True)
+            for mine, a, b in ((l, left, right), (r, right, left)):
+                near = np.where(part[a, None] == part[None, b] if parted else a[:, None] == b[None], -np.inf, s[np.ix_(a, b)])
+                assert (mine.s == near.max(1)).all() and (mine.o == ids[b[near.argmax(1)]]).all()
+                copy = np.where(near >= clusters.ALIKE, ids[b][None], ids[a][:, None])
+                assert (mine.low == np.minimum(copy.min(1), ids[a])).all()
+        found = clusters.Nearest(ids, x, above=np.full(len(x), 0.8))
+        clusters.meet(found, clusters.Nearest(ids, x))
+        np.fill_diagonal(s, -np.inf)
+        far = s.max(1) < 0.79
+        assert (found.s[far] == -np.inf).all() and (found.s == s.max(1))[s.max(1) >= 0.8].all() and 0 < far.sum() < len(x)
+
+    def test_joins_that_nothing_outside_comes_before(self):
+        """Joins inside of a part, with what is outside as a bound, are some of the joins of all."""
+        x = np.random.default_rng(6).normal(size=(80, 3))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        part, ones = np.argmax(x, 1), np.ones(80)
+        every = {(a, b) for a, b, _ in clusters.mutual(x, ones, -2.0)[0]}
+        assert len(every) == 79
+        for p in range(3):
+            at = np.flatnonzero(part == p)
+            outside = np.round(x[at] @ x[part != p].T, clusters.DIGITS).max(1)
+            joins, left = clusters.mutual(x[at], ones[at], -2.0, outside)
+            assert {(at[a], at[b]) for a, b, _ in joins} <= every and 0 < len(joins) < len(at) - 1 and len(left["at"]) == len(at) - len(joins)
+            for i, o, s in zip(left["at"], left["o"], left["s"], strict=True):
+                if not (o < 0 or left["joined"][left["at"] == i][0] or o in {a for j in joins for a in j[:2]}):
+                    assert s == np.round(x[at[i]] @ x[at[o]], clusters.DIGITS)
+
     def test_linkage_of_equal_vectors(self, spark):
         many = spark.createDataFrame([(i, [1.0, 0.0] if i % 3 else [0.0, float(i + 1)]) for i in range(90)] + [(90, [0.0, 0.0]), (91, [0.0, 0.0])], "id long, v array<double>")
         assert self.groups(clusters.linkage(many, "v", threshold=0.9)) == sorted([[i for i in range(90) if i % 3], [i for i in range(90) if not i % 3], [90, 91]])
